@@ -1,9 +1,17 @@
 """Queries of this subpackage, and the SQL that states them where SQL can."""
 
+from .quality import OP9_SQL, op9_quality_cascade
+from .secrets import op7_secret_linking
 from .simhash import op6_simhash_bktree
+from .tokencount import op10_rank_synchronous_bpe
 
 QUERIES = {
     "op6_simhash_bktree": op6_simhash_bktree,
+    "op7_secret_linking": op7_secret_linking,
+    "op9_quality_cascade": op9_quality_cascade,
+    "op10_rank_synchronous_bpe": op10_rank_synchronous_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_quality_cascade": OP9_SQL,
+}
