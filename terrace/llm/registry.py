@@ -1,11 +1,13 @@
 """Queries of this subpackage, and the SQL that states them where SQL can."""
 
+from .kneser_ney import op1_kneser_ney
 from .quality import OP9_SQL, op9_quality_cascade
 from .secrets import op7_secret_linking
 from .simhash import op6_simhash_bktree
 from .tokencount import op10_rank_synchronous_bpe
 
 QUERIES = {
+    "op1_kneser_ney": op1_kneser_ney,
     "op6_simhash_bktree": op6_simhash_bktree,
     "op7_secret_linking": op7_secret_linking,
     "op9_quality_cascade": op9_quality_cascade,
