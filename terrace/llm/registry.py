@@ -1,5 +1,6 @@
 """Queries of this subpackage, and the SQL that states them where SQL can."""
 
+from .decontaminate import op4_spaced_seeds
 from .kneser_ney import op1_kneser_ney
 from .quality import OP9_SQL, op9_quality_cascade
 from .secrets import op7_secret_linking
@@ -8,6 +9,7 @@ from .tokencount import op10_rank_synchronous_bpe
 
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
+    "op4_spaced_seeds": op4_spaced_seeds,
     "op6_simhash_bktree": op6_simhash_bktree,
     "op7_secret_linking": op7_secret_linking,
     "op9_quality_cascade": op9_quality_cascade,
