@@ -2,6 +2,7 @@
 
 from .decontaminate import op4_spaced_seeds
 from .kneser_ney import op1_kneser_ney
+from .mixing import OP3_SQL, op3_hierarchical_mixing
 from .quality import OP9_SQL, op9_quality_cascade
 from .secrets import op7_secret_linking
 from .simhash import op6_simhash_bktree
@@ -9,6 +10,7 @@ from .tokencount import op10_rank_synchronous_bpe
 
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
+    "op3_hierarchical_mixing": op3_hierarchical_mixing,
     "op4_spaced_seeds": op4_spaced_seeds,
     "op6_simhash_bktree": op6_simhash_bktree,
     "op7_secret_linking": op7_secret_linking,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_hierarchical_mixing": OP3_SQL,
     "op9_quality_cascade": OP9_SQL,
 }
