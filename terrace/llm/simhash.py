@@ -270,3 +270,14 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, similarity: float =
 
 def op6_simhash_bktree(spark, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"), width=4, radius=4)
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each class of near_duplicate_classes: that of the smallest doc_id; columns unchanged.
+
+    Rows that repeat a doc_id count as copies, so one of them stays. Rows without a doc_id
+    stay where no document of their class has one. Blank texts are one class.
+    """
+    classes = near_duplicate_classes(docs, width, similarity)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id").dropDuplicates(["doc_id"])
