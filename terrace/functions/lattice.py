@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.config import Schedule
@@ -24,7 +24,7 @@ def floor_div(x: Column, c: float) -> Column:
 def idiv(i: Column, k) -> Column:
     """Floor division of integers; `div` truncates."""
     k = F.lit(k) if isinstance(k, int) else k
-    return ((i - F.pmod(i, k)) / k).cast("bigint")
+    return F.call_function("div", i - F.pmod(i, k), k)
 
 
 def by_ring(ring: Column, values) -> Column:
@@ -118,3 +118,16 @@ def annulus_index(ix: Column, iy: Column, side: int, low: int, high: int) -> Col
         .otherwise(-1)
         .cast("bigint")
     )
+
+
+def with_ring(rows: DataFrame, ring: Column) -> DataFrame:
+    """Adds ring. It is made by a generator, past which the optimizer moves no filter, so its long expression stands once in the plan."""
+    return rows.select("*", F.explode(F.array(ring)).alias("ring"))
+
+
+def with_cells(points: DataFrame, s: Schedule, xw: Column, yw: Column, ring: Column) -> DataFrame:
+    """Adds ring, ix, iy of world coordinates; ix and iy are null outside the map."""
+    fine = F.struct(ring.alias("ring"), floor_div(xw, s.base_cell_m).alias("__i"), floor_div(yw, s.base_cell_m).alias("__j"))
+    at = points.select("*", F.inline(F.array(fine)))
+    k = by_ring(F.col("ring"), [s.k(r.ring) for r in s.rings]).cast("bigint")
+    return at.withColumns({"ix": idiv(F.col("__i"), k), "iy": idiv(F.col("__j"), k)}).drop("__i", "__j")

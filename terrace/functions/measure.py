@@ -34,8 +34,7 @@ def height_cm(z: Column, datum: Column | None = None) -> Column:
 def mean_height(wz: Column, w: Column) -> Column:
     """Weighted mean of integers, half away from zero; 0 without weight."""
     w = F.greatest(w, F.lit(1).cast("bigint"))
-    a = 2 * F.abs(wz) + w
-    return (F.signum(wz) * ((a - F.pmod(a, 2 * w)) / (2 * w))).cast("int")
+    return (F.signum(wz).cast("bigint") * F.call_function("div", 2 * F.abs(wz) + w, 2 * w)).cast("int")
 
 
 def decode_variance(code: Column) -> Column:

@@ -20,8 +20,7 @@ def at_points(points: DataFrame, cells: DataFrame, s: Schedule = C.FOVEATED, tra
     child counting along x, then y. Outside the map heights are null, trav is low confidence,
     occupancy unknown.
     """
-    ring = L.ring_of(F.col("x"), F.col("y"), s)
-    asked = points.withColumn("ring", ring).withColumns({"ix": L.cell_index(F.col("x"), F.col("ring"), s), "iy": L.cell_index(F.col("y"), F.col("ring"), s)})
+    asked = L.with_cells(points, s, F.col("x"), F.col("y"), L.ring_of(F.col("x"), F.col("y"), s))
     fields = ["ground_cm", "ceiling_cm", "class_byte", "trav", "obs_count", "log_odds", "flags"]
     found = asked.join(cells.select(*CELL, F.struct(*fields).alias("own")), CELL, "left")
     if refined is not None:

@@ -48,7 +48,9 @@ def block_class(ref: DataFrame, k: int) -> DataFrame:
 def served(cells: DataFrame, s: Schedule = C.FOVEATED, ego: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """Cells whose centre their own ring serves, seen from the vehicle; coarser rings keep stale cells within finer ones."""
     x, y = (L.centre(F.col(i), F.col("ring"), s) - e for i, e in zip(("ix", "iy"), ego, strict=True))
-    return cells.where(L.ring_of(x, y, s) == F.col("ring"))
+    at = cells.select("*", F.inline(F.array(F.struct(x.alias("__x"), y.alias("__y")))))
+    found = at.select("*", F.explode(F.array(L.ring_of(F.col("__x"), F.col("__y"), s))).alias("__ring"))
+    return found.where(F.col("__ring") == F.col("ring")).drop("__x", "__y", "__ring")
 
 
 def compared(cells: DataFrame, ref: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:

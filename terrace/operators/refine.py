@@ -98,4 +98,5 @@ def admitted(requests: DataFrame, th: Thresholds = THRESHOLDS, by: list[str] | N
 
 def overtaken(blocks: DataFrame, s: Schedule = C.FOVEATED, speed: Column | None = None) -> DataFrame:
     """Blocks whose cell a finer ring serves by now. blocks: ring, levels, x, y (cell centre in the vehicle frame)."""
-    return blocks.where(L.migrate_ring(F.col("x"), F.col("y"), s, F.col("ring"), speed) <= F.col("ring") - F.col("levels"))
+    now = blocks.select("*", F.explode(F.array(L.migrate_ring(F.col("x"), F.col("y"), s, F.col("ring"), speed))).alias("__now"))
+    return now.where(F.col("__now") <= F.col("ring") - F.col("levels")).drop("__now")

@@ -67,8 +67,8 @@ def sweeps(spark: SparkSession, root: str, start_frame: int = 0, max_frames: int
 
 def poses(spark: SparkSession, path: str) -> DataFrame:
     """frame (line number), t (12 numbers, row-major 3 x 4) of a pose text file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("frame", "line"))
-    return lines.select("frame", F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.cast("double")).alias("t")).where(F.size("t") == 12)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("frame", "line"))
+    return lines.select("frame", F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.try_cast("double")).alias("t")).where(F.size("t") == 12)
 
 
 def calibration(spark: SparkSession, path: str) -> list[float]:
