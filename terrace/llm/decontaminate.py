@@ -163,13 +163,13 @@ _OVERLAP = pa.schema([("doc_key", pa.string()), ("item", pa.int64()), ("first",
 
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_key, item, first, length, equal: verified overlaps. docs: doc_key, text; items: item, text."""
+    """doc_key, item, first, length, equal: verified overlaps, whatever the case and punctuation. docs: doc_key, text; items: item, text."""
     spark = docs.sparkSession
-    items = items.select("item", text_of().alias("text"))
+    items = items.select("item", F.lower(text_of()).alias("text"))
     hashes = written(items.mapInArrow(_item_hashes, "h bigint, item bigint, item_at int, seed int"), "seeds")
     words = written(items.mapInArrow(_words, "item bigint, words array<bigint>").where(F.col("item").isNotNull()), "items")
     spread = spark.sparkContext.broadcast(bloom(hashes))
-    runs = docs.select("doc_key", text_of().alias("text")).mapInArrow(_hits(spread), "doc_key string, low bigint, words array<bigint>, hits array<struct<h:bigint,at:int>>")
+    runs = docs.select("doc_key", F.lower(text_of()).alias("text")).mapInArrow(_hits(spread), "doc_key string, low bigint, words array<bigint>, hits array<struct<h:bigint,at:int>>")
     runs = written(runs.withColumn("run", F.monotonically_increasing_id()), "runs")
     hits = runs.select("run", F.explode("hits").alias("hit")).select("run", "hit.h", "hit.at")
     diagonals = hits.join(hashes, "h").select("run", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
