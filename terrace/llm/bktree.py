@@ -14,7 +14,7 @@ _KEYS = 65
 
 
 class Forest:
-    """shard: shard number of each item, ascending; value: uint64 fingerprints, distinct within a shard."""
+    """shard: shard number of each item, ascending; value: uint64 fingerprints. Equal ones stand below each other at distance 0."""
 
     def __init__(self, shard: np.ndarray, value: np.ndarray):
         self.value = value
@@ -48,7 +48,7 @@ class Forest:
             hit = (d <= radius) & (at < query)
             for out, part in zip(found, (query, at, d), strict=True):
                 out.append(part[hit])
-            low = np.searchsorted(self.edge, at * _KEYS + np.maximum(d - radius, 1))
+            low = np.searchsorted(self.edge, at * _KEYS + np.maximum(d - radius, 0))
             high = np.searchsorted(self.edge, at * _KEYS + np.minimum(d + radius, 64), "right")
             count = high - low
             slot = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)

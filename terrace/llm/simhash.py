@@ -94,6 +94,7 @@ def block_keys(fp: Column, radius: int, items: int, bits: int = 64) -> Column:
 def spread(keyed: DataFrame, by: str, limit: int = SHARD_ITEMS) -> DataFrame:
     """Adds `unit` to rows with `key`: a shard, or for a key of over `limit` rows one of the pairs of chunks that its rows are cut into."""
     hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("key", F.ceil(F.col("n") / limit).cast("int").alias("chunks"))
+    hot = written(hot, "hot")  # its size is then known, and a small one needs no shuffle of the other side
     own, other = F.pmod(F.xxhash64(by), F.col("chunks")), F.col("other")
     return (
         keyed.join(hot, "key", "left")
@@ -158,10 +159,10 @@ def simhash_classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
 
 #: Words of 64 bits in a wide fingerprint, and the bits of one shard key.
 WIDE, KEY_BITS = 16, 16
-#: Differing bits of 64 up to which a shard's tree reports a candidate (p = 0.15 a bit at similarity 0.8: 3.5 deviations).
+#: Differing bits of the first 64 up to which a shard's tree reports a pair (p = 0.15 a bit at similarity 0.8: 3.5 deviations).
 CANDIDATE_RADIUS = 20
-#: Nearest earlier items that a query reports from one shard: in the first round any, in the second of other classes.
-NEAREST = (1, 8)
+#: Queries between two updates of a shard's classes, and pairs compared at a time.
+WIDE_BLOCK, WIDE_PAIRS = 256, 1 << 17
 
 
 def differing_share(similarity: float) -> float:
@@ -189,64 +190,39 @@ def _wide(width: int):
 
 
 def _banded(batches):
-    """node, root, wide -> one row for each 16-bit block: its shard key, the node, its class so far, and 64 other bits to search by."""
+    """node, wide -> one row for each 16-bit block, with its shard key."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(n, WIDE)
-        block = wide.view(np.uint16).reshape(n, WIDE * 4).astype(np.int64)
+        block = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint16).reshape(n, WIDE * 4).astype(np.int64)
         key = block + (np.arange(WIDE * 4) << KEY_BITS)
-        rest = np.repeat(np.roll(wide, -1, axis=1), 4, axis=1)
-        node, root = (np.repeat(batch.column(c).to_numpy(), WIDE * 4) for c in ("node", "root"))
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(node), pa.array(root), pa.array(rest.reshape(-1).view(np.int64))], ["key", "node", "root", "rest"])
+        row = pa.array(np.repeat(np.arange(n), WIDE * 4))
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), batch.column("node").take(row), batch.column("wide").take(row)], ["key", "node", "wide"])
 
 
-def _candidates(nearest: int):
-    """Pairs of nodes of different classes: items with equal search bits in a chain, others with their nearest earlier ones."""
+def _wide_linker(most: int):
+    """A spanning forest of a shard's links. The tree over the first 64 bits proposes pairs; those of different classes so far are compared in full."""
 
     def run(batches):
         rows = _gathered(batches)
         if rows is None or not rows.num_rows:
             return
-        unit, rest, node, root = (rows.column(c).to_numpy() for c in ("unit", "rest", "node", "root"))
-        order = np.lexsort((node, root, rest, unit))
-        unit, rest, node, root = unit[order], rest[order], node[order], root[order]
-        alike = np.zeros(len(unit), bool)
-        alike[1:] = (unit[1:] == unit[:-1]) & (rest[1:] == rest[:-1])
-        chained = np.flatnonzero(alike)
-        out = [(chained, chained - 1)]
-        # one tree item for each class among equal search bits
-        fresh = np.flatnonzero(~(alike & np.append(False, root[1:] == root[:-1])))
-        first = fresh[~alike[fresh]]  # of these, one for each value is in the tree and the others ask like it
-        forest = Forest(unit[first], rest[first].view(np.uint64))
-        for start in range(0, len(first), QUERY_BLOCK):
-            a, b, d = forest.earlier_within(np.arange(start, min(start + QUERY_BLOCK, len(first))), CANDIDATE_RADIUS)
-            a, b = first[a], first[b]
-            other = root[a] != root[b]
-            a, b, d = a[other], b[other], d[other]
-            order = np.lexsort((b, d, a))
-            a, b = a[order], b[order]
-            begin = np.ones(len(a), bool)
-            begin[1:] = a[1:] != a[:-1]
-            near = np.arange(len(a)) - np.flatnonzero(begin)[np.cumsum(begin) - 1] < nearest if len(a) else begin
-            out.append((a[near], b[near]))
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        a, b = a[root[a] != root[b]], b[root[a] != root[b]]
-        u, v = node[a], node[b]
-        pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
-    return run
-
-
-def _close(most: int):
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE) for c in ("wide_u", "wide_v"))
-                near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most
-                yield batch.select(["u", "v"]).filter(pa.array(near))
+        unit, node = (rows.column(c).to_numpy() for c in ("unit", "node"))
+        wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE)
+        order = np.lexsort((node, unit))
+        unit, node, wide = unit[order], node[order], wide[order]
+        forest, label = Forest(unit, np.ascontiguousarray(wide[:, 0])), np.arange(len(node))
+        for first in range(0, len(node), WIDE_BLOCK):
+            a, b, _ = forest.earlier_within(np.arange(first, min(first + WIDE_BLOCK, len(node))), CANDIDATE_RADIUS)
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            for k in range(0, len(a), WIDE_PAIRS):
+                u, v = a[k : k + WIDE_PAIRS], b[k : k + WIDE_PAIRS]
+                near = np.bitwise_count(wide[u] ^ wide[v]).sum(axis=1, dtype=np.int64) <= most
+                hook(label, u[near], v[near])
+        tied = np.flatnonzero(label != np.arange(len(node)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[label[tied]])], ["u", "v"])
 
     return run
 
@@ -256,30 +232,21 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, similarity: float =
 
     Similarity is read off 1024-bit SimHashes of the distinct shingles (at 0.8 the estimate
     is off by 0.02 on average). Each of a fingerprint's 64 blocks of 16 bits is a shard key;
-    a BK-tree in each shard proposes pairs within the radius on 64 other bits, and a pair
-    links if the whole fingerprints are close enough. A pair at 0.8 shares a shard with a
-    probability of 0.99, closer pairs nearly always. The first round proposes each item's
-    nearest earlier one, which joins most of a class; the second proposes more, but only
-    between the classes found so far, so a large group of near copies never makes its pairs.
-    Equal shingle sets share a fingerprint and meet before any of this, so a group of copies
-    counts once. Blank texts form one class. Null doc_ids never name a class.
+    a BK-tree in each shard proposes pairs within the radius on the first 64 bits, and a pair
+    links if the whole fingerprints are close enough. Pairs are compared where they meet, and
+    a shard returns a spanning forest of its links, so a large group of near copies never
+    makes its pairs. A pair at 0.8 shares a shard with a probability of 0.99, closer pairs
+    nearly always. Equal shingle sets share a fingerprint and meet before any of this, so a
+    group of copies counts once. Blank texts form one class. Null doc_ids never name a class.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     wide = written(source.mapInArrow(_wide(width), "doc_id bigint, wide binary").withColumn("node", F.xxhash64("wide")), "wide")
     points = written(wide.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), "points")
-    most = math.floor(differing_share(similarity) * 64 * WIDE)
-    links, named = None, points.withColumn("root", F.col("node"))
-    for nearest in NEAREST:
-        keyed = named.select("node", "root", "wide").mapInArrow(_banded, "key bigint, node bigint, root bigint, rest bigint")
-        units = spread(keyed, "node").select("unit", "node", "root", "rest")
-        pairs = units.repartition(shuffle_partitions(spark), "unit").mapInArrow(_candidates(nearest), "u bigint, v bigint").distinct()
-        for side in "uv":
-            pairs = pairs.join(points.select(F.col("node").alias(side), F.col("wide").alias(f"wide_{side}")), side)
-        close = written(pairs.select("u", "v", "wide_u", "wide_v").mapInArrow(_close(most), "u bigint, v bigint"), "links")
-        links = close if links is None else links.unionAll(close)
-        named = points.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.select("node", "least", "root")
+    keyed = points.select("node", "wide").mapInArrow(_banded, "key bigint, node bigint, wide binary")
+    units = spread(keyed, "node").select("unit", "node", "wide").repartition(shuffle_partitions(spark), "unit")
+    links = units.mapInArrow(_wide_linker(math.floor(differing_share(similarity) * 64 * WIDE)), "u bigint, v bigint")
+    named = points.join(connected_components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     classes = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return wide.join(classes, "node").select("doc_id", "component_id")
 
