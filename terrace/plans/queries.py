@@ -38,13 +38,18 @@ def r6(c):
     return F.round(c, 6)
 
 
+def scaled(c, unit):
+    """In units and rounded, off the ties that decimal inputs give, which engines round differently."""
+    return F.rint(c * unit + 0.123)
+
+
 # --- sources and projections -------------------------------------------------------
 
 
-@register(f"WITH {Q.WIDE_SQL} SELECT frame, point_id, 0e0 + round((-2e-2) * y2 * y2 / 3e0 + CASE WHEN abs(yw) > 3 THEN 0.12::DOUBLE ELSE 0e0 END + CASE WHEN xw > 30 THEN 6e-2 * (xw - 30) ELSE 0e0 END + CASE WHEN abs(yw) > 4 THEN 2e-2 * sin(12.7::DOUBLE * xw) * cos(11.3::DOUBLE * yw) ELSE 0e0 END - CASE WHEN sqrt((xw - 18) * (xw - 18) + yw * yw) < 0.3::DOUBLE THEN 0.4::DOUBLE ELSE 0e0 END, 6) AS height, CASE WHEN abs(yw) <= 3 THEN 40 WHEN abs(yw) <= 4 THEN 48 ELSE 44 END AS raw FROM (SELECT *, least(abs(yw), 3e0) AS y2 FROM wide)")
+@register(f"WITH {Q.WIDE_SQL} SELECT frame, point_id, round_even(((-2e-2) * y2 * y2 / 3e0 + CASE WHEN abs(yw) > 3 THEN 0.12::DOUBLE ELSE 0e0 END + CASE WHEN xw > 30 THEN 6e-2 * (xw - 30) ELSE 0e0 END + CASE WHEN abs(yw) > 4 THEN 2e-2 * sin(12.7::DOUBLE * xw) * cos(11.3::DOUBLE * yw) ELSE 0e0 END - CASE WHEN sqrt((xw - 18) * (xw - 18) + yw * yw) < 0.3::DOUBLE THEN 0.4::DOUBLE ELSE 0e0 END) * 1e5 + 0.123::DOUBLE, 0) AS height_e5, CASE WHEN abs(yw) <= 3 THEN 40 WHEN abs(yw) <= 4 THEN 48 ELSE 44 END AS raw FROM (SELECT *, least(abs(yw), 3e0) AS y2 FROM wide)")
 def s13_terrain(spark, sf_dir):
     p = wide_points(spark, sf_dir)
-    return p.select("frame", "point_id", (r6(synthetic.terrain_height(F.col("xw"), F.col("yw"))) + 0.0).alias("height"), synthetic.class_at(F.col("yw")).alias("raw"))
+    return p.select("frame", "point_id", scaled(synthetic.terrain_height(F.col("xw"), F.col("yw")), 1e5).alias("height_e5"), synthetic.class_at(F.col("yw")).alias("raw"))
 
 
 @register()
@@ -220,9 +225,9 @@ def a13_reference_map(spark, sf_dir):
     return reference.reference_map(sweep_points(spark, sf_dir)).withColumn("height_cm", r6(F.col("height_cm")))
 
 
-@register(f"WITH {Q.PTS_SQL}, {Q.MSTAR}, {Q.BLOCKS} SELECT ring, ix, iy, n_ref, round(ref_mean, 6) AS ref_mean, round(ref_var, 6) AS ref_var FROM bl")
+@register(f"WITH {Q.PTS_SQL}, {Q.MSTAR}, {Q.BLOCKS} SELECT ring, ix, iy, n_ref, round_even(ref_mean * 1e3 + 0.123::DOUBLE, 0) AS mean_e3, round_even(ref_var * 1e2 + 0.123::DOUBLE, 0) AS var_e2 FROM bl")
 def a14_block_stats(spark, sf_dir):
-    return reference.ring_blocks(reference.reference_map(sweep_points(spark, sf_dir))).withColumns({"ref_mean": r6(F.col("ref_mean")), "ref_var": r6(F.col("ref_var"))})
+    return reference.ring_blocks(reference.reference_map(sweep_points(spark, sf_dir))).select(*CELL, "n_ref", scaled(F.col("ref_mean"), 1e3).alias("mean_e3"), scaled(F.col("ref_var"), 1e2).alias("var_e2"))
 
 
 @register(f"WITH {Q.PTS_SQL}, {Q.MSTAR}, v AS (SELECT floor(i / 4)::BIGINT AS bi, floor(j / 4)::BIGINT AS bj, class_id, count(*) AS c FROM ms GROUP BY ALL) SELECT bi, bj, class_id FROM v QUALIFY row_number() OVER (PARTITION BY bi, bj ORDER BY c DESC, class_id) = 1")
