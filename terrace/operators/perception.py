@@ -170,3 +170,16 @@ def instances(image: DataFrame, least_pixels: int = 4) -> DataFrame:
 
 def blind_cone_m(th: Thresholds = THRESHOLDS) -> float:
     return th.sensor_height_m / math.tan(math.radians(-th.phi_min_deg))
+
+
+def capped(occupied: DataFrame, cap: int, s: Schedule = C.FOVEATED) -> DataFrame:
+    """The first `cap` occupied cells of each frame in storage order; a bound for small targets, off by default."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("frame").orderBy(L.slot(F.col("ix"), F.col("iy"), F.col("ring"), s))
+    return occupied.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cap).drop("nth")
+
+
+def truncated(points: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:
+    """The first max_points returns of a sweep whose point_id counts from 0."""
+    return points.where(F.col("point_id") < th.max_points)

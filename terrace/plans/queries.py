@@ -16,7 +16,7 @@ from terrace.operators import fold, memory, perception, planning, pyramid, query
 from terrace.operators.scatter import CELL
 from terrace.plans import inputs as I
 from terrace.plans import sql as Q
-from terrace.sources import synthetic
+from terrace.sources import kitti, synthetic
 from terrace.sources.tables import read, sweep_points, wide_points
 from terrace.streaming.frames import windowed
 
@@ -601,3 +601,81 @@ def s23_map_digest(spark, sf_dir):
 def t10_event_windows(spark, sf_dir):
     found = windowed(read(spark, sf_dir, "events"))
     return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", r6(F.col("total")).alias("total"))
+
+
+# --- further projections, filters and figures ----------------------------------------------
+
+
+def _turns(spark):
+    """Seven vehicle poses: turned by a 3-4-5 angle, 2 m further along x each frame."""
+    return spark.range(7).select(F.col("id").cast("int").alias("frame"), F.array(*map(F.lit, (0.8, -0.6, 0.0)), F.col("id") * 2.0, *map(F.lit, (0.6, 0.8, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0))).alias("t"))
+
+
+@register(f"WITH {Q.PTS_SQL} SELECT frame, point_id, round_even((0.8::DOUBLE * x - 0.6::DOUBLE * y + 2e0 * frame) * 1e6 + 0.123::DOUBLE, 0) AS xw, round_even((0.6::DOUBLE * x + 0.8::DOUBLE * y + 1e0) * 1e6 + 0.123::DOUBLE, 0) AS yw, round_even((z + 1.73::DOUBLE) * 1e6 + 0.123::DOUBLE, 0) AS zw FROM pts")
+def p1_transform(spark, sf_dir):
+    at = kitti.to_world(sweep_points(spark, sf_dir), _turns(spark))
+    return at.select("frame", "point_id", *(scaled(F.col(c), 1e6).alias(c) for c in ("xw", "yw", "zw")))
+
+
+@register("SELECT f::INT AS frame, 1.6::DOUBLE * -1 AS x, 1.2::DOUBLE AS y FROM range(1, 7) r(f)")
+def p4_relative_transform(spark, sf_dir):
+    t = kitti.relative_transforms(_turns(spark))
+    return t.select("frame", r6(F.col("t")[3]).alias("x"), r6(F.col("t")[7]).alias("y"))
+
+
+@register("SELECT DISTINCT v, least(greatest(1e0 + v / 15e0, 1e0), 2e0) AS forward, round(1e0 / (1e0 + 5e-1 * (v / 15e0)), 9) AS side FROM (SELECT l_quantity AS v FROM lineitem)")
+def p7_stretch(spark, sf_dir):
+    forward, side, _ = L.stretch(FOVEATED, F.col("v"))
+    return read(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("v")).distinct().select("v", forward.alias("forward"), F.round(side, 9).alias("side"))
+
+
+@register(f"WITH {Q.PTS_SQL}, {Q.IMAGE} SELECT frame, v, u, round(least(greatest(r / 1e2, 0e0), 1e0), 9) AS r, least(greatest(x / 1e2, -1e0), 1e0) AS x, least(greatest(y / 1e2, -1e0), 1e0) AS y, least(greatest(z / 1e2, -1e0), 1e0) AS z, least(greatest(intensity / 255e0, 0e0), 1e0) AS intensity FROM im")
+def p40_network_input(spark, sf_dir):
+    return perception.network_input(perception.range_image(sweep_points(spark, sf_dir))).withColumn("r", F.round("r", 9))
+
+
+@register(f"WITH {Q.FOLDED} SELECT ring, ix, iy, CASE WHEN sqrt(cx * cx + cy * cy) < 3.74::DOUBLE THEN 4 ELSE 0 END AS flags FROM (SELECT *, (ix + 5e-1) * {Q.SIZE} AS cx, (iy + 5e-1) * {Q.SIZE} AS cy FROM st)")
+def f5_blind_cone(spark, sf_dir):
+    x, y = (L.centre(F.col(i), F.col("ring"), FOVEATED) for i in ("ix", "iy"))
+    return fold.mark_blind(I.state(spark, sf_dir), x, y).select(*CELL, "flags")
+
+
+@register(f"WITH {Q.WIDE_SQL}, p AS (SELECT *, sqrt(x * x + y * y) AS flat FROM wide) SELECT frame, point_id FROM p WHERE degrees(atan2(z - 1.73::DOUBLE, greatest(flat, 1e-9))) BETWEEN -24.8::DOUBLE AND 2e0 AND flat > 1")
+def f6_field_of_view(spark, sf_dir):
+    return wide_points(spark, sf_dir).where(S.in_field_of_view(F.col("x"), F.col("y"), F.col("z"))).select("frame", "point_id")
+
+
+@register(f"WITH {Q.FOLDED} SELECT ring, ix, iy FROM st WHERE {Q.occupancy()} = 2 ORDER BY {Q.OFFSET} + ((iy % {Q.SIDE} + {Q.SIDE}) % {Q.SIDE}) * {Q.SIDE} + ((ix % {Q.SIDE} + {Q.SIDE}) % {Q.SIDE}) LIMIT 200")
+def o5_candidate_cap(spark, sf_dir):
+    there = perception.occupied_in_frame(I.state(spark, sf_dir).withColumn("frame", F.lit(6)), F.lit(0.0), F.lit(0.0))
+    return perception.capped(there, 200).select(*CELL)
+
+
+@register(f"WITH {Q.FOLDED} SELECT ring, ix, iy, greatest(least(ground_cm - 100, 600), -200)::INT AS ground_cm FROM st")
+def t9_rebase(spark, sf_dir):
+    return I.state(spark, sf_dir).select(*CELL, fold.rebase(F.col("ground_cm"), F.lit(0.0), F.lit(1.0)).alias("ground_cm"))
+
+
+@register(f"WITH {Q.FOLDED} SELECT ring, ix, iy, least(9 - last_frame, 255)::INT AS frames_since_seen FROM st")
+def t11_ageing(spark, sf_dir):
+    return fold.aged(I.state(spark, sf_dir), F.lit(9)).select(*CELL, "frames_since_seen")
+
+
+@register("WITH c AS (SELECT p_size, count(*) AS n FROM part GROUP BY p_size), d AS (SELECT n - lag(n) OVER (ORDER BY p_size DESC) AS d FROM c) SELECT count(d)::BIGINT AS pairs, count(*) FILTER (d >= 0)::BIGINT AS rising FROM d")
+def w11_monotonicity(spark, sf_dir):
+    return planning.monotone(read(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n")), "p_size", "n")
+
+
+@register(f"WITH {Q.PTS_SQL}, c AS (SELECT frame, count(*) FILTER (moving AND z > 0) AS rd, count(*) FILTER (moving) AS d, count(*) FILTER (NOT moving AND z < 1) AS ps, count(*) FILTER (NOT moving) AS s FROM pts GROUP BY frame), r AS (SELECT frame, rd / nullif(d, 0) AS dr, ps / nullif(s, 0) AS sp FROM c) SELECT frame, round(dr, 9) AS dr, round(sp, 9) AS sp, round(CASE WHEN dr + sp > 0 THEN 2 * dr * sp / (dr + sp) ELSE 0e0 END, 9) AS f FROM r")
+def e6_dynamic_removal(spark, sf_dir):
+    moving, z = F.col("moving"), F.col("z")
+    n = sweep_points(spark, sf_dir).groupBy("frame").agg(F.count_if(moving & (z > 0)).alias("rd"), F.count_if(moving).alias("d"), F.count_if(~moving & (z < 1)).alias("ps"), F.count_if(~moving).alias("s"))
+    r = n.select("frame", reference.dynamic_removal(F.col("rd"), F.col("d"), F.col("ps"), F.col("s")).alias("r"))
+    return r.select("frame", F.round("r.DR", 9).alias("dr"), F.round("r.SP", 9).alias("sp"), F.round("r.F", 9).alias("f"))
+
+
+@register(f"WITH {Q.BINNED}, c AS (SELECT frame, count(DISTINCT (ring, ix, iy))::DOUBLE AS n FROM b GROUP BY frame) SELECT min(n) AS least, median(n) AS median, round(quantile_cont(n, 0.95::DOUBLE), 6) AS p95, round(quantile_cont(n, 0.99::DOUBLE), 6) AS p99, max(n) AS most FROM c")
+def a25_cells_per_frame(spark, sf_dir):
+    n = scatter.binned(sweep_points(spark, sf_dir), FOVEATED).groupBy("frame").agg(F.count_distinct(*CELL).cast("double").alias("n"))
+    q = n.agg(F.min("n").alias("least"), F.percentile("n", F.array(*map(F.lit, (0.5, 0.95, 0.99)))).alias("q"), F.max("n").alias("most"))
+    return q.select("least", F.col("q")[0].alias("median"), r6(F.col("q")[1]).alias("p95"), r6(F.col("q")[2]).alias("p99"), "most")

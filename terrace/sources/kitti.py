@@ -103,6 +103,28 @@ def to_world(points: DataFrame, transforms: DataFrame) -> DataFrame:
     return p.withColumns({"xw": row(0), "yw": row(1), "zw": row(2)}).drop("t")
 
 
+def inverse(t: list) -> list:
+    """Inverse of a rigid transform: the rotation transposed, the translation turned back."""
+    turned = [t[4 * c + r] for r in range(3) for c in range(3)]
+    out = []
+    for r in range(3):
+        row = turned[3 * r : 3 * r + 3]
+        out += [*row, -(row[0] * t[3] + row[1] * t[7] + row[2] * t[11])]
+    return out
+
+
+def relative_transforms(transforms: DataFrame) -> DataFrame:
+    """frame, t: from the vehicle one frame before to the vehicle now."""
+    before = transforms.select((F.col("frame") + 1).alias("frame"), F.col("t").alias("p"))
+    now, then = ([F.col(c)[n] for n in range(12)] for c in ("t", "p"))
+    return transforms.join(before, "frame").select("frame", F.array(*_product(inverse(now), then)).alias("t"))
+
+
+def final_position(transforms: DataFrame) -> DataFrame:
+    """frame, x, y of the last pose."""
+    return transforms.agg(F.max_by(F.struct("frame", F.col("t")[3].alias("x"), F.col("t")[7].alias("y")), "frame").alias("p")).select("p.*")
+
+
 def speeds(transforms: DataFrame, frame_s: float = 0.1) -> DataFrame:
     """frame, speed_ms from the step since the frame before; 0 for the first."""
     at = transforms.select("frame", F.col("t")[3].alias("x"), F.col("t")[7].alias("y"))

@@ -214,3 +214,26 @@ def test_evaluation_has_a_row_for_every_ring(spark):
     empty = plane(spark, lambda x, y: 0, n=1, ring=0).where("false")
     got = reference.evaluate(empty, reference.reference_map(sweep_points(spark, SF))).collect()
     assert sorted(r.ring for r in got) == [0, 1, 2, 3] and all(r.rmse_cm is None for r in got)
+
+
+def test_a_refined_cell_answers_for_its_points(spark):
+    cells = plane(spark, lambda x, y: 0, n=200, ring=1).where("ix = 110 AND iy = 0").withColumn("trav", F.lit(7))
+    fine = refine.children_of(cells).withColumn("ground_cm", F.lit(10) * F.col("child"))
+    # ring 1 cell (110, 0) spans x 11.0 to 11.1 and y 0 to 0.1; children go along x, then y
+    asked = spark.createDataFrame([(0, 11.02, 0.02), (1, 11.07, 0.02), (2, 11.02, 0.07), (3, 11.07, 0.07)], "query_id int, x double, y double")
+    got = {r.query_id: (round(r.ground_m * 100), r.trav) for r in query.at_points(asked, cells, refined=fine).collect()}
+    assert got == {0: (0, 7), 1: (10, 7), 2: (20, 7), 3: (30, 7)}
+
+
+def test_inverse_undoes_a_pose():
+    t = [0.8, -0.6, 0.0, 3.0, 0.6, 0.8, 0.0, -1.0, 0.0, 0.0, 1.0, 2.0]
+    assert np.allclose(kitti._product(kitti.inverse(t), t), [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0])
+
+
+def test_ground_far_from_zero_is_refused(spark):
+    points = spark.createDataFrame([(0, True, 5.0)] * 3, "frame int, ground boolean, zw double")
+    try:
+        kitti.check_upright(points, 0)
+    except ValueError:
+        return
+    raise AssertionError("poses in another frame were accepted")
