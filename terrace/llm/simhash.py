@@ -189,13 +189,21 @@ def _wide(width: int):
     return run
 
 
+def _words_of(column: pa.Array) -> np.ndarray:
+    """Wide fingerprints as rows of uint64, without a copy."""
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint64).reshape(len(column), WIDE)
+
+
 def _banded(batches):
     """node, wide -> one row for each 16-bit block, with its shard key."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        block = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint16).reshape(n, WIDE * 4).astype(np.int64)
+        block = _words_of(batch.column("wide")).copy().view(np.uint16).reshape(n, WIDE * 4).astype(np.int64)
         key = block + (np.arange(WIDE * 4) << KEY_BITS)
         row = pa.array(np.repeat(np.arange(n), WIDE * 4))
         yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), batch.column("node").take(row), batch.column("wide").take(row)], ["key", "node", "wide"])
@@ -205,11 +213,11 @@ def _wide_linker(most: int):
     """A spanning forest of a shard's links. The tree over the first 64 bits proposes pairs; those of different classes so far are compared in full."""
 
     def run(batches):
-        rows = _gathered(batches)
-        if rows is None or not rows.num_rows:
+        parts = [(b.column("unit").to_numpy(), b.column("node").to_numpy(), _words_of(b.column("wide")).copy()) for b in batches if b.num_rows]
+        if not parts:
             return
-        unit, node = (rows.column(c).to_numpy() for c in ("unit", "node"))
-        wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE)
+        unit, node, wide = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         order = np.lexsort((node, unit))
         unit, node, wide = unit[order], node[order], wide[order]
         forest, label = Forest(unit, np.ascontiguousarray(wide[:, 0])), np.arange(len(node))
@@ -244,7 +252,7 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, similarity: float =
     wide = written(source.mapInArrow(_wide(width), "doc_id bigint, wide binary").withColumn("node", F.xxhash64("wide")), "wide")
     points = written(wide.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), "points")
     keyed = points.select("node", "wide").mapInArrow(_banded, "key bigint, node bigint, wide binary")
-    units = spread(keyed, "node").select("unit", "node", "wide").repartition(shuffle_partitions(spark), "unit")
+    units = spread(keyed, "node").select("unit", "node", "wide").repartition(2 * shuffle_partitions(spark), "unit")
     links = units.mapInArrow(_wide_linker(math.floor(differing_share(similarity) * 64 * WIDE)), "u bigint, v bigint")
     named = points.join(connected_components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     classes = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
