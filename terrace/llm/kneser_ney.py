@@ -2,11 +2,16 @@
 arrays, memory-mapped by the tasks that score.
 
 Counting. Tasks turn texts into n-grams of 64-bit word hashes, merge equal ones, and deal
-them to shards as packed arrays (a context once, then its followers), so a shuffled n-gram
-takes some ten bytes. Each shard merges its n-grams, writes the array of their hashes and
-counts, and hands on partial sums: the statistics of contexts, and the distinct n-grams'
-suffixes, which are the next lower order's continuation counts. A context's followers are
-spread over several shards, so a frequent word does not land in one task.
+them to shards as packed arrays: a blob's distinct words once, a context once, then its
+followers, both as numbers of the words, compressed. Each shard merges its n-grams, writes
+the array of their hashes and counts, and hands on partial sums: the statistics of contexts,
+and the distinct n-grams' suffixes, which are the next lower order's continuation counts. A
+context's followers are spread over several shards, so a frequent word does not land in one
+task.
+
+Rounds. The text is read PASSES times, each time for the n-grams of a part of the last
+words, so a round's shuffles and partial sums are a part of the whole on disk. A context's
+statistics stand in the arrays of each round, and a lookup adds them.
 
 Store. Every shard's arrays are .npy files, sorted by hash, in a folder below
 spark.checkpoint.dir, written under a temporary name and renamed, so a repeated task leaves
@@ -18,6 +23,7 @@ Hashes of 64 bits stand for n-grams: two of n collide with a chance of n^2 / 2^6
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -30,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import remainder_of_id, scratch_path, shuffle_partitions, table, text_of, written
+from .common import drop_written, remainder_of_id, scratch_path, shuffle_partitions, table, text_of, written
 
 BEGIN, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 _STEP = np.uint64(0xFF51AFD7ED558CCD)
 #: n-grams that a task merges at a time.
 MERGE_GRAMS = 3_000_000
 FOLDS, HELD_OUT = 7, 2
+#: Rounds of counting, each over the n-grams of some last words, so that only one round's shuffles are on disk.
+PASSES = 8
 
 
 # --- packed arrays ---------------------------------------------------------------
@@ -44,10 +52,12 @@ FOLDS, HELD_OUT = 7, 2
 
 def pack(arrays: list[np.ndarray]) -> bytes:
     head = b"".join(a.dtype.str.encode().ljust(4) + len(a).to_bytes(8, "little") for a in arrays)
-    return len(arrays).to_bytes(4, "little") + head + b"".join(a.tobytes() for a in arrays)
+    plain = len(arrays).to_bytes(4, "little") + head + b"".join(a.tobytes() for a in arrays)
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
+    blob = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
     n = int.from_bytes(blob[:4], "little")
     at, out = 4 + 12 * n, []
     for k in range(n):
@@ -69,6 +79,13 @@ def large(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
+def coded(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The distinct words of some columns, then each column as numbers of these, as narrow as they go."""
+    words, at = np.unique(np.concatenate(columns), return_inverse=True)
+    at = at.astype(np.min_scalar_type(len(words)))
+    return [words, *np.split(at, np.cumsum([len(c) for c in columns])[:-1])]
+
+
 # --- n-grams ---------------------------------------------------------------------
 
 
@@ -102,8 +119,13 @@ def place(columns: list[np.ndarray], shards: int) -> np.ndarray:
     return (ta.mix(gram_hash(columns[:-1]) + part * _STEP) % np.uint64(shards)).astype(np.int32)
 
 
+def pass_of(last: np.ndarray) -> np.ndarray:
+    """Round that counts the n-grams of a last word. A suffix has the same last word, so lower orders are whole within a round."""
+    return ((ta.mix(last ^ _STEP) >> np.uint64(20)) % np.uint64(PASSES)).astype(np.int32)
+
+
 def dealt(columns: list[np.ndarray], sums: list[np.ndarray], shards: int):
-    """(shard, blob) of n-grams: contexts once, then run lengths, last words and counts."""
+    """(shard, blob) of n-grams: the distinct words, contexts once, then run lengths, last words and counts; words as numbers of the distinct ones."""
     shard = place(columns, shards)
     context = gram_hash(columns[:-1]) if len(columns) > 1 else np.zeros(len(shard), np.uint64)
     order = np.lexsort((context, shard))
@@ -115,7 +137,8 @@ def dealt(columns: list[np.ndarray], sums: list[np.ndarray], shards: int):
         head = np.ones(b - a, bool)
         head[1:] = context[a + 1 : b] != context[a : b - 1]
         runs = np.diff(np.append(np.flatnonzero(head), b - a))
-        arrays = [c[a:b][head] for c in columns[:-1]] + small(runs) + [columns[-1][a:b]]
+        words, *context_words, last = coded([*(c[a:b][head] for c in columns[:-1]), columns[-1][a:b]])
+        arrays = [words, *context_words, *small(runs), last]
         for s in sums:
             arrays += small(s[a:b])
         yield int(k), pack(arrays)
@@ -124,11 +147,11 @@ def dealt(columns: list[np.ndarray], sums: list[np.ndarray], shards: int):
 def gathered(blobs: list[bytes], width: int, n_sums: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     columns, sums = [[] for _ in range(width)], [[] for _ in range(n_sums)]
     for blob in blobs:
-        arrays = unpack(blob)
+        words, *arrays = unpack(blob)
         runs = large(*arrays[width - 1 : width + 1]).astype(np.int64)
         for k in range(width - 1):
-            columns[k].append(np.repeat(arrays[k], runs))
-        columns[-1].append(arrays[width + 1])
+            columns[k].append(np.repeat(words[arrays[k]], runs))
+        columns[-1].append(words[arrays[width + 1]])
         for k in range(n_sums):
             sums[k].append(large(*arrays[width + 2 + 2 * k : width + 4 + 2 * k]))
     return [np.concatenate(c) for c in columns], [np.concatenate(s) for s in sums]
@@ -150,7 +173,7 @@ def stream(column: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return [flat[at - order + 1 + k] for k in range(order)], tokens
 
 
-def _count(order: int, shards: int):
+def _count(order: int, shards: int, turn: int):
     def flush(parts):
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
         _, columns, (counts,) = merge(columns, [np.ones(len(columns[0]), np.uint64)])
@@ -162,6 +185,8 @@ def _count(order: int, shards: int):
         for batch in batches:
             for part in ta.slices(batch):
                 columns, _ = stream(part.column("text"), order)
+                mine = pass_of(columns[-1]) == turn
+                columns = [c[mine] for c in columns]
                 parts.append(columns)
                 held += len(columns[0])
                 if held >= MERGE_GRAMS:
@@ -228,12 +253,13 @@ def _parts(rows: list[tuple[str, int, bytes]]) -> pa.Table:
     return pa.table({"kind": pa.array(kind, pa.string()), "shard": pa.array(shard, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
 
-def _reduce(folder: str, level: int, order: int, shards: int):
-    """Merges a shard: n-grams of the level, or partial statistics of the contexts of the level above."""
+def _reduce(folder: str, level: int, order: int, shards: int, turn: int):
+    """Merges a shard: n-grams of the level, or partial statistics of the contexts of the level above. A round's arrays are numbered after those of the rounds before."""
+    base = turn * shards
 
     def contexts(shard: int, blobs: list[bytes]) -> pa.Table:
         key, _, sums = merge(*gathered(blobs, 1, 4))  # distinct contexts, keyed as lookup() keys them
-        _save_rows(folder, f"context{level + 1}-{shard}", key, sums)
+        _save_rows(folder, f"context{level + 1}-{base + shard}", key, sums)
         return _parts([])
 
     def grams(shard: int, blobs: list[bytes]) -> pa.Table:
@@ -241,7 +267,7 @@ def _reduce(folder: str, level: int, order: int, shards: int):
         columns, sums = gathered(blobs, level, n_sums)
         key, columns, sums = merge(columns, sums)
         count, total = sums[0], sums[-1]
-        _save_rows(folder, f"gram{level}-{shard}", key, [count] if level > 1 else [count, total])
+        _save_rows(folder, f"gram{level}-{base + shard}", key, [count] if level > 1 else [count, total])
         figures = [np.array([(count == k).sum() for k in (1, 2, 3, 4)] + [(count >= 3).sum(), count.sum(), total.sum(), len(key)], np.uint64)]
         out = [("figures", shard, pack(figures))]
         if level > 1:
@@ -306,7 +332,7 @@ class Model:
         """(n, len(key)) counts; 0 for hashes that the table lacks."""
         out = np.zeros((n, len(key)), np.uint64)
         order = np.lexsort((key, shard))
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        edges = np.searchsorted(shard[order], np.arange(PASSES * self.shards + 1))
         for s in np.flatnonzero(np.diff(edges)):
             arrays = self._arrays(table, int(s), n)
             if arrays is None or not len(arrays[0]):
@@ -318,10 +344,13 @@ class Model:
                 out[k, mine[hit]] = arrays[1 + k][slot[hit]]
         return out
 
+    def _home(self, gram: list[np.ndarray]) -> np.ndarray:
+        return pass_of(gram[-1]) * self.shards + place(gram, self.shards)
+
     def probabilities(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each n-gram's last word given the others, and its count as a word in training."""
         word, back = np.unique(columns[-1], return_inverse=True)
-        count, raw = self.lookup("gram1", gram_hash([word]), place([word], self.shards), 2)
+        count, raw = self.lookup("gram1", gram_hash([word]), self._home([word]), 2)
         level = self.levels[0]
         if level.total:
             spare = (np.array(level.discount) * [level.n[0], level.n[1], level.three_or_more]).sum() / level.total
@@ -332,9 +361,10 @@ class Model:
             gram, level = columns[-n:], self.levels[n - 1]
             key, first, again = np.unique(gram_hash(gram), return_index=True, return_inverse=True)
             gram = [c[first] for c in gram]
-            (count,) = self.lookup(f"gram{n}", key, place(gram, self.shards), 1)
+            (count,) = self.lookup(f"gram{n}", key, self._home(gram), 1)
             context, c_again = np.unique(gram_hash(gram[:-1]), return_inverse=True)
-            total, *kinds = self.lookup(f"context{n}", gram_hash([context]), place([context], self.shards), 4)
+            key, shard = gram_hash([context]), place([context], self.shards)
+            total, *kinds = sum(self.lookup(f"context{n}", key, turn * self.shards + shard, 4) for turn in range(PASSES))
             spare = sum(d * k for d, k in zip(level.discount, kinds, strict=True))
             total, spare = total[c_again].astype(float), spare[c_again]
             known = total > 0
@@ -348,21 +378,34 @@ class Model:
         return np.maximum(count.astype(float) - off, 0)
 
 
-def train(docs: DataFrame, order: int = 2) -> Model:
+def collect_shuffles(spark) -> None:
+    """Lets Spark's cleaner find the shuffles that nothing reads any more, and delete their files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def train(docs: DataFrame, order: int = 3) -> Model:
     """Counts a model of that order over all the documents' whole texts (null: empty: one end token)."""
     spark = docs.sparkSession
     shards, folder = shuffle_partitions(spark), scratch_path(spark, "ngrams")
-    rows = docs.select(text_of().alias("text")).mapInArrow(_count(order, shards), "shard int, blob binary").select(F.lit("gram").alias("kind"), "shard", "blob")
-    levels, train_tokens, types = [], 0, 0
-    for level in range(order, 0, -1):
-        parts = written(rows.groupBy("kind", "shard").applyInArrow(_reduce(folder, level, order, shards), PART), f"level{level}")
-        figures = np.zeros(8, np.int64)
-        for row in parts.where("kind = 'figures'").select("blob").collect():  # one short row a shard
-            figures += unpack(row.blob)[0].astype(np.int64)
-        n = tuple(map(int, figures[:4]))
-        levels.insert(0, Level(n, int(figures[4]), int(figures[5]), discounts(*n)))
-        train_tokens, types = int(figures[6]), int(figures[7])
-        rows = parts.where("kind <> 'figures'")
+    texts = docs.select(text_of().alias("text"))
+    figures = {level: np.zeros(8, np.int64) for level in range(1, order + 1)}
+    for turn in range(PASSES):
+        rows, read = texts.mapInArrow(_count(order, shards, turn), "shard int, blob binary").select(F.lit("gram").alias("kind"), "shard", "blob"), None
+        for level in range(order, 0, -1):
+            parts = written(rows.groupBy("kind", "shard").applyInArrow(_reduce(folder, level, order, shards, turn), PART), f"level{level}")
+            for row in parts.where("kind = 'figures'").select("blob").collect():  # one short row a shard
+                figures[level] += unpack(row.blob)[0].astype(np.int64)
+            if read is not None:
+                drop_written(read)
+            read, rows = parts, parts.where("kind <> 'figures'")
+            collect_shuffles(spark)
+        drop_written(read)
+    levels = []
+    for level in range(1, order + 1):
+        n = tuple(map(int, figures[level][:4]))
+        levels.append(Level(n, int(figures[level][4]), int(figures[level][5]), discounts(*n)))
+    train_tokens, types = int(figures[1][6]), int(figures[1][7])
     return Model(folder, order, shards, levels, train_tokens, types)
 
 
@@ -389,7 +432,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-def score_by_training_fold(docs: DataFrame, order: int = 2) -> DataFrame:
+def score_by_training_fold(docs: DataFrame, order: int = 3) -> DataFrame:
     """Scores every row with a model of the rows whose crc32(doc_id as text) mod 7 is not 2.
 
     A null text is empty and has one token, its end. Null doc_ids count as remainder 0.

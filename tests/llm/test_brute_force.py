@@ -72,6 +72,13 @@ def test_kneser_ney(docs, order):
     assert got == want
 
 
+def test_the_language_model_query_reads_two_words_of_context(spark):
+    scores = lambda found: {r.doc_id: (r.n_tokens, round(r.score, 4)) for r in found.collect()}
+    got = scores(kneser_ney.op1_kneser_ney(spark, SF))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert got == scores(kneser_ney.score_by_training_fold(docs, 3)) != scores(kneser_ney.score_by_training_fold(docs, 2))
+
+
 def test_simhash_and_components(docs):
     rows = docs.select("doc_id", "text").collect()
 
