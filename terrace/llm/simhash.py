@@ -12,6 +12,7 @@ contraction joins the forests.
 from __future__ import annotations
 
 import math
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .bktree import Forest, hook
-from .common import shuffle_partitions, table, text_of, written
+from .common import scratch_path, shuffle_partitions, table, text_of, written
 from .components import connected_components
+from .kneser_ney import load, save
 
 #: Fingerprints in one tree; more in a shard are cut into pairs of chunks.
 SHARD_ITEMS = 4096
@@ -161,6 +163,11 @@ def simhash_classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
 WIDE, KEY_BITS = 16, 16
 #: Differing bits of the first 64 up to which a shard's tree reports a pair (p = 0.15 a bit at similarity 0.8: 3.5 deviations).
 CANDIDATE_RADIUS = 20
+#: Deviations beyond the expected differing bits up to which pairs are compared exactly, and the largest expected share
+#: at similarity 0.8: that of sets of 5 and 4 shingles, where ties of the majority count most.
+MARGIN, SMALL_SETS_SHARE = 4, 0.1875
+#: Files of shingle sets that a task keeps mapped.
+OPEN_FILES = 1024
 #: Queries between two updates of a shard's classes, and pairs compared at a time.
 WIDE_BLOCK, WIDE_PAIRS = 256, 1 << 17
 
@@ -170,7 +177,15 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _wide(width: int):
+def most_differing(similarity: float) -> int:
+    """Differing bits up to which a pair may be that similar."""
+    share = max(differing_share(similarity), SMALL_SETS_SHARE)
+    return math.ceil(share * 64 * WIDE + MARGIN * math.sqrt(share * (1 - share) * 64 * WIDE))
+
+
+def _wide(width: int, folder: str):
+    """doc_id, print, wide fingerprint, and where the set of shingles stands: number of a file in the folder; start << 32 | length."""
+
     def run(batches):
         for batch in batches:
             for part in ta.slices(batch):
@@ -184,7 +199,11 @@ def _wide(width: int):
                 bits = np.empty((part.num_rows, WIDE), np.uint64)
                 for k in range(WIDE):
                     bits[:, k] = majority_bits(ta.mix(hashes + np.uint64(k)), rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "wide"])
+                file = uuid.uuid4().int >> 65
+                if len(hashes):
+                    save(folder, str(file), hashes)
+                place = [pa.array(np.full(part.num_rows, file, np.int64)), pa.array(rows[:-1] << 32 | np.diff(rows))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("print"), pa.array([x.tobytes() for x in bits], pa.binary()), *place], ["doc_id", "print", "wide", "file", "span"])
 
     return run
 
@@ -197,8 +216,11 @@ def _words_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint64).reshape(len(column), WIDE)
 
 
+POINT = ("node", "wide", "file", "span")
+
+
 def _banded(batches):
-    """node, wide -> one row for each 16-bit block, with its shard key."""
+    """node, wide, file, span -> one row for each 16-bit block, with its shard key."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -206,20 +228,51 @@ def _banded(batches):
         block = _words_of(batch.column("wide")).copy().view(np.uint16).reshape(n, WIDE * 4).astype(np.int64)
         key = block + (np.arange(WIDE * 4) << KEY_BITS)
         row = pa.array(np.repeat(np.arange(n), WIDE * 4))
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), batch.column("node").take(row), batch.column("wide").take(row)], ["key", "node", "wide"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), *(batch.column(c).take(row) for c in POINT)], ["key", *POINT])
+
+
+def _set_reader(folder: str):
+    """Reads a shingle set, sorted, from the arrays that _wide saved."""
+    opened: dict[int, np.ndarray] = {}
+
+    def read(file: int, span: int) -> np.ndarray:
+        first, n = span >> 32, span & 0xFFFFFFFF
+        if not n:
+            return np.zeros(0, np.uint64)
+        if file not in opened:
+            if len(opened) >= OPEN_FILES:
+                opened.clear()
+            opened[file] = load(folder, str(file))
+        return opened[file][first : first + n]
 
+    return read
 
-def _wide_linker(most: int):
-    """A spanning forest of a shard's links. The tree over the first 64 bits proposes pairs; those of different classes so far are compared in full."""
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity or more."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    if not len(a):
+        return True
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def _wide_linker(folder: str, similarity: float):
+    """A spanning forest of a shard's links. The tree over the first 64 bits proposes pairs; those of different
+    classes so far are compared by the whole fingerprint, and those that may be similar by their shingle sets, a query's closest first."""
+    most = most_differing(similarity)
 
     def run(batches):
-        parts = [(b.column("unit").to_numpy(), b.column("node").to_numpy(), _words_of(b.column("wide")).copy()) for b in batches if b.num_rows]
+        parts = [(b.column("unit").to_numpy(), b.column("node").to_numpy(), _words_of(b.column("wide")).copy(), b.column("file").to_numpy(), b.column("span").to_numpy()) for b in batches if b.num_rows]
         if not parts:
             return
-        unit, node, wide = (np.concatenate(x) for x in zip(*parts, strict=True))
+        unit, node, wide, file, span = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
         order = np.lexsort((node, unit))
-        unit, node, wide = unit[order], node[order], wide[order]
+        unit, node, wide, file, span = unit[order], node[order], wide[order], file[order], span[order]
+        read = _set_reader(folder)
+        shingles = lambda i: read(int(file[i]), int(span[i]))
         forest, label = Forest(unit, np.ascontiguousarray(wide[:, 0])), np.arange(len(node))
         for first in range(0, len(node), WIDE_BLOCK):
             a, b, _ = forest.earlier_within(np.arange(first, min(first + WIDE_BLOCK, len(node))), CANDIDATE_RADIUS)
@@ -227,36 +280,54 @@ def _wide_linker(most: int):
             a, b = a[apart], b[apart]
             for k in range(0, len(a), WIDE_PAIRS):
                 u, v = a[k : k + WIDE_PAIRS], b[k : k + WIDE_PAIRS]
-                near = np.bitwise_count(wide[u] ^ wide[v]).sum(axis=1, dtype=np.int64) <= most
-                hook(label, u[near], v[near])
+                d = np.bitwise_count(wide[u] ^ wide[v]).sum(axis=1, dtype=np.int64)
+                closest = np.lexsort((d, u))
+                closest = closest[d[closest] <= most]
+                u, v = u[closest], v[closest]
+                while (apart := label[u] != label[v]).any():
+                    u, v = u[apart], v[apart]
+                    head = np.ones(len(u), bool)
+                    head[1:] = u[1:] != u[:-1]
+                    i, j = u[head], v[head]
+                    near = np.array([similar(shingles(x), shingles(y), similarity) for x, y in zip(i, j, strict=True)])
+                    hook(label, i[near], j[near])
+                    u, v = u[~head], v[~head]
         tied = np.flatnonzero(label != np.arange(len(node)))
         yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[label[tied]])], ["u", "v"])
 
     return run
 
 
-def near_duplicate_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id: classes of documents whose sets of `width`-word shingles are about as similar as asked, or more.
-
-    Similarity is read off 1024-bit SimHashes of the distinct shingles (at 0.8 the estimate
-    is off by 0.02 on average). Each of a fingerprint's 64 blocks of 16 bits is a shard key;
-    a BK-tree in each shard proposes pairs within the radius on the first 64 bits, and a pair
-    links if the whole fingerprints are close enough. Pairs are compared where they meet, and
-    a shard returns a spanning forest of its links, so a large group of near copies never
-    makes its pairs. A pair at 0.8 shares a shard with a probability of 0.99, closer pairs
-    nearly always. Equal shingle sets share a fingerprint and meet before any of this, so a
-    group of copies counts once. Blank texts form one class. Null doc_ids never name a class.
-    """
+def _near_duplicates(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, print (of the text), root (number of the class), component_id of every row."""
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    wide = written(source.mapInArrow(_wide(width), "doc_id bigint, wide binary").withColumn("node", F.xxhash64("wide")), "wide")
-    points = written(wide.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), "points")
-    keyed = points.select("node", "wide").mapInArrow(_banded, "key bigint, node bigint, wide binary")
-    units = spread(keyed, "node").select("unit", "node", "wide").repartition(2 * shuffle_partitions(spark), "unit")
-    links = units.mapInArrow(_wide_linker(math.floor(differing_share(similarity) * 64 * WIDE)), "u bigint, v bigint")
+    folder = scratch_path(spark, "shingles")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).withColumn("print", F.xxhash64("text"))
+    wide = source.mapInArrow(_wide(width, folder), "doc_id bigint, print bigint, wide binary, file bigint, span bigint")
+    wide = written(wide.withColumn("node", F.xxhash64("wide")), "wide")
+    first = F.first(F.struct("wide", "file", "span")).alias("p")
+    points = written(wide.groupBy("node").agg(F.min("doc_id").alias("least"), first).select("node", "least", "p.*"), "points")
+    keyed = points.select(*POINT).mapInArrow(_banded, "key bigint, node bigint, wide binary, file bigint, span bigint")
+    units = spread(keyed, "node").select("unit", *POINT).repartition(2 * shuffle_partitions(spark), "unit")
+    links = units.mapInArrow(_wide_linker(folder, similarity), "u bigint, v bigint")
     named = points.join(connected_components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    classes = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return wide.join(classes, "node").select("doc_id", "component_id")
+    classes = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
+    return wide.join(classes, "node").select("doc_id", "print", "root", "component_id")
+
+
+def near_duplicate_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id: classes of documents linked by a Jaccard similarity of that or more between their sets of `width`-word shingles.
+
+    1024-bit SimHashes of the distinct shingles only propose pairs. Each of a fingerprint's 64
+    blocks of 16 bits is a shard key; a BK-tree in each shard proposes pairs within the radius
+    on the first 64 bits; pairs whose whole fingerprints may be so similar link if the shingle
+    sets, kept in mapped arrays, are. Pairs are compared where they meet, and a shard returns
+    a spanning forest of its links, so a large group of near copies never makes its pairs. A
+    pair at 0.8 shares a shard with a probability of 0.99, closer pairs nearly always. Equal
+    shingle sets share a fingerprint and meet before any of this, so a group of copies counts
+    once. Blank texts form one class. Null doc_ids never name a class.
+    """
+    return _near_duplicates(docs, width, similarity).select("doc_id", "component_id")
 
 
 def op6_simhash_bktree(spark, sf_dir: str) -> DataFrame:

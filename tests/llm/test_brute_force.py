@@ -299,6 +299,21 @@ def test_near_duplicates_by_similarity(spark):
     assert got == {i: 4 * k for i, k in truth.items()}
 
 
+def test_near_duplicates_about_the_limit_against_all_pairs(spark):
+    ship_package(spark)
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(80):
+        words = [f"p{k}w{x}" for x in rng.integers(0, 5000, 300)]
+        at, n = rng.integers(10, 200), 21 + k % 18  # similarities from 0.75 to 0.85
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:at], *(f"q{k}x{x}" for x in range(n)), *words[at + n :]]))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    alike = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(80)]
+    assert sum(0.75 <= x < 0.8 for x in alike) > 20 < sum(0.8 <= x <= 0.85 for x in alike)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[2 * k + 1] == 2 * k for k in range(80)] == [x >= 0.8 for x in alike]
+
+
 def test_pipeline_end_to_end(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "text", "lang", "source", "n_chars", "domain", "epoch"} == set(got.columns) and got.count() > 0
