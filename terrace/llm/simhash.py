@@ -335,11 +335,14 @@ def op6_simhash_bktree(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each class of near_duplicate_classes: that of the smallest doc_id; columns unchanged.
+    """One row of each class of near_duplicate_classes, of the smallest doc_id (null last), then text hash; columns unchanged.
 
-    Rows that repeat a doc_id count as copies, so one of them stays. Rows without a doc_id
-    stay where no document of their class has one. Blank texts are one class.
+    A row is known by its doc_id and text: rows that repeat both are copies, while different
+    texts under one doc_id, or without any, go by their classes. Blank texts are one class.
     """
-    classes = near_duplicate_classes(docs, width, similarity)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id").dropDuplicates(["doc_id"])
+    rows = _near_duplicates(docs, width, similarity)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("k")
+    kept = rows.groupBy("root").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.print").alias("__kept"))
+    printed = docs.withColumn("__print", F.xxhash64(text_of()))
+    found = printed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__kept")))
+    return found.drop("__id", "__kept").dropDuplicates(["doc_id", "__print"]).drop("__print")

@@ -63,6 +63,14 @@ def test_copies_leave_one_document(spark):
     assert kept.count(1) == 1 and 2 not in kept and 3 not in kept and kept.count(4) == 1 and 5 not in kept and 6 not in kept and None in kept
 
 
+def test_rows_without_an_own_id_go_by_their_classes(spark):
+    text = lambda k: " ".join(f"t{k}w{n}" for n in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2)), (5, text(2)), (5, text(3)), (6, text(3)), (7, text(4)), (7, text(5)), (7, text(5))]
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in rows])
+    kept = sorted(simhash.drop_near_duplicates(docs).select("doc_id", "text").collect(), key=lambda r: r.text)
+    assert [(r.doc_id, r.text) for r in kept] == [(i, text(k)) for k, i in enumerate((None, None, 5, 5, 7, 7))]
+
+
 def test_secret_stage_keeps_every_document(spark):
     assert secrets.redact_secrets(documents(spark)).count() == len(ROWS)
 
