@@ -21,9 +21,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Kinds in the order that breaks ties of position.
 KINDS = ("assign", "access", "hex", "identifier", "random", "endpoint")
-#: Weak parts. random: 32 to 128 characters of base64 that no longer run of them encloses; upper, lower and digit are asked for below.
+#: Weak parts. random: a whole run of 32 or more characters of base64; upper, lower and digit are asked for below.
 IDENTIFIER = r"(?i:\b(?:access_?key_?id|client_?id|account_?id|user(?:name)?|login)\b)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}"
-RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])"
+RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"(?i:\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://)[^\x20\x09-\x0D\"'<>]{4,}"
 #: Characters (code points) within which parts belong together.
 SCOPE = 200

@@ -165,6 +165,13 @@ def test_secrets(spark, docs):
     assert masked[10_004] == "ünïcode [SECRET]" and masked[10_003] == "user: joe"
 
 
+def test_long_random_values_are_linked_and_masked(spark):
+    ship_package(spark)
+    rows = [(n, f"client_id: abc {'Ab0_' * (n // 4)} end") for n in (128, 132, 600, 8000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.text for r in secrets.redact_secrets(table).collect()} == {"[SECRET] [SECRET] end"}
+
+
 def test_quality(docs):
     want = collections.Counter()
     for r in docs.collect():
