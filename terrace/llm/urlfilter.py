@@ -22,6 +22,8 @@ LINK = r"(?i)(?:href|src)\s*=\s*[\"']?(?:https?:)?//([^/?#\"'\s>:]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Parts of host labels that seed distrust.
 SEED_WORDS = ("pills", "spam", "adult-", "casino", "free-bets", "bets", "viagra", "xxx", "porn", "warez", "ads-track", "malware", "phish")
+#: What sums of equal ranks in another order may differ by, relative to their size.
+ROUNDING = 1e-9
 #: Restart probability, rounds, and the ratio of distrust to trust beyond which a host is blocked.
 RESTART, ROUNDS, RATIO = 0.15, 15, 1.0
 
@@ -66,20 +68,20 @@ def judged(pages: DataFrame, rules: tuple[PathRule, ...]) -> DataFrame:
     return parts.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
 
 
-def parent_of(host: Column) -> Column:
-    """The host without its first label, null where that leaves fewer than two."""
-    rest = F.regexp_replace(host, r"^[^.]*\.", "")
-    return F.when(rest.contains(".") & (rest != host), rest)
+def parent_steps(host: Column) -> Column:
+    """array<struct<src, dst>>: each step from the host up its parent domains, down to two labels; null where there is none."""
+    labels, n = F.split(host, r"\."), F.size(F.split(host, r"\."))
+    above = lambda i: F.array_join(F.slice(labels, i + 1, n), ".")
+    steps = F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.struct(above(i).alias("src"), above(i + 1).alias("dst")))
+    return F.when(n >= 3, steps)
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst, weight: links between different hosts, counted by page and target, and one edge to each parent domain."""
+    """src, dst, weight: links between different hosts, counted by page and target, and one edge for each step up the whole chain of parent domains."""
     linked = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)))).alias("dst"))
     links = linked.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     hosts = pages.select(host_of(F.col("url")).alias("host")).distinct().unionAll(links.select("dst")).distinct()
-    first = hosts.select(F.col("host").alias("src"), parent_of(F.col("host")).alias("dst"))
-    second = first.select(F.col("dst").alias("src"), parent_of(F.col("dst")).alias("dst"))
-    up = first.unionAll(second).where(F.col("dst").isNotNull()).distinct().withColumn("weight", F.lit(1.0))
+    up = hosts.select(F.explode(parent_steps(F.col("host"))).alias("s")).select("s.src", "s.dst").distinct().withColumn("weight", F.lit(1.0))
     return links.unionAll(up).where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
@@ -111,12 +113,13 @@ def propagate(edges: DataFrame, start: DataFrame, rounds: int = ROUNDS, restart:
 
 
 def host_scores(pages: DataFrame, rules: tuple[PathRule, ...] = RULES) -> DataFrame:
-    """host, trust, distrust (each a share of its kind's total, to 9 places) and verdict."""
+    """host, trust, distrust (each a share of its kind's total, to 9 places) and verdict, by the unrounded shares."""
     edges = written(host_edges(pages), "edges")
     ranks = propagate(edges, seeds(judged(pages, rules), edges))
-    ranks = ranks.join(ranks.groupBy("kind").agg(F.sum("rank").alias("all")), "kind").withColumn("rank", F.round(F.col("rank") / F.col("all"), 9))
+    ranks = ranks.join(ranks.groupBy("kind").agg(F.sum("rank").alias("all")), "kind").withColumn("rank", F.col("rank") / F.col("all"))
     sums = ranks.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
-    return sums.withColumn("host_verdict", F.when(F.col("distrust") > RATIO * F.col("trust"), "block").otherwise("allow"))
+    verdict = F.when(F.col("distrust") > RATIO * (1 + ROUNDING) * F.col("trust"), "block").otherwise("allow")
+    return sums.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), verdict.alias("host_verdict"))
 
 
 def url_verdicts(pages: DataFrame, rules: tuple[PathRule, ...] = RULES) -> DataFrame:

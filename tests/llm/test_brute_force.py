@@ -272,6 +272,16 @@ def test_page_rank_against_numpy(spark):
         assert all(math.isclose(got.get((kind, h), 0.0), r, abs_tol=1e-12) for h, r in zip(hosts, rank, strict=True))
 
 
+def test_small_ranks_and_long_chains_of_parents_count(spark, monkeypatch):
+    ship_package(spark)
+    pages = spark.createDataFrame([(1, "http://a.b.c.site.com/x", None), (2, "http://net/x", None)], "page_id bigint, url string, html string")
+    assert {(r.src, r.dst) for r in urlfilter.host_edges(pages).collect()} == {("a.b.c.site.com", "b.c.site.com"), ("b.c.site.com", "c.site.com"), ("c.site.com", "site.com")}
+    ranks = spark.createDataFrame([("distrust", "far.com", 1e-12), ("distrust", "bad.com", 1.0), ("trust", "good.com", 1.0)], "kind string, host string, rank double")
+    monkeypatch.setattr(urlfilter, "propagate", lambda edges, start: ranks)
+    got = {r.host: (r.distrust, r.host_verdict) for r in urlfilter.host_scores(pages).collect()}
+    assert got == {"far.com": (0.0, "block"), "bad.com": (1.0, "block"), "good.com": (0.0, "allow")}
+
+
 def test_url_rules(spark):
     ship_package(spark)
     got = urlfilter.op5_link_graph(spark, SF2).collect()
