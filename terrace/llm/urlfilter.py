@@ -2,9 +2,9 @@
 
 Hosts link to the hosts that their pages' absolute links name, and to their parent domain.
 Two personalised PageRanks run together over these edges in Spark: trust starts at hosts
-that the rules allow and follows the edges; distrust starts at blocked hosts and follows
-them backwards, to those who link there and to their subdomains. A host whose distrust
-exceeds its trust by the threshold is blocked wherever no rule says otherwise.
+that the rules allow and follows the edges; distrust starts at hosts all of whose pages
+block rules hit, that a table of blocked hosts lists, or that a word names, and follows the
+edges backwards, to those who link there and to their subdomains. A host whose distrust exceeds its trust by the threshold is blocked wherever no rule says otherwise.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from .common import drop_written, table, written
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)(?:href|src)\s*=\s*[\"']?(?:https?:)?//([^/?#\"'\s>:]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Parts of host labels that seed distrust.
-SEED_WORDS = ("pills", "spam", "adult-", "casino", "free-bets", "bets", "viagra", "xxx", "porn", "warez", "ads-track", "malware", "phish")
+#: Words that seed distrust besides rules and listed hosts, where one stands alone between dots and hyphens of a host.
+SEED_WORDS = ("adult", "bets", "casino", "malware", "phish", "pills", "porn", "spam", "viagra", "warez", "xxx")
 #: What sums of equal ranks in another order may differ by, relative to their size.
 ROUNDING = 1e-9
 #: Restart probability, rounds, and the ratio of distrust to trust beyond which a host is blocked.
@@ -85,14 +85,22 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionAll(up).where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def seeds(judged_pages: DataFrame, edges: DataFrame) -> DataFrame:
-    """kind (trust or distrust), host, mass: each kind's masses sum to 1. Hosts that a seed word names are distrusted and never trusted."""
-    named = lambda host: host.rlike("|".join(SEED_WORDS))
-    by_rule = judged_pages.where("host <> ''").groupBy("host").agg(F.avg((F.col("r.verdict") == "allow").cast("double")).alias("t"), F.count(F.lit(1)).alias("n"))
-    trust = by_rule.where((F.col("t") > 0) & ~named(F.col("host"))).select(F.lit("trust").alias("kind"), "host", F.col("t").alias("mass"))
+def seeds(judged_pages: DataFrame, edges: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """kind (trust or distrust), host, mass: each kind's masses sum to 1.
+
+    Trust is the share of a host's pages that rules allow. A host is distrusted if rules block
+    all its pages: a path blocked on an else open host says nothing of the rest. Hosts in the table
+    `blocked` (host) and those that a seed word names are distrusted in full and never trusted.
+    """
+    share = lambda verdict: F.avg(F.coalesce(F.col("r.verdict") == verdict, F.lit(False)).cast("double"))
+    by_rule = judged_pages.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), F.floor(share("block")).cast("double").alias("distrust"))
     hosts = judged_pages.select("host").unionAll(edges.select("src")).unionAll(edges.select("dst")).where("host <> ''").distinct()
-    distrust = hosts.where(named(F.col("host"))).select(F.lit("distrust").alias("kind"), "host", F.lit(1.0).alias("mass"))
-    both = trust.unionAll(distrust)
+    named = hosts.where(F.col("host").rlike(f"(^|[.-])({'|'.join(SEED_WORDS)})([.-]|$)"))
+    if blocked is not None:
+        named = named.unionAll(hosts.join(blocked.select(F.translate("host", UPPER, LOWER).alias("host")), "host", "left_semi")).distinct()
+    every = by_rule.join(named.withColumn("bad", F.lit(True)), "host", "full").withColumn("bad", F.coalesce("bad", F.lit(False)))
+    masses = F.array(F.struct(F.lit("trust").alias("kind"), F.when(F.col("bad"), 0.0).otherwise(F.col("trust")).alias("mass")), F.struct(F.lit("distrust").alias("kind"), F.when(F.col("bad"), 1.0).otherwise(F.col("distrust")).alias("mass")))
+    both = every.select("host", F.explode(masses).alias("m")).select("m.kind", "host", "m.mass").where("mass > 0")
     return both.join(both.groupBy("kind").agg(F.sum("mass").alias("all")), "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("mass"))
 
 
@@ -112,24 +120,24 @@ def propagate(edges: DataFrame, start: DataFrame, rounds: int = ROUNDS, restart:
     return now
 
 
-def host_scores(pages: DataFrame, rules: tuple[PathRule, ...] = RULES) -> DataFrame:
+def host_scores(pages: DataFrame, rules: tuple[PathRule, ...] = RULES, blocked: DataFrame | None = None) -> DataFrame:
     """host, trust, distrust (each a share of its kind's total, to 9 places) and verdict, by the unrounded shares."""
     edges = written(host_edges(pages), "edges")
-    ranks = propagate(edges, seeds(judged(pages, rules), edges))
+    ranks = propagate(edges, seeds(judged(pages, rules), edges, blocked))
     ranks = ranks.join(ranks.groupBy("kind").agg(F.sum("rank").alias("all")), "kind").withColumn("rank", F.col("rank") / F.col("all"))
     sums = ranks.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
     verdict = F.when(F.col("distrust") > RATIO * (1 + ROUNDING) * F.col("trust"), "block").otherwise("allow")
     return sums.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), verdict.alias("host_verdict"))
 
 
-def url_verdicts(pages: DataFrame, rules: tuple[PathRule, ...] = RULES) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: tuple[PathRule, ...] = RULES, blocked: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every row.
 
     A null url, or one without `://`, has an empty host and path, fits no rule and is allowed,
     as are hosts that nothing reaches. Null html has no links. Repeated rows each get a row
     and count as so many pages; an empty table gives none. Further columns are not read.
     """
-    found = judged(pages, rules).join(host_scores(pages, rules), "host", "left")
+    found = judged(pages, rules).join(host_scores(pages, rules, blocked), "host", "left")
     verdict = F.coalesce("r.verdict", "host_verdict", F.lit("allow"))
     return found.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 

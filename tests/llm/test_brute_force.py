@@ -282,6 +282,16 @@ def test_small_ranks_and_long_chains_of_parents_count(spark, monkeypatch):
     assert got == {"far.com": (0.0, "block"), "bad.com": (1.0, "block"), "good.com": (0.0, "allow")}
 
 
+def test_block_rules_and_listed_hosts_seed_distrust(spark):
+    ship_package(spark)
+    link = '<a href="https://bad.org/">'
+    urls = [("http://bad.org/es/1", ""), ("http://bad.org/es/2", ""), ("http://part.org/es/1", ""), ("http://part.org/x", ""), ("http://friend.io/x", link), ("http://listed.io/x", ""), ("http://a.listed.io/x", ""), ("http://plain.io/x", ""), ("http://alphabets.io/x", "")]
+    pages = spark.createDataFrame([(k, *u) for k, u in enumerate(urls)], "page_id bigint, url string, html string")
+    blocked = spark.createDataFrame([("Listed.io",)], "host string")
+    got = {(r.host, r.path): r.verdict for r in urlfilter.url_verdicts(pages, blocked=blocked).collect()}
+    assert {k for k, v in got.items() if v == "allow"} == {("plain.io", "/x"), ("alphabets.io", "/x"), ("part.org", "/x")}
+
+
 def test_url_rules(spark):
     ship_package(spark)
     got = urlfilter.op5_link_graph(spark, SF2).collect()
