@@ -9,14 +9,16 @@ and the distinct n-grams' suffixes, which are the next lower order's continuatio
 context's followers are spread over several shards, so a frequent word does not land in one
 task.
 
-Rounds. The text is read PASSES times, each time for the n-grams of a part of the last
-words, so a round's shuffles and partial sums are a part of the whole on disk. A context's
-statistics stand in the arrays of each round, and a lookup adds them.
+Rounds. The text is read PASSES times, each time for the n-grams of a part of the words
+before the last one, so a round's shuffles and partial sums are a part of the whole on disk.
+An n-gram's context and its suffix share that word, so both are whole within a round; only
+single words are summed over all rounds at the end.
 
-Store. Every shard's arrays are .npy files, sorted by hash, in a folder below
-spark.checkpoint.dir, written under a temporary name and renamed, so a repeated task leaves
-the same file. Tasks map those they look into; a store that cannot be mapped is copied to an
-unlinked temporary file first.
+Store. Every shard's arrays are one file in a folder below spark.checkpoint.dir, written
+under a temporary name and renamed, so a repeated task leaves the same file. A table keeps
+leading bits of its sorted hashes as bucket bounds and 32 more of each. A context with one
+follower, seen once, is not kept: that it is an n-gram of the order below tells as much.
+Tasks map the files that they look into.
 
 Hashes of 64 bits stand for n-grams: two of n collide with a chance of n^2 / 2^65.
 """
@@ -24,27 +26,30 @@ Hashes of 64 bits stand for n-grams: two of n collide with a chance of n^2 / 2^6
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import uuid
 from dataclasses import dataclass, field
-from urllib.parse import urlsplit
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import drop_written, remainder_of_id, scratch_path, shuffle_partitions, table, text_of, written
+from .arrays import count_arrays, counts_at, key_arrays, load, save, slots
+from .common import drop_written, remainder_of_id, scratch_path, table, text_of, written
 
 BEGIN, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 _STEP = np.uint64(0xFF51AFD7ED558CCD)
 #: n-grams that a task merges at a time.
 MERGE_GRAMS = 3_000_000
 FOLDS, HELD_OUT = 7, 2
-#: Rounds of counting, each over the n-grams of some last words, so that only one round's shuffles are on disk.
-PASSES = 8
+#: Rounds of counting, each over the n-grams of some words before the last, so that only one round's shuffles are on disk.
+PASSES = 4
+#: Bytes of text that a task scores at a time.
+SCORE_BYTES = 4 << 20
+#: Bytes of text for each shard: their number follows the data.
+SHARD_BYTES = 16 << 20
 
 
 # --- packed arrays ---------------------------------------------------------------
@@ -80,20 +85,35 @@ def large(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def coded(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """The distinct words of some columns, then each column as numbers of these, as narrow as they go."""
-    words, at = np.unique(np.concatenate(columns), return_inverse=True)
-    at = at.astype(np.min_scalar_type(len(words)))
-    return [words, *np.split(at, np.cumsum([len(c) for c in columns])[:-1])]
+    """The distinct words of some columns as differences, byte by byte, then each column as numbers of these, as narrow as they go."""
+    found = pc.dictionary_encode(pa.array(np.concatenate(columns)))
+    words, at = found.dictionary.to_numpy(), found.indices.to_numpy()
+    order = np.argsort(words)
+    number = np.empty(len(words), np.min_scalar_type(len(words)))
+    number[order] = np.arange(len(words))
+    steps = np.diff(words[order], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return [np.ascontiguousarray(steps).reshape(-1), *np.split(number[at], np.cumsum([len(c) for c in columns])[:-1])]
+
+
+def decoded(steps: np.ndarray) -> np.ndarray:
+    """The distinct words again."""
+    return np.cumsum(np.ascontiguousarray(steps.reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
 # --- n-grams ---------------------------------------------------------------------
 
 
+def extended(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of the n-grams of hash h with one more word."""
+    h = (h ^ word) * _STEP
+    h ^= h >> np.uint64(29)
+    return h
+
+
 def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
     h = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
-        h = (h ^ c) * _STEP
-        h ^= h >> np.uint64(29)
+        h = extended(h, c)
     return h
 
 
@@ -109,26 +129,30 @@ def merge(columns: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray
     return h[first], [c[order][first] for c in columns], add
 
 
+def spread_over(context: np.ndarray, last: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of n-grams by the hash of their context and a part of their last word's, so that a context meets several shards but not all."""
+    part = ta.mix(last) % np.uint64(max(4, shards // 16))
+    return (ta.mix(context + part * _STEP) % np.uint64(shards)).astype(np.int64)
+
+
 def place(columns: list[np.ndarray], shards: int) -> np.ndarray:
-    """Shard of each n-gram: by its context and a part of its last word's hash, so that a context meets several shards but not all."""
-    splits = max(4, shards // 16)
-    last = columns[-1]
+    """Shard of each n-gram."""
     if len(columns) == 1:
-        return (ta.mix(last) % np.uint64(shards)).astype(np.int32)
-    part = ta.mix(last) % np.uint64(splits)
-    return (ta.mix(gram_hash(columns[:-1]) + part * _STEP) % np.uint64(shards)).astype(np.int32)
+        return (ta.mix(columns[0]) % np.uint64(shards)).astype(np.int64)
+    return spread_over(gram_hash(columns[:-1]), columns[-1], shards)
 
 
-def pass_of(last: np.ndarray) -> np.ndarray:
-    """Round that counts the n-grams of a last word. A suffix has the same last word, so lower orders are whole within a round."""
-    return ((ta.mix(last ^ _STEP) >> np.uint64(20)) % np.uint64(PASSES)).astype(np.int32)
+def pass_of(before: np.ndarray) -> np.ndarray:
+    """Round that counts the n-grams with that word before the last one."""
+    return ((ta.mix(before ^ _STEP) >> np.uint64(20)) % np.uint64(PASSES)).astype(np.int32)
 
 
 def dealt(columns: list[np.ndarray], sums: list[np.ndarray], shards: int):
     """(shard, blob) of n-grams: the distinct words, contexts once, then run lengths, last words and counts; words as numbers of the distinct ones."""
     shard = place(columns, shards)
     context = gram_hash(columns[:-1]) if len(columns) > 1 else np.zeros(len(shard), np.uint64)
-    order = np.lexsort((context, shard))
+    room = np.uint64(max(1, int(shards).bit_length()))
+    order = np.argsort((shard.astype(np.uint64) << (np.uint64(64) - room)) | (context >> room))
     shard, context = shard[order], context[order]
     columns, sums = [c[order] for c in columns], [s[order] for s in sums]
     edges = np.searchsorted(shard, np.arange(shards + 1))
@@ -148,6 +172,7 @@ def gathered(blobs: list[bytes], width: int, n_sums: int) -> tuple[list[np.ndarr
     columns, sums = [[] for _ in range(width)], [[] for _ in range(n_sums)]
     for blob in blobs:
         words, *arrays = unpack(blob)
+        words = decoded(words)
         runs = large(*arrays[width - 1 : width + 1]).astype(np.int64)
         for k in range(width - 1):
             columns[k].append(np.repeat(words[arrays[k]], runs))
@@ -157,20 +182,24 @@ def gathered(blobs: list[bytes], width: int, n_sums: int) -> tuple[list[np.ndarr
     return [np.concatenate(c) for c in columns], [np.concatenate(s) for s in sums]
 
 
-def stream(column: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The `order` columns of the n-grams that end at each token (words, then one end), and row offsets into the tokens."""
+def stream(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All rows' words one after the other, each row behind order - 1 (one at least) begins and before one end; the places of the tokens; row offsets into the tokens."""
     words, rows = ta.word_hashes(column)
-    length = np.diff(rows)
-    padded = np.concatenate([[0], np.cumsum(length + order)])
-    flat = np.full(padded[-1], BEGIN)
+    begins, length = max(order - 1, 1), np.diff(rows)
+    padded = np.concatenate([[0], np.cumsum(length + begins + 1)])
+    flat, token = np.full(padded[-1], BEGIN), np.ones(padded[-1], bool)
+    for k in range(begins):
+        token[padded[:-1] + k] = False
+    at = np.flatnonzero(token)
+    token[padded[1:] - 1] = False
+    flat[token] = words
     flat[padded[1:] - 1] = END
-    n = len(length)
-    row = np.repeat(np.arange(n), length)
-    flat[np.arange(len(words)) - rows[row] + padded[row] + order - 1] = words
-    tokens = np.concatenate([[0], np.cumsum(length + 1)])
-    row = np.repeat(np.arange(n), length + 1)
-    at = np.arange(tokens[-1]) - tokens[row] + padded[row] + order - 1
-    return [flat[at - order + 1 + k] for k in range(order)], tokens
+    return flat, at, np.concatenate([[0], np.cumsum(length + 1)])
+
+
+def grams_at(flat: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
+    """Columns of the n-grams that end at the places."""
+    return [flat[at - n + 1 + k] for k in range(n)]
 
 
 def _count(order: int, shards: int, turn: int):
@@ -184,11 +213,10 @@ def _count(order: int, shards: int, turn: int):
         parts, held = [], 0
         for batch in batches:
             for part in ta.slices(batch):
-                columns, _ = stream(part.column("text"), order)
-                mine = pass_of(columns[-1]) == turn
-                columns = [c[mine] for c in columns]
-                parts.append(columns)
-                held += len(columns[0])
+                flat, at, _ = stream(part.column("text"), order)
+                mine = at[pass_of(flat)[at - 1] == turn] if order > 1 else at
+                parts.append(grams_at(flat, mine, order))
+                held += len(mine)
                 if held >= MERGE_GRAMS:
                     yield flush(parts)
                     parts, held = [], 0
@@ -201,50 +229,6 @@ def _count(order: int, shards: int, turn: int):
 # --- the store -------------------------------------------------------------------
 
 
-def save(folder: str, name: str, array: np.ndarray) -> None:
-    """Writes folder/name.npy, all or nothing."""
-    parts = urlsplit(folder)
-    if parts.scheme in ("", "file"):
-        os.makedirs(parts.path, exist_ok=True)
-        hidden = f"{parts.path}/.{name}-{uuid.uuid4().hex}.npy"
-        np.save(hidden, array)
-        os.replace(hidden, f"{parts.path}/{name}.npy")
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path)
-    hidden = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(hidden) as out:
-        np.save(out, array)
-    store.move(hidden, f"{path}/{name}.npy")
-
-
-def load(folder: str, name: str) -> np.ndarray:
-    """Memory-maps folder/name.npy."""
-    parts = urlsplit(folder)
-    if parts.scheme in ("", "file"):
-        return np.load(f"{parts.path}/{name}.npy", mmap_mode="r")
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    with tempfile.NamedTemporaryFile(suffix=".npy") as copy, store.open_input_stream(f"{path}/{name}.npy") as source:
-        while chunk := source.read(1 << 24):
-            copy.write(chunk)
-        copy.flush()
-        return np.load(copy.name, mmap_mode="r")
-
-
-def narrow(counts: np.ndarray) -> np.ndarray:
-    return counts.astype(np.min_scalar_type(counts.max() if len(counts) else 0))
-
-
-def _save_rows(folder: str, name: str, keys: np.ndarray, columns: list[np.ndarray]) -> None:
-    save(folder, f"{name}-key", keys)
-    for k, c in enumerate(columns):
-        save(folder, f"{name}-{k}", narrow(c))
-
-
 PART = "kind string, shard int, blob binary"
 
 
@@ -253,13 +237,26 @@ def _parts(rows: list[tuple[str, int, bytes]]) -> pa.Table:
     return pa.table({"kind": pa.array(kind, pa.string()), "shard": pa.array(shard, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
 
+#: Figures of a context with one follower, seen once: its total and its followers with counts of 1, 2 and 3 or more.
+SINGLE = (1, 1, 0, 0)
+
+
+def begins(n: int) -> np.ndarray:
+    """Key of the context of n begins, the only one that is no n-gram of the order below."""
+    return gram_hash([gram_hash([np.array([BEGIN])] * n)])
+
+
 def _reduce(folder: str, level: int, order: int, shards: int, turn: int):
     """Merges a shard: n-grams of the level, or partial statistics of the contexts of the level above. A round's arrays are numbered after those of the rounds before."""
     base = turn * shards
 
     def contexts(shard: int, blobs: list[bytes]) -> pa.Table:
-        key, _, sums = merge(*gathered(blobs, 1, 4))  # distinct contexts, keyed as lookup() keys them
-        _save_rows(folder, f"context{level + 1}-{base + shard}", key, sums)
+        key, _, sums = merge(*gathered(blobs, 1, 4))  # distinct contexts, keyed as Model.contexts keys them
+        if level > 1:
+            kept = ~np.logical_and.reduce([s == k for s, k in zip(sums, SINGLE, strict=True)]) | (key == begins(level))
+            key, sums = key[kept], [s[kept] for s in sums]
+        _, first, kind = np.unique(gram_hash(sums), return_index=True, return_inverse=True)
+        save(folder, f"context{level + 1}-{base + shard}", [*key_arrays(key), kind.astype(np.min_scalar_type(len(first))), *(s[first] for s in sums)])
         return _parts([])
 
     def grams(shard: int, blobs: list[bytes]) -> pa.Table:
@@ -267,7 +264,7 @@ def _reduce(folder: str, level: int, order: int, shards: int, turn: int):
         columns, sums = gathered(blobs, level, n_sums)
         key, columns, sums = merge(columns, sums)
         count, total = sums[0], sums[-1]
-        _save_rows(folder, f"gram{level}-{base + shard}", key, [count] if level > 1 else [count, total])
+        save(folder, f"gram{level}-{base + shard}", [*key_arrays(key), *(x for s in ([count] if level > 1 else [count, total]) for x in count_arrays(s))])
         figures = [np.array([(count == k).sum() for k in (1, 2, 3, 4)] + [(count >= 3).sum(), count.sum(), total.sum(), len(key)], np.uint64)]
         out = [("figures", shard, pack(figures))]
         if level > 1:
@@ -319,58 +316,67 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def _arrays(self, table: str, shard: int, n: int) -> list[np.ndarray] | None:
-        at = (table, shard)
-        if at not in self._open:
+    def _arrays(self, table: str, number: int) -> list[np.ndarray] | None:
+        name = f"{table}-{number}"
+        if name not in self._open:
             try:
-                self._open[at] = [load(self.folder, f"{table}-{shard}-{k}") for k in ("key", *range(n))]
+                self._open[name] = load(self.folder, name)
             except FileNotFoundError:
-                self._open[at] = None  # no n-gram came to that shard
-        return self._open[at]
-
-    def lookup(self, table: str, key: np.ndarray, shard: np.ndarray, n: int) -> np.ndarray:
-        """(n, len(key)) counts; 0 for hashes that the table lacks."""
-        out = np.zeros((n, len(key)), np.uint64)
-        order = np.lexsort((key, shard))
-        edges = np.searchsorted(shard[order], np.arange(PASSES * self.shards + 1))
-        for s in np.flatnonzero(np.diff(edges)):
-            arrays = self._arrays(table, int(s), n)
-            if arrays is None or not len(arrays[0]):
-                continue
-            mine = order[edges[s] : edges[s + 1]]
-            slot = np.minimum(np.searchsorted(arrays[0], key[mine]), len(arrays[0]) - 1)
-            hit = arrays[0][slot] == key[mine]
-            for k in range(n):
-                out[k, mine[hit]] = arrays[1 + k][slot[hit]]
+                self._open[name] = None  # no n-gram came to that shard
+        return self._open[name]
+
+    def lookup(self, table: str, key: np.ndarray, home: np.ndarray, width: int, read) -> np.ndarray:
+        """(width, len(key)) figures, by read(arrays of a file, slots); 0 for hashes that the table lacks. Keys are looked up file by file, in their order there."""
+        out = np.zeros((width, len(key)), np.uint64)
+        room = np.uint64(max(1, int(home.max(initial=0)).bit_length()))
+        by_home = (home.astype(np.uint64) << (np.uint64(64) - room)) | (key >> room)
+        order = np.argsort(by_home)
+        homes = by_home[order] >> (np.uint64(64) - room)
+        edges = np.flatnonzero(np.concatenate([[True], homes[1:] != homes[:-1]])) if len(key) else []
+        for first, last in zip(edges, [*edges[1:], len(key)], strict=True):
+            arrays = self._arrays(table, int(homes[first]))
+            if arrays is not None:
+                mine = order[first:last]
+                slot, hit = slots(arrays[0], arrays[1], key[mine])
+                mine, slot = mine[hit], slot[hit]
+                for k, figure in enumerate(read(arrays[2:], slot)):
+                    out[k, mine] = figure
         return out
 
-    def _home(self, gram: list[np.ndarray]) -> np.ndarray:
-        return pass_of(gram[-1]) * self.shards + place(gram, self.shards)
-
-    def probabilities(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each n-gram's last word given the others, and its count as a word in training."""
-        word, back = np.unique(columns[-1], return_inverse=True)
-        count, raw = self.lookup("gram1", gram_hash([word]), self._home([word]), 2)
-        level = self.levels[0]
+    def probabilities(self, flat: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of the word at each place given those before it, and its count as a word in training; rows: offsets into the places."""
+        shards, level = self.shards, self.levels[0]
+        found = pc.dictionary_encode(pa.array(flat))
+        word, of = found.dictionary.to_numpy(), found.indices.to_numpy()
+        turn, alone = pass_of(word).astype(np.int64) * shards, place([word], shards)
+        count, raw = self.lookup("gram1", gram_hash([word]), alone, 2, lambda a, slot: [counts_at(a[:3], slot), counts_at(a[3:], slot)])
         if level.total:
             spare = (np.array(level.discount) * [level.n[0], level.n[1], level.three_or_more]).sum() / level.total
-            p = (self._kept(count, level) / level.total + spare / (self.types + 1))[back]
+            p = (self._kept(count, level) / level.total + spare / (self.types + 1))[of[at]]
         else:
-            p = np.full(len(back), 1 / (self.types + 1))
+            p = np.full(len(at), 1 / (self.types + 1))
+        figures = lambda a, slot: [x[a[0][slot]] for x in a[1:]]
+        held = None
         for n in range(2, self.order + 1):
-            gram, level = columns[-n:], self.levels[n - 1]
-            key, first, again = np.unique(gram_hash(gram), return_index=True, return_inverse=True)
-            gram = [c[first] for c in gram]
-            (count,) = self.lookup(f"gram{n}", key, self._home(gram), 1)
-            context, c_again = np.unique(gram_hash(gram[:-1]), return_inverse=True)
-            key, shard = gram_hash([context]), place([context], self.shards)
-            total, *kinds = sum(self.lookup(f"context{n}", key, turn * self.shards + shard, 4) for turn in range(PASSES))
-            spare = sum(d * k for d, k in zip(level.discount, kinds, strict=True))
-            total, spare = total[c_again].astype(float), spare[c_again]
-            known = total > 0
+            level = self.levels[n - 1]
+            if n == 2:
+                before = gram_hash([word])
+                stats = self.lookup("context2", gram_hash([before]), place([before], shards), 4, figures)[:, of[at - 1]]
+                before = before[of[at - 1]]
+            else:
+                before = gram_hash(grams_at(flat, at, n)[:-1])
+                stats = self.lookup(f"context{n}", gram_hash([before]), place([before], shards) + turn[of[at - 1]], 4, figures)
+            total, spare = stats[0].astype(float), sum(d * k for d, k in zip(level.discount, stats[1:], strict=True))
+            if n > 2:  # contexts with one follower, seen once, are no more than n-grams of the order below, which end one place before
+                single = np.concatenate([[False], held[:-1]]) & (total == 0)
+                single[rows[:-1]] = False
+                total[single], spare[single] = 1, level.discount[0]
+            last = flat[at]
+            (count,) = self.lookup(f"gram{n}", extended(before, last), spread_over(before, last, shards) + turn[of[at - 1]], 1, lambda a, slot: [counts_at(a, slot)])
+            held, known = count > 0, total > 0
             total[~known], spare[~known] = 1, 1
-            p = (self._kept(count, level) / total)[again] + (spare / total)[again] * p
-        return p, raw[back]
+            p = self._kept(count, level) / total + spare / total * p
+        return p, raw[of[at]]
 
     @staticmethod
     def _kept(count: np.ndarray, level: Level) -> np.ndarray:
@@ -387,20 +393,31 @@ def collect_shuffles(spark) -> None:
 def train(docs: DataFrame, order: int = 3) -> Model:
     """Counts a model of that order over all the documents' whole texts (null: empty: one end token)."""
     spark = docs.sparkSession
-    shards, folder = shuffle_partitions(spark), scratch_path(spark, "ngrams")
-    texts = docs.select(text_of().alias("text"))
+    texts, folder = docs.select(text_of().alias("text")), scratch_path(spark, "ngrams")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
+    shards = 1 + size // SHARD_BYTES
     figures = {level: np.zeros(8, np.int64) for level in range(1, order + 1)}
-    for turn in range(PASSES):
-        rows, read = texts.mapInArrow(_count(order, shards, turn), "shard int, blob binary").select(F.lit("gram").alias("kind"), "shard", "blob"), None
-        for level in range(order, 0, -1):
-            parts = written(rows.groupBy("kind", "shard").applyInArrow(_reduce(folder, level, order, shards, turn), PART), f"level{level}")
-            for row in parts.where("kind = 'figures'").select("blob").collect():  # one short row a shard
-                figures[level] += unpack(row.blob)[0].astype(np.int64)
-            if read is not None:
-                drop_written(read)
-            read, rows = parts, parts.where("kind <> 'figures'")
-            collect_shuffles(spark)
-        drop_written(read)
+
+    def reduced(rows: DataFrame, level: int, turn: int) -> DataFrame:
+        parts = written(rows.groupBy("kind", "shard").applyInArrow(_reduce(folder, level, order, shards, turn), PART), f"level{level}")
+        for row in parts.where("kind = 'figures'").select("blob").collect():  # one short row a shard
+            figures[level] += unpack(row.blob)[0].astype(np.int64)
+        collect_shuffles(spark)
+        return parts
+
+    rest, read = [], []
+    for turn in range(PASSES if order > 1 else 1):
+        rows = texts.mapInArrow(_count(order, shards, turn), "shard int, blob binary").select(F.lit("gram").alias("kind"), "shard", "blob")
+        for level in range(order, 1, -1):
+            parts = reduced(rows, level, turn)
+            if level < order:
+                drop_written(read.pop())
+            read.append(parts)
+            rows = parts.where("kind <> 'figures'")
+        rest.append(rows)
+    drop_written(reduced(reduce(DataFrame.unionAll, rest), 1, 0))
+    for parts in read:
+        drop_written(parts)
     levels = []
     for level in range(1, order + 1):
         n = tuple(map(int, figures[level][:4]))
@@ -412,9 +429,9 @@ def train(docs: DataFrame, order: int = 3) -> Model:
 def _score(model: Model):
     def run(batches):
         for batch in batches:
-            for part in ta.slices(batch, limit=2 * ta.SLICE_BYTES):
-                columns, tokens = stream(part.column("text"), model.order)
-                p, raw = model.probabilities(columns)
+            for part in ta.slices(batch, limit=SCORE_BYTES):
+                flat, at, tokens = stream(part.column("text"), model.order)
+                p, raw = model.probabilities(flat, at, tokens)
                 base = np.log10((raw.astype(float) + 1) / (model.train_tokens + model.types + 1))
                 add = lambda x: np.add.reduceat(x, tokens[:-1])
                 yield pa.RecordBatch.from_arrays(

@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
+from .arrays import load, save
 from .bktree import Forest, hook
 from .common import scratch_path, shuffle_partitions, table, text_of, written
 from .components import connected_components
-from .kneser_ney import load, save
 
 #: Fingerprints in one tree; more in a shard are cut into pairs of chunks.
 SHARD_ITEMS = 4096
@@ -201,7 +201,7 @@ def _wide(width: int, folder: str):
                     bits[:, k] = majority_bits(ta.mix(hashes + np.uint64(k)), rows)
                 file = uuid.uuid4().int >> 65
                 if len(hashes):
-                    save(folder, str(file), hashes)
+                    save(folder, str(file), [hashes])
                 place = [pa.array(np.full(part.num_rows, file, np.int64)), pa.array(rows[:-1] << 32 | np.diff(rows))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("print"), pa.array([x.tobytes() for x in bits], pa.binary()), *place], ["doc_id", "print", "wide", "file", "span"])
 
@@ -242,7 +242,7 @@ def _set_reader(folder: str):
         if file not in opened:
             if len(opened) >= OPEN_FILES:
                 opened.clear()
-            opened[file] = load(folder, str(file))
+            (opened[file],) = load(folder, str(file))
         return opened[file][first : first + n]
 
     return read

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 2 << 20
 _BYTES = np.arange(256)
@@ -20,9 +21,11 @@ BLANK = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
 #: ... or, for matching passages whatever their punctuation, at every ASCII character but letters and digits.
 NOT_ALNUM = ~np.isin(_BYTES, [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 _FOLD = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
-_BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_FOLDED_VALUE = _BYTE_VALUE[_FOLD]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: The low bytes of a 64-bit word, by how many count.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word beyond which it is hashed by itself.
+_LONG = 512
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -77,12 +80,20 @@ def word_hashes(column: pa.Array, blank: np.ndarray = BLANK) -> tuple[np.ndarray
     starts, ends, rows = spans(data, offsets, blank)
     if not len(starts):
         return np.zeros(0, np.uint64), rows
+    folded = np.zeros(len(data) + 8, np.uint8)
+    folded[: len(data)] = _FOLD[data]
+    eight = np.ndarray(len(data) + 1, "<u8", folded, strides=(1,))  # the eight bytes from each place on
     length = ends - starts
-    first = np.cumsum(length) - length
-    place = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
-    powers = np.cumprod(np.full(int(length.max()), _BASE, np.uint64))
-    value = _FOLDED_VALUE[data[~blank[data]]] * powers[place]
-    return mix(np.add.reduceat(value, first)), rows
+    h = length.astype(np.uint64) * _BASE
+    todo, done = np.arange(len(starts)), 0
+    while len(todo):
+        step = (h[todo] ^ (eight[starts[todo] + done] & _LOW[np.minimum(length[todo] - done, 8)])) * _BASE
+        h[todo] = step ^ (step >> np.uint64(32))
+        done += 8
+        todo = todo[(length[todo] > done) & (length[todo] <= _LONG)]
+    for k in np.flatnonzero(length > _LONG):
+        h[k] = xxhash.xxh64_intdigest(folded[starts[k] : ends[k]])
+    return mix(h), rows
 
 
 def windows(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
