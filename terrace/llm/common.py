@@ -52,6 +52,18 @@ def drop_written(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> tuple[DataFrame, str]:
+    """df as a scratch table dealt out by the keys, so that joins on them need not shuffle it again; and the table's name, to drop it by."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(shuffle_partitions(spark), *keys).option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name), name
+
+
+def drop_bucketed(spark: SparkSession, name: str) -> None:
+    drop_written(spark.table(name))
+    spark.sql(f"DROP TABLE {name}")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -70,6 +82,47 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), lambda x: body(x))[0]
 
 
+#: Items that scan() takes one by one; longer arrays are cut into blocks of this many.
+SCAN_BLOCK = 128
+
+
+def scan(items: Column, zero: Column, step, emit, kind: str) -> Column:
+    """array<kind> of emit(state, item), the state being zero folded by step over the items before it.
+
+    Appending to an array copies it, so the items are cut into blocks: the states at the
+    blocks' beginnings come first, then each block by itself, and the work stays about
+    linear up to millions of items.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(state: Column, block: Column) -> Column:
+        both = lambda acc, x: F.struct(step(acc["s"], x).alias("s"), F.array_append(acc["out"], emit(acc["s"], x)).alias("out"))
+        return F.aggregate(block, F.struct(state.alias("s"), none.alias("out")), both, lambda acc: acc["out"])
+
+    def run(blocks: Column) -> Column:
+        states = F.aggregate(blocks, F.array(zero), lambda out, block: F.array_append(out, F.aggregate(block, F.element_at(out, -1), step)))
+        return F.flatten(F.zip_with(F.slice(states, 1, F.size(blocks)), blocks, one))
+
+    return let(items, lambda x: F.when(F.size(x) == 0, none).when(F.size(x) <= SCAN_BLOCK, one(zero, x)).otherwise(let(blocks_of(x, SCAN_BLOCK), run)))
+
+
+def blocks_of(items: Column, size: int) -> Column:
+    """The array, which has an item at least, cut into arrays of `size` items, the last one shorter."""
+    last = F.floor((F.size(items) - 1) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * size + 1, size))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Those names, each with as many underscores before it as no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words(text: Column) -> Column:
     """Array of the words `[^\\x20\\x09-\\x0D]+`; empty where there is none."""
     inner = F.btrim(text, F.lit(BLANKS))

@@ -5,8 +5,8 @@ positions, so a text is split at the matches: the lengths of the pieces between
 of the matches themselves add up to the spans. Strong kinds are reported wherever they
 occur. Weak parts (an account identifier, a long random value, an endpoint) are common in
 clean text, so each is reported only where a part of a complementary kind lies within a
-scope of SCOPE characters: an interval join of each text's parts, done as two sweeps over
-the parts in order of position, linear in their number.
+scope of SCOPE characters: an interval join of each text's parts, done as sweeps over the
+parts in order of position, forward and back, about linear in their number.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_or, let, table, text_of
+from .common import blocks_of, column_or, fresh, let, scan, table, text_of
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -28,19 +28,17 @@ ENDPOINT = r"(?i:\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://)[^\
 #: Characters (code points) within which parts belong together.
 SCOPE = 200
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
+#: Pieces of a masked text that are cut out of one piece of it, and of a piece of that.
+MASK_BLOCKS = (4096, 64)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, stop, found>>: leftmost non-overlapping matches, in code points, the end exclusive."""
 
     def located(found: Column, gaps: Column) -> Column:
-        step = lambda acc, i: F.struct(
-            (acc["at"] + F.char_length(gaps[i]) + F.char_length(found[i])).alias("at"),
-            F.array_append(acc["out"], (acc["at"] + F.char_length(gaps[i])).cast("int")).alias("out"),
-        )
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        starts = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
-        return F.zip_with(starts, found, lambda s, f: F.struct(s.alias("start"), (s + F.char_length(f)).cast("int").alias("stop"), f.alias("found")))
+        sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, f: F.struct(F.char_length(g).alias("gap"), F.char_length(f).alias("size")))
+        starts = scan(sizes, F.lit(0), lambda at, x: at + x["gap"] + x["size"], lambda at, x: at + x["gap"], "int")
+        return F.zip_with(starts, found, lambda s, f: F.struct(s.alias("start"), (s + F.char_length(f)).alias("stop"), f.alias("found")))
 
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
     some = let(both, lambda x: located(x["found"], x["gaps"]))
@@ -70,32 +68,46 @@ def _role(kind: Column) -> Column:
     return F.when(kind.isin(KINDS.index("access"), KINDS.index("identifier")), 0).when(kind == KINDS.index("endpoint"), 2).otherwise(1)
 
 
-def _sweep(parts: Column, forward: bool) -> Column:
-    """For each part, whether a part of another role that comes before it in sweep order lies within the scope. Parts carry start, kind, stop."""
-    far = F.lit(-(1 << 30) if forward else 1 << 30)
+#: Beyond every position, on either side.
+_FAR = 1 << 30
 
-    def step(acc: Column, p: Column) -> Column:
-        role = _role(p["kind"])
-        gap = lambda edge: (p["start"] - edge) if forward else (edge - p["stop"])
-        near = F.exists(F.transform(acc["edge"], lambda e, r: (r != role) & (gap(e) <= SCOPE)), lambda x: x)
+
+def _reached(parts: Column, forward: bool) -> Column:
+    """For each part, how far the base parts before it in sweep order reach: their largest stop, or going back their smallest start."""
+    state = lambda e, p: F.when(p["kind"] > KINDS.index("hex"), e).otherwise(F.greatest(e, p["stop"]) if forward else F.least(e, p["start"]))
+    swept = scan(parts if forward else F.reverse(parts), F.lit(-_FAR if forward else _FAR), state, lambda e, p: e, "int")
+    return swept if forward else F.reverse(swept)
+
+
+def _near(parts: Column, forward: bool) -> Column:
+    """For each part, whether a part of another role that comes before it in sweep order lies within the scope."""
+
+    def state(edges: Column, p: Column) -> Column:
         reach = (lambda e: F.greatest(e, p["stop"])) if forward else (lambda e: F.least(e, p["start"]))
-        return F.struct(F.transform(acc["edge"], lambda e, r: F.when(r == role, reach(e)).otherwise(e)).alias("edge"), F.array_append(acc["out"], near).alias("out"))
+        return let(_role(p["kind"]), lambda role: F.transform(edges, lambda e, r: F.when(r == role, reach(e)).otherwise(e)))
 
-    begin = F.struct(F.array(far, far, far).alias("edge"), F.array().cast("array<boolean>").alias("out"))
-    swept = F.aggregate(parts if forward else F.reverse(parts), begin, step, lambda acc: acc["out"])
+    def emit(edges: Column, p: Column) -> Column:
+        gap = lambda e: (p["start"] - e) if forward else (e - p["stop"])
+        return let(_role(p["kind"]), lambda role: F.exists(F.transform(edges, lambda e, r: (r != role) & (gap(e) <= SCOPE)), lambda x: x))
+
+    far = F.lit(-_FAR if forward else _FAR)
+    swept = scan(parts if forward else F.reverse(parts), F.array(far, far, far), state, emit, "boolean")
     return swept if forward else F.reverse(swept)
 
 
-def linked_weak(base: Column, weak: Column) -> Column:
-    """The weak parts that have a part of a complementary role within the scope, before or after; random values inside a base span are that span."""
+def _with_both(parts: Column, sweep) -> Column:
+    """array<struct<p, a, b>>: each part with what the sweeps forward and back say of it."""
+    ahead = F.zip_with(parts, sweep(parts, True), lambda p, a: F.struct(p.alias("p"), a.alias("a")))
+    return F.zip_with(ahead, sweep(parts, False), lambda x, b: F.struct(x["p"].alias("p"), x["a"].alias("a"), b.alias("b")))
 
-    def linked(parts: Column) -> Column:
-        flagged = F.zip_with(F.zip_with(parts, _sweep(parts, True), lambda p, a: F.struct(p.alias("p"), a.alias("a"))), _sweep(parts, False), lambda x, b: F.struct(x["p"].alias("p"), (x["a"] | b).alias("near")))
-        kept = F.filter(flagged, lambda x: x["near"] & (x["p"]["kind"] > F.lit(KINDS.index("hex"))))
-        return F.transform(kept, lambda x: x["p"])
 
-    apart = F.filter(weak, lambda x: ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    return F.when(F.size(weak) == 0, F.array().cast(SPAN)).otherwise(let(F.array_sort(F.concat(base, apart)), linked))
+def linked_weak(base: Column, weak: Column) -> Column:
+    """The weak parts that have a part of a complementary role within the scope, before or after; weak parts that overlap a base span are that span."""
+    is_weak = lambda p: p["kind"] > F.lit(KINDS.index("hex"))
+    own = lambda x: ~is_weak(x["p"]) | ((x["a"] <= x["p"]["start"]) & (x["b"] >= x["p"]["stop"]))
+    apart = lambda parts: F.transform(F.filter(_with_both(parts, _reached), own), lambda x: x["p"])
+    linked = lambda parts: F.transform(F.filter(_with_both(parts, _near), lambda x: is_weak(x["p"]) & (x["a"] | x["b"])), lambda x: x["p"])
+    return F.when(F.size(weak) == 0, F.array().cast(SPAN)).otherwise(let(let(F.array_sort(F.concat(base, weak)), apart), linked))
 
 
 def digest(found: Column) -> Column:
@@ -104,44 +116,54 @@ def digest(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """Adds __base and __all, the spans of every text; a null or empty text has none. Other columns are carried along."""
-    text = text_of()
-    base = docs.withColumn("__base", base_spans(text)).withColumn("__weak", weak_spans(text))
-    return base.withColumn("__all", F.array_sort(F.concat("__base", linked_weak(F.col("__base"), F.col("__weak"))))).drop("__weak")
+def all_spans(text: Column) -> Column:
+    """struct<base, every>: the base spans, and these with the linked weak parts, by start, then kind. An empty text has none."""
+    parts = F.struct(base_spans(text).alias("base"), weak_spans(text).alias("weak"))
+    return let(parts, lambda p: F.struct(p["base"].alias("base"), F.array_sort(F.concat(p["base"], linked_weak(p["base"], p["weak"]))).alias("every")))
 
 
 def masked(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every span replaced; overlapping spans count as one."""
+    """The text with every span replaced; spans that overlap an earlier one add nothing. The pieces between are cut out of larger pieces, since reaching a position in a text takes as long as it is far."""
+    gap = lambda at, s: F.when(s["start"] >= at, F.struct(at.alias("start"), s["start"].alias("stop")))
+    gaps = F.filter(scan(found, F.lit(0), lambda at, s: F.greatest(at, s["stop"]), gap, "struct<start:int,stop:int>"), lambda g: g.isNotNull())
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.concat(acc["out"], gap).alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
+    def cut(source: Column, offset: Column, block: Column, sizes: tuple[int, ...]) -> Column:
+        piece = lambda first, stop: F.substring(source, first - offset + 1, stop - first)
+        if not sizes:
+            return F.transform(block, lambda g: piece(g["start"], g["stop"]))
+        inner = lambda b: let(piece(b[0]["start"], F.element_at(b, -1)["stop"]), lambda t: cut(t, b[0]["start"], b, sizes[1:]))
+        return F.flatten(F.transform(blocks_of(block, sizes[0]), inner))
 
-    whole = F.aggregate(found, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return F.when(F.size(found) == 0, text).otherwise(whole)
+    kept = let(gaps, lambda g: F.array_join(cut(text, F.lit(0), g, MASK_BLOCKS), mask))
+    end = F.array_max(F.transform(found, lambda s: s["stop"]))
+    return F.when(F.size(found) == 0, text).otherwise(F.concat(kept, F.lit(mask), F.substring(text, end + 1, F.char_length(text))))
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """The documents with secrets masked in text and n_chars counted anew where a text changed; other columns as they are.
+    """The documents with secrets masked in text and n_chars counted anew where a text changed; other columns as they are, whatever their names.
 
     Null and empty texts stay; repeated rows are treated alike; an empty table stays empty.
     """
-    found = with_spans(docs)
-    hit = F.size("__all") > 0
-    out = {"text": F.when(hit, masked(text_of(), F.col("__all"))).otherwise(F.col("text"))}
+    (spans_of,) = fresh(docs, "spans")
+    found = docs.withColumn(spans_of, all_spans(text_of())["every"])
+    hit = F.size(spans_of) > 0
+    out = {"text": F.when(hit, masked(text_of(), F.col(spans_of))).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(hit, F.char_length(out["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(out).select(*docs.columns)
+    return found.withColumns(out).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, the digest of the base spans and all spans of every row."""
-    count = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == KINDS.index(kind))).cast("bigint")
-    found = with_spans(docs.select(column_or(docs, "doc_id", "bigint").alias("doc_id"), "text"))
+    """doc_id, counts of the base kinds, the digest of the base spans and all spans of every row.
+
+    A null or empty text has no spans: counts 0, an empty list, and the digest of the empty
+    string. Repeated rows each get a row; an empty table gives none; other columns are not read.
+    """
+    count = lambda kind: F.size(F.filter("s.base", lambda s: s["kind"] == KINDS.index(kind))).cast("bigint")
+    found = docs.select(column_or(docs, "doc_id", "bigint").alias("doc_id"), all_spans(text_of()).alias("s"))
     return found.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
-        F.sha2(digest(F.col("__base")), 256).alias("base_sha256"), digest(F.col("__all")).alias("spans"),
+        F.sha2(digest(F.col("s.base")), 256).alias("base_sha256"), digest(F.col("s.every")).alias("spans"),
     )
 
 
