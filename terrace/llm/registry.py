@@ -12,7 +12,7 @@ from .secrets import op7_secret_linking
 from .simhash import op6_simhash_bktree
 from .tokencount import op10_rank_synchronous_bpe
 from .toxicity import op8_weak_supervision
-from .urlfilter import op5_link_graph
+from .urlfilter import OP5_SQL, op5_link_graph
 
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
@@ -31,6 +31,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_perspective_rotation": OP2_SQL,
     "op3_hierarchical_mixing": OP3_SQL,
+    "op5_link_graph": OP5_SQL,
     "op9_quality_cascade": OP9_SQL,
 }
 

@@ -1,10 +1,14 @@
 """URL filters: path rules, and trust and distrust propagated over the graph of hosts.
 
-Hosts link to the hosts that their pages' absolute links name, and to their parent domain.
-Two personalised PageRanks run together over these edges in Spark: trust starts at hosts
-that the rules allow and follows the edges; distrust starts at hosts all of whose pages
-block rules hit, that a table of blocked hosts lists, or that a word names, and follows the
-edges backwards, to those who link there and to their subdomains. A host whose distrust exceeds its trust by the threshold is blocked wherever no rule says otherwise.
+Hosts link to the hosts that their pages' absolute links name, and to their parent domain,
+step by step up to two labels. Two personalised PageRanks run together over these edges in
+Spark. Trust starts at hosts by the share of their pages that rules allow and follows the
+edges; distrust starts at hosts by the share of their pages that rules block, or in full at
+hosts that a table of blocked hosts lists, and follows the edges backwards, to those who
+link there and to their subdomains. Ranks are whole numbers of a unit, one seed's own, so
+they depend neither on the order of sums nor on the number of seeds. A host is blocked,
+wherever no rule says otherwise, if its distrust is more than half a whole seed's and more
+than its trust: a host with few blocked pages among others, and no bad neighbours, is not.
 """
 
 from __future__ import annotations
@@ -14,18 +18,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, table, written
+from .common import bucketed, drop_bucketed, drop_written, table, written
 
 #: First `://`, then host and path.
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK = r"(?i)(?:href|src)\s*=\s*[\"']?(?:https?:)?//([^/?#\"'\s>:]+)"
+LINK = r"""(?i)(?:href|src)[\x20\x09-\x0D]*=[\x20\x09-\x0D]*["']?(?:https?:)?//([^/?#"'\x20\x09-\x0D>:]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words that seed distrust besides rules and listed hosts, where one stands alone between dots and hyphens of a host.
-SEED_WORDS = ("adult", "bets", "casino", "malware", "phish", "pills", "porn", "spam", "viagra", "warez", "xxx")
-#: What sums of equal ranks in another order may differ by, relative to their size.
-ROUNDING = 1e-9
-#: Restart probability, rounds, and the ratio of distrust to trust beyond which a host is blocked.
-RESTART, ROUNDS, RATIO = 0.15, 15, 1.0
+#: Restart probability, rounds, distrust in whole seeds beyond which a host may be blocked, and the ratio to its trust beyond which it is.
+RESTART, ROUNDS, THRESHOLD, RATIO = 0.15, 15, 0.5, 1.0
+#: Rank that a whole seed gives itself each round.
+UNIT = 10**12
 
 
 @dataclass(frozen=True)
@@ -86,48 +88,45 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def seeds(judged_pages: DataFrame, edges: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
-    """kind (trust or distrust), host, mass: each kind's masses sum to 1.
-
-    Trust is the share of a host's pages that rules allow. A host is distrusted if rules block
-    all its pages: a path blocked on an else open host says nothing of the rest. Hosts in the table
-    `blocked` (host) and those that a seed word names are distrusted in full and never trusted.
-    """
-    share = lambda verdict: F.avg(F.coalesce(F.col("r.verdict") == verdict, F.lit(False)).cast("double"))
-    by_rule = judged_pages.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), F.floor(share("block")).cast("double").alias("distrust"))
-    hosts = judged_pages.select("host").unionAll(edges.select("src")).unionAll(edges.select("dst")).where("host <> ''").distinct()
-    named = hosts.where(F.col("host").rlike(f"(^|[.-])({'|'.join(SEED_WORDS)})([.-]|$)"))
+    """kind (trust or distrust), host, mass in UNITs: the share of the host's pages that rules allow or block. Hosts in the table `blocked` (host) are distrusted in full and never trusted."""
+    share = lambda verdict: F.floor(F.avg(F.coalesce(F.col("r.verdict") == verdict, F.lit(False)).cast("double")) * UNIT)
+    shares = judged_pages.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     if blocked is not None:
-        named = named.unionAll(hosts.join(blocked.select(F.translate("host", UPPER, LOWER).alias("host")), "host", "left_semi")).distinct()
-    every = by_rule.join(named.withColumn("bad", F.lit(True)), "host", "full").withColumn("bad", F.coalesce("bad", F.lit(False)))
-    masses = F.array(F.struct(F.lit("trust").alias("kind"), F.when(F.col("bad"), 0.0).otherwise(F.col("trust")).alias("mass")), F.struct(F.lit("distrust").alias("kind"), F.when(F.col("bad"), 1.0).otherwise(F.col("distrust")).alias("mass")))
-    both = every.select("host", F.explode(masses).alias("m")).select("m.kind", "host", "m.mass").where("mass > 0")
-    return both.join(both.groupBy("kind").agg(F.sum("mass").alias("all")), "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("mass"))
+        hosts = judged_pages.select("host").unionAll(edges.select("src")).unionAll(edges.select("dst")).where("host <> ''").distinct()
+        listed = hosts.join(blocked.select(F.translate("host", UPPER, LOWER).alias("host")), "host", "left_semi").withColumn("listed", F.lit(True))
+        shares = shares.join(listed, "host", "full").select("host", F.when(F.col("listed"), 0).otherwise(F.col("trust")).alias("trust"), F.when(F.col("listed"), UNIT).otherwise(F.col("distrust")).alias("distrust"))
+    masses = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(kind).cast("bigint").alias("mass")) for kind in ("trust", "distrust")))
+    return shares.select("host", F.explode(masses).alias("m")).select("m.kind", "host", "m.mass").where("mass > 0")
 
 
 def propagate(edges: DataFrame, start: DataFrame, rounds: int = ROUNDS, restart: float = RESTART) -> DataFrame:
-    """kind, host, rank after a fixed number of rounds. What reaches a host without further edges ends there, which scales all ranks of a kind alike."""
+    """kind, host, rank after a fixed number of rounds; each round a host keeps its own mass and sends on (1 - restart) of its rank by weight, rounded down.
+
+    A seed alone has its mass as its rank. What reaches a host without further edges ends there.
+    """
+    spark = edges.sparkSession
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionAll(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
-    moves = written(both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out") * (1 - restart)).alias("share")), "moves")
-    start = written(start, "start")
-    again = start.select("kind", "host", (F.col("mass") * restart).alias("rank"))
-    now = written(again, "rank")
+    moves, name = bucketed(both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out") * (1 - restart)).alias("share")), "moves", "kind", "host")
+    start = written(start.select("kind", "host", F.col("mass").alias("rank")), "start")
+    now = start
     for _ in range(rounds):
-        sent = now.join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
-        after = written(sent.unionAll(again).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "rank")
-        drop_written(now)
+        sent = now.join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.floor(F.col("rank") * F.col("share")).alias("rank"))
+        after = written(sent.unionAll(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "rank")
+        if now is not start:
+            drop_written(now)
         now = after
+    drop_bucketed(spark, name)
     return now
 
 
 def host_scores(pages: DataFrame, rules: tuple[PathRule, ...] = RULES, blocked: DataFrame | None = None) -> DataFrame:
-    """host, trust, distrust (each a share of its kind's total, to 9 places) and verdict, by the unrounded shares."""
+    """host, trust, distrust (1 is what a whole seed alone has) and verdict."""
     edges = written(host_edges(pages), "edges")
     ranks = propagate(edges, seeds(judged(pages, rules), edges, blocked))
-    ranks = ranks.join(ranks.groupBy("kind").agg(F.sum("rank").alias("all")), "kind").withColumn("rank", F.col("rank") / F.col("all"))
-    sums = ranks.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
-    verdict = F.when(F.col("distrust") > RATIO * (1 + ROUNDING) * F.col("trust"), "block").otherwise("allow")
-    return sums.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), verdict.alias("host_verdict"))
+    sums = ranks.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0)).alias(k) for k in ("trust", "distrust")))
+    bad = (F.col("distrust") > THRESHOLD * UNIT) & (F.col("distrust") > RATIO * F.col("trust"))
+    return sums.select("host", (F.col("trust") / UNIT).alias("trust"), (F.col("distrust") / UNIT).alias("distrust"), F.when(bad, "block").otherwise("allow").alias("host_verdict"))
 
 
 def url_verdicts(pages: DataFrame, rules: tuple[PathRule, ...] = RULES, blocked: DataFrame | None = None) -> DataFrame:
@@ -144,3 +143,32 @@ def url_verdicts(pages: DataFrame, rules: tuple[PathRule, ...] = RULES, blocked:
 
 def op5_link_graph(spark, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
+
+
+def _sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    lower = lambda x: f"translate({x}, '{UPPER}', '{LOWER}')"
+    ordered = sorted(RULES, key=lambda r: (-len(r.text), r.text))
+    case = lambda value: "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{value(r)}'" for r in ordered) + " END"
+    turn = lambda k: f"""r{k + 1} AS (SELECT kind, host, sum(rank)::BIGINT AS rank FROM (SELECT kind, dst AS host, floor(rank * share)::BIGINT AS rank FROM r{k} JOIN moves USING (kind, host)
+  UNION ALL SELECT * FROM r0) GROUP BY kind, host)"""
+    return f"""
+WITH parts AS (SELECT page_id, coalesce(html, '') AS html, {lower(f"coalesce(regexp_extract(url, {quoted(URL)}, 1), '')")} AS host, coalesce(regexp_extract(url, {quoted(URL)}, 2), '') AS path FROM pages),
+j AS MATERIALIZED (SELECT *, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS said FROM parts),
+links AS (SELECT host AS src, {lower("dst")} AS dst, count(*)::DOUBLE AS weight FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, {quoted(LINK)}, 1))) AS dst FROM j) GROUP BY ALL),
+hosts AS (SELECT DISTINCT string_split(host, '.') AS l FROM (SELECT host FROM j UNION ALL SELECT dst FROM links)),
+up AS (SELECT DISTINCT array_to_string(l[i + 1:], '.') AS src, array_to_string(l[i + 2:], '.') AS dst, 1.0::DOUBLE AS weight FROM (SELECT l, unnest(range(0, len(l) - 2)) AS i FROM hosts)),
+edges AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM links UNION ALL SELECT * FROM up) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
+both_ways AS (SELECT 'trust' AS kind, src AS host, dst, weight FROM edges UNION ALL SELECT 'distrust', dst, src, weight FROM edges),
+moves AS MATERIALIZED (SELECT kind, host, dst, weight / sum(weight) OVER (PARTITION BY kind, host) * {1 - RESTART!r} AS share FROM both_ways),
+shares AS (SELECT host, floor(avg((coalesce(said, '') = 'allow')::INT) * {UNIT})::BIGINT AS trust, floor(avg((coalesce(said, '') = 'block')::INT) * {UNIT})::BIGINT AS distrust FROM j WHERE host <> '' GROUP BY host),
+r0 AS MATERIALIZED (SELECT * FROM (SELECT 'trust' AS kind, host, trust AS rank FROM shares UNION ALL SELECT 'distrust', host, distrust FROM shares) WHERE rank > 0),
+{", ".join(turn(k) for k in range(ROUNDS))},
+s AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0)::BIGINT AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0)::BIGINT AS distrust FROM r{ROUNDS} GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN distrust > {THRESHOLD * UNIT!r} AND distrust > {RATIO!r} * trust THEN 'block' END, 'allow') AS verdict,
+  coalesce(trust, 0)::DOUBLE / {UNIT} AS trust, coalesce(distrust, 0)::DOUBLE / {UNIT} AS distrust
+FROM j LEFT JOIN s USING (host)
+"""
+
+
+OP5_SQL = _sql()
