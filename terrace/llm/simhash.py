@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 from .arrays import load, save
 from .bktree import Forest, hook
-from .common import scratch_path, shuffle_partitions, table, text_of, written
+from .common import fresh, scratch_path, shuffle_partitions, table, text_of, written
 from .components import connected_components
 
 #: Fingerprints in one tree; more in a shard are cut into pairs of chunks.
@@ -32,6 +32,8 @@ SHARD_ITEMS = 4096
 #: Expected fingerprints in a shard, beyond which keys take more blocks.
 SHARD_MEAN = 2048
 QUERY_BLOCK = 4096
+#: Rows that a task builds trees over at a time, unless one shard has more; and hashes whose bits are counted at a time.
+UNIT_ROWS, HASH_BLOCK = 1 << 16, 1 << 18
 
 
 def majority_bits(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -40,8 +42,12 @@ def majority_bits(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     out = np.zeros(len(length), np.uint64)
     full = np.flatnonzero(length)
     if len(full):
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, rows[:-1][full], axis=0, dtype=np.int32)
+        starts, ones = rows[:-1][full], np.zeros((len(full), 64), np.int32)
+        for a in range(0, len(hashes), HASH_BLOCK):
+            part = hashes[a : a + HASH_BLOCK]
+            bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            first, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, a + len(part))
+            ones[first:last] += np.add.reduceat(bits, np.maximum(starts[first:last] - a, 0), axis=0, dtype=np.int32)
         out[full] = np.packbits(2 * ones > length[full, None], axis=1).reshape(-1).view(">u8")
     return out
 
@@ -107,28 +113,45 @@ def spread(keyed: DataFrame, by: str, limit: int = SHARD_ITEMS) -> DataFrame:
     )
 
 
-def _gathered(batches) -> pa.Table | None:
-    batches = list(batches)
-    return pa.Table.from_batches(batches) if batches else None
+def whole_units(batches, limit: int | None = None):
+    """The rows, which come in order of unit, in tables of whole units of about that many rows: a task holds no more than these or its largest unit."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= (limit or UNIT_ROWS):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            unit = rows.column("unit").to_numpy()
+            cut = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on
+            if cut:
+                yield rows.slice(0, cut)
+            held, n = rows.slice(cut).to_batches(), rows.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def in_units(df: DataFrame, tasks: int) -> DataFrame:
+    """df dealt out by unit, each partition in order of unit, as whole_units() reads it."""
+    return df.repartition(tasks, "unit").sortWithinPartitions("unit")
 
 
 def _linker(radius: int):
     def run(batches):
-        rows = _gathered(batches)
-        if rows is None or not rows.num_rows:
-            return
-        unit, fp = (rows.column(c).to_numpy() for c in ("unit", "fp"))
-        order = np.lexsort((fp, unit))
-        unit, fp = unit[order], fp[order]
-        fresh = np.ones(len(unit), bool)
-        fresh[1:] = (unit[1:] != unit[:-1]) | (fp[1:] != fp[:-1])
-        unit, fp = unit[fresh], fp[fresh]
-        forest, label = Forest(unit, fp.view(np.uint64)), np.arange(len(fp))
-        for first in range(0, len(fp), QUERY_BLOCK):
-            a, b, _ = forest.earlier_within(np.arange(first, min(first + QUERY_BLOCK, len(fp))), radius)
-            hook(label, a, b)
-        tied = np.flatnonzero(label != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[tied]), pa.array(fp[label[tied]])], ["u", "v"])
+        for rows in whole_units(batches):
+            unit, fp = (rows.column(c).to_numpy() for c in ("unit", "fp"))
+            order = np.lexsort((fp, unit))
+            unit, fp = unit[order], fp[order]
+            fresh = np.ones(len(unit), bool)
+            fresh[1:] = (unit[1:] != unit[:-1]) | (fp[1:] != fp[:-1])
+            unit, fp = unit[fresh], fp[fresh]
+            forest, label = Forest(unit, fp.view(np.uint64)), np.arange(len(fp))
+            for first in range(0, len(fp), QUERY_BLOCK):
+                a, b, _ = forest.earlier_within(np.arange(first, min(first + QUERY_BLOCK, len(fp))), radius)
+                hook(label, a, b)
+            tied = np.flatnonzero(label != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[tied]), pa.array(fp[label[tied]])], ["u", "v"])
 
     return run
 
@@ -137,7 +160,7 @@ def link_edges(points: DataFrame, radius: int, items: int) -> DataFrame:
     """u, v: a spanning forest, shard by shard, of all links between distinct fingerprints fp that differ in at most `radius` bits."""
     keyed = points.select("fp", F.explode(block_keys(F.col("fp"), radius, items)).alias("key"))
     units = spread(keyed, "fp").select("unit", "fp")
-    return units.repartition(shuffle_partitions(points.sparkSession), "unit").mapInArrow(_linker(radius), "u bigint, v bigint")
+    return in_units(units, shuffle_partitions(points.sparkSession)).mapInArrow(_linker(radius), "u bigint, v bigint")
 
 
 def simhash_classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
@@ -263,14 +286,11 @@ def _wide_linker(folder: str, similarity: float):
     classes so far are compared by the whole fingerprint, and those that may be similar by their shingle sets, a query's closest first."""
     most = most_differing(similarity)
 
-    def run(batches):
-        parts = [(b.column("unit").to_numpy(), b.column("node").to_numpy(), _words_of(b.column("wide")).copy(), b.column("file").to_numpy(), b.column("span").to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        unit, node, wide, file, span = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
+    def linked(rows: pa.Table) -> pa.RecordBatch:
+        unit, node, file, span = (rows.column(c).to_numpy() for c in ("unit", "node", "file", "span"))
         order = np.lexsort((node, unit))
-        unit, node, wide, file, span = unit[order], node[order], wide[order], file[order], span[order]
+        unit, node, file, span = unit[order], node[order], file[order], span[order]
+        wide = _words_of(rows.column("wide").combine_chunks())[order]
         read = _set_reader(folder)
         shingles = lambda i: read(int(file[i]), int(span[i]))
         forest, label = Forest(unit, np.ascontiguousarray(wide[:, 0])), np.arange(len(node))
@@ -293,7 +313,11 @@ def _wide_linker(folder: str, similarity: float):
                     hook(label, i[near], j[near])
                     u, v = u[~head], v[~head]
         tied = np.flatnonzero(label != np.arange(len(node)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[label[tied]])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[label[tied]])], ["u", "v"])
+
+    def run(batches):
+        for rows in whole_units(batches):
+            yield linked(rows)
 
     return run
 
@@ -308,7 +332,7 @@ def _near_duplicates(docs: DataFrame, width: int, similarity: float) -> DataFram
     first = F.first(F.struct("wide", "file", "span")).alias("p")
     points = written(wide.groupBy("node").agg(F.min("doc_id").alias("least"), first).select("node", "least", "p.*"), "points")
     keyed = points.select(*POINT).mapInArrow(_banded, "key bigint, node bigint, wide binary, file bigint, span bigint")
-    units = spread(keyed, "node").select("unit", *POINT).repartition(2 * shuffle_partitions(spark), "unit")
+    units = in_units(spread(keyed, "node").select("unit", *POINT), 2 * shuffle_partitions(spark))
     links = units.mapInArrow(_wide_linker(folder, similarity), "u bigint, v bigint")
     named = points.join(connected_components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     classes = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
@@ -342,7 +366,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     """
     rows = _near_duplicates(docs, width, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("k")
-    kept = rows.groupBy("root").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.print").alias("__kept"))
-    printed = docs.withColumn("__print", F.xxhash64(text_of()))
-    found = printed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__kept")))
-    return found.drop("__id", "__kept").dropDuplicates(["doc_id", "__print"]).drop("__print")
+    kept = rows.groupBy("root").agg(first).select(F.col("k.doc_id").alias("id"), F.col("k.print").alias("kept"))
+    own, of_id, of_print = fresh(docs, "print", "of_id", "of_print")
+    kept = kept.select(F.col("id").alias(of_id), F.col("kept").alias(of_print))
+    found = docs.withColumn(own, F.xxhash64(text_of())).join(kept, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(own) == F.col(of_print)))
+    return found.drop(of_id, of_print).dropDuplicates(["doc_id", own]).drop(own)
