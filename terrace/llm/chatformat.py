@@ -71,11 +71,12 @@ def rotations(conversations: DataFrame, segment_turns: int = SEGMENT_TURNS) -> D
     turns = numbered(conversations, segment_turns)
     speakers = turns.where(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("speaker")).distinct()
     segments = turns.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("turn", "place", "role", "text"))).alias("turns"))
-    views = segments.join(speakers.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id"))).drop("id")
-    size = lambda t: F.char_length(head(t["role"], F.col("speaker"))) + F.char_length(body(t["text"]))
-    sizes = views.select("conv_id", "speaker", "segment", F.aggregate("turns", F.lit(0).cast("bigint"), lambda n, t: n + size(t)).alias("size"))
-    starts = beginnings(sizes).select(F.col("conv_id").alias("id"), F.col("speaker").alias("by"), F.col("segment").alias("of"), "start")
-    views = views.join(starts, F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("speaker") == F.col("by")) & (F.col("segment") == F.col("of")))
+    lengths = segments.select("conv_id", "segment", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.char_length(body(t["text"])).alias("body"))).alias("turns"))
+    sized = lengths.join(speakers.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id")))
+    size = lambda t: F.char_length(head(t["role"], F.col("speaker"))) + t["body"]
+    starts = beginnings(sized.select("conv_id", "speaker", "segment", F.aggregate("turns", F.lit(0).cast("bigint"), lambda n, t: n + size(t)).alias("size")))
+    starts = starts.select(F.col("conv_id").alias("id"), "speaker", F.col("segment").alias("of"), "start")
+    views = segments.join(starts, F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("segment") == F.col("of")))
     pieces = views.withColumn("pieces", F.transform("turns", lambda t: F.struct(head(t["role"], F.col("speaker")).alias("head"), body(t["text"]).alias("body"), (t["role"] == F.col("speaker")).alias("own"))))
     stop = lambda at, p: at + F.char_length(p["head"]) + F.char_length(p["body"])
     own = lambda at, p: F.when(p["own"], F.struct((at + F.char_length(p["head"])).alias("start"), stop(at, p).alias("stop")))
