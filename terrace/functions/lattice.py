@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,17 +15,27 @@ REAR_FLOOR_M = 50.0
 
 
 def floor_div(x: Column, c: float) -> Column:
-    """x // c of floats as fmod defines it, which differs from floor(x / c) on cell borders; bigint."""
-    m = x % F.lit(float(c))
-    d = (x - m) / F.lit(float(c)) - F.when(m < 0, 1.0).otherwise(0.0)
-    f = F.floor(d)
-    return (f + F.when(d - f > 0.5, 1).otherwise(0)).cast("bigint")
+    """x // c of floats: the largest whole n with n * c <= x, exactly, which floor(x / c) is not on cell borders; bigint.
+
+    The quotient is only ever rounded up to a whole number, so one comparison settles it. c is
+    split into a part of 30 bits and the rest, whose products with n are exact.
+    """
+    c = float(c)
+    high, low = split(c)
+    n = F.floor(x / F.lit(c))
+    return n - F.when(x - n * F.lit(high) < n * F.lit(low), 1).otherwise(0)
+
+
+def split(c: float) -> tuple[float, float]:
+    """c as a sum of a number of 30 bits and one of 23."""
+    fraction, power = math.frexp(c)
+    high = math.ldexp(round(fraction * 2**30), power - 30)
+    return high, c - high
 
 
 def idiv(i: Column, k) -> Column:
-    """Floor division of integers; `div` truncates."""
-    k = F.lit(k) if isinstance(k, int) else k
-    return F.call_function("div", i - F.pmod(i, k), k)
+    """Floor division of integers of less than 53 bits by a positive number."""
+    return F.floor(i / (F.lit(k) if isinstance(k, int) else k))
 
 
 def by_ring(ring: Column, values) -> Column:
@@ -46,18 +57,19 @@ def d_aniso(x: Column, y: Column, s: Schedule, speed: Column) -> Column:
 
 
 def _at_or_below(d: Column, s: Schedule) -> Column:
-    return reduce(lambda a, r: a + F.when(d >= float(r.half_width_m), 1).otherwise(0), s.rings, F.lit(0))
+    """How many rings' half widths a distance reaches."""
+    return reduce(lambda a, r: a.when(d < float(r.half_width_m), r.ring), s.rings[1:], F.when(d < float(s.rings[0].half_width_m), 0)).otherwise(len(s.rings))
 
 
 def ring_of(x: Column, y: Column, s: Schedule, speed: Column | None = None) -> Column:
     """Ring that serves a point in the vehicle frame; -1 outside. A border belongs to the coarser ring."""
-    speed = F.lit(0.0) if speed is None else speed
-    geometric = _at_or_below(F.greatest(F.abs(x), F.abs(y)), s)
-    ring = F.greatest(_at_or_below(d_aniso(x, y, s, speed), s), geometric)
+    n, geometric = len(s.rings), _at_or_below(F.greatest(F.abs(x), F.abs(y)), s)
+    if speed is None and s.anisotropy.rear_stretch == 1.0:  # nothing is stretched, and the floor behind the vehicle changes nothing
+        return F.when(geometric >= n, OUTSIDE).otherwise(geometric).cast("int")
+    ring = F.greatest(_at_or_below(d_aniso(x, y, s, F.lit(0.0) if speed is None else speed), s), geometric)
     if (floor := s.rear_floor_ring) is not None:
         rear = (x < 0) & (F.abs(x) < REAR_FLOOR_M) & (geometric <= floor)
         ring = F.when(rear, F.least(ring, F.lit(floor))).otherwise(ring)
-    n = len(s.rings)
     return F.when(geometric >= n, OUTSIDE).otherwise(F.least(ring, F.lit(n - 1))).cast("int")
 
 
@@ -121,13 +133,11 @@ def annulus_index(ix: Column, iy: Column, side: int, low: int, high: int) -> Col
 
 
 def with_ring(rows: DataFrame, ring: Column) -> DataFrame:
-    """Adds ring. It is made by a generator, past which the optimizer moves no filter, so its long expression stands once in the plan."""
-    return rows.select("*", F.explode(F.array(ring)).alias("ring"))
+    return rows.withColumn("ring", ring)
 
 
 def with_cells(points: DataFrame, s: Schedule, xw: Column, yw: Column, ring: Column) -> DataFrame:
     """Adds ring, ix, iy of world coordinates; ix and iy are null outside the map."""
-    fine = F.struct(ring.alias("ring"), floor_div(xw, s.base_cell_m).alias("__i"), floor_div(yw, s.base_cell_m).alias("__j"))
-    at = points.select("*", F.inline(F.array(fine)))
+    fine = points.withColumns({"ring": ring, "ix": floor_div(xw, s.base_cell_m), "iy": floor_div(yw, s.base_cell_m)})
     k = by_ring(F.col("ring"), [s.k(r.ring) for r in s.rings]).cast("bigint")
-    return at.withColumns({"ix": idiv(F.col("__i"), k), "iy": idiv(F.col("__j"), k)}).drop("__i", "__j")
+    return fine.withColumns({"ix": idiv(F.col("ix"), k), "iy": idiv(F.col("iy"), k)})

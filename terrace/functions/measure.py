@@ -77,8 +77,9 @@ def raw_class(label: Column) -> Column:
 
 def learning_id(label: Column, missing: int = -1) -> Column:
     """Class of a raw label word; `missing` where there is none. The live map's and the evaluation's unlabelled class is 31."""
-    known = F.create_map(*(x for k, v in C.RAW_TO_LEARNING.items() if v != 19 for x in (F.lit(k), F.lit(v))))
-    return F.coalesce(F.try_element_at(known, raw_class(label)), F.lit(missing)).cast("int")
+    by_label = [C.RAW_TO_LEARNING.get(k, 19) for k in range(max(C.RAW_TO_LEARNING) + 1)]
+    known = F.array(*(F.lit(None if v == 19 else v).cast("int") for v in by_label))
+    return F.coalesce(F.get(known, raw_class(label)), F.lit(missing))
 
 
 def is_moving(label: Column) -> Column:

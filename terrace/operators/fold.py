@@ -46,7 +46,12 @@ def fuse(state: Column, seen: Column, th: Thresholds = THRESHOLDS) -> Column:
 def fold_frames(aggregates: DataFrame, by: list[str] = CELL) -> DataFrame:
     """Final state of every cell. aggregates: one row for each frame and cell; a cell's frames are folded in order within one row."""
     rows = aggregates.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("frame", *MEASURED))).alias("seen"))
-    return rows.select(*by, F.aggregate("seen", empty_state(), lambda acc, x: fuse(acc, x)).alias("s")).select(*by, "s.*")
+    return _unpacked(rows, by, F.aggregate("seen", empty_state(), lambda acc, x: fuse(acc, x)))
+
+
+def _unpacked(rows: DataFrame, by: list[str], state: Column) -> DataFrame:
+    """The fields of a state as columns, by a generator: a filter on them is not moved before it, where it would compute the state once more for each field it asks for."""
+    return rows.select(*by, F.inline(F.array(state)))
 
 
 def merge_frame(state: DataFrame, aggregate: DataFrame) -> DataFrame:
@@ -54,7 +59,7 @@ def merge_frame(state: DataFrame, aggregate: DataFrame) -> DataFrame:
     prior = state.select(*CELL, F.struct(*(n for n, _, _ in STATE)).alias("prior"))
     now = aggregate.select(*CELL, F.struct("frame", *MEASURED).alias("now"))
     both = prior.join(now, CELL, "full_outer").withColumn("prior", F.coalesce("prior", empty_state()))
-    return both.select(*CELL, F.when(F.col("now").isNull(), F.col("prior")).otherwise(fuse(F.col("prior"), F.col("now"))).alias("s")).select(*CELL, "s.*")
+    return _unpacked(both, CELL, F.when(F.col("now").isNull(), F.col("prior")).otherwise(fuse(F.col("prior"), F.col("now"))))
 
 
 def last_islands(aggregates: DataFrame, windows: DataFrame) -> DataFrame:

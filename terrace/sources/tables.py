@@ -23,8 +23,8 @@ def _pick(values, index: Column) -> Column:
 
 
 def with_labels(points: DataFrame) -> DataFrame:
-    cls = learning_id(F.col("raw_label"), 31)
-    return points.withColumns({"cls": cls, "ground": is_ground(cls), "moving": is_moving(F.col("raw_label"))})
+    labelled = points.withColumn("cls", learning_id(F.col("raw_label"), 31))
+    return labelled.withColumns({"ground": is_ground(F.col("cls")), "moving": is_moving(F.col("raw_label"))})
 
 
 def sweep_points(spark: SparkSession, sf_dir: str) -> DataFrame:
