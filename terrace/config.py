@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field, replace
+import math
+from dataclasses import asdict, dataclass, fields, replace
 
 # Fixed values of the cell encoding and the sensor.
 TRAV_CLEARANCE, TRAV_SLOPE, TRAV_STEP, TRAV_ROUGHNESS, TRAV_CLASS, TRAV_CONFIDENCE = 1, 2, 4, 8, 16, 32
@@ -35,96 +36,98 @@ class ConfigError(ValueError):
 
 
 @dataclass(frozen=True)
-class Anisotropy:
-    kappa_forward: float = 1.0
-    kappa_side: float = 0.5
-    v_ref_ms: float = 15.0
-    rear_stretch: float = 1.0
-    rear_floor_cell_m: float = 0.20
+class Band:
+    """One ring of a schedule, with what follows from its reach and cell: base cells along a cell, cells along its full square and along the hole that finer rings serve, and the first slot where full squares are stored one after another."""
 
-
-@dataclass(frozen=True)
-class Ring:
-    ring: int
-    half_width_m: float
+    number: int
+    reach_m: float
     cell_m: float
-    cells: int | None = None
+    units: int
+    side: int
+    hole: int
+    first: int
+
+    @property
+    def cells(self) -> int:
+        return self.side**2 - self.hole**2
 
 
 @dataclass(frozen=True)
 class Schedule:
+    """Rings from fine to coarse around the vehicle. With speed, distances ahead count less and those aside more (ahead and aside per at_ms); behind, rings up to cells of fine_behind_m are kept; a cell changes to a coarser ring only `slack` beyond its border."""
+
     name: str
-    rings: tuple[Ring, ...]
-    base_cell_m: float = 0.05
-    hysteresis_eps: float = 0.1
-    anisotropy: Anisotropy = field(default_factory=Anisotropy)
-
-    def k(self, ring: int) -> int:
-        """Base cells along a ring's cell."""
-        return round(self.rings[ring].cell_m / self.base_cell_m)
-
-    def side(self, ring: int) -> int:
-        """Cells along a ring's full square."""
-        n = 2 * self.rings[ring].half_width_m / self.rings[ring].cell_m
-        if abs(n - round(n)) > 1e-9:
-            raise ConfigError(f"ring {ring}: {n} cells along its side")
-        return round(n)
-
-    def hole(self, ring: int) -> int:
-        """Cells of this ring along the square that finer rings serve."""
-        return 0 if ring == 0 else round(2 * self.rings[ring - 1].half_width_m / self.rings[ring].cell_m)
-
-    def offset(self, ring: int) -> int:
-        """First slot of the ring when full squares are stored one after another."""
-        return sum(self.side(r) ** 2 for r in range(ring))
-
-    def logical_cells(self, ring: int) -> int:
-        return self.side(ring) ** 2 - self.hole(ring) ** 2
-
-    def refinement(self, ring: int) -> int:
+    unit_m: float
+    bands: tuple[Band, ...]
+    slack: float = 0.1
+    ahead: float = 1.0
+    aside: float = 0.5
+    behind: float = 1.0
+    at_ms: float = 15.0
+    fine_behind_m: float = 0.20
+
+    def split(self, number: int) -> int:
         """Cells of the next finer ring along one of this ring's."""
-        return self.k(ring) // self.k(ring - 1)
+        return self.bands[number].units // self.bands[number - 1].units
 
     @property
-    def rear_floor_ring(self) -> int | None:
-        fine = [r.ring for r in self.rings if r.cell_m <= self.anisotropy.rear_floor_cell_m + 1e-9]
-        return None if not fine or len(fine) == len(self.rings) else max(fine)
-
-
-def validate(s: Schedule) -> list[str]:
-    """Raises where cells do not nest; returns warnings."""
-    notes = []
-    for n, r in enumerate(s.rings):
-        ratio = r.cell_m / s.base_cell_m
-        if round(ratio) < 1 or abs(ratio - round(ratio)) > 1e-9:
-            raise ConfigError(f"ring {n}: {r.cell_m} m is no whole multiple of {s.base_cell_m} m")
-        if n and r.half_width_m <= s.rings[n - 1].half_width_m:
-            raise ConfigError(f"ring {n}: half widths must increase")
-        if n and s.k(n) % s.k(n - 1):
-            raise ConfigError(f"ring {n}: {s.k(n)} base cells are no multiple of {s.k(n - 1)}")
-        if r.cells is not None and r.cells != s.logical_cells(n):
-            raise ConfigError(f"ring {n}: {r.cells} cells stated, {s.logical_cells(n)} follow")
-        spacing = r.half_width_m * 0.2 * 3.141592653589793 / 180
-        if not 0.5 <= r.cell_m / spacing <= 2:
-            notes.append(f"ring {n}: cell {r.cell_m} m against an azimuth spacing of {spacing:.3f} m")
-    return notes
-
-
-FOVEATED = Schedule("5_10_20_40", (Ring(0, 10, 0.05, 160_000), Ring(1, 25, 0.10, 210_000), Ring(2, 50, 0.20, 187_500), Ring(3, 100, 0.40, 187_500)))
-THREE_RINGS = Schedule("5_10_50", (Ring(0, 10, 0.05, 160_000), Ring(1, 25, 0.10, 210_000), Ring(2, 100, 0.50, 150_000)), anisotropy=Anisotropy(rear_floor_cell_m=0.50))
+    def kept_behind(self) -> int | None:
+        """The coarsest ring that is kept behind the vehicle; None where all or none are."""
+        fine = [b.number for b in self.bands if b.cell_m <= self.fine_behind_m + 1e-9]
+        return max(fine) if 0 < len(fine) < len(self.bands) else None
+
+
+def whole(value: float, what: str) -> int:
+    if round(value) < 1 or abs(value - round(value)) > 1e-9:
+        raise ConfigError(f"{what}: {value} is no whole number")
+    return round(value)
+
+
+def schedule(name: str, rings: tuple[tuple[float, float], ...], unit_m: float = 0.05, cells: tuple[int | None, ...] = (), **more: float) -> Schedule:
+    """A schedule of (reach, cell) in metres, whose cells nest; `cells`, where given, are checked against what follows."""
+    bands: list[Band] = []
+    for n, (reach, cell) in enumerate(rings):
+        inner = bands[-1] if bands else None
+        units, side = whole(cell / unit_m, f"ring {n}, base cells"), whole(2 * reach / cell, f"ring {n}, cells along its side")
+        if inner and (reach <= inner.reach_m or units % inner.units):
+            raise ConfigError(f"ring {n} does not continue ring {n - 1}: reaches must increase and cells nest")
+        bands.append(Band(n, reach, cell, units, side, round(2 * inner.reach_m / cell) if inner else 0, inner.first + inner.side**2 if inner else 0))
+    if wrong := [b.number for b, n in zip(bands, cells, strict=False) if n not in (None, b.cells)]:
+        raise ConfigError(f"{name}: rings {wrong} have other numbers of cells than stated")
+    return Schedule(name, unit_m, tuple(bands), **more)
+
+
+def notes(s: Schedule, azimuth_deg: float = 0.2) -> list[str]:
+    """Rings whose cells are far from the spacing of returns along a scan line at their border."""
+    spacing = [b.reach_m * math.radians(azimuth_deg) for b in s.bands]
+    return [f"ring {b.number}: cell {b.cell_m} m against an azimuth spacing of {x:.3f} m" for b, x in zip(s.bands, spacing, strict=True) if not 0.5 <= b.cell_m / x <= 2]
+
+
+def parse_schedule(text: str) -> Schedule:
+    """A schedule from JSON: name, rings (reach_m, cell_m and, if wanted, cells), and any of unit_m, slack, ahead, aside, behind, at_ms, fine_behind_m."""
+    given = json.loads(text)
+    rings, name = given.pop("rings", None), given.pop("name", None)
+    allowed = {f.name for f in fields(Schedule)} - {"name", "bands"}
+    if not rings or not name or given.keys() - allowed:
+        raise ConfigError(f"a schedule has a name and rings, and of {sorted(allowed)} what it likes; not {sorted(given.keys() - allowed)}")
+    stated = tuple(r.get("cells") for r in rings)
+    return schedule(name, tuple((r["reach_m"], r["cell_m"]) for r in rings), cells=stated, **given)
+
+
+FOVEATED = schedule("5_10_20_40", ((10, 0.05), (25, 0.10), (50, 0.20), (100, 0.40)), cells=(160_000, 210_000, 187_500, 187_500))
+THREE_RINGS = schedule("5_10_50", ((10, 0.05), (25, 0.10), (100, 0.50)), cells=(160_000, 210_000, 150_000), fine_behind_m=0.50)
 SCHEDULES = {s.name: s for s in (FOVEATED, THREE_RINGS)}
 
 
 def load(name: str) -> Schedule:
     if name not in SCHEDULES:
         raise ConfigError(f"no schedule {name!r}; there are {', '.join(SCHEDULES)}")
-    validate(SCHEDULES[name])
     return SCHEDULES[name]
 
 
 def uniform(cell_m: float, half_width_m: float) -> Schedule:
     """One ring of one cell size."""
-    return Schedule(f"uniform_{round(cell_m * 100)}cm", (Ring(0, half_width_m, cell_m),), base_cell_m=cell_m)
+    return schedule(f"uniform_{round(cell_m * 100)}cm", ((half_width_m, cell_m),), unit_m=cell_m)
 
 
 @dataclass(frozen=True)
@@ -190,6 +193,21 @@ class Thresholds:
 THRESHOLDS = Thresholds()
 
 
+def parse_thresholds(text: str, base: Thresholds = THRESHOLDS) -> Thresholds:
+    """Thresholds from a JSON object that names those that differ from base; pairs are lists of two."""
+    given = {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(text).items()}
+    if unknown := given.keys() - {f.name for f in fields(Thresholds)}:
+        raise ConfigError(f"no such thresholds: {sorted(unknown)}")
+    return replace(base, **given)
+
+
+def class_name(number: int) -> str:
+    """Name of a learning id; the stored unlabelled class and ids without a name are unlabelled. Ids that five bits cannot hold are refused."""
+    if not 0 <= number <= UNLABELLED:
+        raise ConfigError(f"class {number} is outside 0 to {UNLABELLED}")
+    return CLASS_NAMES[number] if number < len(CLASS_NAMES) else CLASS_NAMES[-1]
+
+
 def frozen(expected: str, th: Thresholds = THRESHOLDS) -> Thresholds:
     if th.digest() != expected:
         raise ConfigError("thresholds moved since they were frozen")

@@ -45,8 +45,8 @@ def by_ring(ring: Column, values) -> Column:
 
 def stretch(s: Schedule, speed: Column) -> tuple[Column, Column, Column]:
     """Forward, side and rear factors at a speed."""
-    a, t = s.anisotropy, speed / s.anisotropy.v_ref_ms
-    return F.least(F.greatest(1.0 + a.kappa_forward * t, F.lit(1.0)), F.lit(2.0)), 1.0 / (1.0 + a.kappa_side * t), F.lit(float(a.rear_stretch))
+    t = speed / s.at_ms
+    return F.least(F.greatest(1.0 + s.ahead * t, F.lit(1.0)), F.lit(2.0)), 1.0 / (1.0 + s.aside * t), F.lit(float(s.behind))
 
 
 def d_aniso(x: Column, y: Column, s: Schedule, speed: Column) -> Column:
@@ -56,18 +56,24 @@ def d_aniso(x: Column, y: Column, s: Schedule, speed: Column) -> Column:
     return F.greatest(F.greatest(x, zero) / forward, F.greatest(-x, zero) / rear, F.abs(y) / side)
 
 
-def _at_or_below(d: Column, s: Schedule) -> Column:
-    """How many rings' half widths a distance reaches."""
-    return reduce(lambda a, r: a.when(d < float(r.half_width_m), r.ring), s.rings[1:], F.when(d < float(s.rings[0].half_width_m), 0)).otherwise(len(s.rings))
+def _at_or_below(d: Column, s: Schedule, beyond: int | None = None) -> Column:
+    """How many rings' half widths a distance reaches; `beyond` where it reaches all."""
+    return reduce(lambda a, r: a.when(d < float(r.reach_m), r.number), s.bands[1:], F.when(d < float(s.bands[0].reach_m), 0)).otherwise(len(s.bands) if beyond is None else beyond)
+
+
+def in_map(x: Column, y: Column, s: Schedule) -> Column:
+    """Whether some ring serves a point of the vehicle frame: ring_of(...) >= 0 in few operations, for filters, which the optimizer copies to where the data come from."""
+    return F.greatest(F.abs(x), F.abs(y)) < float(s.bands[-1].reach_m)
 
 
 def ring_of(x: Column, y: Column, s: Schedule, speed: Column | None = None) -> Column:
     """Ring that serves a point in the vehicle frame; -1 outside. A border belongs to the coarser ring."""
-    n, geometric = len(s.rings), _at_or_below(F.greatest(F.abs(x), F.abs(y)), s)
-    if speed is None and s.anisotropy.rear_stretch == 1.0:  # nothing is stretched, and the floor behind the vehicle changes nothing
-        return F.when(geometric >= n, OUTSIDE).otherwise(geometric).cast("int")
+    n, distance = len(s.bands), F.greatest(F.abs(x), F.abs(y))
+    if speed is None and s.behind == 1.0:  # nothing is stretched, and the floor behind the vehicle changes nothing
+        return _at_or_below(distance, s, OUTSIDE).cast("int")
+    geometric = _at_or_below(distance, s)
     ring = F.greatest(_at_or_below(d_aniso(x, y, s, F.lit(0.0) if speed is None else speed), s), geometric)
-    if (floor := s.rear_floor_ring) is not None:
+    if (floor := s.kept_behind) is not None:
         rear = (x < 0) & (F.abs(x) < REAR_FLOOR_M) & (geometric <= floor)
         ring = F.when(rear, F.least(ring, F.lit(floor))).otherwise(ring)
     return F.when(geometric >= n, OUTSIDE).otherwise(F.least(ring, F.lit(n - 1))).cast("int")
@@ -76,20 +82,20 @@ def ring_of(x: Column, y: Column, s: Schedule, speed: Column | None = None) -> C
 def migrate_ring(x: Column, y: Column, s: Schedule, current: Column, speed: Column | None = None) -> Column:
     """Ring with hysteresis: coarser only well beyond the current ring's border, finer as soon as within the next."""
     speed = F.lit(0.0) if speed is None else speed
-    radii = [float(r.half_width_m) for r in s.rings]
+    radii = [float(r.reach_m) for r in s.bands]
     d, target = d_aniso(x, y, s, speed), ring_of(x, y, s, speed)
-    beyond = d > by_ring(current, [r * (1.0 + s.hysteresis_eps) for r in radii])
+    beyond = d > by_ring(current, [r * (1.0 + s.slack) for r in radii])
     within = d < by_ring(current, [-1.0, *radii[:-1]])
     return F.when(current == OUTSIDE, target).when(beyond, F.when(target == OUTSIDE, OUTSIDE).otherwise(F.greatest(target, current + 1))).when(within, target).otherwise(current).cast("int")
 
 
 def cell_index(w: Column, ring: Column, s: Schedule) -> Column:
     """Cell of a world coordinate on its ring's lattice: the base lattice divided by whole numbers."""
-    return idiv(floor_div(w, s.base_cell_m), by_ring(ring, [s.k(r.ring) for r in s.rings]).cast("bigint"))
+    return idiv(floor_div(w, s.unit_m), by_ring(ring, [r.units for r in s.bands]).cast("bigint"))
 
 
 def cell_size(ring: Column, s: Schedule) -> Column:
-    return by_ring(ring, [float(r.cell_m) for r in s.rings])
+    return by_ring(ring, [float(r.cell_m) for r in s.bands])
 
 
 def centre(i: Column, ring: Column, s: Schedule) -> Column:
@@ -99,18 +105,18 @@ def centre(i: Column, ring: Column, s: Schedule) -> Column:
 def window_start(ego: Column, ring: Column, s: Schedule) -> Column:
     """First cell of a ring's window for a vehicle at that world coordinate: centred on the vehicle's cell of the ring."""
     size = cell_size(ring, s)
-    return F.floor(ego / size).cast("bigint") - by_ring(ring, [s.side(r.ring) // 2 for r in s.rings]).cast("bigint")
+    return F.floor(ego / size).cast("bigint") - by_ring(ring, [r.side // 2 for r in s.bands]).cast("bigint")
 
 
 def in_window(i: Column, start: Column, ring: Column, s: Schedule) -> Column:
-    side = by_ring(ring, [s.side(r.ring) for r in s.rings])
+    side = by_ring(ring, [r.side for r in s.bands])
     return (i >= start) & (i < start + side)
 
 
 def slot(ix: Column, iy: Column, ring: Column, s: Schedule) -> Column:
     """Position in ring-after-ring storage with wrap-around addressing; for outputs only."""
-    side = by_ring(ring, [s.side(r.ring) for r in s.rings]).cast("bigint")
-    offset = by_ring(ring, [s.offset(r.ring) for r in s.rings]).cast("bigint")
+    side = by_ring(ring, [r.side for r in s.bands]).cast("bigint")
+    offset = by_ring(ring, [r.first for r in s.bands]).cast("bigint")
     return offset + F.pmod(iy, side) * side + F.pmod(ix, side)
 
 
@@ -138,6 +144,6 @@ def with_ring(rows: DataFrame, ring: Column) -> DataFrame:
 
 def with_cells(points: DataFrame, s: Schedule, xw: Column, yw: Column, ring: Column) -> DataFrame:
     """Adds ring, ix, iy of world coordinates; ix and iy are null outside the map."""
-    fine = points.withColumns({"ring": ring, "ix": floor_div(xw, s.base_cell_m), "iy": floor_div(yw, s.base_cell_m)})
-    k = by_ring(F.col("ring"), [s.k(r.ring) for r in s.rings]).cast("bigint")
+    fine = points.withColumns({"ring": ring, "ix": floor_div(xw, s.unit_m), "iy": floor_div(yw, s.unit_m)})
+    k = by_ring(F.col("ring"), [r.units for r in s.bands]).cast("bigint")
     return fine.withColumns({"ix": idiv(F.col("ix"), k), "iy": idiv(F.col("iy"), k)})

@@ -80,8 +80,8 @@ def windows_of(frames: DataFrame, s: C.Schedule) -> DataFrame:
     """frame, ring, x0, y0, side. frames: frame, ego_x, ego_y."""
     from terrace.functions.lattice import window_start
 
-    rings = frames.withColumn("ring", F.explode(F.array(*(F.lit(r.ring) for r in s.rings))))
-    side = F.element_at(F.array(*(F.lit(s.side(r.ring)) for r in s.rings)), F.col("ring") + 1)
+    rings = frames.withColumn("ring", F.explode(F.array(*(F.lit(r.number) for r in s.bands))))
+    side = F.element_at(F.array(*(F.lit(r.side) for r in s.bands)), F.col("ring") + 1)
     return rings.select("frame", "ring", window_start(F.col("ego_x"), F.col("ring"), s).alias("x0"), window_start(F.col("ego_y"), F.col("ring"), s).alias("y0"), side.alias("side"))
 
 

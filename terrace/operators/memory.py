@@ -12,9 +12,9 @@ from terrace.operators.pyramid import level_sides
 
 def budget(spark: SparkSession, s: Schedule = C.FOVEATED) -> DataFrame:
     """item, units, bytes of a map of that schedule: logical cells, stored squares, transient layer, pool, tracks, pyramid."""
-    slots = sum(s.side(r.ring) ** 2 for r in s.rings)
-    logical = sum(s.logical_cells(r.ring) for r in s.rings)
-    nodes = sum(n * n for r in s.rings for n in level_sides(s.side(r.ring))[1:])
+    slots = sum(r.side ** 2 for r in s.bands)
+    logical = sum(r.cells for r in s.bands)
+    nodes = sum(n * n for r in s.bands for n in level_sides(r.side)[1:])
     pool = THRESHOLDS.pool_blocks * THRESHOLDS.pool_cells
     rows = [
         ("logical cells", logical, logical * C.CELL_BYTES), ("stored cells", slots, slots * C.CELL_BYTES), ("transient", slots, slots * C.TRANSIENT_BYTES),
@@ -25,9 +25,9 @@ def budget(spark: SparkSession, s: Schedule = C.FOVEATED) -> DataFrame:
 
 def baselines(spark: SparkSession, s: Schedule = C.FOVEATED, footprint_m: float = 200.0, vertical_m: float = 8.0) -> DataFrame:
     """name, units, bytes, ratio of one dense voxel grid and one uniform grid to the schedule's logical cells."""
-    side = round(footprint_m / s.base_cell_m)
-    ours = sum(s.logical_cells(r.ring) for r in s.rings) * C.CELL_BYTES
-    dense, flat = side * side * round(vertical_m / s.base_cell_m), side * side
+    side = round(footprint_m / s.unit_m)
+    ours = sum(r.cells for r in s.bands) * C.CELL_BYTES
+    dense, flat = side * side * round(vertical_m / s.unit_m), side * side
     rows = [("dense voxels", dense, dense), ("uniform cells", flat, flat * C.CELL_BYTES)]
     return spark.createDataFrame(rows, "name string, units bigint, bytes bigint").withColumn("ratio", F.col("bytes") / ours)
 

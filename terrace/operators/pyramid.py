@@ -27,7 +27,7 @@ def nodes(cells: DataFrame, s: Schedule = C.FOVEATED, levels: int | None = None)
     a block with fewer than its area also holds cells never seen, so n_min and and_mask
     stand for it only together with that count.
     """
-    sides = [level_sides(s.side(r.ring)) for r in s.rings]
+    sides = [level_sides(r.side) for r in s.bands]
     depth = max(map(len, sides)) if levels is None else levels + 1
     half = F.element_at(F.array(*(F.lit(x[0] // 2) for x in sides)), F.col("ring") + 1)
     deep = F.element_at(F.array(*(F.lit(min(len(x), depth) - 1) for x in sides)), F.col("ring") + 1)
@@ -41,7 +41,7 @@ def nodes(cells: DataFrame, s: Schedule = C.FOVEATED, levels: int | None = None)
 
 def block_area(s: Schedule) -> Column:
     """Cells of the window in a node's block, fewer at the window's far edges."""
-    side = F.element_at(F.array(*(F.lit(s.side(r.ring)) for r in s.rings)), F.col("ring") + 1)
+    side = F.element_at(F.array(*(F.lit(r.side) for r in s.bands)), F.col("ring") + 1)
     edge = lambda i: F.least(F.expr(f"shiftleft({i} + 1, level)"), side) - F.expr(f"shiftleft({i}, level)")
     return edge("row") * edge("col")
 
@@ -57,7 +57,7 @@ def classified(found: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:
 
 def block_extent(found: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:
     """Adds ix_lo, iy_lo, ix_hi, iy_hi (exclusive): the cells under a node."""
-    side = F.element_at(F.array(*(F.lit(s.side(r.ring)) for r in s.rings)), F.col("ring") + 1)
+    side = F.element_at(F.array(*(F.lit(r.side) for r in s.bands)), F.col("ring") + 1)
     half = F.floor(side / 2).cast("bigint")
     low = lambda i: F.expr(f"shiftleft({i}, level)") - half
     high = lambda i: F.least(F.expr(f"shiftleft({i} + 1, level)"), side) - half

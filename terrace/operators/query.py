@@ -24,7 +24,7 @@ def at_points(points: DataFrame, cells: DataFrame, s: Schedule = C.FOVEATED, tra
     fields = ["ground_cm", "ceiling_cm", "class_byte", "trav", "obs_count", "log_odds", "flags"]
     found = asked.join(cells.select(*CELL, F.struct(*fields).alias("own")), CELL, "left")
     if refined is not None:
-        fine = L.by_ring(F.col("ring"), [1, *(s.refinement(r.ring) for r in s.rings[1:])]).cast("bigint")
+        fine = L.by_ring(F.col("ring"), [1, *(s.split(r.number) for r in s.bands[1:])]).cast("bigint")
         inner = lambda c, i: L.cell_index(F.col(c), F.greatest(F.col("ring") - 1, F.lit(0)), s) - F.col(i) * fine
         found = found.withColumn("child", (inner("y", "iy") * fine + inner("x", "ix")).cast("int"))
         found = found.join(refined.select(*CELL, "child", F.struct(*fields).alias("fine")), [*CELL, "child"], "left").withColumn("own", F.coalesce("fine", "own"))

@@ -34,8 +34,8 @@ def block_stats(ref: DataFrame, k: Column, by: list[str]) -> DataFrame:
 
 def ring_blocks(ref: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:
     """Block statistics under the cells of every ring: ring, ix, iy, n_ref, ref_mean, ref_var."""
-    rings = ref.withColumn("ring", F.explode(F.array(*(F.lit(r.ring) for r in s.rings))))
-    k = L.by_ring(F.col("ring"), [s.k(r.ring) for r in s.rings]).cast("bigint")
+    rings = ref.withColumn("ring", F.explode(F.array(*(F.lit(r.number) for r in s.bands))))
+    k = L.by_ring(F.col("ring"), [r.units for r in s.bands]).cast("bigint")
     return block_stats(rings, k, ["ring"]).select("ring", F.col("bi").alias("ix"), F.col("bj").alias("iy"), "n_ref", "ref_mean", "ref_var")
 
 
@@ -72,7 +72,7 @@ def height_errors(both: DataFrame) -> DataFrame:
 
 
 def with_share(both: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:
-    k = L.by_ring(F.col("ring"), [s.k(r.ring) for r in s.rings])
+    k = L.by_ring(F.col("ring"), [r.units for r in s.bands])
     return both.withColumn("share", F.col("n_ref") / (k * k))
 
 
@@ -96,7 +96,7 @@ def saturated(cells: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:
 
 def evaluate(cells: DataFrame, ref: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:
     """One row a ring with all scores; rings without cells have nulls."""
-    rings = cells.sparkSession.createDataFrame([(r.ring, float(r.cell_m)) for r in s.rings], "ring int, cell_m double")
+    rings = cells.sparkSession.createDataFrame([(r.number, float(r.cell_m)) for r in s.bands], "ring int, cell_m double")
     scores = height_errors(with_share(compared(cells, ref, s), s))
     return rings.join(scores, "ring", "left").join(occupancy_scores(cells, ref, s), "ring", "left").join(saturated(cells, s), "ring", "left")
 

@@ -44,8 +44,8 @@ def children_of(cells: DataFrame, s: Schedule = C.FOVEATED, th: Thresholds = THR
     A child's traversability is its parent's.
     """
     size = L.cell_size(F.col("ring"), s)
-    finer = L.by_ring(F.col("ring"), [0.0, *(float(r.cell_m) for r in s.rings[:-1])])
-    m = L.by_ring(F.col("ring"), [1, *(s.refinement(r.ring) for r in s.rings[1:])])
+    finer = L.by_ring(F.col("ring"), [0.0, *(float(r.cell_m) for r in s.bands[:-1])])
+    m = L.by_ring(F.col("ring"), [1, *(s.split(r.number) for r in s.bands[1:])])
     variance = M.inflate(M.decode_variance(F.col("var_code")) * 1e-4, F.lit(0.0) if slope is None else slope, size, finer, th)
     split = cells.where("ring >= 1").withColumns({"var_code": M.encode_variance(variance * 1e4), "flags": F.col("flags").bitwiseOR(C.FLAG_DERIVED).bitwiseAND(~C.FLAG_REFINED & 0xFF)})
     return split.withColumn("child", F.explode(F.sequence(F.lit(0), m * m - 1)))
@@ -66,7 +66,7 @@ def gate(cells: DataFrame, transient: DataFrame | None = None, th: Thresholds =
 def levels_available(s: Schedule, ring: int, th: Thresholds = THRESHOLDS) -> int:
     cells, levels = 1, 0
     for r in range(ring, 0, -1):
-        cells *= s.refinement(r) ** 2
+        cells *= s.split(r) ** 2
         if cells > th.pool_cells:
             break
         levels += 1
@@ -75,7 +75,7 @@ def levels_available(s: Schedule, ring: int, th: Thresholds = THRESHOLDS) -> int
 
 def pool_requests(gated: DataFrame, s: Schedule = C.FOVEATED, speed: float = 0.0, th: Thresholds = THRESHOLDS) -> DataFrame:
     """Cells that fire and can be refined, with the score by which the pool ranks them."""
-    fit = L.by_ring(F.col("ring"), [levels_available(s, r.ring, th) for r in s.rings]) >= 1
+    fit = L.by_ring(F.col("ring"), [levels_available(s, r.number, th) for r in s.bands]) >= 1
     x, y = L.centre(F.col("ix"), F.col("ring"), s), L.centre(F.col("iy"), F.col("ring"), s)
     score = M.priority(F.sqrt(x * x + y * y), F.col("dynamic"), M.time_to_collision(x, F.lit(float(speed))))
     return gated.where(F.col("fires") & fit).select(*CELL, score.alias("score"), L.slot(F.col("ix"), F.col("iy"), F.col("ring"), s).alias("slot"))

@@ -15,7 +15,8 @@ CELL = ["ring", "ix", "iy"]
 
 def binned(points: DataFrame, s: C.Schedule, xw: str = "x", yw: str = "y", speed: Column | None = None, ego: tuple[Column, Column] | None = None) -> DataFrame:
     """Adds ring, ix, iy; drops returns outside the map, and with `ego` those outside the ring's window around it."""
-    at = L.with_cells(points, s, F.col(xw), F.col(yw), L.ring_of(F.col("x"), F.col("y"), s, speed)).where(F.col("ring") >= 0)
+    x, y = F.col("x"), F.col("y")
+    at = L.with_cells(points.where(L.in_map(x, y, s)), s, F.col(xw), F.col(yw), L.ring_of(x, y, s, speed))
     if ego is not None:
         for i, e in zip(("ix", "iy"), ego, strict=True):
             at = at.where(L.in_window(F.col(i), L.window_start(e, F.col("ring"), s), F.col("ring"), s))

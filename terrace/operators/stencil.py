@@ -32,15 +32,15 @@ def neighbours(cells: DataFrame, values: list[str], wanted: dict[str, tuple[Colu
 
 
 def _half(ring: Column, s: Schedule) -> Column:
-    return L.by_ring(ring, [s.side(r.ring) // 2 for r in s.rings]).cast("bigint")
+    return L.by_ring(ring, [r.side // 2 for r in s.bands]).cast("bigint")
 
 
 def _last(ring: Column, s: Schedule) -> Column:
-    return L.by_ring(ring, [s.side(r.ring) - s.side(r.ring) // 2 - 1 for r in s.rings]).cast("bigint")
+    return L.by_ring(ring, [r.side - r.side // 2 - 1 for r in s.bands]).cast("bigint")
 
 
 def _reach(ring: Column, s: Schedule, baseline_m: float) -> Column:
-    return L.by_ring(ring, [C.baseline_cells(r.cell_m, baseline_m) for r in s.rings]).cast("bigint")
+    return L.by_ring(ring, [C.baseline_cells(r.cell_m, baseline_m) for r in s.bands]).cast("bigint")
 
 
 def _cross(s: Schedule, baseline_m: float, clip: bool) -> dict[str, tuple[Column, Column]]:
@@ -147,7 +147,7 @@ def curbs(cells: DataFrame, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLD
 def potholes(cells: DataFrame, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS) -> DataFrame:
     """ring, ix, iy, depth_cm, rim_pairs of cells below a flat rim that is seen on opposed sides."""
     seen = cells.where(_observed()).select(*CELL, "ground_cm")
-    r = L.by_ring(F.col("ring"), [max(1, round(th.rim_m / x.cell_m)) for x in s.rings]).cast("bigint")
+    r = L.by_ring(F.col("ring"), [max(1, round(th.rim_m / x.cell_m)) for x in s.bands]).cast("bigint")
     rim = neighbours(seen, ["ground_cm"], {f"d{n}": (F.col("ix") - dx * r, F.col("iy") - dy * r) for n, (dy, dx) in enumerate(DIRECTIONS)}).where(~on_border(s, r))
     z = lambda n: F.col(f"d{n}.ground_cm").cast("double")
     axes = F.filter(F.array(*(F.when(z(n).isNotNull() & z(n + 4).isNotNull(), F.array(z(n), z(n + 4))) for n in range(4))), lambda x: x.isNotNull())

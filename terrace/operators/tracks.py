@@ -2,55 +2,62 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from terrace.config import THRESHOLDS
+from terrace.config import THRESHOLDS, Thresholds
 
 SCHEMA = "seq string, frame int, track_id int, x double, y double, vx double, vy double, class_id int, frames_since_seen int"
-STATE = "tracks string, next_id int"
-
-
-def advance(tracks: list[dict], detections: list[tuple[float, float, int]], next_id: int) -> tuple[list[dict], int]:
-    """One frame: every track moves on and ages, each detection in turn takes the nearest track within the gate or starts one; beyond the capacity the stalest gives way."""
-    th = THRESHOLDS
-    for t in tracks:
-        t["x"] += t["vx"] * th.frame_s
-        t["y"] += t["vy"] * th.frame_s
-        t["age"] += 1
-    tracks = [t for t in tracks if t["age"] <= th.track_ttl_frames]
+STATE = "tracks binary, next_id int"
+#: Columns of the array of a sequence's tracks, oldest first.
+ID, X, Y, VX, VY, CLASS, AGE = range(7)
+NO_TRACKS = np.zeros((0, 7))
+
+
+def advance(tracks: np.ndarray, detections: np.ndarray, next_id: int, th: Thresholds = THRESHOLDS) -> tuple[np.ndarray, int]:
+    """One frame. All tracks move on and age, and those unseen for too long go. Detections (x, y, class) come in turn: one within the gate of a track
+    moves the nearest, which may be met again; another starts a track, in place of the one unseen longest where all places are taken."""
+    now = tracks.copy()
+    now[:, [X, Y]] += now[:, [VX, VY]] * th.frame_s
+    now[:, AGE] += 1
+    now = now[now[:, AGE] <= th.track_ttl_frames]
     for x, y, cls in detections:
-        near = min(tracks, key=lambda t: math.hypot(t["x"] - x, t["y"] - y), default=None)
-        if near is not None and math.hypot(near["x"] - x, near["y"] - y) <= th.track_gate_m:
-            near.update(vx=(x - near["x"]) / th.frame_s, vy=(y - near["y"]) / th.frame_s, x=x, y=y, age=0)
-            continue
-        if len(tracks) >= th.track_capacity:
-            tracks.remove(max(tracks, key=lambda t: t["age"]))
-        tracks.append({"id": next_id, "x": x, "y": y, "vx": 0.0, "vy": 0.0, "cls": cls, "age": 0})
-        next_id += 1
-    return tracks, next_id
+        apart = np.hypot(now[:, X] - x, now[:, Y] - y)
+        if len(now) and apart.min() <= th.track_gate_m:
+            hit = now[apart.argmin()]
+            hit[[VX, VY]] = (x - hit[X]) / th.frame_s, (y - hit[Y]) / th.frame_s
+            hit[[X, Y, AGE]] = x, y, 0
+        else:
+            kept = np.delete(now, now[:, AGE].argmax(), axis=0) if len(now) >= th.track_capacity else now
+            now = np.vstack([kept, [next_id, x, y, 0.0, 0.0, cls, 0]])
+            next_id += 1
+    return now, next_id
 
 
-def _rows(seq: str, frame: int, tracks: list[dict]) -> list[tuple]:
-    return [(seq, frame, t["id"], t["x"], t["y"], t["vx"], t["vy"], t["cls"], t["age"]) for t in tracks]
+def _rows(seq: str, frame: int, tracks: np.ndarray) -> pd.DataFrame:
+    whole = {"track_id": ID, "class_id": CLASS, "frames_since_seen": AGE}
+    columns = {"seq": seq, "frame": frame} | {n: tracks[:, k] for n, k in (("x", X), ("y", Y), ("vx", VX), ("vy", VY))} | {n: tracks[:, k].astype(int) for n, k in whole.items()}
+    return pd.DataFrame(columns, index=range(len(tracks)))[_COLUMNS]
 
 
 _COLUMNS = ["seq", "frame", "track_id", "x", "y", "vx", "vy", "class_id", "frames_since_seen"]
 
 
+def _found(frames: pd.DataFrame) -> dict[int, np.ndarray]:
+    """Detections of each frame, in order."""
+    return {int(f): g[["x", "y", "class_id"]].to_numpy(float) for f, g in frames.sort_values(["frame", "det"]).groupby("frame")}
+
+
 def _sequence(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
-    tracks, next_id, out = [], 1, []
-    found = {f: g for f, g in frames.sort_values(["frame", "det"]).groupby("frame")}
-    for frame in range(int(frames["frame"].min()), int(frames["frame"].max()) + 1) if len(frames) else ():
-        rows = found.get(frame)
-        dets = [] if rows is None else list(zip(rows["x"], rows["y"], rows["class_id"], strict=True))
-        tracks, next_id = advance(tracks, dets, next_id)
-        out += _rows(key[0], frame, tracks)
-    return pd.DataFrame(out, columns=_COLUMNS)
+    tracks, next_id, found, out = NO_TRACKS, 1, _found(frames), []
+    for frame in range(min(found), max(found) + 1) if found else ():
+        tracks, next_id = advance(tracks, found.get(frame, np.zeros((0, 3))), next_id)
+        out.append(_rows(key[0], frame, tracks))
+    return pd.concat(out) if out else _rows(key[0], 0, NO_TRACKS)
 
 
 def track(detections: DataFrame) -> DataFrame:
@@ -62,15 +69,12 @@ def track(detections: DataFrame) -> DataFrame:
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    import json
-
-    stored, next_id = state.get if state.exists else ("[]", 1)
-    tracks = json.loads(stored)
-    frames = pd.concat(list(batches)).sort_values(["frame", "det"])
-    for frame, rows in frames.groupby("frame"):
-        tracks, next_id = advance(tracks, list(zip(rows["x"], rows["y"], rows["class_id"].tolist(), strict=True)), next_id)
-        yield pd.DataFrame(_rows(key[0], int(frame), tracks), columns=_COLUMNS)
-    state.update((json.dumps(tracks), next_id))
+    stored, next_id = state.get if state.exists else (b"", 1)
+    tracks = np.frombuffer(bytes(stored)).reshape(-1, NO_TRACKS.shape[1])
+    for frame, detections in _found(pd.concat(list(batches))).items():
+        tracks, next_id = advance(tracks, detections, next_id)
+        yield _rows(key[0], frame, tracks)
+    state.update((tracks.tobytes(), next_id))
 
 
 def track_stream(detections: DataFrame) -> DataFrame:

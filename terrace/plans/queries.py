@@ -144,7 +144,7 @@ def p32_priority(spark, sf_dir):
     return wide_points(spark, sf_dir).select("frame", "point_id", F.round(score, 9).alias("score"), F.when(ttc < float("inf"), F.round(ttc, 9)).alias("ttc"))
 
 
-@register(f"WITH {I.COST_SQL} SELECT map_id, i, j, trav, unknown, CASE WHEN isinf(cost) THEN NULL ELSE cost END AS cost FROM cm")
+@register(f"WITH {I.COST_SQL} SELECT \"window\", map_id, i, j, trav, unknown, CASE WHEN isinf(cost) THEN NULL ELSE cost END AS cost FROM cm")
 def p34_costs(spark, sf_dir):
     return I.cost_maps(spark, sf_dir).withColumn("cost", F.when(F.col("cost") < float("inf"), F.col("cost")))
 
@@ -394,14 +394,14 @@ def t7_evictions(spark, sf_dir):
 def _tested(spark, sf_dir):
     points = sweep_points(spark, sf_dir)
     there = perception.occupied_in_frame(I.state(spark, sf_dir).withColumn("frame", F.lit(6)), F.lit(0.0), F.lit(0.0))
-    touched = scatter.binned(points.where("frame = 6 AND point_id % 3 = 0"), FOVEATED).select("frame", *CELL)
+    touched = scatter.binned(points.where("frame = 6"), FOVEATED).select("frame", *CELL)
     return perception.seen_through(there, perception.range_image(points.where("frame = 6")), touched)
 
 
 _THROUGH = f"""{Q.FOLDED}, {Q.IMAGE}, oc AS (SELECT *, (ix + 5e-1) * {Q.SIZE} AS x, (iy + 5e-1) * {Q.SIZE} AS y, (CASE WHEN ceiling_cm <> 32767 THEN ceiling_cm ELSE ground_cm END) / 1e2 - 1.73::DOUBLE AS z FROM st WHERE {Q.occupancy()} = 2),
 tc AS (SELECT *, {Q.PIX} AS u, {Q.elevation("z", "cr")} AS v FROM (SELECT *, {Q.R} AS cr FROM oc)),
 tt AS (SELECT tc.ring, tc.ix, tc.iy, tc.v >= 0 AND tc.v < 64 AND cr > 1e-6 AS in_view, coalesce(im.r > cr + greatest(3e0 * sqrt(cr * cr * {Q.num(C.THRESHOLDS.sigma_phi_rad ** 2)} + (1.73::DOUBLE / greatest(cr, 1e-3)) * (1.73::DOUBLE / greatest(cr, 1e-3)) * 0.0004::DOUBLE), 0.3::DOUBLE), false) AS far, t.ring IS NOT NULL AS now
-  FROM tc LEFT JOIN im ON im.frame = 6 AND im.v = tc.v AND im.u = tc.u LEFT JOIN (SELECT DISTINCT ring, ix, iy FROM b WHERE frame = 6 AND point_id % 3 = 0) t ON t.ring = tc.ring AND t.ix = tc.ix AND t.iy = tc.iy)"""
+  FROM tc LEFT JOIN im ON im.frame = 6 AND im.v = tc.v AND im.u = tc.u LEFT JOIN (SELECT DISTINCT ring, ix, iy FROM b WHERE frame = 6) t ON t.ring = tc.ring AND t.ix = tc.ix AND t.iy = tc.iy)"""
 
 
 @register(f"WITH {_THROUGH} SELECT ring, ix, iy, in_view, in_view AND far AND NOT now AS see_through, in_view AND far AND now AS protected FROM tt")
@@ -421,7 +421,7 @@ def t15_residual_motion(spark, sf_dir):
 
 @register()
 def j12_tracks(spark, sf_dir):
-    found = scatter.clusters(sweep_points(spark, sf_dir)).withColumns({"seq": F.lit("00"), "det": (F.col("cx") * 1000 + F.col("cy")).cast("int")})
+    found = scatter.clusters(sweep_points(spark, sf_dir)).withColumns({"seq": F.concat_ws("/", F.col("cx").cast("string"), F.col("cy").cast("string")), "det": (F.col("cx") * 1000 + F.col("cy")).cast("int")})
     return tracks.track(found)
 
 
@@ -444,9 +444,9 @@ def f9_gate(spark, sf_dir):
     return refine.gate(cells, cells.where("(ix + iy) % 17 = 0").select(*CELL)).select(*CELL, "fires", "dynamic")
 
 
-@register(f"WITH {Q.RASTER_TRAV}, rq AS (SELECT ring, ix, iy, round(1e0 / (1e0 + sqrt(x * x + y * y) / 10) * 4e0 * greatest(1e0 / (1e0 + CASE WHEN x > 0 THEN x / 5e0 ELSE 'inf'::DOUBLE END / 3e0), 5e-2), 9) AS score, 160000 + ((iy % 500 + 500) % 500) * 500 + (ix % 500 + 500) % 500 AS slot FROM (SELECT *, (ix + 5e-1) * 1e-1 AS x, (iy + 5e-1) * 1e-1 AS y FROM tr WHERE (ix + iy) % 3 = 0)) SELECT * FROM rq ORDER BY score DESC, slot LIMIT 512")
+@register(f"WITH {Q.RASTER_TRAV}, rq AS (SELECT ring, ix, iy, round(1e0 / (1e0 + sqrt(x * x + y * y) / 10) * 4e0 * greatest(1e0 / (1e0 + CASE WHEN x > 0 THEN x / 5e0 ELSE 'inf'::DOUBLE END / 3e0), 5e-2), 9) AS score, 160000 + ((iy % 500 + 500) % 500) * 500 + (ix % 500 + 500) % 500 AS slot FROM (SELECT *, (ix + 5e-1) * 1e-1 AS x, (iy + 5e-1) * 1e-1 AS y FROM tr)) SELECT * FROM rq ORDER BY score DESC, slot LIMIT 512")
 def o2_pool(spark, sf_dir):
-    cells = I.raster_trav(spark, sf_dir).where("(ix + iy) % 3 = 0")
+    cells = I.raster_trav(spark, sf_dir)
     requests = refine.pool_requests(cells.withColumns({"dynamic": F.lit(True), "fires": F.lit(True)}), speed=5.0)
     return refine.admitted(requests.withColumn("score", F.round("score", 9)))
 
@@ -465,24 +465,19 @@ def o3_release(spark, sf_dir):
 # --- queries -----------------------------------------------------------------------------
 
 
-def _asked(spark, sf_dir):
-    p = sweep_points(spark, sf_dir).where("frame = 0 AND x < 20 OR point_id % 50 = 0")
-    return p.select(F.xxhash64("frame", "point_id").alias("query_id"), "frame", "point_id", "x", "y")
-
-
-@register(f"WITH {Q.FOLDED}, q AS (SELECT frame, point_id, ring, ix, iy FROM b WHERE point_id % 5 = 0), mv AS (SELECT ring, ix, iy, greatest(max(z_cm), 0) AS m FROM b WHERE moving AND frame = 6 GROUP BY ALL) SELECT DISTINCT frame, point_id, coalesce(m, ground_cm, 0) / 1e2 AS ground_m, coalesce(ceiling_cm, 32767) / 1e2 AS ceiling_m, (coalesce(class_byte, 0) >> 3)::INT AS semantic_class, coalesce(obs_count, 0)::INT AS n, CASE WHEN m IS NOT NULL THEN 2 WHEN obs_count IS NULL THEN 0 ELSE {Q.occupancy()} END AS occupancy, m IS NOT NULL AS dynamic FROM q LEFT JOIN st USING (ring, ix, iy) LEFT JOIN mv USING (ring, ix, iy)")
+@register(f"WITH {Q.FOLDED}, q AS (SELECT frame, point_id, ring, ix, iy FROM b), mv AS (SELECT ring, ix, iy, greatest(max(z_cm), 0) AS m FROM b WHERE moving AND frame = 6 GROUP BY ALL) SELECT DISTINCT frame, point_id, coalesce(m, ground_cm, 0) / 1e2 AS ground_m, coalesce(ceiling_cm, 32767) / 1e2 AS ceiling_m, (coalesce(class_byte, 0) >> 3)::INT AS semantic_class, coalesce(obs_count, 0)::INT AS n, CASE WHEN m IS NOT NULL THEN 2 WHEN obs_count IS NULL THEN 0 ELSE {Q.occupancy()} END AS occupancy, m IS NOT NULL AS dynamic FROM q LEFT JOIN st USING (ring, ix, iy) LEFT JOIN mv USING (ring, ix, iy)")
 def q2_points(spark, sf_dir):
     points = sweep_points(spark, sf_dir)
-    asked = points.where("point_id % 5 = 0").select(F.struct("frame", "point_id").alias("query_id"), "x", "y").distinct()
+    asked = points.select(F.struct("frame", "point_id").alias("query_id"), "x", "y").distinct()
     moving = scatter.transient_cells(points).where("frame = 6")
     cells = I.state(spark, sf_dir).withColumn("trav", F.lit(0))
     return query.at_points(asked, cells, transient=moving).select("query_id.*", "ground_m", "ceiling_m", "semantic_class", "n", "occupancy", "dynamic")
 
 
-@register(f"WITH {Q.RASTER_TRAV}, bx AS (SELECT p_partkey AS box_id, p_partkey % 64 - 32 AS x, p_size % 64 - 32 AS y, p_partkey % 9 AS s FROM part) SELECT box_id, count(*)::BIGINT AS n, bit_or(trav) AS or_mask, bit_and(trav) AS and_mask FROM bx JOIN tr ON ix BETWEEN x AND x + s AND iy BETWEEN y AND y + s GROUP BY box_id")
+@register(f"WITH {Q.RASTER_TRAV}, bx AS (SELECT p_partkey AS box_id, p_partkey % 448 - 224 AS x, p_size * 7 % 448 - 224 AS y, p_partkey % 9 AS s FROM part) SELECT box_id, count(*)::BIGINT AS n, bit_or(trav) AS or_mask, bit_and(trav) AS and_mask FROM bx JOIN tr ON ix BETWEEN x AND x + s AND iy BETWEEN y AND y + s GROUP BY box_id")
 def q3_boxes(spark, sf_dir):
     p, z = F.col("p_partkey"), F.col("p_size")
-    x, y, n = p % 64 - 32, (z % 64 - 32).cast("bigint"), p % 9
+    x, y, n = p % 448 - 224, (z * 7 % 448 - 224).cast("bigint"), p % 9
     boxes = read(spark, sf_dir, "part").select(p.alias("box_id"), F.lit(1).alias("ring"), x.alias("ix_lo"), y.alias("iy_lo"), (x + n).alias("ix_hi"), (y + n).alias("iy_hi"))
     return pyramid.box_query(I.raster_trav(spark, sf_dir), boxes)
 
@@ -497,55 +492,63 @@ def q8_resample(spark, sf_dir):
 
 @register()
 def g1_paths(spark, sf_dir):
-    paths = planning.plan(I.cost_maps(spark, sf_dir), I.plan_queries(spark))
-    return paths.select("map_id", "query_id", r6(F.col("cost")).alias("cost"), F.size("path").alias("steps"))
+    paths = planning.plan(I.cost_maps(spark, sf_dir), I.plan_queries(spark, sf_dir))
+    return paths.select("window", "map_id", "query_id", r6(F.col("cost")).alias("cost"), F.size("path").alias("steps"))
 
 
 @register()
 def g2_distances(spark, sf_dir):
-    sources = I.plan_queries(spark).where("query_id < 2").select(F.lit("fine").alias("map_id"), "query_id", "si", "sj", F.lit(False).alias("reverse"))
+    sources = I.plan_queries(spark, sf_dir).select("window", "query_id", "si", "sj", F.lit(False).alias("reverse"))
     return planning.distances(I.cost_maps(spark, sf_dir), sources).withColumn("d", r6(F.col("d")))
 
 
 @register()
 def g3_corridor(spark, sf_dir):
-    return planning.corridor(I.cost_maps(spark, sf_dir), I.plan_queries(spark).where("query_id < 2")).withColumn("through", r6(F.col("through")))
+    return planning.corridor(I.cost_maps(spark, sf_dir), I.plan_queries(spark, sf_dir)).withColumn("through", r6(F.col("through")))
 
 
 @register()
 def g6_regret(spark, sf_dir):
-    found = planning.regret(I.cost_maps(spark, sf_dir), "fine", I.plan_queries(spark))
+    found = planning.regret(I.cost_maps(spark, sf_dir), "fine", I.plan_queries(spark, sf_dir))
     return found.withColumns({c: r6(F.col(c)) for c in ("reference_cost", "scored_cost", "regret", "frechet_m")})
 
 
-_WALK = "wk AS (SELECT q.range AS query_id, k.range AS step, q.range + (k.range + 1) // 2 AS i, k.range AS j FROM range(8) q, range(30) k)"
+@register()
+def g7_crossings(spark, sf_dir):
+    return planning.crossings(I.windows(spark, sf_dir), 64, I.SPAN, I.SPAN, seed=7)
+
+
+_WALK = 'wk AS (SELECT win AS "window", q.range AS query_id, k.range AS step, q.range + (k.range + 1) // 2 AS i, k.range AS j FROM (SELECT DISTINCT p_partkey // 1936 AS win FROM part), range(8) q, range(30) k)'
 
 
-@register(f"WITH {I.COST_SQL}, {_WALK}, p AS (SELECT wk.*, cost, lag(i) OVER w AS pi, lag(j) OVER w AS pj FROM (SELECT wk.query_id, wk.step, wk.i, wk.j, cm.cost FROM wk JOIN cm ON map_id = 'coarse' AND cm.i = wk.i AND cm.j = wk.j) wk WINDOW w AS (PARTITION BY query_id ORDER BY step)) SELECT query_id::INT AS query_id, CASE WHEN isinf(sum(cost)) THEN NULL ELSE round(sum(cost * CASE WHEN i <> pi AND j <> pj THEN sqrt(2e0) ELSE 1e0 END * 25e-2), 6) END AS scored FROM p WHERE pi IS NOT NULL GROUP BY query_id")
+@register(f"""WITH {I.COST_SQL}, {_WALK}, p AS (SELECT wk.*, cost, lag(i) OVER w AS pi, lag(j) OVER w AS pj FROM (SELECT wk.*, cm.cost FROM wk JOIN cm ON map_id = 'coarse' AND cm."window" = wk."window" AND cm.i = wk.i AND cm.j = wk.j) wk WINDOW w AS (PARTITION BY "window", query_id ORDER BY step))
+SELECT "window", query_id::INT AS query_id, CASE WHEN isinf(sum(cost)) THEN NULL ELSE round(sum(cost * CASE WHEN i <> pi AND j <> pj THEN sqrt(2e0) ELSE 1e0 END * 25e-2), 6) END AS scored FROM p WHERE pi IS NOT NULL GROUP BY "window", query_id""")
 def w8_path_cost(spark, sf_dir):
-    walk = spark.range(8 * 30).select(F.floor(F.col("id") / 30).cast("int").alias("query_id"), (F.col("id") % 30).cast("int").alias("step"))
-    walk = walk.select("query_id", "step", (F.col("query_id") + F.floor((F.col("step") + 1) / 2)).alias("i"), F.col("step").cast("bigint").alias("j"))
+    step = F.col("step")
+    walk = I.windows(spark, sf_dir).withColumn("query_id", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(29))))
+    walk = walk.select("window", "query_id", "step", (F.col("query_id") + F.floor((step + 1) / 2)).alias("i"), step.cast("bigint").alias("j"))
     found = planning.path_cost(walk, I.cost_maps(spark, sf_dir), "coarse")
     return found.withColumn("scored", F.when(F.col("scored") < float("inf"), r6(F.col("scored"))))
 
 
-@register(f"WITH {I.COST_SQL} SELECT i, j FROM cm GROUP BY i, j HAVING bool_and(NOT unknown AND trav & 32 = 0)")
+_SUPPORT = 's AS (SELECT "window", i, j FROM cm GROUP BY "window", i, j HAVING bool_and(NOT unknown AND trav & 32 = 0))'
+
+
+@register(f"WITH {I.COST_SQL}, {_SUPPORT} SELECT * FROM s")
 def j13_common_support(spark, sf_dir):
     return planning.common_support(I.cost_maps(spark, sf_dir))
 
 
-@register(f"WITH {I.COST_SQL}, s AS (SELECT i, j FROM cm GROUP BY i, j HAVING bool_and(NOT unknown AND trav & 32 = 0)) SELECT map_id, count(*) FILTER (NOT isinf(cost) AND s.i IS NOT NULL)::BIGINT AS open, count(*)::BIGINT AS n FROM cm LEFT JOIN s USING (i, j) GROUP BY map_id")
+@register(f'WITH {I.COST_SQL}, {_SUPPORT} SELECT "window", map_id, count(*) FILTER (NOT isinf(cost) AND s.i IS NOT NULL)::BIGINT AS open, count(*)::BIGINT AS n FROM cm LEFT JOIN s USING ("window", i, j) GROUP BY "window", map_id')
 def u5_restrict(spark, sf_dir):
     maps = I.cost_maps(spark, sf_dir)
-    return planning.restricted(maps, planning.common_support(maps)).groupBy("map_id").agg(F.count_if(F.col("cost") < float("inf")).alias("open"), F.count(F.lit(1)).alias("n"))
+    return planning.restricted(maps, planning.common_support(maps)).groupBy("window", "map_id").agg(F.count_if(F.col("cost") < float("inf")).alias("open"), F.count(F.lit(1)).alias("n"))
 
 
-@register(f"WITH {I.COST_SQL} SELECT count(*) FILTER (a.walled AND b.walled)::BIGINT AS both, count(*) FILTER (a.walled AND NOT b.walled)::BIGINT AS only_fine, count(*) FILTER (b.walled AND NOT a.walled)::BIGINT AS only_coarse FROM (SELECT i, j, isinf(cost) AS walled FROM cm WHERE map_id = 'fine') a JOIN (SELECT i, j, isinf(cost) AS walled FROM cm WHERE map_id = 'coarse') b USING (i, j)")
+@register(f"""WITH {I.COST_SQL} SELECT a."window", count(*) FILTER (a.walled AND b.walled)::BIGINT AS both, count(*) FILTER (a.walled AND NOT b.walled)::BIGINT AS only_first, count(*) FILTER (b.walled AND NOT a.walled)::BIGINT AS only_second
+FROM (SELECT *, isinf(cost) AS walled FROM cm WHERE map_id = 'fine') a JOIN (SELECT *, isinf(cost) AS walled FROM cm WHERE map_id = 'coarse') b USING ("window", i, j) GROUP BY a."window" """)
 def u4_walls(spark, sf_dir):
-    maps = I.cost_maps(spark, sf_dir).withColumn("walled", F.col("cost") == float("inf"))
-    a, b = (F.max(F.when(F.col("map_id") == m, F.col("walled"))).alias(m) for m in ("fine", "coarse"))
-    both = maps.groupBy("i", "j").agg(a, b)
-    return both.agg(F.count_if(F.col("fine") & F.col("coarse")).alias("both"), F.count_if(F.col("fine") & ~F.col("coarse")).alias("only_fine"), F.count_if(~F.col("fine") & F.col("coarse")).alias("only_coarse"))
+    return planning.walls(I.cost_maps(spark, sf_dir), "fine", "coarse")
 
 
 # --- metrics and memory ----------------------------------------------------------------------

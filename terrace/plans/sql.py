@@ -79,12 +79,12 @@ rec AS (SELECT DISTINCT ring, ix, iy, 0::BIGINT AS rn, 0 AS ground_cm, 32767 AS
   FROM rec s JOIN o ON s.ring = o.ring AND s.ix = o.ix AND s.iy = o.iy AND o.rn = s.rn + 1),
 st AS (SELECT * EXCLUDE (rn), 0 AS flags, 0 AS frames_since_seen FROM rec QUALIFY row_number() OVER (PARTITION BY ring, ix, iy ORDER BY rn DESC) = 1)"""
 WIDE_BINNED = f"{WIDE_SQL}, wr AS (SELECT *, {ring('x', 'y', 'speed')} AS ring FROM wide), wb AS (SELECT *, floor({fd('xw')} / {K})::BIGINT AS ix, floor({fd('yw')} / {K})::BIGINT AS iy FROM wr WHERE ring >= 0)"
-#: A fully observed patch of ring 1 with a kerb, a pothole and noise from the data.
-RASTER = """ras AS (SELECT 1 AS ring, i - 32 AS ix, j - 32 AS iy, (max(price % 3) + CASE WHEN i >= 40 THEN 12 ELSE 0 END
+#: Patches of ring 1 with a kerb, a pothole and noise from the data.
+RASTER = """ras AS (SELECT 1 AS ring, i + 64 * (patch % 7) - 224 AS ix, j + 64 * (patch // 7) - 224 AS iy, (max(price % 3) + CASE WHEN i >= 40 THEN 12 ELSE 0 END
     - CASE WHEN (i - 20) * (i - 20) + (j - 42) * (j - 42) <= 5 THEN 40 ELSE 0 END + CASE WHEN j < 8 THEN (8 - j) * 20 ELSE 0 END)::INT AS ground_cm,
   (CASE WHEN max(price % 11) = 10 AND i % 8 = 0 THEN 150 ELSE 32767 END)::INT AS ceiling_cm, least(count(*) * 3 + 150, 255)::INT AS var_code, (count(*) % 5)::INT AS log_odds,
   ((CASE WHEN (i + j) % 13 = 0 THEN 14 ELSE 8 END) * 8 + least(count(*), 7))::INT AS class_byte, 0 AS reflectivity, least(count(*), 255)::INT AS obs_count, 0 AS frames_since_seen, 0 AS flags, 6 AS last_frame
-  FROM (SELECT key % 64 AS i, (key // 64) % 64 AS j, price FROM (SELECT (l_orderkey * 7 + l_partkey * 13 + l_linenumber * 31 + l_suppkey)::BIGINT AS key, round(l_extendedprice * 100)::BIGINT AS price FROM lineitem)) GROUP BY i, j)"""
+  FROM (SELECT key % 64 AS i, (key // 64) % 64 AS j, (key // 4096) % 49 AS patch, price FROM (SELECT (l_orderkey * 7 + l_partkey * 13 + l_linenumber * 31 + l_suppkey)::BIGINT AS key, round(l_extendedprice * 100)::BIGINT AS price FROM lineitem)) GROUP BY i, j, patch)"""
 
 
 def neighbours(table: str, k: int, clip: tuple[int, int] | None, value: str = "ground_cm", names: str = "ewns") -> str:

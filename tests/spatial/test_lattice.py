@@ -66,13 +66,25 @@ def test_votes_saturate_and_turn(spark):
 
 
 def test_schedules_are_checked():
-    assert sum(C.FOVEATED.logical_cells(r.ring) for r in C.FOVEATED.rings) == 745_000
-    assert sum(C.THREE_RINGS.logical_cells(r.ring) for r in C.THREE_RINGS.rings) == 520_000
-    bad = C.Schedule("bad", (C.Ring(0, 10, 0.05), C.Ring(1, 25, 0.12)))
+    assert sum(b.cells for b in C.FOVEATED.bands) == 745_000 and sum(b.cells for b in C.THREE_RINGS.bands) == 520_000
+    for rings in (((10, 0.05), (25, 0.12)), ((10, 0.05), (5, 0.10)), ((10, 0.07),), ((10.01, 0.20),)):
+        with pytest.raises(C.ConfigError):
+            C.schedule("bad", rings)
     with pytest.raises(C.ConfigError):
-        C.validate(bad)
+        C.schedule("miscounted", ((10, 0.05),), cells=(5,))
+    read = C.parse_schedule('{"name": "x", "slack": 0.2, "rings": [{"reach_m": 10, "cell_m": 0.05, "cells": 160000}, {"reach_m": 20, "cell_m": 0.1}]}')
+    assert [b.side for b in read.bands] == [400, 400] and read.slack == 0.2 and read.bands[1].first == 160_000
+    for text in ('{"name": "x"}', '{"name": "x", "rings": [{"reach_m": 10, "cell_m": 0.05}], "colour": 1}'):
+        with pytest.raises(C.ConfigError):
+            C.parse_schedule(text)
+    assert C.parse_thresholds('{"min_obs": 5, "curb_cm": [4, 20]}') == C.replace(C.THRESHOLDS, min_obs=5, curb_cm=(4, 20))
     with pytest.raises(C.ConfigError):
-        C.validate(C.Schedule("shrinks", (C.Ring(0, 10, 0.05), C.Ring(1, 5, 0.10))))
-    assert C.uniform(0.25, 10).side(0) == 80 and C.baseline_cells(0.05, 0.5) == 5 and C.baseline_cells(0.4, 0.5) == 1
+        C.parse_thresholds('{"nothing": 1}')
+    assert C.class_name(8) == "road" and C.class_name(31) == "unlabeled"
+    for bad in (-1, 32):
+        with pytest.raises(C.ConfigError):
+            C.class_name(bad)
+    assert C.notes(C.uniform(0.05, 100)) and not C.notes(C.schedule("fits", ((10, 0.05),)))
+    assert C.uniform(0.25, 10).bands[0].side == 80 and C.baseline_cells(0.05, 0.5) == 5 and C.baseline_cells(0.4, 0.5) == 1
     with pytest.raises(C.ConfigError):
         C.frozen("0" * 64)

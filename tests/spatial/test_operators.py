@@ -133,23 +133,52 @@ def test_instances_need_four_pixels_and_wrap_around(spark):
 
 
 def wall(spark, gap):
-    rows = [("m", i, j, math.inf if i == 20 and j < 32 and not gap <= j < gap + 3 else 1.0) for i in range(40) for j in range(40)]
-    return spark.createDataFrame(rows, "map_id string, i bigint, j bigint, cost double")
+    rows = [(0, "m", i, j, math.inf if i == 20 and j < 32 and not gap <= j < gap + 3 else 1.0) for i in range(40) for j in range(40)]
+    return spark.createDataFrame(rows, "window bigint, map_id string, i bigint, j bigint, cost double")
 
 
 def test_paths_are_optimal_and_agree_with_distances(spark):
     maps = wall(spark, 10)
-    ask = spark.createDataFrame([(0, 2, 10, 37, 10)], "query_id int, si int, sj int, gi int, gj int")
+    ask = spark.createDataFrame([(0, 0, 2, 10, 37, 10)], "window bigint, query_id int, si int, sj int, gi int, gj int")
     got = planning.plan(maps, ask).first()
-    d = planning.distances(maps, ask.select(F.lit("m").alias("map_id"), "query_id", "si", "sj", F.lit(False).alias("reverse"))).where("i = 37 AND j = 10").first().d
+    d = planning.distances(maps, ask.select("window", "query_id", "si", "sj", F.lit(False).alias("reverse"))).where("i = 37 AND j = 10").first().d
     assert math.isclose(got.cost, d) and math.isclose(got.cost, 35 * 0.25) and len(got.path) == 36
     steps = planning.steps_of(planning.plan(maps, ask)).drop("map_id")
     assert math.isclose(planning.path_cost(steps, maps, "m").first().scored, got.cost)
 
 
+def test_distances_and_paths_against_plain_relaxation():
+    rng = np.random.default_rng(6)
+    for n in range(12):
+        nx, ny = rng.integers(3, 9, 2)
+        cost = np.where(rng.random((nx, ny)) < 0.25, np.inf, rng.integers(1, 6, (nx, ny)).astype(float))
+        lattice = planning.Lattice(cost.reshape(-1), nx, ny, 0.25)
+        a, b = (tuple(int(rng.integers(k)) for k in (nx, ny)) for _ in "ab")
+        for reverse in (False, True):
+            want = np.full((nx, ny), np.inf)
+            if np.isfinite(cost[a]):
+                want[a] = 0.0
+            for _ in range(nx * ny):
+                for i in range(nx):
+                    for j in range(ny):
+                        for di, dj, length in planning.STEPS:
+                            p = (i + di, j + dj)
+                            if 0 <= p[0] < nx and 0 <= p[1] < ny and np.isfinite(cost[i, j]) and np.isfinite(cost[p]):
+                                want[i, j] = min(want[i, j], want[p] + (cost[p] if reverse else cost[i, j]) * length * 0.25)
+            got = lattice.distances(lattice.index(*a), reverse).reshape(nx + 2, ny + 2)[1:-1, 1:-1]
+            assert np.allclose(got, want)
+            if not reverse:
+                path, paid = lattice.path(lattice.index(*a), lattice.index(*b))
+                open_ends = np.isfinite(cost[a]) and np.isfinite(cost[b])
+                assert np.isclose(paid, want[b] if open_ends else np.inf)
+                steps = [(c["i"], c["j"]) for c in lattice.cells(path)]
+                assert not steps or (steps[0] == a and steps[-1] == b)
+                assert all(max(abs(p[0] - q[0]), abs(p[1] - q[1])) == 1 for p, q in zip(steps, steps[1:], strict=False))
+
+
 def test_regret_is_zero_on_the_same_map_and_never_negative(spark):
     both = wall(spark, 10).unionByName(wall(spark, 25).withColumn("map_id", F.lit("other")))
-    ask = spark.createDataFrame([(q, 2, 5 * q, 37, 10) for q in range(4)], "query_id int, si int, sj int, gi int, gj int")
+    ask = spark.createDataFrame([(0, q, 2, 5 * q, 37, 10) for q in range(4)], "window bigint, query_id int, si int, sj int, gi int, gj int")
     got = planning.regret(both, "m", ask).collect()
     assert all(abs(r.regret) < 1e-9 and r.frechet_m == 0 for r in got if r.map_id == "m")
     assert all(r.blocked or r.regret >= -1e-9 for r in got if r.map_id == "other")
@@ -173,7 +202,7 @@ def test_tracks_survive_a_gap_and_then_expire(spark):
     rows = tracks.track(spark.createDataFrame(det, "seq string, frame int, det int, x double, y double, class_id int")).collect()
     assert {r.track_id for r in rows if r.frame <= 19} == {1}
     assert {r.track_id for r in rows if r.frame == 30} == {2} and not [r for r in rows if 20 <= r.frame < 30]
-    full, _ = tracks.advance([], [(10.0 * k, 0.0, 0) for k in range(300)], 1)
+    full, _ = tracks.advance(tracks.NO_TRACKS, np.array([(10.0 * k, 0.0, 0) for k in range(300)]), 1)
     assert len(full) == C.THRESHOLDS.track_capacity
 
 
