@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,12 @@ def drop_written(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def collect_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find the shuffles and broadcasts that nothing reads any more, and delete their files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucketed(df: DataFrame, name: str, *keys: str) -> tuple[DataFrame, str]:
     """df as a scratch table dealt out by the keys, so that joins on them need not shuffle it again; and the table's name, to drop it by."""
     spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import collect_shuffles, drop_written, written
 
 
 def _smaller_neighbour(edges: DataFrame) -> DataFrame:
@@ -38,6 +38,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         drop_written(now)
         drop_written(large)
         now = small
+        collect_shuffles(edges.sparkSession)
         if found == digest:
             break
         digest = found

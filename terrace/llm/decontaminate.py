@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import fresh, table, text_of, written
+from .common import collect_shuffles, fresh, table, text_of, written
 
 #: Fixed masks of weight 5; 1 is a word that must match, 0 one that may differ.
 SEEDS = ("111011", "11011001", "1010010011", "1100100101", "100101000101", "110001000011")
@@ -218,6 +218,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     spread = spark.sparkContext.broadcast(bloom(hashes))
     runs = docs.select("doc_key", F.lower(text_of()).alias("text")).mapInArrow(_hits(spread, reach), "doc_key string, low bigint, words array<bigint>, hits array<struct<h:bigint,first:int,last:int>>")
     runs = written(runs.dropDuplicates(["doc_key", "low"]).withColumn("run", F.monotonically_increasing_id()), "runs")
+    collect_shuffles(spark)
     hits = runs.select("run", F.explode("hits").alias("hit")).select("run", "hit.*")
     met = _meeting(hits, hashes).groupBy("run", "item").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     pairs = met.join(F.broadcast(words) if n_words <= BROADCAST_WORDS else words, "item").join(runs.select("run", "doc_key", "low", "words"), "run")

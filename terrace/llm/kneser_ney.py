@@ -25,7 +25,6 @@ Hashes of 64 bits stand for n-grams: two of n collide with a chance of n^2 / 2^6
 
 from __future__ import annotations
 
-import gc
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .arrays import count_arrays, counts_at, key_arrays, load, save, slots
-from .common import drop_written, remainder_of_id, scratch_path, table, text_of, written
+from .common import collect_shuffles, drop_written, remainder_of_id, scratch_path, table, text_of, written
 
 BEGIN, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 _STEP = np.uint64(0xFF51AFD7ED558CCD)
@@ -384,12 +383,6 @@ class Model:
         return np.maximum(count.astype(float) - off, 0)
 
 
-def collect_shuffles(spark) -> None:
-    """Lets Spark's cleaner find the shuffles that nothing reads any more, and delete their files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def train(docs: DataFrame, order: int = 3) -> Model:
     """Counts a model of that order over all the documents' whole texts (null: empty: one end token)."""
     spark = docs.sparkSession

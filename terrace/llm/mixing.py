@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_or, fresh, table, text_of, words, written
+from .common import collect_shuffles, column_or, fresh, table, text_of, words, written
 
 LEVELS = ("domain", "lang", "source")
 SEED, EPOCHS = 17, 4
@@ -98,7 +98,7 @@ def epochs_taken(docs: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
     rows = rows.withColumn("place", place_in_epoch(seed, F.col("whole"), F.col("doc_id"))).withColumn("bucket", F.substring(F.col("place"), F.lit(1), F.col("digits")))
     key = [*LEVELS, "bucket"]
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    buckets = rows.groupBy(*key, "rest").agg(F.sum("n_tokens").alias("tokens")).withColumn("before", before)
+    buckets = written(rows.groupBy(*key, "rest").agg(F.sum("n_tokens").alias("tokens")), "buckets").withColumn("before", before)
     buckets = buckets.withColumn("state", F.when(F.col("before") + F.col("tokens") <= F.col("rest"), 1).when(F.col("before") > F.col("rest"), 0).otherwise(2))
     rows = rows.drop("rest").join(buckets.select(*key, "rest", "before", "state"), key)
     upto = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*key).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
@@ -113,7 +113,9 @@ def _taken(docs: DataFrame, weights: dict[str, dict[str, int]], total_percent: i
     rows = docs.select("doc_id", domain(own("source")).alias("domain"), own("lang").alias("lang"), own("source").alias("source"), F.size(words(text_of())).cast("bigint").alias("n_tokens"), F.xxhash64(text_of()).alias("print"))
     rows = written(rows, "tokens")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
-    return epochs_taken(rows, leaf_budgets(leaves, total_percent, weights, epochs), seed)
+    budgets = written(leaf_budgets(written(leaves, "leaves"), total_percent, weights, epochs), "budgets")
+    collect_shuffles(docs.sparkSession)
+    return epochs_taken(rows, budgets, seed)
 
 
 def mixture(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, total_percent: int = TOTAL_PERCENT, epochs: int = EPOCHS, seed: int = SEED, domain=domain_of) -> DataFrame:

@@ -33,7 +33,8 @@ SHARD_ITEMS = 4096
 SHARD_MEAN = 2048
 QUERY_BLOCK = 4096
 #: Rows that a task builds trees over at a time, unless one shard has more; and hashes whose bits are counted at a time.
-UNIT_ROWS, HASH_BLOCK = 1 << 16, 1 << 18
+UNIT_ROWS, HASH_BLOCK = 1 << 16, 1 << 15
+_LOW_BITS = np.uint64(0x0101010101010101)
 
 
 def majority_bits(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -41,14 +42,21 @@ def majority_bits(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     length = np.diff(rows)
     out = np.zeros(len(length), np.uint64)
     full = np.flatnonzero(length)
-    if len(full):
-        starts, ones = rows[:-1][full], np.zeros((len(full), 64), np.int32)
-        for a in range(0, len(hashes), HASH_BLOCK):
-            part = hashes[a : a + HASH_BLOCK]
-            bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            first, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, a + len(part))
-            ones[first:last] += np.add.reduceat(bits, np.maximum(starts[first:last] - a, 0), axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * ones > length[full, None], axis=1).reshape(-1).view(">u8")
+    if not len(full):
+        return out
+    starts, ones = rows[:-1][full], np.zeros((len(full), 8, 8), np.int32)
+    for a in range(0, len(hashes), HASH_BLOCK):
+        part = hashes[a : a + HASH_BLOCK]
+        first, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, a + len(part))
+        begins = np.maximum(starts[first:last] - a, 0)
+        # one bit of each byte at a time, summed byte by byte: no more than 255 hashes at once
+        pieces = -(-np.diff(np.append(begins, len(part))) // 255)
+        head = np.cumsum(pieces) - pieces
+        cuts = np.repeat(begins, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(head, pieces))
+        for bit in range(8):
+            sums = np.add.reduceat((part >> np.uint64(bit)) & _LOW_BITS, cuts).view(np.uint8).reshape(-1, 8)
+            ones[first:last, :, bit] += np.add.reduceat(sums, head, axis=0, dtype=np.int32)
+    out[full] = np.packbits(2 * ones > length[full, None, None], axis=2, bitorder="little").reshape(-1).view("<u8")
     return out
 
 
@@ -99,11 +107,11 @@ def block_keys(fp: Column, radius: int, items: int, bits: int = 64) -> Column:
     return F.array(*keys)
 
 
-def spread(keyed: DataFrame, by: str, limit: int = SHARD_ITEMS) -> DataFrame:
+def spread(keyed: DataFrame, *by: str, limit: int = SHARD_ITEMS) -> DataFrame:
     """Adds `unit` to rows with `key`: a shard, or for a key of over `limit` rows one of the pairs of chunks that its rows are cut into."""
     hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("key", F.ceil(F.col("n") / limit).cast("int").alias("chunks"))
     hot = written(hot, "hot")  # its size is then known, and a small one needs no shuffle of the other side
-    own, other = F.pmod(F.xxhash64(by), F.col("chunks")), F.col("other")
+    own, other = F.pmod(F.xxhash64(*by), F.col("chunks")), F.col("other")
     return (
         keyed.join(hot, "key", "left")
         .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -207,7 +215,7 @@ def most_differing(similarity: float) -> int:
 
 
 def _wide(width: int, folder: str):
-    """doc_id, print, wide fingerprint, and where the set of shingles stands: number of a file in the folder; start << 32 | length."""
+    """doc_id, print, wide fingerprint, and where it and the set of shingles stand: number of a file in the folder, row of it."""
 
     def run(batches):
         for batch in batches:
@@ -223,52 +231,56 @@ def _wide(width: int, folder: str):
                 for k in range(WIDE):
                     bits[:, k] = majority_bits(ta.mix(hashes + np.uint64(k)), rows)
                 file = uuid.uuid4().int >> 65
-                if len(hashes):
-                    save(folder, str(file), [hashes])
-                place = [pa.array(np.full(part.num_rows, file, np.int64)), pa.array(rows[:-1] << 32 | np.diff(rows))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("print"), pa.array([x.tobytes() for x in bits], pa.binary()), *place], ["doc_id", "print", "wide", "file", "span"])
+                save(folder, str(file), [bits.reshape(-1), rows.astype(np.int64), hashes])
+                place = [pa.array(np.full(part.num_rows, file, np.int64)), pa.array(np.arange(part.num_rows, dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("print"), pa.array([x.tobytes() for x in bits], pa.binary()), *place], ["doc_id", "print", "wide", "file", "row"])
 
     return run
 
 
-def _words_of(column: pa.Array) -> np.ndarray:
-    """Wide fingerprints as rows of uint64, without a copy."""
-    _, offsets, data = column.buffers()
-    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
-    offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint64).reshape(len(column), WIDE)
-
-
-POINT = ("node", "wide", "file", "span")
-
-
 def _banded(batches):
-    """node, wide, file, span -> one row for each 16-bit block, with its shard key."""
+    """wide, file, row -> key, file, row: a row for each 16-bit block, with its shard key."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        block = _words_of(batch.column("wide")).copy().view(np.uint16).reshape(n, WIDE * 4).astype(np.int64)
-        key = block + (np.arange(WIDE * 4) << KEY_BITS)
+        wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint16).reshape(n, WIDE * 4)
+        key = wide.astype(np.int64) + (np.arange(WIDE * 4) << KEY_BITS)
         row = pa.array(np.repeat(np.arange(n), WIDE * 4))
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), *(batch.column(c).take(row) for c in POINT)], ["key", *POINT])
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), batch.column("file").take(row), batch.column("row").take(row)], ["key", "file", "row"])
 
 
-def _set_reader(folder: str):
-    """Reads a shingle set, sorted, from the arrays that _wide saved."""
-    opened: dict[int, np.ndarray] = {}
+class Prints:
+    """The files that _wide saved, mapped as they are asked for."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.opened: dict[int, tuple] = {}
+
+    def _of(self, file: int):
+        if file not in self.opened:
+            if len(self.opened) >= OPEN_FILES:
+                self.opened.clear()
+            self.opened[file] = load(self.folder, str(file))
+        return self.opened[file]
+
+    def wide(self, file: np.ndarray, row: np.ndarray) -> np.ndarray:
+        out = np.empty((len(file), WIDE), np.uint64)
+        order = np.argsort(file, kind="stable")
+        files, first = np.unique(file[order], return_index=True)
+        for number, mine in zip(files.tolist(), np.split(order, first[1:]), strict=True):
+            out[mine] = self._of(number)[0].reshape(-1, WIDE)[row[mine]]
+        return out
+
+    def shingles(self, file: int, row: int) -> np.ndarray:
+        """A sorted set."""
+        _, rows, hashes = self._of(file)
+        return hashes[rows[row] : rows[row + 1]]
 
-    def read(file: int, span: int) -> np.ndarray:
-        first, n = span >> 32, span & 0xFFFFFFFF
-        if not n:
-            return np.zeros(0, np.uint64)
-        if file not in opened:
-            if len(opened) >= OPEN_FILES:
-                opened.clear()
-            (opened[file],) = load(folder, str(file))
-        return opened[file][first : first + n]
 
-    return read
+def node_of(wide: np.ndarray) -> np.ndarray:
+    """What xxhash64() of the fingerprint's bytes is in a query."""
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in wide], np.uint64).view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -286,16 +298,15 @@ def _wide_linker(folder: str, similarity: float):
     classes so far are compared by the whole fingerprint, and those that may be similar by their shingle sets, a query's closest first."""
     most = most_differing(similarity)
 
-    def linked(rows: pa.Table) -> pa.RecordBatch:
-        unit, node, file, span = (rows.column(c).to_numpy() for c in ("unit", "node", "file", "span"))
-        order = np.lexsort((node, unit))
-        unit, node, file, span = unit[order], node[order], file[order], span[order]
-        wide = _words_of(rows.column("wide").combine_chunks())[order]
-        read = _set_reader(folder)
-        shingles = lambda i: read(int(file[i]), int(span[i]))
-        forest, label = Forest(unit, np.ascontiguousarray(wide[:, 0])), np.arange(len(node))
-        for first in range(0, len(node), WIDE_BLOCK):
-            a, b, _ = forest.earlier_within(np.arange(first, min(first + WIDE_BLOCK, len(node))), CANDIDATE_RADIUS)
+    def linked(rows: pa.Table, prints: Prints) -> pa.RecordBatch:
+        unit, file, row = (rows.column(c).to_numpy() for c in ("unit", "file", "row"))
+        order = np.lexsort((row, file, unit))
+        unit, file, row = unit[order], file[order], row[order]
+        wide = prints.wide(file, row)
+        shingles = lambda i: prints.shingles(int(file[i]), int(row[i]))
+        forest, label = Forest(unit, np.ascontiguousarray(wide[:, 0])), np.arange(len(unit))
+        for first in range(0, len(unit), WIDE_BLOCK):
+            a, b, _ = forest.earlier_within(np.arange(first, min(first + WIDE_BLOCK, len(unit))), CANDIDATE_RADIUS)
             apart = label[a] != label[b]
             a, b = a[apart], b[apart]
             for k in range(0, len(a), WIDE_PAIRS):
@@ -312,12 +323,13 @@ def _wide_linker(folder: str, similarity: float):
                     near = np.array([similar(shingles(x), shingles(y), similarity) for x, y in zip(i, j, strict=True)])
                     hook(label, i[near], j[near])
                     u, v = u[~head], v[~head]
-        tied = np.flatnonzero(label != np.arange(len(node)))
-        return pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[label[tied]])], ["u", "v"])
+        tied = np.flatnonzero(label != np.arange(len(unit)))
+        return pa.RecordBatch.from_arrays([pa.array(node_of(wide[tied])), pa.array(node_of(wide[label[tied]]))], ["u", "v"])
 
     def run(batches):
+        prints = Prints(folder)
         for rows in whole_units(batches):
-            yield linked(rows)
+            yield linked(rows, prints)
 
     return run
 
@@ -327,16 +339,16 @@ def _near_duplicates(docs: DataFrame, width: int, similarity: float) -> DataFram
     spark = docs.sparkSession
     folder = scratch_path(spark, "shingles")
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).withColumn("print", F.xxhash64("text"))
-    wide = source.mapInArrow(_wide(width, folder), "doc_id bigint, print bigint, wide binary, file bigint, span bigint")
+    wide = source.mapInArrow(_wide(width, folder), "doc_id bigint, print bigint, wide binary, file bigint, row int")
     wide = written(wide.withColumn("node", F.xxhash64("wide")), "wide")
-    first = F.first(F.struct("wide", "file", "span")).alias("p")
+    first = F.first(F.struct("wide", "file", "row")).alias("p")
     points = written(wide.groupBy("node").agg(F.min("doc_id").alias("least"), first).select("node", "least", "p.*"), "points")
-    keyed = points.select(*POINT).mapInArrow(_banded, "key bigint, node bigint, wide binary, file bigint, span bigint")
-    units = in_units(spread(keyed, "node").select("unit", *POINT), 2 * shuffle_partitions(spark))
+    keyed = points.select("wide", "file", "row").mapInArrow(_banded, "key bigint, file bigint, row int")
+    units = in_units(spread(keyed, "file", "row").select("unit", "file", "row"), 2 * shuffle_partitions(spark))
     links = units.mapInArrow(_wide_linker(folder, similarity), "u bigint, v bigint")
     named = points.join(connected_components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     classes = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
-    return wide.join(classes, "node").select("doc_id", "print", "root", "component_id")
+    return wide.select("doc_id", "print", "node").join(classes, "node").select("doc_id", "print", "root", "component_id")
 
 
 def near_duplicate_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -134,7 +134,7 @@ def test_hot_shards_are_cut_and_lose_no_link(spark, monkeypatch):
     points = spark.createDataFrame([(x - (1 << 64) if x >= 1 << 63 else x,) for x in near], "fp bigint")
     monkeypatch.setattr(simhash, "SHARD_ITEMS", 50)
     keyed = points.select("fp", F.explode(simhash.block_keys(F.col("fp"), 4, 400)).alias("key"))
-    units = simhash.spread(keyed, "fp", 50)
+    units = simhash.spread(keyed, "fp", limit=50)
     assert units.groupBy("unit").count().agg(F.max("count")).first()[0] < 200
     edges = units.select("unit", "fp").repartition(4, "unit").mapInArrow(simhash._linker(4), "u bigint, v bigint")
     roots = {r.node: r.root for r in connected_components(edges).collect()}
