@@ -54,12 +54,12 @@ def _unpacked(rows: DataFrame, by: list[str], state: Column) -> DataFrame:
     return rows.select(*by, F.inline(F.array(state)))
 
 
-def merge_frame(state: DataFrame, aggregate: DataFrame) -> DataFrame:
+def merge_frame(state: DataFrame, aggregate: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:
     """State after one more frame, cell by cell: the form of fold_frames for a running map. A full join on the cell."""
     prior = state.select(*CELL, F.struct(*(n for n, _, _ in STATE)).alias("prior"))
     now = aggregate.select(*CELL, F.struct("frame", *MEASURED).alias("now"))
     both = prior.join(now, CELL, "full_outer").withColumn("prior", F.coalesce("prior", empty_state()))
-    return _unpacked(both, CELL, F.when(F.col("now").isNull(), F.col("prior")).otherwise(fuse(F.col("prior"), F.col("now"))))
+    return _unpacked(both, CELL, F.when(F.col("now").isNull(), F.col("prior")).otherwise(fuse(F.col("prior"), F.col("now"), th)))
 
 
 def last_islands(aggregates: DataFrame, windows: DataFrame) -> DataFrame:

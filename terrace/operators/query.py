@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace import config as C
@@ -73,3 +73,30 @@ def resampled(cells: DataFrame, cell_m: float, s: Schedule = C.FOVEATED) -> Data
     i = [F.floor(L.centre(F.col(c), F.col("ring"), s) / cell_m).cast("bigint").alias(k) for c, k in (("ix", "i"), ("iy", "j"))]
     n = F.col("obs_count").cast("bigint")
     return cells.where("obs_count > 0").groupBy(*i).agg(F.sum(n).alias("n"), M.mean_height(F.sum(n * F.col("ground_cm")), F.sum(n)).alias("ground_cm"))
+
+
+def bind(cells: DataFrame, name: str = "live_map") -> None:
+    """Gives the map a name for SQL and for bound()."""
+    cells.createOrReplaceTempView(name)
+
+
+def bound(spark: SparkSession, name: str = "live_map") -> DataFrame:
+    return spark.table(name)
+
+
+def display_sets(cells: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:
+    """shown (occupied, free, or unknown although observed), ring, ix, iy, world centre and height of every cell."""
+    state = M.occupancy(F.col("obs_count"), F.col("log_odds"), F.col("flags"))
+    z = F.when(F.col("ceiling_cm") != C.NO_CEILING, F.col("ceiling_cm")).otherwise(F.col("ground_cm")) / 100.0
+    shown = F.when(state == C.OCCUPIED, "occupied").when(state == C.FREE, "free").otherwise("unknown")
+    return cells.select(shown.alias("shown"), *CELL, L.centre(F.col("ix"), F.col("ring"), s).alias("x"), L.centre(F.col("iy"), F.col("ring"), s).alias("y"), z.alias("z"))
+
+
+def box_counts(cells: DataFrame, points: DataFrame, x: tuple[float, float], y: tuple[float, float], s: Schedule = C.FOVEATED, cell_m: float = 0.05) -> DataFrame:
+    """ours, dense: occupied cells of the map in a crop, and occupied voxels of a dense grid of cell_m there."""
+    from terrace.operators.scatter import dense_voxels
+
+    inside = F.col("x").between(*x) & F.col("y").between(*y)
+    ours = occupied_cells(cells, s).where(inside).agg(F.count(F.lit(1)).alias("ours")).withColumn("one", F.lit(1))
+    dense = dense_voxels(points.where(inside), cell_m).agg(F.count(F.lit(1)).alias("dense")).withColumn("one", F.lit(1))
+    return ours.join(dense, "one").drop("one")

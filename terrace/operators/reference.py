@@ -53,9 +53,9 @@ def served(cells: DataFrame, s: Schedule = C.FOVEATED, ego: tuple[float, float]
     return found.where(F.col("__ring") == F.col("ring")).drop("__x", "__y", "__ring")
 
 
-def compared(cells: DataFrame, ref: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:
+def compared(cells: DataFrame, ref: DataFrame, s: Schedule = C.FOVEATED, ego: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """Served cells that the map measured within the height band and the reference observed, with the error in cm."""
-    mine = served(cells, s).where((F.col("obs_count") > 0) & (F.col("var_code") > 0) & (F.col("ground_cm") > C.Z_MIN_CM) & (F.col("ground_cm") < C.Z_MAX_CM))
+    mine = served(cells, s, ego).where((F.col("obs_count") > 0) & (F.col("var_code") > 0) & (F.col("ground_cm") > C.Z_MIN_CM) & (F.col("ground_cm") < C.Z_MAX_CM))
     return mine.join(ring_blocks(ref, s), CELL).withColumn("d", F.col("ground_cm") - F.col("ref_mean"))
 
 
@@ -76,10 +76,10 @@ def with_share(both: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:
     return both.withColumn("share", F.col("n_ref") / (k * k))
 
 
-def occupancy_scores(cells: DataFrame, ref: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:
+def occupancy_scores(cells: DataFrame, ref: DataFrame, s: Schedule = C.FOVEATED, ego: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """Per ring: iou of occupied against observed cells, and fill, the share of reference cells that the map has seen."""
-    truth = served(ring_blocks(ref, s).select(*CELL, F.lit(True).alias("truth")), s)
-    mine = served(cells, s).select(*CELL, (M.occupancy(F.col("obs_count"), F.col("log_odds"), F.col("flags")) == C.OCCUPIED).alias("occupied"), (F.col("obs_count") > 0).alias("seen"))
+    truth = served(ring_blocks(ref, s).select(*CELL, F.lit(True).alias("truth")), s, ego)
+    mine = served(cells, s, ego).select(*CELL, (M.occupancy(F.col("obs_count"), F.col("log_odds"), F.col("flags")) == C.OCCUPIED).alias("occupied"), (F.col("obs_count") > 0).alias("seen"))
     both = truth.join(mine, CELL, "full_outer").na.fill(False, ["truth", "occupied", "seen"])
     yes = lambda c: F.count_if(c)
     return both.groupBy("ring").agg(
@@ -88,17 +88,28 @@ def occupancy_scores(cells: DataFrame, ref: DataFrame, s: Schedule = C.FOVEATED)
     )
 
 
-def saturated(cells: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:
+def saturated(cells: DataFrame, s: Schedule = C.FOVEATED, ego: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """Per ring: share of seen cells whose height stands at the band's end."""
     g = F.col("ground_cm")
-    return served(cells, s).where("obs_count > 0").groupBy("ring").agg(F.avg(((g <= C.Z_MIN_CM) | (g >= C.Z_MAX_CM)).cast("double")).alias("saturated"))
+    return served(cells, s, ego).where("obs_count > 0").groupBy("ring").agg(F.avg(((g <= C.Z_MIN_CM) | (g >= C.Z_MAX_CM)).cast("double")).alias("saturated"))
 
 
-def evaluate(cells: DataFrame, ref: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:
-    """One row a ring with all scores; rings without cells have nulls."""
-    rings = cells.sparkSession.createDataFrame([(r.number, float(r.cell_m)) for r in s.bands], "ring int, cell_m double")
-    scores = height_errors(with_share(compared(cells, ref, s), s))
-    return rings.join(scores, "ring", "left").join(occupancy_scores(cells, ref, s), "ring", "left").join(saturated(cells, s), "ring", "left")
+def evaluate(cells: DataFrame, ref: DataFrame, s: Schedule = C.FOVEATED, ego: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """One row a ring with all scores, seen from the vehicle; rings without cells have nulls."""
+    rings = cells.sparkSession.createDataFrame([(b.number, float(b.cell_m)) for b in s.bands], "ring int, cell_m double")
+    scores = height_errors(with_share(compared(cells, ref, s, ego), s))
+    return rings.join(scores, "ring", "left").join(occupancy_scores(cells, ref, s, ego), "ring", "left").join(saturated(cells, s, ego), "ring", "left")
+
+
+def save_reference(ref: DataFrame, path: str, cell_m: float = 0.05) -> None:
+    """The map as Parquet, with the size of its cells beside it."""
+    ref.write.parquet(f"{path}/cells")
+    ref.sparkSession.createDataFrame([(float(cell_m),)], "cell_m double").coalesce(1).write.parquet(f"{path}/lattice")
+
+
+def load_reference(spark, path: str) -> tuple[DataFrame, float]:
+    """A saved map and the size of its cells."""
+    return spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/lattice").first().cell_m
 
 
 def dynamic_removal(removed: Column, dynamic: Column, preserved: Column, static: Column) -> Column:

@@ -98,5 +98,46 @@ def admitted(requests: DataFrame, th: Thresholds = THRESHOLDS, by: list[str] | N
 
 def overtaken(blocks: DataFrame, s: Schedule = C.FOVEATED, speed: Column | None = None) -> DataFrame:
     """Blocks whose cell a finer ring serves by now. blocks: ring, levels, x, y (cell centre in the vehicle frame)."""
-    now = blocks.select("*", F.explode(F.array(L.migrate_ring(F.col("x"), F.col("y"), s, F.col("ring"), speed))).alias("__now"))
-    return now.where(F.col("__now") <= F.col("ring") - F.col("levels")).drop("__now")
+    return blocks.where(L.migrate_ring(F.col("x"), F.col("y"), s, F.col("ring"), speed) <= F.col("ring") - F.col("levels"))
+
+
+BLOCK = "ring int, ix bigint, iy bigint, levels int, score double, slot bigint"
+
+
+def pooled(blocks: DataFrame, requests: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:
+    """ring, ix, iy, score, slot, held, granted of a pool's blocks and a batch of requests after it was served.
+
+    A request for a cell that holds a block only updates its score; the others take free
+    blocks, then those of strictly lower scores, so the pool holds the highest scores, blocks
+    before requests and lower slots before higher ones where these are equal. No more rows
+    than twice the pool are ever ranked together.
+    """
+    key = [*CELL, "slot"]
+    old = blocks.select(*key, F.col("score").alias("old"), F.lit(True).alias("held"))
+    now = old.join(requests.select(*key, F.col("score").alias("new")), key, "full_outer").select(*key, F.coalesce("new", "old").alias("score"), F.coalesce("held", F.lit(False)).alias("held"))
+    best = admitted(now.where(~F.col("held")).select(*key, "score"), th).withColumn("held", F.lit(False))
+    order = Window.orderBy(F.desc("score"), F.desc("held"), "slot")
+    served = now.where("held").unionByName(best).withColumn("granted", F.row_number().over(order) <= th.pool_blocks)
+    refused = now.where(~F.col("held")).join(best.select(*key), key, "left_anti").withColumn("granted", F.lit(False))
+    return served.unionByName(refused)
+
+
+def apply_gate(cells: DataFrame, blocks: DataFrame, transient: DataFrame | None = None, s: Schedule = C.FOVEATED, speed: float = 0.0, th: Thresholds = THRESHOLDS, ego: tuple[float, float] = (0.0, 0.0)) -> dict[str, DataFrame]:
+    """One frame of the gate, release first: blocks (BLOCK) whose cell a finer ring serves by now go, then firing cells ask, the pool grants, and granted cells split.
+
+    Gives `blocks` after the frame, the new `children`, `cells` with the refined flag of what
+    holds a block, and `counts`: released, fired, acquired, refused, evicted.
+    """
+    x, y = (L.centre(F.col(i), F.col("ring"), s) - e for i, e in zip(("ix", "iy"), ego, strict=True))
+    placed = blocks.withColumns({"x": x, "y": y})
+    gone = overtaken(placed, s, F.lit(float(speed))).select(*CELL, F.lit(True).alias("released"))
+    kept = blocks.join(gone, CELL, "left_anti")
+    requests = pool_requests(gate(cells, transient, th), s, speed, th)
+    pool = pooled(kept, requests, th)
+    held = pool.where("granted").select(*CELL, F.lit(1).alias("levels"), "score", "slot")
+    fresh = pool.where("granted AND NOT held").select(*CELL)
+    flagged = cells.join(held.select(*CELL, F.lit(True).alias("refined")), CELL, "left").withColumn("flags", F.when(F.col("refined"), F.col("flags").bitwiseOR(C.FLAG_REFINED)).otherwise(F.col("flags").bitwiseAND(~C.FLAG_REFINED & 0xFF))).drop("refined")
+    counts = pool.agg(
+        F.count_if(F.col("granted") & ~F.col("held")).alias("acquired"), F.count_if(~F.col("granted") & ~F.col("held")).alias("refused"), F.count_if(~F.col("granted") & F.col("held")).alias("evicted"),
+    ).withColumn("one", F.lit(1)).join(gone.agg(F.count(F.lit(1)).alias("released")).withColumn("one", F.lit(1)), "one").join(requests.agg(F.count(F.lit(1)).alias("fired")).withColumn("one", F.lit(1)), "one").drop("one")
+    return {"blocks": held, "children": children_of(cells.join(fresh, CELL, "left_semi"), s, th), "cells": flagged, "counts": counts}

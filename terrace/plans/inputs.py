@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.operators.fold import fold_frames
+from terrace.operators.live import Pose
 from terrace.operators.scatter import frame_cells
 from terrace.operators.stencil import traversability
+from terrace.plans.sql import DRIVE
 from terrace.sources.tables import read, sweep_points
 
 
@@ -20,6 +22,27 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_frames(static_frames(spark, sf_dir))
 
 
+def driven_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns of a vehicle that drives 2 m ahead and 0.6 m up a frame, with world heights."""
+    from terrace.sources.tables import wide_points
+
+    z = F.element_at(F.array(*(F.lit(z) for _, _, z in DRIVE)), F.col("frame") + 1)
+    return wide_points(spark, sf_dir).withColumn("zw", F.col("z") + z)
+
+
+def drive() -> list[Pose]:
+    return [Pose(k, x, 0.0, z) for k, x, z in DRIVE]
+
+
+def patchy_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range images of moving pixels in patches: frame, v, u, r, x, y, z, moving."""
+    line = read(spark, sf_dir, "lineitem")
+    v, u = (F.col("l_orderkey") * 7 + F.col("l_partkey")) % 64, (F.col("l_partkey") * 31 + F.col("l_suppkey") * 7 + F.col("l_orderkey")) % 512
+    at = line.select((F.col("l_linenumber") - 1).cast("int").alias("frame"), v.cast("int").alias("v"), u.cast("int").alias("u"), (10 + (F.col("l_quantity").cast("int") % 5) * 0.25).alias("r"))
+    image = at.groupBy("frame", "v", "u").agg(F.min("r").alias("r"))
+    return image.select("*", F.col("r").alias("x"), F.col("u").cast("double").alias("y"), F.col("v").cast("double").alias("z"), F.lit(True).alias("moving"))
+
+
 #: Cells along a patch of the raster, patches along its row and in all: they fill ring 1's window, and orders are dealt over all of them.
 PATCH, PATCHES_ACROSS, PATCHES = 64, 7, 49
 

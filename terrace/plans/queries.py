@@ -12,7 +12,7 @@ from terrace.config import FOVEATED
 from terrace.functions import lattice as L
 from terrace.functions import measure as M
 from terrace.functions import sphere as S
-from terrace.operators import fold, memory, perception, planning, pyramid, query, reference, refine, scatter, stencil, tracks
+from terrace.operators import fold, live, memory, perception, planning, pyramid, query, reference, refine, scatter, stencil, tracks
 from terrace.operators.scatter import CELL
 from terrace.plans import inputs as I
 from terrace.plans import sql as Q
@@ -245,9 +245,13 @@ def a17_costs_of_reference(spark, sf_dir):
     return planning.cost_map_of_reference(reference.reference_map(sweep_points(spark, sf_dir)), -1.0, -1.0, 8, 8)
 
 
-@register()
+@register(f"""WITH RECURSIVE {Q.PATCHY}, ed AS (SELECT a.frame, a.v * 512 + a.u AS p, b.v * 512 + b.u AS q FROM pi a JOIN pi b ON a.frame = b.frame AND abs(a.r - b.r) <= 0.75::DOUBLE AND ((b.v = a.v AND b.u = (a.u + 1) % 512) OR (b.v = a.v + 1 AND b.u = a.u))),
+e2 AS (SELECT * FROM ed UNION SELECT frame, q, p FROM ed), rc AS (SELECT frame, v * 512 + u AS p, v * 512 + u AS root FROM pi UNION SELECT rc.frame, e2.q, rc.root FROM rc JOIN e2 ON e2.frame = rc.frame AND e2.p = rc.p WHERE rc.root <= e2.q),
+lb AS (SELECT frame, p, min(root) AS instance FROM rc GROUP BY frame, p), g AS (SELECT frame, instance::BIGINT AS instance, count(*)::BIGINT AS n, round(avg(r), 6) AS x_mean, min(r) AS x_min, max(r) AS x_max, round(avg(u), 6) AS y_mean, min(u)::DOUBLE AS y_min, max(u)::DOUBLE AS y_max,
+  round(avg(v), 6) AS z_mean, min(v)::DOUBLE AS z_min, max(v)::DOUBLE AS z_max FROM lb JOIN pi USING (frame) WHERE pi.v * 512 + pi.u = lb.p GROUP BY frame, instance HAVING count(*) >= 4)
+SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n DESC, instance)::INT AS rank FROM g""")
 def a18_instances(spark, sf_dir):
-    return perception.instances(perception.range_image(sweep_points(spark, sf_dir)))
+    return perception.instances(I.patchy_image(spark, sf_dir)).withColumns({f"{c}_mean": r6(F.col(f"{c}_mean")) for c in "xyz"})
 
 
 @register(f"WITH {Q.PTS_SQL} SELECT floor(x / 5e-2)::BIGINT AS ix, floor(y / 5e-2)::BIGINT AS iy, least(count(*), 255)::BIGINT AS n, (max({{'f': frame, 'p': point_id, 'z': z}})).z AS z FROM pts GROUP BY ALL")
@@ -575,9 +579,65 @@ def e7_saturated(spark, sf_dir):
     return reference.saturated(I.state(spark, sf_dir)).withColumn("saturated", r6(F.col("saturated")))
 
 
-@register()
+@register(f"""SELECT r.ring, r.cell_m, e.* EXCLUDE (ring), o.* EXCLUDE (ring), t.* EXCLUDE (ring) FROM (VALUES (0, 5e-2), (1, 1e-1), (2, 2e-1), (3, 4e-1)) r(ring, cell_m)
+LEFT JOIN ({EXPECTED["e1_height_errors"]}) e USING (ring) LEFT JOIN ({EXPECTED["e3_occupancy_scores"]}) o USING (ring) LEFT JOIN ({EXPECTED["e7_saturated"]}) t USING (ring)""")
 def e8_evaluation(spark, sf_dir):
-    return reference.evaluate(I.state(spark, sf_dir), reference.reference_map(sweep_points(spark, sf_dir)))
+    found = reference.evaluate(I.state(spark, sf_dir), reference.reference_map(sweep_points(spark, sf_dir)))
+    return found.withColumns({c: r6(F.col(c)) for c in found.columns if c not in ("ring", "cell_m", "n")})
+
+
+_STATE = ("ground_cm", "ceiling_cm", "var_code", "log_odds", "class_byte", "obs_count", "last_frame")
+
+
+@register(f"WITH {Q.live()} SELECT ring, ix, iy, {', '.join(_STATE)} FROM s6")
+def t5_live_map(spark, sf_dir):
+    state, _ = live.run(I.driven_points(spark, sf_dir), I.drive())
+    return state.select(*CELL, *_STATE)
+
+
+@register(f"WITH {Q.live()} " + " UNION ALL ".join(f"SELECT {k} AS frame, (SELECT count(*) FROM la WHERE frame = {k})::BIGINT AS cells_touched, count(*)::BIGINT AS occupied, count(*)::BIGINT AS tested, count(*) FILTER (through)::BIGINT AS cleared, count(*) FILTER (protected)::BIGINT AS protected, count(*) FILTER (NOT in_view)::BIGINT AS out_of_view FROM q{k}" for k in range(7)))
+def t5_live_counters(spark, sf_dir):
+    return live.run(I.driven_points(spark, sf_dir), I.drive())[1]
+
+
+@register(f"""WITH {Q.live()}, {Q.live(False, "n")}, c AS (SELECT ring, ix, iy, bool_and(moving) AS dynamic, bool_or(moving) AS mixed FROM (SELECT *, floor({Q.fd('xw')} / {Q.K})::BIGINT AS ix, floor({Q.fd('yw')} / {Q.K})::BIGINT AS iy FROM lr) GROUP BY ALL),
+x AS (SELECT dynamic, mixed, s.ring IS NOT NULL AS still FROM (SELECT * FROM n6 WHERE obs_count >= 1 AND log_odds > 0) n JOIN c USING (ring, ix, iy) LEFT JOIN (SELECT * FROM s6 WHERE obs_count >= 1 AND log_odds > 0) s USING (ring, ix, iy)),
+k AS (SELECT count(*) FILTER (dynamic AND NOT still)::BIGINT AS removed, count(*) FILTER (dynamic)::BIGINT AS dynamic, count(*) FILTER (NOT mixed AND still)::BIGINT AS preserved, count(*) FILTER (NOT mixed)::BIGINT AS static FROM x)
+SELECT *, round(removed / dynamic, 9) AS dr, round(preserved / static, 9) AS sp, round(2 * (removed / dynamic) * (preserved / static) / (removed / dynamic + preserved / static), 9) AS f FROM k""")
+def e6_dynamic_removal(spark, sf_dir):
+    points = I.driven_points(spark, sf_dir)
+    found = live.removal(points, live.run(points, I.drive())[0], live.run(points, I.drive(), cleanup=False)[0])
+    return found.select("removed", "dynamic", "preserved", "static", *(F.round(c, 9).alias(c.lower()) for c in ("DR", "SP", "F")))
+
+
+@register()
+def e8_schedules(spark, sf_dir):
+    points = I.driven_points(spark, sf_dir)
+    ref = reference.reference_map(points.withColumn("z", F.col("zw")), xw="xw", yw="yw")
+    return live.compare(points, I.drive(), (FOVEATED, C.THREE_RINGS), ref).withColumns({c: r6(F.col(c)) for c in ("rmse_cm", "il_cm", "bias_cm", "spread_cm", "rho", "iou", "fill", "cov", "saturated", "mean_bias_cm", "above_frac")})
+
+
+@register()
+def t12_gate(spark, sf_dir):
+    cells = I.raster_trav(spark, sf_dir)
+    held = refine.admitted(refine.pool_requests(refine.gate(cells.where("ix < 0")), speed=5.0)).select(*CELL, F.lit(1).alias("levels"), "score", "slot")
+    return refine.apply_gate(cells, held, cells.where("(ix + iy) % 17 = 0").select(*CELL), speed=5.0)["counts"]
+
+
+@register(f"WITH {Q.FOLDED} SELECT CASE {Q.occupancy()} WHEN 2 THEN 'occupied' WHEN 1 THEN 'free' ELSE 'unknown' END AS shown, ring, count(*)::BIGINT AS n FROM st GROUP BY ALL")
+def r6_display_sets(spark, sf_dir):
+    return query.display_sets(I.state(spark, sf_dir)).groupBy("shown", "ring").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(f"""WITH {Q.FOLDED} SELECT (SELECT count(*)::BIGINT FROM st WHERE {Q.occupancy()} = 2 AND (ix + 5e-1) * {Q.SIZE} BETWEEN -5e-1 AND 4e1 AND (iy + 5e-1) * {Q.SIZE} BETWEEN -5e-1 AND 5e-1) AS ours,
+(SELECT count(*)::BIGINT FROM (SELECT DISTINCT floor(x / 5e-2), floor(y / 5e-2), floor((z + 2e0) / 5e-2) FROM pts WHERE x BETWEEN -5e-1 AND 4e1 AND y BETWEEN -5e-1 AND 5e-1 AND floor((z + 2e0) / 5e-2) BETWEEN 0 AND 159)) AS dense""")
+def r7_box_counts(spark, sf_dir):
+    return query.box_counts(I.state(spark, sf_dir), sweep_points(spark, sf_dir), (-0.5, 40.0), (-0.5, 0.5))
+
+
+@register()
+def s15_sweep(spark, sf_dir):
+    return synthetic.sweep(spark, frames=2, beams=32, azimuths=180, structure=True, crowd=20)
 
 
 @register("SELECT * FROM (VALUES ('logical cells', 745000, 8940000), ('stored cells', 910000, 10920000), ('transient', 910000, 3640000), ('pool', 8192, 98304), ('tracks', 256, 5120), ('pyramid', 303741, 2733669)) v(item, units, bytes)")
@@ -669,14 +729,6 @@ def w11_monotonicity(spark, sf_dir):
     return planning.monotone(read(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n")), "p_size", "n")
 
 
-@register(f"WITH {Q.PTS_SQL}, c AS (SELECT frame, count(*) FILTER (moving AND z > 0) AS rd, count(*) FILTER (moving) AS d, count(*) FILTER (NOT moving AND z < 1) AS ps, count(*) FILTER (NOT moving) AS s FROM pts GROUP BY frame), r AS (SELECT frame, rd / nullif(d, 0) AS dr, ps / nullif(s, 0) AS sp FROM c) SELECT frame, round(dr, 9) AS dr, round(sp, 9) AS sp, round(CASE WHEN dr + sp > 0 THEN 2 * dr * sp / (dr + sp) ELSE 0e0 END, 9) AS f FROM r")
-def e6_dynamic_removal(spark, sf_dir):
-    moving, z = F.col("moving"), F.col("z")
-    n = sweep_points(spark, sf_dir).groupBy("frame").agg(F.count_if(moving & (z > 0)).alias("rd"), F.count_if(moving).alias("d"), F.count_if(~moving & (z < 1)).alias("ps"), F.count_if(~moving).alias("s"))
-    r = n.select("frame", reference.dynamic_removal(F.col("rd"), F.col("d"), F.col("ps"), F.col("s")).alias("r"))
-    return r.select("frame", F.round("r.DR", 9).alias("dr"), F.round("r.SP", 9).alias("sp"), F.round("r.F", 9).alias("f"))
-
-
 @register(f"WITH {Q.BINNED}, c AS (SELECT frame, count(DISTINCT (ring, ix, iy))::DOUBLE AS n FROM b GROUP BY frame) SELECT min(n) AS least, median(n) AS median, round(quantile_cont(n, 0.95::DOUBLE), 6) AS p95, round(quantile_cont(n, 0.99::DOUBLE), 6) AS p99, max(n) AS most FROM c")
 def a25_cells_per_frame(spark, sf_dir):
     n = scatter.binned(sweep_points(spark, sf_dir), FOVEATED).groupBy("frame").agg(F.count_distinct(*CELL).cast("double").alias("n"))

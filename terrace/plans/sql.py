@@ -69,13 +69,21 @@ AGG = """SELECT frame, ring, ix, iy, coalesce(sum(CASE WHEN ground THEN w_q::BIG
 STATIC = f"{BINNED}, a AS ({AGG} FROM b WHERE NOT moving GROUP BY frame, ring, ix, iy)"
 _G, _Z, _N = f"({decode('s.var_code')} + {num(TH.process_noise_cm2)})", f"{mean('o.wz_sum', 'o.w_sum')}::DOUBLE", "(1024e0 / greatest(o.w_sum::DOUBLE, 1e0))"
 _VOTE = "(CASE WHEN s.class_byte & 7 = 0 THEN (o.class_id << 3) | 1 WHEN s.class_byte >> 3 = o.class_id THEN (s.class_byte & 248) | least((s.class_byte & 7) + 1, 7) ELSE (s.class_byte & 248) | ((s.class_byte & 7) - 1) END)"
+#: State s after aggregate o of one frame.
+FUSED = {
+    "ground_cm": f"round_even(CASE WHEN o.w_sum <= 0 THEN s.ground_cm::DOUBLE WHEN s.obs_count = 0 THEN {_Z} ELSE s.ground_cm::DOUBLE + {_G} / ({_G} + {_N}) * ({_Z} - s.ground_cm::DOUBLE) END, 0)::INT",
+    "ceiling_cm": "least(s.ceiling_cm, o.ceiling_cm)::INT",
+    "var_code": encode(f"CASE WHEN o.w_sum <= 0 THEN {_G} WHEN s.obs_count = 0 THEN {_N} ELSE (1e0 - {_G} / ({_G} + {_N})) * {_G} END"),
+    "log_odds": "greatest(least(s.log_odds + 4, 63), -64)::INT",
+    "class_byte": f"{_VOTE}::INT",
+    "reflectivity": "least(o.refl_sum // o.n, 255)::INT",
+    "obs_count": "least(s.obs_count + o.n, 255)::INT",
+    "last_frame": "o.frame",
+}
+EMPTY = {"ground_cm": 0, "ceiling_cm": 32767, "var_code": 0, "log_odds": 0, "class_byte": 0, "reflectivity": 0, "obs_count": 0, "last_frame": -1}
 FOLDED = f"""RECURSIVE {STATIC}, o AS (SELECT *, row_number() OVER (PARTITION BY ring, ix, iy ORDER BY frame) AS rn FROM a),
-rec AS (SELECT DISTINCT ring, ix, iy, 0::BIGINT AS rn, 0 AS ground_cm, 32767 AS ceiling_cm, 0 AS var_code, 0 AS log_odds, 0 AS class_byte, 0 AS reflectivity, 0 AS obs_count, -1 AS last_frame FROM o
-  UNION ALL SELECT s.ring, s.ix, s.iy, o.rn,
-  round_even(CASE WHEN o.w_sum <= 0 THEN s.ground_cm::DOUBLE WHEN s.obs_count = 0 THEN {_Z} ELSE s.ground_cm::DOUBLE + {_G} / ({_G} + {_N}) * ({_Z} - s.ground_cm::DOUBLE) END, 0)::INT,
-  least(s.ceiling_cm, o.ceiling_cm)::INT,
-  {encode(f"CASE WHEN o.w_sum <= 0 THEN {_G} WHEN s.obs_count = 0 THEN {_N} ELSE (1e0 - {_G} / ({_G} + {_N})) * {_G} END")},
-  greatest(least(s.log_odds + 4, 63), -64)::INT, {_VOTE}::INT, least(o.refl_sum // o.n, 255)::INT, least(s.obs_count + o.n, 255)::INT, o.frame
+rec AS (SELECT DISTINCT ring, ix, iy, 0::BIGINT AS rn, {", ".join(f"{v} AS {k}" for k, v in EMPTY.items())} FROM o
+  UNION ALL SELECT s.ring, s.ix, s.iy, o.rn, {", ".join(FUSED.values())}
   FROM rec s JOIN o ON s.ring = o.ring AND s.ix = o.ix AND s.iy = o.iy AND o.rn = s.rn + 1),
 st AS (SELECT * EXCLUDE (rn), 0 AS flags, 0 AS frames_since_seen FROM rec QUALIFY row_number() OVER (PARTITION BY ring, ix, iy ORDER BY rn DESC) = 1)"""
 WIDE_BINNED = f"{WIDE_SQL}, wr AS (SELECT *, {ring('x', 'y', 'speed')} AS ring FROM wide), wb AS (SELECT *, floor({fd('xw')} / {K})::BIGINT AS ix, floor({fd('yw')} / {K})::BIGINT AS iy FROM wr WHERE ring >= 0)"
@@ -129,3 +137,53 @@ def elevation(z: str, r: str) -> str:
 IMAGE = f"""px AS (SELECT *, {elevation("z", "r")} AS v_raw, {PIX} AS u FROM (SELECT *, {R} AS r FROM pts)),
 img AS (SELECT frame, least(greatest(v_raw, 0), 63) AS v, u, min({{'r': r, 'point_id': point_id, 'x': x, 'y': y, 'z': z, 'intensity': intensity, 'moving': moving}}) AS p FROM px WHERE r > 1e-6 GROUP BY ALL),
 im AS (SELECT frame, v, u, p.r AS r, p.point_id AS point_id, p.x AS x, p.y AS y, p.z AS z, p.intensity AS intensity, p.moving AS moving FROM img)"""
+
+
+def clear_tolerance(r: str) -> str:
+    q = f"({num(TH.sensor_height_m)} / greatest({r}, 1e-3))"
+    return f"greatest(3e0 * sqrt({r} * {r} * {num(TH.sigma_phi_rad**2)} + {q} * {q} * {num(TH.sigma_r_m**2)}), {num(TH.clear_floor_m)})"
+
+
+#: The drive of the live map: frame, x and z of the vehicle in seven frames.
+DRIVE = tuple((k, 2.0 * k, 0.6 * k) for k in range(7))
+
+
+def live(cleanup: bool = True, name: str = "s") -> str:
+    """CTEs of the live map over wide returns: lb (returns within the windows), la (aggregates), im (images), and name0 to name6, the state after each frame; with cleanup q0 to q6, its tests."""
+    import math
+
+    per_frame = lambda values: f"[{', '.join(map(num, values))}][frame + 1]"
+    ego, datum = per_frame(x for _, x, _ in DRIVE), per_frame(math.floor(z) for _, _, z in DRIVE)
+    out = [] if name != "s" else [
+        f"{WIDE_SQL}, pts AS (SELECT * FROM wide)", IMAGE,
+        f"""lr AS (SELECT *, z + {per_frame(z for _, _, z in DRIVE)} AS zw, {ring('x', 'y')} AS ring, {R} AS r FROM wide WHERE greatest(abs(x), abs(y)) < 100)""",
+        f"""lb AS MATERIALIZED (SELECT *, least(greatest(round_even(zw * 1e2 - {datum} * 1e2, 0), -200e0), 600e0)::INT AS z_cm, {weight(variance())} AS w_q, least(greatest(round_even(intensity * 255e0, 0), 0e0), 255e0)::INT AS refl
+  FROM (SELECT *, floor({fd('xw')} / {K})::BIGINT AS ix, floor({fd('yw')} / {K})::BIGINT AS iy FROM lr)
+  WHERE ix >= floor({ego} / {SIZE})::BIGINT - {SIDE} // 2 AND ix < floor({ego} / {SIZE})::BIGINT - {SIDE} // 2 + {SIDE} AND iy >= -({SIDE} // 2) AND iy < {SIDE} - {SIDE} // 2)""",
+        f"la AS MATERIALIZED ({AGG} FROM lb GROUP BY frame, ring, ix, iy)",
+    ]
+    columns = ", ".join(EMPTY)
+    for k, x, z in DRIVE:
+        move = round((math.floor(DRIVE[k - 1][2]) - math.floor(z)) * 100) if k else 0
+        band = lambda c: f"greatest(least({c} + {move}, 600), -200)::INT" if move else c  # noqa: B023, E731
+        before = f"SELECT ring, ix, iy, {columns} FROM {name}{k - 1}" if k else f"SELECT ring, ix, iy, {', '.join(f'{v} AS {c}' for c, v in EMPTY.items())} FROM la WHERE false"
+        followed = {"ground_cm": band("ground_cm"), "ceiling_cm": f"CASE WHEN ceiling_cm = 32767 THEN 32767 ELSE {band('ceiling_cm')} END"}
+        low = f"floor({num(x)} / {SIZE})::BIGINT - {SIDE} // 2"
+        out.append(f"""{name}k{k} AS (SELECT ring, ix, iy, {', '.join(f'{followed.get(c, c)} AS {c}' for c in EMPTY)} FROM ({before})
+  WHERE ix >= {low} AND ix < {low} + {SIDE} AND iy >= -({SIDE} // 2) AND iy < {SIDE} - {SIDE} // 2)""")
+        both = f"SELECT coalesce(k.ring, o.ring) AS ring, coalesce(k.ix, o.ix) AS ix, coalesce(k.iy, o.iy) AS iy, {', '.join(f'coalesce(k.{c}, {v}) AS {c}' for c, v in EMPTY.items())} FROM {name}k{k} k FULL JOIN (SELECT * FROM la WHERE frame = {k}) o ON k.ring = o.ring AND k.ix = o.ix AND k.iy = o.iy"
+        fused = ", ".join(f"CASE WHEN o.ring IS NULL THEN s.{c} ELSE {FUSED[c]} END AS {c}" for c in EMPTY)
+        out.append(f"{name}f{k} AS MATERIALIZED (SELECT s.ring, s.ix, s.iy, {fused} FROM ({both}) s LEFT JOIN la o ON o.frame = {k} AND s.ring = o.ring AND s.ix = o.ix AND s.iy = o.iy)")
+        if not cleanup:
+            out.append(f"{name}{k} AS (SELECT * FROM {name}f{k})")
+            continue
+        out.append(f"""q{k} AS MATERIALIZED (SELECT c.ring, c.ix, c.iy, in_view, in_view AND far AND last_frame <> {k} AS through, in_view AND far AND last_frame = {k} AS protected FROM (
+  SELECT t.*, t.v >= 0 AND t.v < 64 AND cr > 1e-6 AS in_view, coalesce(im.r > cr + {clear_tolerance("cr")}, false) AS far FROM (SELECT *, {PIX} AS u, {elevation("z", "cr")} AS v FROM (SELECT *, {R} AS cr FROM (
+    SELECT ring, ix, iy, last_frame, (ix + 5e-1) * {SIZE} - {num(x)} AS x, (iy + 5e-1) * {SIZE} - 0e0 AS y, (CASE WHEN ceiling_cm <> 32767 THEN ceiling_cm ELSE ground_cm END) / 1e2 + {num(math.floor(z) - z)} - {num(TH.sensor_height_m)} AS z
+    FROM {name}f{k} WHERE obs_count >= 1 AND log_odds > 0))) t LEFT JOIN im ON im.frame = {k} AND im.v = t.v AND im.u = t.u) c)""")
+        out.append(f"{name}{k} AS MATERIALIZED (SELECT f.* REPLACE ((CASE WHEN q.through THEN greatest(least(f.log_odds - 2, 63), -64) ELSE f.log_odds END)::INT AS log_odds) FROM {name}f{k} f LEFT JOIN q{k} q USING (ring, ix, iy))")
+    return ", ".join(out)
+
+
+#: Images of patches: moving pixels close enough together for components.
+PATCHY = """pi AS (SELECT (l_linenumber - 1)::INT AS frame, ((l_orderkey * 7 + l_partkey) % 64)::INT AS v, ((l_partkey * 31 + l_suppkey * 7 + l_orderkey) % 512)::INT AS u, min(10 + (l_quantity::INT % 5) * 25e-2) AS r FROM lineitem GROUP BY ALL)"""

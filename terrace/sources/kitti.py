@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,6 +73,45 @@ def poses(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("frame", F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.try_cast("double")).alias("t")).where(F.size("t") == 12)
 
 
+#: Sequences whose poses come from mapping (sequences/<seq>/poses.txt) rather than from the ground-truth files (poses/<seq>.txt), and the variable that forces one for all.
+SLAM_SEQUENCES, SOURCES, FORCED = ("00", "08"), ("gt", "slam"), "TERRACE_POSES"
+
+
+def pose_source(seq: str) -> str:
+    """gt or slam: what the environment forces, else the sequence's own."""
+    forced = os.environ.get(FORCED)
+    if forced and forced not in SOURCES:
+        raise ValueError(f"{FORCED} must be one of {SOURCES}, not {forced!r}")
+    return forced or ("slam" if seq in SLAM_SEQUENCES else "gt")
+
+
+def sequence_poses(spark: SparkSession, root: str, seq: str, source: str | None = None) -> DataFrame:
+    """The poses of a sequence from its source. Where that is slam by default and there is no such file, the ground truth stands in, with a warning."""
+    chosen = source or pose_source(seq)
+    paths = {"gt": f"{root}/poses/{seq}.txt", "slam": f"{root}/sequences/{seq}/poses.txt"}
+    if chosen == "slam" and source is None and not _exists(spark, paths["slam"]):
+        warnings.warn(f"sequence {seq} has no {paths['slam']}; its ground-truth poses are used", RuntimeWarning, stacklevel=2)
+        chosen = "gt"
+    return poses(spark, paths[chosen])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def scans(spark: SparkSession, root: str, seq: str, **which) -> tuple[DataFrame, DataFrame]:
+    """What the live map takes of a recorded sequence: points (frame, point_id, x, y, z as the sensor sees them, xw, yw, zw, intensity, raw_label, cls, ground, moving) and transforms (frame, t)."""
+    from terrace.functions.measure import is_ground, is_moving, learning_id
+
+    transforms = vehicle_to_world(sequence_poses(spark, root, seq), calibration(spark, f"{root}/sequences/{seq}/calib.txt"))
+    at = to_world(sweeps(spark, root, **which).where(F.col("seq") == seq), transforms)
+    raw = F.col("raw_label").cast("int")
+    labelled = at.select("frame", F.col("point_id").cast("bigint").alias("point_id"), *(F.col(c).cast("double").alias(c) for c in "xyz"), "xw", "yw", "zw", F.col("intensity").cast("double").alias("intensity"), raw.bitwiseAND(0xFFFF).alias("raw_label"))
+    labelled = labelled.withColumn("cls", learning_id(F.col("raw_label"), 31))
+    return labelled.withColumns({"ground": is_ground(F.col("cls")), "moving": is_moving(F.col("raw_label"))}), transforms
+
+
 def calibration(spark: SparkSession, path: str) -> list[float]:
     """The 12 numbers of the `Tr:` line, or the identity without one."""
     row = spark.read.text(path).where(F.col("value").startswith("Tr:")).first()

@@ -1,10 +1,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from terrace import config as C
-from terrace.operators import fold, perception, planning, pyramid, query, refine, reference, scatter, stencil, tracks
+from terrace.operators import fold, live, perception, planning, pyramid, query, reference, refine, scatter, stencil, tracks
 from terrace.operators.scatter import CELL
 from terrace.plans import inputs as I
 from terrace.sources import kitti, synthetic
@@ -35,14 +36,135 @@ def test_fold_equals_a_running_merge(spark):
     assert scatter.map_digest(whole).first() == scatter.map_digest(state).first()
 
 
-def test_stream_of_frames_ends_in_the_batch_state(spark, tmp_path):
-    points = sweep_points(spark, SF).where("frame < 3").selectExpr(*(f"cast({c.split()[0]} as {c.split()[1]}) {c.split()[0]}" for c in POINTS.split(", ")))
-    for frame in range(3):
-        points.where(F.col("frame") == frame).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    running = RunningMap(spark)
-    assert running.start(read_frames(spark, str(tmp_path / "in"))).awaitTermination(120)
-    batch = fold.fold_frames(scatter.frame_cells(points.where(~F.col("moving"))))
+def test_stream_of_frames_ends_in_the_batch_state_and_goes_on_after_a_restart(spark, tmp_path):
+    points = I.driven_points(spark, SF).where("frame < 4 AND point_id % 7 = 0")
+    poses = I.drive()[:4]
+    full = points.withColumns({"ego_x": 2.0 * F.col("frame"), "ego_y": F.lit(0.0), "ego_z": F.element_at(F.array(*(F.lit(p.z) for p in poses)), F.col("frame") + 1)})
+    full = full.selectExpr(*(f"cast({c.split()[0]} as {c.split()[1]}) {c.split()[0]}" for c in POINTS.split(", ")))
+    root = str(tmp_path / "map")
+    for some in ((0, 1), (2, 3)):  # a new driver for the second half
+        for frame in some:
+            full.where(F.col("frame") == frame).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        running = RunningMap(spark, root)
+        assert running.start(read_frames(spark, str(tmp_path / "in"))).awaitTermination(120)
+    batch, counters = live.run(points, poses)
     assert scatter.map_digest(running.state().select(batch.columns)).first() == scatter.map_digest(batch).first()
+    assert len(running._batches()) == 2 and counters.count() == 4
+
+
+def scene(spark, frames, car_until):
+    """Flat ground, a wall, and a car that stands 8 m ahead in the first frames: frame, point_id, x, y, z, ..."""
+    rows = []
+    for f in range(frames):
+        rows += [(f, 9.5 + 0.18 * a, -3.5 + 0.12 * b, 0.0, 8, True, False) for a in range(60) for b in range(60)]
+        rows += [(f, 30.0, -6.0 + 0.02 * k, 0.3 + 0.05 * (k % 20), 12, False, False) for k in range(600)]
+        rows += [(f, 8.0 + 0.05 * (k % 10), -1.0 + 0.05 * (k % 40), 0.4 + 0.1 * (k % 8), 0, False, True) for k in range(400)] if f < car_until else []
+    rows = [(f, n, x, y, z - C.THRESHOLDS.sensor_height_m, c, g, m) for n, (f, x, y, z, c, g, m) in enumerate(rows)]
+    at = spark.createDataFrame(rows, "frame int, point_id bigint, x double, y double, z double, cls int, ground boolean, moving boolean")
+    return at.withColumns({"xw": F.col("x"), "yw": F.col("y"), "zw": F.col("z") + C.THRESHOLDS.sensor_height_m, "intensity": F.lit(0.5), "raw_label": F.lit(0)})
+
+
+def test_a_car_that_left_is_cleared_and_the_wall_is_not(spark):
+    points, poses = scene(spark, 8, 2), [live.Pose(f, 0.0, 0.0) for f in range(8)]
+    cleaned, counters = live.run(points, poses)
+    kept, _ = live.run(points, poses, cleanup=False)
+    near = lambda m: live.trail(m, 7.5, 9.0, 0.0, 1.5).count()
+    wall = lambda m: live.trail(m, 29.5, 30.5, 0.0, 7.0).count()
+    assert near(kept) > 0 and near(cleaned) < near(kept) / 2 and wall(cleaned) == wall(kept) > 0
+    r = live.removal(points, cleaned, kept).first()
+    assert r.SP == 1.0 and r.DR > 0.5 and 0 < r.F <= 1 and counters.agg(F.sum("cleared")).first()[0] > 0
+    short = live.compare(points, poses, (C.FOVEATED, C.uniform(0.25, 50)), reference.reference_map(points.withColumn("z", F.col("zw"))))
+    assert {(x.schedule, x.ring) for x in short.collect()} == {("5_10_20_40", k) for k in range(4)} | {("uniform_25cm", 0)}
+
+
+def test_the_window_moves_and_the_band_follows(spark):
+    rows = [(0, 0, 0, 100, 150), (0, 500, 0, 100, C.NO_CEILING), (3, 200, 0, 590, 600)]
+    state = spark.createDataFrame(rows, "ring int, ix bigint, iy bigint, ground_cm int, ceiling_cm int")
+    assert {(r.ring, r.ix) for r in live.shifted(state, live.Pose(1, 24.0, 0.0)).collect()} == {(0, 500), (3, 200)}
+    up = {r.ix: (r.ground_cm, r.ceiling_cm) for r in live.followed(state, 0.0, 2.0).collect()}
+    assert up == {0: (-100, -50), 500: (-100, C.NO_CEILING), 200: (390, 400)}
+    far = {r.ix: (r.ground_cm, r.ceiling_cm) for r in live.followed(state, 0.0, 50.0).collect()}
+    assert far[0] == (C.Z_MIN_CM, C.Z_MIN_CM) and far[500] == (C.Z_MIN_CM, C.NO_CEILING)
+    assert live.Pose(0, 0, 0, -0.2).datum == -1.0 and live.Pose(0, 0, 0, 2.9).datum == 2.0
+    classes = spark.createDataFrame([(None,), (-1,), (31,), (252,)], "c int")
+    assert [r[0] for r in classes.select(live.guarded(F.col("c"), clip=True)).collect()] == [0, 0, 31, 31]
+    with pytest.raises(Exception, match="above 31"):
+        classes.select(live.guarded(F.col("c"))).collect()
+
+
+def test_the_pool_keeps_the_highest_and_evicts_only_for_more(spark):
+    th = C.replace(C.THRESHOLDS, pool_blocks=3)
+    block = lambda *rows: spark.createDataFrame([(1, n, 0, 1, float(x), n) for n, x in rows], "ring int, ix bigint, iy bigint, levels int, score double, slot bigint")
+    got = {r.ix: (r.held, r.granted, r.score) for r in refine.pooled(block((1, 5), (2, 3), (3, 3)), block((4, 3), (5, 4), (1, 1), (6, 9)).drop("levels"), th).collect()}
+    assert {k for k, (_, granted, _) in got.items() if granted} == {6, 5, 2} and got[1] == (True, False, 1.0)
+    free = {r.ix for r in refine.pooled(block((1, 5)), block((4, 3), (5, 3)).drop("levels"), th).where("granted").collect()}
+    assert free == {1, 4, 5}
+
+
+def test_the_gate_releases_first_and_splits_what_it_grants(spark):
+    cells = stencil.traversability(plane(spark, lambda x, y: 0)).where("abs(ix) < 4 AND abs(iy) < 4")
+    moving = cells.where("ix = 2 AND iy = 2").select(*CELL)
+    overtaken = spark.createDataFrame([(1, 0, 0, 1, 9.0, 7)], refine.BLOCK)  # ring 0 serves the origin
+    got = refine.apply_gate(cells, overtaken, moving)
+    counts = got["counts"].first()
+    assert (counts.released, counts.fired, counts.acquired, counts.refused, counts.evicted) == (1, 1, 1, 0, 0)
+    assert [(r.ix, r.iy) for r in got["blocks"].collect()] == [(2, 2)] and got["children"].count() == 4
+    assert {(r.ix, r.iy) for r in got["cells"].where(F.col("flags").bitwiseAND(C.FLAG_REFINED) != 0).collect()} == {(2, 2)}
+
+
+def test_scenes_do_not_depend_on_partitions_and_hold_what_they_should(spark):
+    whole = synthetic.sweep(spark, frames=2, beams=8, azimuths=36, structure=True, crowd=3).cache()
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "3")
+    again = synthetic.sweep(spark, frames=2, beams=8, azimuths=36, structure=True, crowd=3)
+    assert scatter.map_digest(whole).first() == scatter.map_digest(again).first()
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert whole.select("frame", "point_id").distinct().count() == whole.count()
+    labels = {r.raw_label for r in whole.where("NOT ground").select("raw_label").distinct().collect()}
+    assert labels == {50, 70, 80, 81, 252, 254} and whole.where("raw_label = 252").count() == 800
+    front = whole.where("raw_label = 252").groupBy("frame").agg(F.avg("x").alias("x")).orderBy("frame").collect()
+    assert front[1].x - front[0].x == pytest.approx(0.5, abs=0.2)
+    assert synthetic.demo_raster(spark, 40).count() == 1600
+
+
+def test_maps_are_named_saved_and_shown(spark, tmp_path):
+    cells = stencil.traversability(plane(spark, lambda x, y: 7, ring=0))
+    query.bind(cells, "some_map")
+    assert query.bound(spark, "some_map").count() == cells.count() and spark.sql("SELECT count(*) FROM some_map").first()[0] == cells.count()
+    ref = spark.createDataFrame([(1, 2, 3.0, 4, 40)], "i bigint, j bigint, height_cm double, count bigint, class_id int")
+    reference.save_reference(ref, str(tmp_path / "ref"), 0.05)
+    again, cell = reference.load_reference(spark, str(tmp_path / "ref"))
+    assert again.collect() == ref.collect() and cell == 0.05
+    shown = query.display_sets(cells).groupBy("shown").count().collect()
+    assert sum(r["count"] for r in shown) == cells.count()
+
+
+def test_crossings_are_seeded_and_go_from_end_to_end(spark):
+    windows = spark.createDataFrame([(0,), (1,)], "window bigint")
+    a, b = (sorted(map(tuple, planning.crossings(windows, 16, 40, 20, seed=3).repartition(n).collect())) for n in (1, 5))
+    assert a == b and len(a) == 32 and a != sorted(map(tuple, planning.crossings(windows, 16, 40, 20, seed=4).collect()))
+    for _, q, si, sj, gi, gj in a:
+        assert 0 <= min(si, sj, gi, gj) and max(si, gi) < 40 and max(sj, gj) < 20
+        assert (si < 10 and gi >= 30) if q % 2 == 0 else (sj < 5 and gj >= 15)
+
+
+def test_poses_come_from_the_sequence_s_source(spark, tmp_path, monkeypatch):
+    cloud = [(np.zeros((3, 4)), np.array([40, 252, 0]))]
+    for seq in ("08", "05"):
+        kitti.write_sequence(str(tmp_path), seq, cloud, [[1.0, 0, 0, 1.0, 0, 1.0, 0, 0, 0, 0, 1.0, 0]])
+    with pytest.warns(RuntimeWarning, match="ground-truth"):
+        assert kitti.sequence_poses(spark, str(tmp_path), "08").first().t[3] == 1.0
+    (tmp_path / "sequences/08/poses.txt").write_text("1 0 0 7 0 1 0 0 0 0 1 0\n")
+    assert kitti.sequence_poses(spark, str(tmp_path), "08").first().t[3] == 7.0 and kitti.sequence_poses(spark, str(tmp_path), "08", "gt").first().t[3] == 1.0
+    monkeypatch.setenv(kitti.FORCED, "gt")
+    assert kitti.pose_source("08") == "gt"
+    monkeypatch.setenv(kitti.FORCED, "nonsense")
+    with pytest.raises(ValueError, match="nonsense"):
+        kitti.pose_source("05")
+    monkeypatch.delenv(kitti.FORCED)
+    points, transforms = kitti.scans(spark, str(tmp_path), "05")
+    assert [p.frame for p in live.poses_of(transforms)] == [0]
+    state, _ = live.run(points, live.poses_of(transforms))
+    assert state.count() == 1 and {r.moving for r in points.collect()} == {True, False}
 
 
 def test_windowed_stream(spark, tmp_path):
