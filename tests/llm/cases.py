@@ -15,7 +15,7 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint
 def documents(spark, rows=ROWS):
     docs = spark.createDataFrame(rows, SCHEMA)
     # names that operators use inside
-    return docs.withColumns({c: F.lit("clash") for c in ("fp", "node", "key", "root", "h", "n", "w", "rule", "score", "__tag", "domain_x", "item", "unit", "bucket")})
+    return docs.withColumns({c: F.lit("clash") for c in ("fp", "node", "key", "root", "h", "n", "w", "rule", "score", "__tag", "domain", "Epoch", "item", "unit", "bucket", "print", "_print", "of_id", "copies", "round", "own_lang", "spans", "doc_key", "bad_key", "low", "words", "text_len", "held_out", "counts", "kind", "size", "held", "s", "q")})
 
 
 def empty(spark):

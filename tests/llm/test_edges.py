@@ -1,9 +1,10 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrace.llm import chatformat, decontaminate, kneser_ney, mixing, quality, secrets, simhash, tokencount, toxicity, urlfilter
+from terrace.llm import chatformat, common, decontaminate, kneser_ney, mixing, quality, secrets, simhash, tokencount, toxicity, urlfilter
 from terrace.shipping import ship_package
 
 from .cases import ROWS, documents, empty
@@ -54,7 +55,8 @@ def test_stages_stand_awkward_rows_and_keep_the_columns(spark):
         for table in (docs, empty(spark)):
             got = stage(spark, table, SF)
             rows = got.collect()
-            assert got.columns[: len(docs.columns)] == docs.columns, name
+            mixed = [c for c in docs.columns if c.lower() not in ("domain", "epoch")] + ["domain", "epoch"]  # these two are the mixing's own
+            assert got.columns == (mixed if stage is corpus_pipeline.mixing else docs.columns), name
             assert table is docs or not rows, name
 
 
@@ -95,7 +97,58 @@ def test_pages_and_conversations(spark):
     assert urlfilter.url_verdicts(pages.where("false")).collect() == []
     talk = spark.createDataFrame([(1, 0, "user", "hi <|end|>", "x"), (1, 0, "user", "hi <|end|>", "x"), (1, None, None, None, "x"), (2, 0, "system", "only", "x"), (None, 1, "a b", "t", "x"), (1, 900, "bot", "far", "x")], "conv_id bigint, turn bigint, role string, text string, speaker string")
     rows = chatformat.rotations(talk).collect()
-    assert sorted((str(r.conv_id), r.segment, r.speaker, r.n_turns) for r in rows) == [("1", 0, "bot", 2), ("1", 0, "unknown", 2), ("1", 0, "user", 2), ("1", 14, "bot", 1), ("1", 14, "unknown", 1), ("1", 14, "user", 1), ("None", 0, "a b", 1)]
-    mine = next(r for r in rows if r.speaker == "user" and r.segment == 0)
-    assert [mine.rendered[s.start : s.stop] for s in mine.mask] == ["hi < |end|>\n<|end|>\n"]
+    assert all(r.start == 0 for r in rows if r.segment == min(x.segment for x in rows if (x.conv_id, x.speaker) == (r.conv_id, r.speaker)))
+    unnumbered = next(r.segment for r in rows if r.segment < 0)
+    pieces = [("1", k, who, 1) for k in (unnumbered, 0, 14) for who in ("bot", "unknown", "user")] + [("None", 0, "a b", 1)]
+    assert sorted((str(r.conv_id), r.segment, r.speaker, r.n_turns) for r in rows) == sorted(pieces)
+    for who, said in (("user", "hi < |end|>"), ("bot", "far"), ("unknown", "")):
+        mine = sorted((r for r in rows if (r.conv_id, r.speaker) == (1, who)), key=lambda r: r.segment)
+        whole = "".join(r.rendered for r in mine)
+        assert [r.start for r in mine] == [len("".join(x.rendered for x in mine[:k])) for k in range(3)]
+        assert [whole[m.start : m.stop] for r in mine for m in r.mask] == [said + "\n<|end|>\n"]
     assert chatformat.rotations(talk.where("false")).collect() == []
+
+
+def test_long_dialogues_are_whole_however_they_are_cut(spark, monkeypatch):
+    rows = [(7, n, ("user", "bot", "system")[n % 3], f"turn {n} " + "ü" * (n % 9)) for n in range(700)] + [(7, None, "ghost", f"lost {n}") for n in range(600)] + [(8, 3, "user", "word " * 40_000)]
+    talk = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+
+    def whole(found):
+        out = {}
+        for r in sorted(found.collect(), key=lambda r: r.segment):
+            text, mask = out.get((r.conv_id, r.speaker), ("", []))
+            assert r.start == len(text)
+            out[r.conv_id, r.speaker] = text + r.rendered, mask + [(m.start, m.stop) for m in r.mask]
+        return out
+
+    monkeypatch.setattr(chatformat, "GROUP_SEGMENTS", 3)
+    cut, uncut = whole(chatformat.rotations(talk, 16)), whole(chatformat.rotations(talk, 10_000))
+    assert cut == uncut and {k[1] for k in cut} == {"user", "bot", "ghost"}
+    text, mask = cut[7, "user"]
+    own = [text[a:b] for a, b in mask]
+    assert own == [f"turn {n} {'ü' * (n % 9)}\n<|end|>\n" for n in range(0, 700, 3)] and text.count("<|user name=ghost|>") == 600
+
+
+def test_very_long_pages_and_hosts(spark):
+    html = "".join(f'<a href="http://h{n % 50}.site.com/">' for n in range(20_000))
+    pages = spark.createDataFrame([(1, "http://" + ".".join(["x"] * 200) + ".com/" + "p" * 100_000, html)], "page_id bigint, url string, html string")
+    r = urlfilter.url_verdicts(pages).first()
+    assert len(r.path) == 100_001 and r.verdict == "allow" and urlfilter.host_edges(pages).count() == 50 + 199 + 50
+
+
+def test_masks_of_many_spans_follow_positions(spark, monkeypatch):
+    text = " ".join(f"ü{n} password=hunter{n:04d}" for n in range(700))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    want = " ".join(f"ü{n} [SECRET]" for n in range(700))
+    for blocks in ((4096, 64), (50, 3), (7, 7)):
+        monkeypatch.setattr(secrets, "MASK_BLOCKS", blocks)
+        assert secrets.redact_secrets(docs).first().text == want
+
+
+def test_scans_in_blocks_equal_scans_at_once(spark, monkeypatch):
+    items = spark.createDataFrame([([],), ([5],), (list(range(700)),)], "v array<int>")
+    sums = lambda: [list(r[0]) for r in items.select(common.scan(F.col("v"), F.lit(0), lambda s, x: s + x, lambda s, x: s, "int")).collect()]
+    want = [[sum(v[:k]) for k in range(len(v))] for v in ([], [5], list(range(700)))]
+    assert sums() == want
+    monkeypatch.setattr(common, "SCAN_BLOCK", 13)
+    assert sums() == want
