@@ -22,24 +22,35 @@ def empty_state() -> Column:
     return F.struct(*(F.lit(v).cast(t).alias(n) for n, t, v in STATE))
 
 
-def fuse(state: Column, seen: Column, th: Thresholds = THRESHOLDS) -> Column:
-    """The state after one frame's aggregate of the cell."""
-    prior_var = M.decode_variance(state["var_code"]) + th.process_noise_cm2
+def _weighed(state: Column, seen: Column, th: Thresholds) -> dict[str, Column]:
+    """The state's variance before the frame, the frame's height and its noise."""
+    return {
+        "before": M.decode_variance(state["var_code"]) + th.process_noise_cm2,
+        "height": M.mean_height(seen["wz_sum"], seen["w_sum"]).cast("double"),
+        "noise": float(th.weight_scale) / F.greatest(seen["w_sum"].cast("double"), F.lit(1.0)),
+    }
+
+
+def _fused(state: Column, seen: Column, before: Column, height: Column, noise: Column, gain: Column, th: Thresholds) -> dict[str, Column]:
+    """The fields of the state after one frame's aggregate of the cell; gain: before / (before + noise)."""
     prior = state["ground_cm"].cast("double")
-    z = M.mean_height(seen["wz_sum"], seen["w_sum"]).cast("double")
-    noise = float(th.weight_scale) / F.greatest(seen["w_sum"].cast("double"), F.lit(1.0))
-    gain = prior_var / (prior_var + noise)
     first, ground = state["obs_count"] == 0, seen["w_sum"] > 0
-    mu = F.when(~ground, prior).when(first, z).otherwise(prior + gain * (z - prior))
-    var = F.when(~ground, prior_var).when(first, noise).otherwise((1.0 - gain) * prior_var)
+    mu = F.when(~ground, prior).when(first, height).otherwise(prior + gain * (height - prior))
+    var = F.when(~ground, before).when(first, noise).otherwise((1.0 - gain) * before)
     low, high = th.log_odds_clamp
     refl = (seen["refl_sum"] - F.pmod(seen["refl_sum"], seen["n"])) / seen["n"]
-    values = {
+    return {
         "ground_cm": F.rint(mu), "ceiling_cm": F.least(state["ceiling_cm"], seen["ceiling_cm"]), "var_code": M.encode_variance(var),
         "log_odds": F.greatest(F.least(state["log_odds"] + th.log_odds_hit, F.lit(high)), F.lit(low)), "class_byte": M.vote(state["class_byte"], seen["class_id"]),
         "reflectivity": F.least(refl, F.lit(255)), "obs_count": F.least(state["obs_count"] + seen["n"], F.lit(255)), "frames_since_seen": F.lit(0),
         "flags": state["flags"], "last_frame": seen["frame"],
     }
+
+
+def fuse(state: Column, seen: Column, th: Thresholds = THRESHOLDS) -> Column:
+    """The state after one frame's aggregate of the cell."""
+    w = _weighed(state, seen, th)
+    values = _fused(state, seen, **w, gain=w["before"] / (w["before"] + w["noise"]), th=th)
     return F.struct(*(values[n].cast(t).alias(n) for n, t, _ in STATE))
 
 
@@ -55,11 +66,14 @@ def _unpacked(rows: DataFrame, by: list[str], state: Column) -> DataFrame:
 
 
 def merge_frame(state: DataFrame, aggregate: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:
-    """State after one more frame, cell by cell: the form of fold_frames for a running map. A full join on the cell."""
+    """State after one more frame, cell by cell: the form of fold_frames for a running map. A full join on the cell, and shared figures as columns, which keeps the generated code short."""
     prior = state.select(*CELL, F.struct(*(n for n, _, _ in STATE)).alias("prior"))
     now = aggregate.select(*CELL, F.struct("frame", *MEASURED).alias("now"))
     both = prior.join(now, CELL, "full_outer").withColumn("prior", F.coalesce("prior", empty_state()))
-    return _unpacked(both, CELL, F.when(F.col("now").isNull(), F.col("prior")).otherwise(fuse(F.col("prior"), F.col("now"), th)))
+    s, x = F.col("prior"), F.col("now")
+    both = both.withColumns(_weighed(s, x, th)).withColumn("gain", F.col("before") / (F.col("before") + F.col("noise")))
+    values = _fused(s, x, *(F.col(c) for c in ("before", "height", "noise", "gain")), th)
+    return both.select(*CELL, *(F.when(x.isNull(), s[n]).otherwise(values[n].cast(t)).alias(n) for n, t, _ in STATE))
 
 
 def last_islands(aggregates: DataFrame, windows: DataFrame) -> DataFrame:

@@ -123,7 +123,8 @@ def occupied_in_frame(state: DataFrame, ego_x: Column, ego_y: Column, s: Schedul
     """Occupied cells of a state with frame, as seen_through() takes them."""
     there = state.where(M.occupancy(F.col("obs_count"), F.col("log_odds"), F.col("flags")) == C.OCCUPIED)
     z = F.when(F.col("ceiling_cm") != C.NO_CEILING, F.col("ceiling_cm")).otherwise(F.col("ground_cm")) / 100.0
-    return there.select("frame", *CELL, (L.centre(F.col("ix"), F.col("ring"), s) - ego_x).alias("x"), (L.centre(F.col("iy"), F.col("ring"), s) - ego_y).alias("y"), z.alias("z"))
+    at = F.struct((L.centre(F.col("ix"), F.col("ring"), s) - ego_x).alias("x"), (L.centre(F.col("iy"), F.col("ring"), s) - ego_y).alias("y"), z.alias("z"))
+    return there.select("frame", *CELL, F.inline(F.array(at)))  # by a generator, so that what follows works on three numbers rather than on copies of their formulas
 
 
 def residual_motion(points: DataFrame, step_m: float, th: Thresholds = THRESHOLDS, threshold_m: float = 0.75, min_range_m: float = 2.0) -> DataFrame:

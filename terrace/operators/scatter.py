@@ -18,6 +18,8 @@ def binned(points: DataFrame, s: C.Schedule, xw: str = "x", yw: str = "y", speed
     x, y = F.col("x"), F.col("y")
     at = L.with_cells(points.where(L.in_map(x, y, s)), s, F.col(xw), F.col(yw), L.ring_of(x, y, s, speed))
     if ego is not None:
+        # by a generator: the window's test is not moved before it, where it would copy the formulas of ring and cell many times
+        at = at.select(*points.columns, F.inline(F.array(F.struct(*CELL))))
         for i, e in zip(("ix", "iy"), ego, strict=True):
             at = at.where(L.in_window(F.col(i), L.window_start(e, F.col("ring"), s), F.col("ring"), s))
     return at
