@@ -8,6 +8,7 @@ from .decontaminate import op4_spaced_seeds
 from .kneser_ney import op1_kneser_ney
 from .mixing import OP3_SQL, op3_hierarchical_mixing
 from .quality import OP9_SQL, op9_quality_cascade
+from .runs import op12_lyndon_runs
 from .secrets import op7_secret_linking
 from .simhash import op6_simhash_bktree
 from .tokencount import op10_rank_synchronous_bpe
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_weak_supervision": op8_weak_supervision,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_rank_synchronous_bpe": op10_rank_synchronous_bpe,
+    "op12_lyndon_runs": op12_lyndon_runs,
     "pipeline": run,
 }
 
