@@ -5,6 +5,7 @@ from corpus_pipeline import run
 
 from .chatformat import OP2_SQL, op2_perspective_rotation
 from .decontaminate import op4_spaced_seeds
+from .divergence import OP13_SQL, op13_source_divergence
 from .kneser_ney import op1_kneser_ney
 from .mixing import OP3_SQL, op3_hierarchical_mixing
 from .quality import OP9_SQL, op9_quality_cascade
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_cascade": op9_quality_cascade,
     "op10_rank_synchronous_bpe": op10_rank_synchronous_bpe,
     "op12_lyndon_runs": op12_lyndon_runs,
+    "op13_source_divergence": op13_source_divergence,
     "pipeline": run,
 }
 
@@ -35,6 +37,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_hierarchical_mixing": OP3_SQL,
     "op5_link_graph": OP5_SQL,
     "op9_quality_cascade": OP9_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
 
 if PIPELINE_SQL:
