@@ -6,6 +6,7 @@ from corpus_pipeline import run
 from .chatformat import OP2_SQL, op2_perspective_rotation
 from .decontaminate import op4_spaced_seeds
 from .divergence import OP13_SQL, op13_source_divergence
+from .jaccard import op11_combination_prefixes
 from .kneser_ney import op1_kneser_ney
 from .mixing import OP3_SQL, op3_hierarchical_mixing
 from .quality import OP9_SQL, op9_quality_cascade
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_weak_supervision": op8_weak_supervision,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_rank_synchronous_bpe": op10_rank_synchronous_bpe,
+    "op11_combination_prefixes": op11_combination_prefixes,
     "op12_lyndon_runs": op12_lyndon_runs,
     "op13_source_divergence": op13_source_divergence,
     "pipeline": run,
