@@ -8,8 +8,9 @@ shingles the first one or two prove nothing, so the prefix is longer by these. S
 link share a key; what shares a key is verified on the texts.
 
 Keys of many sets never make all their pairs: in each round a key's sets meet one of them,
-what links is joined, and keys within one class leave. Pairs of different classes that are
-left then meet.
+what links is joined, and keys within one class leave. The first round takes a few keys of
+each set, so that groups of near copies are one class before their keys are laid out. Pairs
+of different classes that are left then meet.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ FREQUENT, VERY_FREQUENT = 32, 255
 SMALLEST_BAND = 3
 #: A band's smallest size for a bucket of its frequent shingles.
 SIZE_A_BUCKET = 16
-#: Bytes of text for a cell of the sketches; most bits of a cell's number (two rows of 64 MB).
-CELL_BYTES, CELL_BITS = 16, 26
-#: Rounds in which keys meet one set; sets that meet it in one task.
-STAR_ROUNDS, UNIT_SETS = 3, 2048
+#: Bytes of text for a cell of the sketches; most bits of a cell's number (64 MB); rows of cells.
+CELL_BYTES, CELL_BITS, CELL_ROWS = 16, 26, 1
+#: Keys of a set in the first round; rounds in which keys meet one set; sets that meet it in one task.
+FEW_KEYS, STAR_ROUNDS, UNIT_SETS = 4, 3, 2048
 _TAG = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,17 +157,60 @@ def _key_counts(batch: pa.RecordBatch):
     yield ta.mix(keys), np.ones(len(keys), np.int64)
 
 
-def _shared_keys(sketch: Sketch):
-    """node, size, key of the keys that another set may have."""
+def _one_of(column: str):
+    def keys(batch: pa.RecordBatch):
+        found = batch.column(column).to_numpy().view(np.uint64)
+        yield ta.mix(found), np.ones(len(found), np.int64)
+
+    return keys
+
+
+def _held(batch: pa.RecordBatch, sketch: Sketch, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of a batch's keys whose estimate is at least that."""
+    lists = batch.column("keys")
+    keys, row = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+    may = sketch.estimates(ta.mix(keys.view(np.uint64))) >= least
+    return row[may], keys[may]
+
+
+def _laid_out(sketch: Sketch, least: int, few: int | None = None):
+    """node, size, root, key of the keys that may be counted `least` times; at most `few` of a set, its smallest."""
+
+    def run(batches):
+        for batch in batches:
+            row, keys = _held(batch, sketch, least)
+            if few:
+                order = np.lexsort((keys, row))
+                row, keys = row[order], keys[order]
+                first = _place(row) < few
+                row, keys = row[first], keys[first]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "size", "root")), pa.array(keys)], ["node", "size", "root", "key"])
+
+    return run
+
+
+def _of_classes(sketch: Sketch):
+    """key, root, once for each batch, of the keys that may be counted twice."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column("keys")
-            keys = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            may = sketch.estimates(ta.mix(keys.view(np.uint64))) > 1
-            at = pa.array(row[may])
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("size").take(at), pa.array(keys[may])], ["node", "size", "key"])
+            row, keys = _held(batch, sketch, 2)
+            root = batch.column("root").to_numpy()[row]
+            order = np.lexsort((root, keys))
+            keys, root = keys[order], root[order]
+            first = np.ones(len(keys), bool)
+            first[1:] = (keys[1:] != keys[:-1]) | (root[1:] != root[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(root[first])], ["key", "root"])
+
+    return run
+
+
+def _wanted(sketch: Sketch):
+    def run(batches):
+        for batch in batches:
+            may = sketch.estimates(ta.mix(batch.column("print").to_numpy().view(np.uint64))) > 0
+            yield batch.filter(pa.array(may))
 
     return run
 
@@ -215,11 +259,36 @@ def _close(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _open(keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """The keys whose sets are in several classes, with the classes (node, root: of the linked ones); written."""
-    named = keys.drop("root").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    still = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    return written(named.join(still, "key"), "keys")
+def _texts_of(own: DataFrame, nodes: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
+    """node, text of the nodes of these pairs. Texts that a sketch of their hashes does not know stay where they are."""
+    asked = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
+    wanted = nodes.select("node", "text_of.*").join(asked, "node")
+    known = count_sketch(wanted.select("print"), _one_of("print"), bits, CELL_ROWS)
+    there = own.mapInArrow(_wanted(known), "doc_id bigint, text string, print bigint")
+    same = there["doc_id"].eqNullSafe(wanted["doc_id"]) & (there["print"] == wanted["print"])
+    return there.join(wanted, same).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _in_classes(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """With the class so far (node, root: of the linked ones) as root."""
+    return keys.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _mixed(keys: DataFrame) -> DataFrame:
+    """The keys that sets of several classes have."""
+    return keys.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+
+
+def _stars(keys: DataFrame, seed: int) -> DataFrame:
+    """u, v (with size and root): each key's set and the one of its sets that a hash picks."""
+    picked = F.min(F.struct(F.xxhash64("node", F.lit(seed)), "node", "size", "root")).alias("p")
+    one = [F.col(f"p.{c}").alias(n) for c, n in (("node", "u"), ("size", "u_size"), ("root", "u_root"))]
+    return keys.join(keys.groupBy("key").agg(picked), "key").select(*one, F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"))
+
+
+def _pairs(keys: DataFrame) -> DataFrame:
+    side = lambda x: keys.select("key", F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("root").alias(f"{x}_root"))
+    return side("u").join(side("v"), "key").where("u < v")
 
 
 def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -234,40 +303,38 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).withColumn("print", F.xxhash64("text"))
     bits = cell_bits(docs, CELL_BYTES, CELL_BITS)
-    sketch = count_sketch(own.select("text"), _shingle_counts(width), bits)
+    sketch = count_sketch(own.select("text"), _shingle_counts(width), bits, CELL_ROWS)
     signed = written(own.mapInArrow(_signed(width, percent, sketch), "doc_id bigint, print bigint, high bigint, low bigint, size bigint, keys array<bigint>"), "signed")
     first = F.min(F.struct("doc_id", "print")).alias("text_of")
     nodes = signed.where("size > 0").groupBy("high", "low").agg(F.min("doc_id").alias("least"), first, F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    seen = count_sketch(nodes.select("keys"), _key_counts, bits)
-    keys = nodes.select("node", "size", "keys").mapInArrow(_shared_keys(seen), "node bigint, size bigint, key bigint")
-    keys = written(keys.join(keys.groupBy("key").agg(F.count("node").alias("n")).where("n > 1").select("key"), "key"), "keys")
-    wanted = nodes.select("node", "text_of.*").join(keys.select("node").distinct(), "node")
-    same = own["doc_id"].eqNullSafe(wanted["doc_id"]) & (own["print"] == wanted["print"])
-    texts = written(own.join(wanted, same).select("node", "text").groupBy("node").agg(F.first("text").alias("text")), "texts")
-
-    links, roots, used = None, None, [keys, texts]
-    keys = keys.select("key", "node", "size", F.col("node").alias("root"))
-    for n in range(STAR_ROUNDS + 1):
-        if n < STAR_ROUNDS:
-            picked = F.min(F.struct(F.xxhash64("node", F.lit(n)), "node", "size", "root")).alias("p")
-            met = keys.join(keys.groupBy("key").agg(picked), "key").select(F.col("p.node").alias("u"), F.col("p.size").alias("u_size"), F.col("p.root").alias("u_root"), F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"))
-        else:
-            side = lambda x: keys.select("key", F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("root").alias(f"{x}_root"))
-            met = side("u").join(side("v"), "key").where("u < v")
+    spark, layout = docs.sparkSession, "node bigint, size bigint, root bigint, key bigint"
+    seen = count_sketch(nodes.select("keys"), _key_counts, bits, CELL_ROWS)
+    signs = nodes.select("node", "size", F.col("node").alias("root"), "keys")
+    keys = written(signs.mapInArrow(_laid_out(seen, 2, FEW_KEYS), layout), "keys")
+    links, used = None, [keys]
+    for n in range(STAR_ROUNDS + 2):
+        if n == 1:  # all keys, of which those within one class never leave the task
+            signs = _in_classes(signs, roots).select("node", "size", "root", "keys")
+            mixed = written(_mixed(signs.mapInArrow(_of_classes(seen), "key bigint, root bigint")), "mixed")
+            several = count_sketch(mixed, _one_of("key"), bits, CELL_ROWS)
+            keys = written(signs.mapInArrow(_laid_out(several, 1), layout).join(mixed, "key"), "keys")
+            used += [mixed, keys]
+        elif n > 1:
+            keys = _in_classes(keys, roots)
+            keys = written(keys.join(_mixed(keys), "key"), "keys")
+            used += [keys]
+        if n and keys.isEmpty():
+            break
+        met = _stars(keys, n) if n <= STAR_ROUNDS else _pairs(keys)
         met = met.where((F.col("u_root") != F.col("v_root")) & _close(F.col("u_size"), F.col("v_size"), percent))
-        fresh = _links(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), texts, width, percent)
-        links = fresh if links is None else links.unionAll(fresh)
-        used += [fresh]
+        pairs = written(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+        links_now = _links(pairs, _texts_of(own, nodes, pairs, bits), width, percent)
+        links = links_now if links is None else links.unionAll(links_now)
         roots = connected_components(links)
-        if n == STAR_ROUNDS:
-            break
-        keys = _open(keys, roots)
-        used += [keys]
-        collect_shuffles(docs.sparkSession)
-        if keys.isEmpty():
-            break
+        used += [pairs, links_now]
+        collect_shuffles(spark)
     for done in used:
         drop_written(done)
     named = nodes.join(roots, "node", "left").select("high", "low", "least", F.coalesce("root", "node").alias("root"))
