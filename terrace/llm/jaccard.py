@@ -8,9 +8,11 @@ shingles the first one or two prove nothing, so the prefix is longer by these. S
 link share a key; what shares a key is verified on the texts.
 
 Keys of many sets never make all their pairs: in each round a key's sets meet one of them,
-what links is joined, and keys within one class leave. The first round takes a few keys of
-each set, so that groups of near copies are one class before their keys are laid out. Pairs
-of different classes that are left then meet.
+what links is joined, and keys within one class leave. The first rounds pick the set with the
+least share of rare shingles, since what others were copied from has none of its own; later
+ones pick by a hash. The first round takes a few keys of each set, so that groups of near
+copies are one class before their keys are laid out. Pairs of different classes that are left
+then meet.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ SMALLEST_BAND = 3
 SIZE_A_BUCKET = 16
 #: Bytes of text for a cell of the sketches; most bits of a cell's number (64 MB); rows of cells.
 CELL_BYTES, CELL_BITS, CELL_ROWS = 16, 26, 1
-#: Keys of a set in the first round; rounds in which keys meet one set; sets that meet it in one task.
-FEW_KEYS, STAR_ROUNDS, UNIT_SETS = 4, 3, 2048
+#: Keys of a set in the first round; rounds in which keys meet one set, and those of them that pick by rare shingles; sets that meet it in one task.
+FEW_KEYS, STAR_ROUNDS, RARE_ROUNDS, UNIT_SETS = 4, 3, 2, 2048
 _TAG = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,7 +135,7 @@ def _shingle_counts(width: int):
 
 
 def _signed(width: int, percent: int, sketch: Sketch):
-    """doc_id, print, a digest of the set (two numbers), its size, and its keys."""
+    """doc_id, print, a digest of the set (two numbers), its size, how many in a thousand of its shingles are rare, and its keys."""
 
     def run(batches):
         for batch in batches:
@@ -143,11 +145,13 @@ def _signed(width: int, percent: int, sketch: Sketch):
                 size = np.bincount(row, minlength=n)
                 digest = np.array([xxhash.xxh128_intdigest(x.tobytes()).to_bytes(16, "little") for x in np.split(hashes, np.cumsum(size)[:-1])], "S16") if n else np.zeros(0, "S16")
                 digest = np.frombuffer(digest.tobytes(), np.int64).reshape(-1, 2)
-                owner, key = prefix_keys(row, hashes, sketch.estimates(hashes), n, percent)
+                estimate = sketch.estimates(hashes)
+                owner, key = prefix_keys(row, hashes, estimate, n, percent)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
                 keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key.view(np.int64)))
-                columns = [part.column("doc_id"), part.column("print"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(size, pa.int64()), keys]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "high", "low", "size", "keys"])
+                rare = 1000 * np.bincount(row, estimate < FREQUENT, minlength=n) // np.maximum(size, 1)
+                columns = [part.column("doc_id"), part.column("print"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(size, pa.int64()), pa.array(rare.astype(np.int64)), keys]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "high", "low", "size", "rare", "keys"])
 
     return run
 
@@ -174,7 +178,7 @@ def _held(batch: pa.RecordBatch, sketch: Sketch, least: int) -> tuple[np.ndarray
 
 
 def _laid_out(sketch: Sketch, least: int, few: int | None = None):
-    """node, size, root, key of the keys that may be counted `least` times; at most `few` of a set, its smallest."""
+    """node, size, rare, root, key of the keys that may be counted `least` times; at most `few` of a set, its smallest."""
 
     def run(batches):
         for batch in batches:
@@ -185,7 +189,7 @@ def _laid_out(sketch: Sketch, least: int, few: int | None = None):
                 first = _place(row) < few
                 row, keys = row[first], keys[first]
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "size", "root")), pa.array(keys)], ["node", "size", "root", "key"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "size", "rare", "root")), pa.array(keys)], ["node", "size", "rare", "root", "key"])
 
     return run
 
@@ -279,9 +283,10 @@ def _mixed(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
 
 
-def _stars(keys: DataFrame, seed: int) -> DataFrame:
-    """u, v (with size and root): each key's set and the one of its sets that a hash picks."""
-    picked = F.min(F.struct(F.xxhash64("node", F.lit(seed)), "node", "size", "root")).alias("p")
+def _stars(keys: DataFrame, n: int) -> DataFrame:
+    """u, v (with size and root): each key's sets and the one of them that the round picks."""
+    order = [F.col("rare")] if n < RARE_ROUNDS else []
+    picked = F.min(F.struct(*order, F.xxhash64("node", F.lit(n)), "node", "size", "root")).alias("p")
     one = [F.col(f"p.{c}").alias(n) for c, n in (("node", "u"), ("size", "u_size"), ("root", "u_root"))]
     return keys.join(keys.groupBy("key").agg(picked), "key").select(*one, F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"))
 
@@ -304,19 +309,19 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).withColumn("print", F.xxhash64("text"))
     bits = cell_bits(docs, CELL_BYTES, CELL_BITS)
     sketch = count_sketch(own.select("text"), _shingle_counts(width), bits, CELL_ROWS)
-    signed = written(own.mapInArrow(_signed(width, percent, sketch), "doc_id bigint, print bigint, high bigint, low bigint, size bigint, keys array<bigint>"), "signed")
+    signed = written(own.mapInArrow(_signed(width, percent, sketch), "doc_id bigint, print bigint, high bigint, low bigint, size bigint, rare bigint, keys array<bigint>"), "signed")
     first = F.min(F.struct("doc_id", "print")).alias("text_of")
-    nodes = signed.where("size > 0").groupBy("high", "low").agg(F.min("doc_id").alias("least"), first, F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = signed.where("size > 0").groupBy("high", "low").agg(F.min("doc_id").alias("least"), first, F.first("size").alias("size"), F.first("rare").alias("rare"), F.first("keys").alias("keys"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    spark, layout = docs.sparkSession, "node bigint, size bigint, root bigint, key bigint"
+    spark, layout = docs.sparkSession, "node bigint, size bigint, rare bigint, root bigint, key bigint"
     seen = count_sketch(nodes.select("keys"), _key_counts, bits, CELL_ROWS)
-    signs = nodes.select("node", "size", F.col("node").alias("root"), "keys")
+    signs = nodes.select("node", "size", "rare", F.col("node").alias("root"), "keys")
     keys = written(signs.mapInArrow(_laid_out(seen, 2, FEW_KEYS), layout), "keys")
     links, used = None, [keys]
     for n in range(STAR_ROUNDS + 2):
         if n == 1:  # all keys, of which those within one class never leave the task
-            signs = _in_classes(signs, roots).select("node", "size", "root", "keys")
+            signs = _in_classes(signs, roots).select("node", "size", "rare", "root", "keys")
             mixed = written(_mixed(signs.mapInArrow(_of_classes(seen), "key bigint, root bigint")), "mixed")
             several = count_sketch(mixed, _one_of("key"), bits, CELL_ROWS)
             keys = written(signs.mapInArrow(_laid_out(several, 1), layout).join(mixed, "key"), "keys")
