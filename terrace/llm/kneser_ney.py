@@ -305,24 +305,34 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return 0.5, 1.0, 1.5
 
 
+#: Files of a model that a task keeps mapped, each with a handle; of more, the one unused longest is closed.
+OPEN_FILES = 256
+
+
 class Model:
     """A counted model; small, and so sent to the tasks, which map its arrays as they need them."""
 
     def __init__(self, folder: str, order: int, shards: int, levels: list[Level], train_tokens: int, types: int):
         self.folder, self.order, self.shards, self.levels, self.train_tokens, self.types = folder, order, shards, levels, train_tokens, types
-        self._open: dict = {}
+        self.open_files = OPEN_FILES
+        self._open: dict = {}  # the one used last comes last
 
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
     def _arrays(self, table: str, number: int) -> list[np.ndarray] | None:
         name = f"{table}-{number}"
-        if name not in self._open:
+        if name in self._open:
+            found = self._open.pop(name)
+        else:
+            while len(self._open) >= self.open_files:
+                del self._open[next(iter(self._open))]
             try:
-                self._open[name] = load(self.folder, name)
+                found = load(self.folder, name)
             except FileNotFoundError:
-                self._open[name] = None  # no n-gram came to that shard
-        return self._open[name]
+                found = None  # no n-gram came to that shard
+        self._open[name] = found
+        return found
 
     def lookup(self, table: str, key: np.ndarray, home: np.ndarray, width: int, read) -> np.ndarray:
         """(width, len(key)) figures, by read(arrays of a file, slots); 0 for hashes that the table lacks. Keys are looked up file by file, in their order there."""
