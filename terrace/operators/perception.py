@@ -127,13 +127,55 @@ def occupied_in_frame(state: DataFrame, ego_x: Column, ego_y: Column, s: Schedul
     return there.select("frame", *CELL, F.inline(F.array(at)))  # by a generator, so that what follows works on three numbers rather than on copies of their formulas
 
 
-def residual_motion(points: DataFrame, step_m: float, th: Thresholds = THRESHOLDS, threshold_m: float = 0.75, min_range_m: float = 2.0) -> DataFrame:
-    """frame, v, u, residual, moved: pixels of a frame against the frame before, moved back by the vehicle's step along x."""
-    before = range_image(points.withColumns({"frame": F.col("frame") + 1, "x": F.col("x") - step_m}), th).select(*PIXEL, F.col("r").alias("r_before"))
-    both = range_image(points, th).select(*PIXEL, "r").join(before, PIXEL).where(F.col("r") >= min_range_m)
+def carried(points: DataFrame, relative: DataFrame) -> DataFrame:
+    """The returns of each frame as the sensor would have them in the next one: frame + 1, x, y, z moved by that frame's transform.
+
+    relative: frame, t (12 numbers, row-major 3 x 4): from the sensor one frame before to the
+    sensor now. Frames without a transform, as the one after the last, have no successor.
+    """
+    t, xyz = [F.col("t")[n] for n in range(12)], [F.col(c) for c in "xyz"]
+    row = lambda r: t[4 * r] * xyz[0] + t[4 * r + 1] * xyz[1] + t[4 * r + 2] * xyz[2] + t[4 * r + 3]
+    ahead = points.withColumn("frame", F.col("frame") + 1).join(relative.select("frame", "t"), "frame")
+    return ahead.withColumns({c: row(r) for r, c in enumerate("xyz")}).drop("t")
+
+
+def _compared(now: DataFrame, before: DataFrame, on: list[str], threshold_m: float, min_range_m: float) -> DataFrame:
+    both = now.join(before.withColumnRenamed("r", "r_before"), on).where(F.col("r") >= min_range_m)
     return both.withColumn("residual", F.abs(F.col("r") - F.col("r_before"))).withColumn("moved", F.col("residual") > threshold_m)
 
 
+def residual_motion(points: DataFrame, relative: DataFrame, th: Thresholds = THRESHOLDS, threshold_m: float = 0.75, min_range_m: float = 2.0) -> DataFrame:
+    """frame, v, u, r, r_before, residual, moved: pixels that a frame's image shares with the one before it, reprojected to where the sensor is now.
+
+    The image before is projected anew after the move, the closest return of a pixel winning,
+    so that what the sensor's own motion explains leaves no residual. relative: as in
+    carried(). Pixels closer than min_range_m, and those that one of both images lacks, have
+    no row; neither has a first frame. One pass over the points and one equi-join by pixel.
+    """
+    closest = lambda p: with_pixels(p, th).where("r > 1e-6").groupBy(*PIXEL).agg(F.min("r").alias("r"))
+    return _compared(closest(points), closest(carried(points, relative)), PIXEL, threshold_m, min_range_m)
+
+
+def moving_returns(points: DataFrame, motion: DataFrame, th: Thresholds = THRESHOLDS, min_range_m: float = 2.0) -> DataFrame:
+    """Every return with candidate: whether its own pixel moved, whichever return that pixel shows. Returns closer than min_range_m never are."""
+    pixels = motion.where("moved").select(*PIXEL, F.lit(True).alias("hit"))
+    at = with_pixels(points, th).join(pixels, PIXEL, "left")
+    return at.withColumn("candidate", F.coalesce("hit", F.lit(False)) & (F.col("r") >= min_range_m)).drop("hit", "v_raw", "v", "u", "r")
+
+
+def residual_motion_stream(points: DataFrame, relative: DataFrame, th: Thresholds = THRESHOLDS, threshold_m: float = 0.75, min_range_m: float = 2.0, frame_s: float = THRESHOLDS.frame_s, late: str = "0 seconds") -> DataFrame:
+    """residual_motion() of a stream of returns with `ts`, the time of their frame: a join of two streams.
+
+    Each frame's image is a windowless aggregation by its time, and meets the image of the
+    frame before, reprojected and so dated one frame later. The watermark of `late` closes a
+    frame once a later one has come, and drops both images' state. relative: a table.
+    """
+    on = ["ts", *PIXEL]
+    closest = lambda p: with_pixels(p, th).where("r > 1e-6").withWatermark("ts", late).groupBy(*on).agg(F.min("r").alias("r"))
+    ahead = carried(points, relative).withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.lit(frame_s)))
+    return _compared(closest(points), closest(ahead), on, threshold_m, min_range_m)
+
+
 def _labelled(pixels: pd.DataFrame) -> pd.DataFrame:
     """Components of one frame's moving pixels: neighbours in the image whose ranges differ by 0.75 m at most."""
     width, at = THRESHOLDS.azimuths, {(v, u): k for k, (v, u) in enumerate(zip(pixels["v"], pixels["u"], strict=True))}

@@ -1,14 +1,15 @@
 """Neighbourhood operators on the sparse lattice: gradients, steps, traversability, kerbs, potholes, confidence.
 
-A cell asks for its neighbours by key: each request row joins the cell that it names and
-comes back to the cell that asked, so gaps are gaps and no rectangle is filled in. All
-requests of a pass share one equi-join and one aggregation.
+Cells stand in tiles with a halo as wide as the operator reaches, brought together by one
+shuffle; a neighbour is then an offset of arrays. Only tiles that hold cells exist, and a
+place without a cell is a gap, so nothing is filled in.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,20 +18,12 @@ from terrace.config import THRESHOLDS, Schedule, Thresholds
 from terrace.functions import lattice as L
 from terrace.functions import measure as M
 from terrace.operators.scatter import CELL
+from terrace.operators.tiles import Tile, moved, on_tiles
 
 #: Eight directions as steps (along y, along x), by octants of 45 degrees.
 DIRECTIONS = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
 
 
-def neighbours(cells: DataFrame, values: list[str], wanted: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """Adds, for each name, a struct of the values of the cell at that (ix, iy) of the same ring; null where there is none."""
-    asked = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), ix.cast("bigint").alias("ix"), iy.cast("bigint").alias("iy")) for n, (ix, iy) in wanted.items()))).alias("q")
-    requests = cells.select(*CELL, asked).select("ring", F.col("q.ix").alias("nx"), F.col("q.iy").alias("ny"), "ix", "iy", "q.name")
-    there = cells.select("ring", F.col("ix").alias("nx"), F.col("iy").alias("ny"), F.struct(*values).alias("v"))
-    answers = requests.join(there, ["ring", "nx", "ny"]).groupBy(*CELL).agg(*(F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in wanted))
-    return cells.join(answers, CELL, "left")
-
-
 def _half(ring: Column, s: Schedule) -> Column:
     return L.by_ring(ring, [r.side // 2 for r in s.bands]).cast("bigint")
 
@@ -39,34 +32,36 @@ def _last(ring: Column, s: Schedule) -> Column:
     return L.by_ring(ring, [r.side - r.side // 2 - 1 for r in s.bands]).cast("bigint")
 
 
-def _reach(ring: Column, s: Schedule, baseline_m: float) -> Column:
-    return L.by_ring(ring, [C.baseline_cells(r.cell_m, baseline_m) for r in s.bands]).cast("bigint")
+def _baselines(s: Schedule, baseline_m: float) -> list[int]:
+    """Cells that a baseline spans, by ring."""
+    return [C.baseline_cells(r.cell_m, baseline_m) for r in s.bands]
 
 
-def _cross(s: Schedule, baseline_m: float, clip: bool) -> dict[str, tuple[Column, Column]]:
-    """The four neighbours at the baseline; with clip no further than the window, which lies around the origin."""
-    ring, ix, iy = F.col("ring"), F.col("ix"), F.col("iy")
-    k, low, high = _reach(ring, s, baseline_m), -_half(ring, s), _last(ring, s)
-    up = lambda i: F.least(i + k, high) if clip else i + k
-    down = lambda i: F.greatest(i - k, low) if clip else i - k
-    return {"e": (up(ix), iy), "w": (down(ix), iy), "n": (ix, up(iy)), "s": (ix, down(iy))}
+def _window(s: Schedule, ring: int) -> tuple[int, int]:
+    """First and last cell of the ring's window, which lies around the origin."""
+    side = s.bands[ring].side
+    return -(side // 2), side - side // 2 - 1
 
 
 def with_slopes(cells: DataFrame, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS) -> DataFrame:
-    """Adds dzdx, dzdy (m per m), step_cm and all_seen. A missing neighbour counts as a stored height of 0, as an empty cell has; all_seen tells."""
-    wanted = _cross(s, th.trav_baseline_m, clip=True)
-    near = neighbours(cells, ["ground_cm", "obs_count"], wanted)
-    height = lambda n: F.coalesce(F.col(f"{n}.ground_cm"), F.lit(0))
-    span = lambda a, b: (a - b) * L.cell_size(F.col("ring"), s) * 100.0
-    step = F.greatest(*(F.abs(height(n) - F.col("ground_cm")) for n in "ewns"))
-    seen = (F.col("obs_count") >= 1) & F.coalesce(F.least(*(F.coalesce(F.col(f"{n}.obs_count"), F.lit(0)) for n in "ewns")) >= 1, F.lit(False))
-    return near.withColumns(
-        {
-            "dzdx": (height("e") - height("w")) / span(wanted["e"][0], wanted["w"][0]),
-            "dzdy": (height("n") - height("s")) / span(wanted["n"][1], wanted["s"][1]),
-            "step_cm": step, "all_seen": seen,
-        }
-    ).drop(*"ewns")
+    """Adds dzdx, dzdy (m per m), step_cm and all_seen. A missing neighbour counts as a stored height of 0, as an empty cell has; all_seen tells. Neighbours lie no further than the window, which holds all cells."""
+    reach, sizes = _baselines(s, th.trav_baseline_m), [r.cell_m for r in s.bands]
+
+    def slopes(t: Tile):
+        k, (low, high), z, n = reach[t.ring], _window(s, t.ring), t.values["ground_cm"], t.values["obs_count"]
+        ahead = lambda i: np.minimum(i + k, high)
+        back = lambda i: np.maximum(i - k, low)
+        at = lambda i, first, size: np.clip(i - first, 0, size - 1)
+        rows, columns = (at(f(t.iy), t.y0, len(z)) for f in (ahead, back)), (at(f(t.ix), t.x0, len(z)) for f in (ahead, back))
+        (north, south), (east, west) = rows, columns
+        near = [(z[:, east], n[:, east]), (z[:, west], n[:, west]), (z[north], n[north]), (z[south], n[south])]
+        span = lambda i: np.maximum(ahead(i) - back(i), 1) * sizes[t.ring] * 100.0
+        (ze, _), (zw, _), (zn, _), (zs, _) = near
+        seen = np.minimum.reduce([n, *(m for _, m in near)]) >= 1
+        step = np.maximum.reduce([np.abs(v - z) for v, _ in near])
+        return {"dzdx": ((ze - zw) / span(t.ix)[None, :], None), "dzdy": ((zn - zs) / span(t.iy)[:, None], None), "step_cm": (step, None), "all_seen": (seen, None)}
+
+    return on_tiles(cells, ["ground_cm", "obs_count"], reach, slopes, "dzdx double, dzdy double, step_cm int, all_seen boolean")
 
 
 def slope() -> Column:
@@ -128,42 +123,78 @@ def _observed() -> Column:
     return (F.col("obs_count") >= 1) & (F.col("flags").bitwiseAND(C.FLAG_BLIND) == 0)
 
 
+def _inner(t: Tile, s: Schedule, k: int) -> np.ndarray:
+    """Places that are not among the first or last k rows or columns of the ring's window."""
+    low, high = _window(s, t.ring)
+    inside = lambda i: (i >= low + k) & (i <= high - k)
+    return inside(t.iy)[:, None] & inside(t.ix)[None, :]
+
+
+def _kerbs(t: Tile, s: Schedule, th: Thresholds, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rise, octant and whether a place is on a kerb."""
+    z = np.where(t.there, t.values["ground_cm"].astype(float), np.nan)
+    dx, dy = moved(z, 0, k, np.nan) - moved(z, 0, -k, np.nan), moved(z, k, 0, np.nan) - moved(z, -k, 0, np.nan)
+    rise = np.sqrt(dx * dx + dy * dy)
+    octant = np.where(np.isnan(rise), 0, np.rint(np.arctan2(dy, dx) / (math.pi / 4))).astype(np.int64) % 8
+    band = t.there & _inner(t, s, k) & (rise >= th.curb_cm[0]) & (rise <= th.curb_cm[1])
+    marked, on = np.where(band, octant, -1), np.zeros_like(band)
+    for o in range(8):
+        step_y, step_x = DIRECTIONS[(o + 2) % 8]
+        along = [moved(marked, sign * step_y, sign * step_x, -1) for sign in (1, -1)]
+        aligned = [(a >= 0) & (np.abs((a - o + 4) % 8 - 4) <= 1) for a in along]
+        on |= (marked == o) & aligned[0] & aligned[1]
+    return rise, octant, on
+
+
+def _holes(t: Tile, s: Schedule, th: Thresholds, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Depth, pairs of rim samples and whether a place is in a pothole."""
+    z = np.where(t.there, t.values["ground_cm"].astype(float), np.nan)
+    rim = np.stack([moved(z, -dy * r, -dx * r, np.nan) for dy, dx in DIRECTIONS])
+    lacking = np.isnan(rim) | np.isnan(np.roll(rim, 4, axis=0))
+    rim[lacking] = np.nan
+    pairs = 4 - lacking[:4].sum(axis=0)
+    rim.sort(axis=0)  # what lacks comes last
+    pick = lambda k: np.take_along_axis(rim, np.clip(k, 0, 7)[None], axis=0)[0]
+    # opposed samples come in pairs, so the median is the mean of the middle two
+    median = (pick(pairs - 1) + pick(pairs)) / 2.0
+    depth = median - z
+    down = (median - rim > 0.5 * th.pothole_cm[0]).sum(axis=0)
+    flat = pick(2 * pairs - 1) - rim[0] <= th.rim_spread_cm
+    hole = t.there & _inner(t, s, r) & (pairs >= th.rim_pairs) & (depth >= th.pothole_cm[0]) & (depth <= th.pothole_cm[1]) & flat & (down <= th.rim_depressed * pairs)
+    return depth, pairs, hole
+
+
+def with_features(cells: DataFrame, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS) -> DataFrame:
+    """ring, ix, iy of observed cells that are not blind, with rise_cm and octant of those on a kerb, depth_cm and rim_pairs of those in a pothole, nulls elsewhere: both in one exchange.
+
+    A kerb is a rise within the band whose line goes on to both sides; a pothole lies below a
+    flat rim that is seen on opposed sides.
+    """
+    across, around = _baselines(s, th.curb_baseline_m), [max(1, round(th.rim_m / x.cell_m)) for x in s.bands]
+    halo = [max(k + 1, r) for k, r in zip(across, around, strict=True)]
+
+    def both(t: Tile):
+        rise, octant, kerb = _kerbs(t, s, th, across[t.ring])
+        depth, pairs, hole = _holes(t, s, th, around[t.ring])
+        return {"rise_cm": (rise, ~kerb), "octant": (octant, ~kerb), "depth_cm": (depth, ~hole), "rim_pairs": (pairs, ~hole)}
+
+    return on_tiles(cells.where(_observed()).select(*CELL, "ground_cm"), ["ground_cm"], halo, both, "rise_cm double, octant int, depth_cm double, rim_pairs int")
+
+
 def curbs(cells: DataFrame, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS) -> DataFrame:
-    """ring, ix, iy, rise_cm, octant of cells on a kerb: a rise within the band whose line goes on to both sides."""
-    seen = cells.where(_observed()).select(*CELL, "ground_cm")
-    k = _reach(F.col("ring"), s, th.curb_baseline_m)
-    near = neighbours(seen, ["ground_cm"], _cross(s, th.curb_baseline_m, clip=False)).where(~on_border(s, k))
-    rises = near.select(*CELL, (F.col("e.ground_cm") - F.col("w.ground_cm")).cast("double").alias("dx"), (F.col("n.ground_cm") - F.col("s.ground_cm")).cast("double").alias("dy")).where("dx IS NOT NULL AND dy IS NOT NULL")
-    rise = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    octant = F.pmod(F.rint(F.atan2("dy", "dx") / (math.pi / 4)).cast("int"), F.lit(8))
-    band = rises.withColumns({"rise_cm": rise, "octant": octant}).where(F.col("rise_cm").between(*th.curb_cm))
-    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in DIRECTIONS))
-    along = band.withColumn("d", steps[F.pmod(F.col("octant") + 2, F.lit(8))])
-    both = neighbours(along, ["octant"], {"f": (F.col("ix") + F.col("d.dx"), F.col("iy") + F.col("d.dy")), "b": (F.col("ix") - F.col("d.dx"), F.col("iy") - F.col("d.dy"))})
-    aligned = lambda n: F.abs(F.pmod(F.col(f"{n}.octant") - F.col("octant") + 4, F.lit(8)) - 4) <= 1
-    return both.where(aligned("f") & aligned("b")).select(*CELL, "rise_cm", "octant")
+    """ring, ix, iy, rise_cm, octant of cells on a kerb."""
+    return with_features(cells, s, th).where("rise_cm IS NOT NULL").select(*CELL, "rise_cm", "octant")
 
 
 def potholes(cells: DataFrame, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS) -> DataFrame:
-    """ring, ix, iy, depth_cm, rim_pairs of cells below a flat rim that is seen on opposed sides."""
-    seen = cells.where(_observed()).select(*CELL, "ground_cm")
-    r = L.by_ring(F.col("ring"), [max(1, round(th.rim_m / x.cell_m)) for x in s.bands]).cast("bigint")
-    rim = neighbours(seen, ["ground_cm"], {f"d{n}": (F.col("ix") - dx * r, F.col("iy") - dy * r) for n, (dy, dx) in enumerate(DIRECTIONS)}).where(~on_border(s, r))
-    z = lambda n: F.col(f"d{n}.ground_cm").cast("double")
-    axes = F.filter(F.array(*(F.when(z(n).isNotNull() & z(n + 4).isNotNull(), F.array(z(n), z(n + 4))) for n in range(4))), lambda x: x.isNotNull())
-    rim = rim.withColumn("axes", axes).withColumn("rim", F.array_sort(F.flatten("axes"))).where(F.size("axes") >= th.rim_pairs)
-    # opposed samples come in pairs, so the median is the mean of the middle two
-    median = (F.element_at("rim", F.size("axes")) + F.element_at("rim", F.size("axes") + 1)) / 2.0
-    rim = rim.withColumn("median", median).withColumn("depth_cm", F.col("median") - F.col("ground_cm"))
-    down = F.size(F.filter("rim", lambda v: F.col("median") - v > 0.5 * th.pothole_cm[0]))
-    flat = F.array_max("rim") - F.array_min("rim") <= th.rim_spread_cm
-    return rim.where(F.col("depth_cm").between(*th.pothole_cm) & flat & (down <= th.rim_depressed * F.size("axes"))).select(*CELL, "depth_cm", F.size("axes").alias("rim_pairs"))
+    """ring, ix, iy, depth_cm, rim_pairs of cells in a pothole."""
+    return with_features(cells, s, th).where("depth_cm IS NOT NULL").select(*CELL, "depth_cm", "rim_pairs")
 
 
 def features(cells: DataFrame, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS) -> DataFrame:
     """Kerbs and potholes of all rings: kind, ring, ix, iy, size_cm."""
-    kerb = curbs(cells, s, th).select(F.lit("curb").alias("kind"), *CELL, F.col("rise_cm").alias("size_cm"))
-    return kerb.unionByName(potholes(cells, s, th).select(F.lit("pothole").alias("kind"), *CELL, F.col("depth_cm").alias("size_cm")))
+    kinds = F.array(F.struct(F.lit("curb").alias("kind"), F.col("rise_cm").alias("size_cm")), F.struct(F.lit("pothole").alias("kind"), F.col("depth_cm").alias("size_cm")))
+    return with_features(cells, s, th).select(*CELL, F.inline(kinds)).where("size_cm IS NOT NULL").select("kind", *CELL, "size_cm")
 
 
 def feature_summary(found: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from terrace.config import THRESHOLDS, Thresholds
 
 SCHEMA = "seq string, frame int, track_id int, x double, y double, vx double, vy double, class_id int, frames_since_seen int"
-STATE = "tracks binary, next_id int"
+STATE = "tracks binary, next_id int, last int"
 #: Columns of the array of a sequence's tracks, oldest first.
 ID, X, Y, VX, VY, CLASS, AGE = range(7)
 NO_TRACKS = np.zeros((0, 7))
@@ -52,16 +52,25 @@ def _found(frames: pd.DataFrame) -> dict[int, np.ndarray]:
     return {int(f): g[["x", "y", "class_id"]].to_numpy(float) for f, g in frames.sort_values(["frame", "det"]).groupby("frame")}
 
 
+_NONE = np.zeros((0, 3))
+
+
+def _over(tracks: np.ndarray, next_id: int, after: int | None, found: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """frame, tracks, next_id of every frame up to the last one found, those without detections too; from the first one found where none came before."""
+    for frame in range(min(found) if after is None else after + 1, max(found) + 1):
+        if not len(tracks) and frame not in found:
+            continue
+        tracks, next_id = advance(tracks, found.get(frame, _NONE), next_id)
+        yield frame, tracks, next_id
+
+
 def _sequence(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
-    tracks, next_id, found, out = NO_TRACKS, 1, _found(frames), []
-    for frame in range(min(found), max(found) + 1) if found else ():
-        tracks, next_id = advance(tracks, found.get(frame, np.zeros((0, 3))), next_id)
-        out.append(_rows(key[0], frame, tracks))
+    out = [_rows(key[0], frame, tracks) for frame, tracks, _ in _over(NO_TRACKS, 1, None, _found(frames))]
     return pd.concat(out) if out else _rows(key[0], 0, NO_TRACKS)
 
 
 def track(detections: DataFrame) -> DataFrame:
-    """Tracks alive after each frame of each sequence. detections: seq, frame, det (their order), x, y, class_id.
+    """Tracks alive after each frame of each sequence, frames without detections included. detections: seq, frame, det (their order), x, y, class_id.
 
     A sequence's detections, some tens a frame, are one group; sequences run in parallel.
     """
@@ -69,14 +78,15 @@ def track(detections: DataFrame) -> DataFrame:
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    stored, next_id = state.get if state.exists else (b"", 1)
+    """One trigger of one sequence. Frames older than the last one are late and dropped."""
+    stored, next_id, last = state.get if state.exists else (b"", 1, None)
     tracks = np.frombuffer(bytes(stored)).reshape(-1, NO_TRACKS.shape[1])
-    for frame, detections in _found(pd.concat(list(batches))).items():
-        tracks, next_id = advance(tracks, detections, next_id)
+    found = {f: d for f, d in _found(pd.concat(list(batches))).items() if last is None or f > last}
+    for frame, tracks, next_id in _over(tracks, next_id, last, found) if found else ():
         yield _rows(key[0], frame, tracks)
-    state.update((tracks.tobytes(), next_id))
+    state.update((tracks.tobytes(), next_id, max([*found, *([] if last is None else [last])])))
 
 
 def track_stream(detections: DataFrame) -> DataFrame:
-    """The same over a stream: tracks live in keyed state, frames arrive in order."""
-    return detections.groupBy("seq").applyInPandasWithState(_update, SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)
+    """The same over a stream, row for row: tracks and the last frame live in keyed state; frames arrive in order, and tracks move on and age through frames without detections."""
+    return detections.select("seq", "frame", "det", "x", "y", "class_id").groupBy("seq").applyInPandasWithState(_update, SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)

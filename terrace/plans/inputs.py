@@ -9,7 +9,8 @@ from terrace.operators.fold import fold_frames
 from terrace.operators.live import Pose
 from terrace.operators.scatter import frame_cells
 from terrace.operators.stencil import traversability
-from terrace.plans.sql import DRIVE
+from terrace.plans.sql import DRIVE, num
+from terrace.sources import kitti
 from terrace.sources.tables import read, sweep_points
 
 
@@ -34,6 +35,29 @@ def drive() -> list[Pose]:
     return [Pose(k, x, 0.0, z) for k, x, z in DRIVE]
 
 
+def _curve() -> list[tuple[int, list[float]]]:
+    """frame, t (vehicle to world, row-major 3 x 4) of seven poses on a curve."""
+    c, s, x, y, out = 1.0, 0.0, 0.0, 0.0, []
+    for k in range(7):
+        out.append((k, [c, -s, 0.0, x, s, c, 0.0, y, 0.0, 0.0, 1.0, 0.03 * k]))
+        c, s, x, y = (c * 39999 - s * 400) / 40001, (s * 39999 + c * 400) / 40001, x + 0.5 * c, y + 0.5 * s
+    return out
+
+
+CURVE = _curve()
+
+
+def _steps_sql() -> str:
+    """The transform from each pose's sensor to the next one's, in numbers."""
+    up = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, kitti.SENSOR_HEIGHT_M]
+    sensor = [kitti._product(t, up) for _, t in CURVE]
+    steps = [kitti._product(kitti.inverse(now), then) for then, now in zip(sensor, sensor[1:], strict=False)]
+    return ", ".join(f"({k}, [{', '.join(map(num, t))}])" for k, t in enumerate(steps, 1))
+
+
+CURVE_SQL = _steps_sql()
+
+
 def patchy_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range images of moving pixels in patches: frame, v, u, r, x, y, z, moving."""
     line = read(spark, sf_dir, "lineitem")

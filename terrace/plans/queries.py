@@ -420,12 +420,41 @@ def t5_cleanup_counters(spark, sf_dir):
 
 @register(f"WITH {Q.PTS_SQL}, {Q.IMAGE}, pb AS (SELECT frame + 1 AS frame, x - 5e-1 AS x, y, z FROM pts), qb AS (SELECT *, {Q.R} AS r FROM pb), ib AS (SELECT frame, least(greatest({Q.elevation('z', 'r')}, 0), 63) AS v, {Q.PIX} AS u, min(r) AS rb FROM qb WHERE r > 1e-6 GROUP BY ALL) SELECT frame, v, u, round(abs(r - rb), 6) AS residual, abs(r - rb) > 0.75::DOUBLE AS moved FROM im JOIN ib USING (frame, v, u) WHERE r >= 2")
 def t15_residual_motion(spark, sf_dir):
-    return perception.residual_motion(sweep_points(spark, sf_dir), 0.5).select("frame", "v", "u", r6(F.col("residual")).alias("residual"), "moved")
+    ahead = spark.range(1, 7).select(F.col("id").cast("int").alias("frame"), F.array(*map(F.lit, (1.0, 0.0, 0.0, -0.5, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0))).alias("t"))
+    return perception.residual_motion(sweep_points(spark, sf_dir), ahead).select("frame", "v", "u", r6(F.col("residual")).alias("residual"), "moved")
+
+
+def _curve(spark):
+    """Seven vehicle poses on a curve: each frame turned a little further, climbing a little."""
+    return spark.createDataFrame(I.CURVE, "frame int, t array<double>")
+
+
+def _curved_motion(spark, sf_dir):
+    points = sweep_points(spark, sf_dir)
+    return points, perception.residual_motion(points, kitti.relative_transforms(kitti.sensor_to_world(_curve(spark))))
+
+
+_CURVED = f"""{Q.PTS_SQL}, {Q.IMAGE}, rel AS (SELECT * FROM (VALUES {I.CURVE_SQL}) v(frame, t)),
+pb AS (SELECT p.frame + 1 AS frame, t[1] * x + t[2] * y + t[3] * z + t[4] AS x, t[5] * x + t[6] * y + t[7] * z + t[8] AS y, t[9] * x + t[10] * y + t[11] * z + t[12] AS z FROM pts p JOIN rel ON rel.frame = p.frame + 1),
+ib AS (SELECT frame, least(greatest({Q.elevation('z', 'r')}, 0), 63) AS v, {Q.PIX} AS u, min(r) AS rb FROM (SELECT *, {Q.R} AS r FROM pb) WHERE r > 1e-6 GROUP BY ALL),
+mo AS (SELECT frame, v, u, abs(r - rb) AS residual, abs(r - rb) > 0.75::DOUBLE AS moved FROM im JOIN ib USING (frame, v, u) WHERE r >= 2)"""
+
+
+@register(f"WITH {_CURVED} SELECT frame, v, u, round(residual, 6) AS residual, moved FROM mo")
+def t15_residual_by_poses(spark, sf_dir):
+    return _curved_motion(spark, sf_dir)[1].select("frame", "v", "u", r6(F.col("residual")).alias("residual"), "moved")
+
+
+@register(f"WITH {_CURVED} SELECT a.frame, point_id, a.r >= 2 AND coalesce(moved, false) AS candidate FROM (SELECT *, least(greatest(v_raw, 0), 63) AS v FROM px) a LEFT JOIN mo USING (frame, v, u)")
+def t15_moving_returns(spark, sf_dir):
+    return perception.moving_returns(*_curved_motion(spark, sf_dir)).select("frame", "point_id", "candidate")
 
 
 @register()
 def j12_tracks(spark, sf_dir):
-    found = scatter.clusters(sweep_points(spark, sf_dir)).withColumns({"seq": F.concat_ws("/", F.col("cx").cast("string"), F.col("cy").cast("string")), "det": (F.col("cx") * 1000 + F.col("cy")).cast("int")})
+    """Tracks of the clusters in squares of 10 m, each a sequence of its own: clusters of 1 m move, meet and part within them."""
+    square = lambda c: F.floor(F.col(c) / 10).cast("string")
+    found = scatter.clusters(sweep_points(spark, sf_dir)).withColumns({"seq": F.concat_ws("/", square("cx"), square("cy")), "det": (F.col("cx") * 1000 + F.col("cy")).cast("int")})
     return tracks.track(found)
 
 
@@ -486,6 +515,14 @@ def q3_boxes(spark, sf_dir):
     return pyramid.box_query(I.raster_trav(spark, sf_dir), boxes)
 
 
+@register(f"WITH {Q.RASTER_TRAV}, bx AS (SELECT p_partkey AS box_id, p_partkey % 448 - 224 AS x, p_size * 7 % 448 - 224 AS y, p_partkey % 9 AS s FROM part) SELECT box_id, count(*)::BIGINT AS n, bit_or(trav) AS or_mask, bit_and(trav) AS and_mask FROM bx JOIN tr ON ix BETWEEN x AND x + s AND iy BETWEEN y AND y + s GROUP BY box_id")
+def q3_box_descent(spark, sf_dir):
+    p, z = F.col("p_partkey"), F.col("p_size")
+    x, y, n = p % 448 - 224, (z * 7 % 448 - 224).cast("bigint"), p % 9
+    boxes = read(spark, sf_dir, "part").select(p.alias("box_id"), F.lit(1).alias("ring"), x.alias("ix_lo"), y.alias("iy_lo"), (x + n).alias("ix_hi"), (y + n).alias("iy_hi"))
+    return pyramid.box_descent(I.raster_trav(spark, sf_dir), boxes).drop("visited")
+
+
 @register(f"WITH {Q.RASTER} SELECT floor((ix + 5e-1) * 1e-1 / 3e-1)::BIGINT AS i, floor((iy + 5e-1) * 1e-1 / 3e-1)::BIGINT AS j, sum(obs_count)::BIGINT AS n, {Q.mean('sum(obs_count * ground_cm)::BIGINT', 'sum(obs_count)::BIGINT')} AS ground_cm FROM ras WHERE obs_count > 0 GROUP BY ALL")
 def q8_resample(spark, sf_dir):
     return query.resampled(I.raster(spark, sf_dir), 0.3)

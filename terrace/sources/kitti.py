@@ -161,6 +161,12 @@ def relative_transforms(transforms: DataFrame) -> DataFrame:
     return transforms.join(before, "frame").select("frame", F.array(*_product(inverse(now), then)).alias("t"))
 
 
+def sensor_to_world(transforms: DataFrame, height_m: float = SENSOR_HEIGHT_M) -> DataFrame:
+    """frame, t: sensor to world, from vehicle to world; the sensor stands above the vehicle's origin with the same axes."""
+    up = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, height_m]
+    return transforms.select("frame", F.array(*_product([F.col("t")[n] for n in range(12)], [F.lit(float(x)) for x in up])).alias("t"))
+
+
 def final_position(transforms: DataFrame) -> DataFrame:
     """frame, x, y of the last pose."""
     return transforms.agg(F.max_by(F.struct("frame", F.col("t")[3].alias("x"), F.col("t")[7].alias("y")), "frame").alias("p")).select("p.*")

@@ -388,3 +388,87 @@ def test_ground_far_from_zero_is_refused(spark):
     except ValueError:
         return
     raise AssertionError("poses in another frame were accepted")
+
+
+def test_box_descent_reads_about_as_many_nodes_as_the_border_has_cells(spark):
+    cells = I.raster_trav(spark, SF).cache()
+    sizes = (1, 2, 7, 31, 64, 100, 300)
+    boxes = spark.createDataFrame([(k, 1, -224 + 3 * k, -224 + 5 * k, -225 + 3 * k + n, -225 + 5 * k + n) for k, n in enumerate(sizes)] + [(99, 1, 240, 240, 400, 400)], "box_id int, ring int, ix_lo bigint, iy_lo bigint, ix_hi bigint, iy_hi bigint")
+    own = {r.box_id: (r.n, r.or_mask, r.and_mask, r.visited) for r in pyramid.box_descent(cells, boxes).collect()}
+    plain = {r.box_id: (r.n, r.or_mask, r.and_mask) for r in pyramid.box_query(cells, boxes).collect()}
+    assert {k: v[:3] for k, v in own.items()} == plain
+    covered = {r.box_id: (r.nodes, r.cells) for r in pyramid.cover(boxes).groupBy("box_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.expr("shiftleft(1, 2 * level)")).alias("cells")).collect()}
+    for k, n in enumerate(sizes):
+        assert covered[k][1] == n * n and covered[k][0] <= max(4, 8 * n)
+    assert own[6][3] <= 8 * 300 and own[6][3] < own[6][0] and covered[99][1] == 10 * 10  # clipped to the window
+
+
+def test_tiles_do_not_show_at_their_edges(spark):
+    """A kerb and a pothole that cross tile borders, as far from them and across them."""
+    kerb = {(r.ix, r.iy) for r in stencil.curbs(plane(spark, lambda x, y: 12 if y >= 0 else 0)).collect()}
+    assert kerb and {y for _, y in kerb} <= {-1, 0}
+    plan = stencil.potholes(plane(spark, lambda x, y: 0))._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
+
+
+def _in_files(df, path, frames):
+    """One file a frame, in order of time."""
+    import time
+
+    for k in frames:
+        df.where(F.col("frame") == k).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)
+
+
+def test_tracks_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
+    """Gaps of 10 and 11 frames, a slow mover, several sequences, several frames in one trigger."""
+    schema = "seq string, frame int, det int, x double, y double, class_id int"
+    det = [("a", f, 0, 0.1 * f, 0.0, 5) for f in (0, 1, 2, 12, 13, 24)] + [("a", 24, 1, 50.0, 0.0, 6), ("b", 3, 0, 1.0, 1.0, 7), ("b", 13, 0, 1.5, 1.0, 7), ("c", 0, 0, 0.0, 0.0, 1), ("c", 30, 0, 1.0, 0.0, 1)]
+    found = spark.createDataFrame(det, schema)
+    want = sorted(map(tuple, tracks.track(found).collect()))
+    for cuts in ([(0, 2), (3, 12), (13, 23), (24, 40)], [(0, 40)]):
+        path, name = str(tmp_path / f"in{len(cuts)}"), f"tracks{len(cuts)}"
+        for a, b in cuts:
+            found.where(F.col("frame").between(a, b)).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        q = tracks.track_stream(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert sorted(map(tuple, spark.table(name).collect())) == want
+
+
+def test_residual_motion_follows_the_sensor(spark):
+    """A wall seen from a turning, moving sensor leaves no residual; a box that moved does, on each of its returns."""
+    from terrace.sources import kitti
+
+    poses = spark.createDataFrame(I.CURVE, "frame int, t array<double>")
+    relative = kitti.relative_transforms(kitti.sensor_to_world(poses))
+    world = [(0.2 * a, 12.0 + 0.05 * a, 0.3 * h) for a in range(-40, 41) for h in range(-2, 3)]
+    rows = []
+    for k, t in I.CURVE:
+        back = kitti.inverse(kitti._product(t, [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, kitti.SENSOR_HEIGHT_M]))
+        for n, (x, y, z) in enumerate([*world, *((6.0 + 1.5 * k, -5.0 + 0.02 * b, 0.5) for b in range(8))]):
+            p = [back[4 * r] * x + back[4 * r + 1] * y + back[4 * r + 2] * z + back[4 * r + 3] for r in range(3)]
+            rows.append((k, n, *p, 0.5, n >= len(world)))
+    points = spark.createDataFrame(rows, "frame int, point_id bigint, x double, y double, z double, intensity double, moving boolean").cache()
+    motion = perception.residual_motion(points, relative).cache()
+    assert motion.where("frame = 0").count() == 0 and motion.where("NOT moved").count() > 500
+    flagged = perception.moving_returns(points, motion).where("candidate").groupBy("moving").count().collect()
+    assert all(r.moving for r in flagged) or {r.moving: r["count"] for r in flagged}.get(False, 0) <= 0.02 * len(world) * 7
+
+
+def test_residual_motion_of_a_stream_equals_that_of_a_batch(spark, tmp_path):
+    from terrace.sources import kitti
+    from terrace.sources.tables import sweep_points
+
+    schema = "frame int, point_id bigint, x double, y double, z double, ts timestamp"
+    points = sweep_points(spark, SF).select("frame", "point_id", "x", "y", "z", F.timestamp_micros(F.col("frame") * 100_000).alias("ts"))
+    relative = kitti.relative_transforms(kitti.sensor_to_world(spark.createDataFrame(I.CURVE, "frame int, t array<double>"))).cache()
+    last = points.select(F.lit(20).alias("frame"), F.lit(0).cast("bigint").alias("point_id"), *(F.lit(0.0).alias(c) for c in "xyz"), F.timestamp_micros(F.lit(2_000_000)).alias("ts")).limit(1)
+    _in_files(points.unionByName(last), str(tmp_path / "in"), [*range(7), 20])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = perception.residual_motion_stream(stream, relative).writeStream.format("memory").queryName("residual").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    key = lambda df: sorted((r.frame, r.v, r.u, round(r.residual, 9), r.moved) for r in df.collect())
+    want = key(perception.residual_motion(points, relative))
+    got = key(spark.table("residual"))
+    assert got == [r for r in want if r[0] <= max(x[0] for x in got)] and len(got) > 50
