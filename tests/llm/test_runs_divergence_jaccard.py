@@ -257,3 +257,17 @@ def test_model_keeps_few_files_open(tmp_path):
     found = model.lookup("t", key, home, 1, lambda rest, slot: (rest[0][slot],))
     assert len(model._open) <= 8
     assert (found[0] == np.concatenate([np.arange(len(k)) + 1 for k in homes.values()])).all()
+
+
+def test_runs_of_awkward_rows(spark):
+    rows = ROWS + [(50, "a " * 9, "en", "src0", 18), (50, "a " * 9, "en", "src0", 18)]
+    got = runs.periodic_runs(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    key = lambda i, n: (i is None, i or 0, n)
+    for r, (_, text, *_) in zip(sorted(got, key=lambda r: key(r.doc_id, r.n_words)), sorted(rows, key=lambda r: key(r[0], len(words(r[1])))), strict=True):
+        w = words(text)
+        want = [(0, 60_000, 3)] if r.doc_id == 7 else plain_runs(w, 6, 4)
+        assert r.n_words == len(w) and [tuple(x) for x in r.runs] == want
+        gone = {k for s, n, p in want for k in range(s + p, s + n)}
+        assert r.collapsed == " ".join(x for k, x in enumerate(w) if k not in gone)
+    assert runs.periodic_runs(empty(spark)).count() == 0 and runs.with_planted_runs(documents(spark, rows)).count() == len(rows)
