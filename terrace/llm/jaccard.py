@@ -12,7 +12,10 @@ what links is joined, and keys within one class leave. The first rounds pick the
 least share of rare shingles, since what others were copied from has none of its own; later
 ones pick by a hash. The first round takes a few keys of each set, so that groups of near
 copies are one class before their keys are laid out. Pairs of different classes that are left
-then meet.
+then meet. Wherever sets meet they carry the parities of their shingles in 256 cells: each cell
+that differs stands for a shingle that only one of both has, so pairs with more of these than
+links allow are not made. This never loses a link; of sets of some thousand shingles it tells
+fewer apart, which are then verified.
 """
 
 from __future__ import annotations
@@ -38,6 +41,12 @@ SIZE_A_BUCKET = 16
 CELL_BYTES, CELL_BITS, CELL_ROWS = 16, 26, 1
 #: Keys of a set in the first round; rounds in which keys meet one set, and those of them that pick by rare shingles; sets that meet it in one task.
 FEW_KEYS, STAR_ROUNDS, RARE_ROUNDS, UNIT_SETS = 4, 3, 2, 2048
+#: Numbers of 64 cells in which a set's shingles are counted modulo two.
+PARITIES = [f"odd{n}" for n in range(4)]
+#: What a set's keys carry.
+CARRIED = ["node", "size", "rare", "root", *PARITIES]
+#: What both of two sets that meet bring.
+MET = ["size", "root", *PARITIES]
 _TAG = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,6 +134,14 @@ def prefix_keys(row: np.ndarray, hashes: np.ndarray, estimate: np.ndarray, n_row
     return owner[first], key[first]
 
 
+def parities(row: np.ndarray, hashes: np.ndarray, n_rows: int) -> np.ndarray:
+    """For each row a bit for each of 256 cells: whether it holds an odd number of the row's hashes."""
+    cell = (hashes >> np.uint64(56)).astype(np.int64)
+    odd = np.zeros((n_rows, len(PARITIES)), np.uint64)
+    np.bitwise_xor.at(odd, (row, cell >> 6), np.uint64(1) << (cell & 63).astype(np.uint64))
+    return odd
+
+
 def _shingle_counts(width: int):
     def keys(batch: pa.RecordBatch):
         for part in ta.slices(batch):
@@ -135,7 +152,7 @@ def _shingle_counts(width: int):
 
 
 def _signed(width: int, percent: int, sketch: Sketch):
-    """doc_id, print, a digest of the set (two numbers), its size, how many in a thousand of its shingles are rare, and its keys."""
+    """doc_id, print, a digest of the set (two numbers), its size, how many in a thousand of its shingles are rare, their parities, and its keys."""
 
     def run(batches):
         for batch in batches:
@@ -150,8 +167,9 @@ def _signed(width: int, percent: int, sketch: Sketch):
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
                 keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key.view(np.int64)))
                 rare = 1000 * np.bincount(row, estimate < FREQUENT, minlength=n) // np.maximum(size, 1)
-                columns = [part.column("doc_id"), part.column("print"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(size, pa.int64()), pa.array(rare.astype(np.int64)), keys]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "high", "low", "size", "rare", "keys"])
+                columns = [part.column("doc_id"), part.column("print"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(size, pa.int64()), pa.array(rare.astype(np.int64))]
+                odd = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in parities(row, hashes, n).T]
+                yield pa.RecordBatch.from_arrays([*columns, *odd, keys], ["doc_id", "print", "high", "low", "size", "rare", *PARITIES, "keys"])
 
     return run
 
@@ -178,7 +196,7 @@ def _held(batch: pa.RecordBatch, sketch: Sketch, least: int) -> tuple[np.ndarray
 
 
 def _laid_out(sketch: Sketch, least: int, few: int | None = None):
-    """node, size, rare, root, key of the keys that may be counted `least` times; at most `few` of a set, its smallest."""
+    """node, size, rare, root, parities, key of the keys that may be counted `least` times; at most `few` of a set, its smallest."""
 
     def run(batches):
         for batch in batches:
@@ -189,7 +207,7 @@ def _laid_out(sketch: Sketch, least: int, few: int | None = None):
                 first = _place(row) < few
                 row, keys = row[first], keys[first]
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "size", "rare", "root")), pa.array(keys)], ["node", "size", "rare", "root", "key"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in CARRIED), pa.array(keys)], [*CARRIED, "key"])
 
     return run
 
@@ -258,9 +276,11 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return found
 
 
-def _close(a: Column, b: Column, percent: int) -> Column:
-    """Whether sets of these sizes can link."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _may_link(percent: int) -> Column:
+    """Whether the sizes and parities of sets u and v allow a link: at most (100 - percent) in (100 + percent) of both sizes' sum is in one set only."""
+    u, v = F.col("u_size"), F.col("v_size")
+    apart = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in PARITIES), F.lit(0))
+    return (100 * F.least(u, v) >= percent * F.greatest(u, v)) & ((100 + percent) * apart <= (100 - percent) * (u + v))
 
 
 def _texts_of(own: DataFrame, nodes: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
@@ -284,15 +304,15 @@ def _mixed(keys: DataFrame) -> DataFrame:
 
 
 def _stars(keys: DataFrame, n: int) -> DataFrame:
-    """u, v (with size and root): each key's sets and the one of them that the round picks."""
+    """u, v (with size, root and parities): each key's sets and the one of them that the round picks."""
     order = [F.col("rare")] if n < RARE_ROUNDS else []
-    picked = F.min(F.struct(*order, F.xxhash64("node", F.lit(n)), "node", "size", "root")).alias("p")
-    one = [F.col(f"p.{c}").alias(n) for c, n in (("node", "u"), ("size", "u_size"), ("root", "u_root"))]
-    return keys.join(keys.groupBy("key").agg(picked), "key").select(*one, F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"))
+    picked = F.min(F.struct(*order, F.xxhash64("node", F.lit(n)), "node", *MET)).alias("p")
+    one = [F.col("p.node").alias("u"), *(F.col(f"p.{c}").alias(f"u_{c}") for c in MET)]
+    return keys.join(keys.groupBy("key").agg(picked), "key").select(*one, F.col("node").alias("v"), *(F.col(c).alias(f"v_{c}") for c in MET))
 
 
 def _pairs(keys: DataFrame) -> DataFrame:
-    side = lambda x: keys.select("key", F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("root").alias(f"{x}_root"))
+    side = lambda x: keys.select("key", F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in MET))
     return side("u").join(side("v"), "key").where("u < v")
 
 
@@ -309,19 +329,20 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).withColumn("print", F.xxhash64("text"))
     bits = cell_bits(docs, CELL_BYTES, CELL_BITS)
     sketch = count_sketch(own.select("text"), _shingle_counts(width), bits, CELL_ROWS)
-    signed = written(own.mapInArrow(_signed(width, percent, sketch), "doc_id bigint, print bigint, high bigint, low bigint, size bigint, rare bigint, keys array<bigint>"), "signed")
+    longs = ", ".join(f"{c} bigint" for c in PARITIES)
+    signed = written(own.mapInArrow(_signed(width, percent, sketch), f"doc_id bigint, print bigint, high bigint, low bigint, size bigint, rare bigint, {longs}, keys array<bigint>"), "signed")
     first = F.min(F.struct("doc_id", "print")).alias("text_of")
-    nodes = signed.where("size > 0").groupBy("high", "low").agg(F.min("doc_id").alias("least"), first, F.first("size").alias("size"), F.first("rare").alias("rare"), F.first("keys").alias("keys"))
+    nodes = signed.where("size > 0").groupBy("high", "low").agg(F.min("doc_id").alias("least"), first, F.first("size").alias("size"), *(F.first(c).alias(c) for c in ["rare", *PARITIES, "keys"]))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    spark, layout = docs.sparkSession, "node bigint, size bigint, rare bigint, root bigint, key bigint"
+    spark, layout = docs.sparkSession, ", ".join(f"{c} bigint" for c in [*CARRIED, "key"])
     seen = count_sketch(nodes.select("keys"), _key_counts, bits, CELL_ROWS)
-    signs = nodes.select("node", "size", "rare", F.col("node").alias("root"), "keys")
+    signs = nodes.withColumn("root", F.col("node")).select(*CARRIED, "keys")
     keys = written(signs.mapInArrow(_laid_out(seen, 2, FEW_KEYS), layout), "keys")
     links, used = None, [keys]
     for n in range(STAR_ROUNDS + 2):
         if n == 1:  # all keys, of which those within one class never leave the task
-            signs = _in_classes(signs, roots).select("node", "size", "rare", "root", "keys")
+            signs = _in_classes(signs, roots).select(*CARRIED, "keys")
             mixed = written(_mixed(signs.mapInArrow(_of_classes(seen), "key bigint, root bigint")), "mixed")
             several = count_sketch(mixed, _one_of("key"), bits, CELL_ROWS)
             keys = written(signs.mapInArrow(_laid_out(several, 1), layout).join(mixed, "key"), "keys")
@@ -333,7 +354,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         if n and keys.isEmpty():
             break
         met = _stars(keys, n) if n <= STAR_ROUNDS else _pairs(keys)
-        met = met.where((F.col("u_root") != F.col("v_root")) & _close(F.col("u_size"), F.col("v_size"), percent))
+        met = met.where((F.col("u_root") != F.col("v_root")) & _may_link(percent))
         pairs = written(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
         links_now = _links(pairs, _texts_of(own, nodes, pairs, bits), width, percent)
         links = links_now if links is None else links.unionAll(links_now)

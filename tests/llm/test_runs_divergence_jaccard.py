@@ -220,6 +220,38 @@ def test_linked_sets_share_a_key():
     assert links > 500
 
 
+def test_parities_never_part_linked_sets(spark):
+    rnd, u, v, truth = np.random.default_rng(8), [], [], []
+    for _ in range(400):
+        n = int(rnd.integers(1, 900))
+        pool = rnd.integers(0, 2**64, 2 * n, dtype=np.uint64)
+        gone = int(rnd.integers(0, max(1, n // 5) + 1))
+        both = [np.unique(pool[:n]), np.unique(pool[gone : n + int(rnd.integers(0, gone + 1))])]
+        common = len(np.intersect1d(*both))
+        truth.append(100 * common >= 85 * (len(both[0]) + len(both[1]) - common))
+        for side, x in zip((u, v), both, strict=True):
+            odd = jaccard.parities(np.zeros(len(x), np.int64), x, 1).view(np.int64)[0]
+            side.append((len(x), *map(int, odd)))
+    names = [f"{x}_{c}" for x in "uv" for c in ("size", *jaccard.PARITIES)]
+    rows = spark.createDataFrame([(k, *a, *b) for k, (a, b) in enumerate(zip(u, v, strict=True))], ", ".join(f"{c} bigint" for c in ["k", *names]))
+    may = {r.k: r.may for r in rows.select("k", jaccard._may_link(85).alias("may")).collect()}
+    assert all(may[k] for k, linked in enumerate(truth) if linked)
+    assert 0 < sum(truth) < len(truth)
+
+
+def test_parities_part_sets_of_half_their_shingles(spark):
+    """Sets of up to 600 that share two thirds of each, a similarity of one half, are told apart."""
+    rnd, rows = np.random.default_rng(9), []
+    for k in range(100):
+        n = int(rnd.integers(60, 600))
+        pool = rnd.integers(0, 2**64, 2 * n, dtype=np.uint64)
+        sides = [pool[:n], pool[n // 3 : n + n // 3]]
+        rows.append((k, *(x for side in sides for x in (n, *map(int, jaccard.parities(np.zeros(n, np.int64), side, 1).view(np.int64)[0])))))
+    names = [f"{x}_{c}" for x in "uv" for c in ("size", *jaccard.PARITIES)]
+    met = spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in ["k", *names]))
+    assert met.where(jaccard._may_link(85)).count() == 0
+
+
 def test_jaccard_of_awkward_rows_and_a_large_group(spark):
     """Copies without an id, blank texts, and 300 near copies of one text that few of each other link to, but all to the text."""
     rnd = random.Random(3)
