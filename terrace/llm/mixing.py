@@ -139,19 +139,38 @@ def allocation(mixed: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, total_percent: int = TOTAL_PERCENT, epochs: int = EPOCHS, seed: int = SEED, domain=domain_of) -> DataFrame:
     """The documents taken, one row for each epoch, with `domain` and `epoch` (from 0), which take the place of columns of these names.
 
-    Rows alike in doc_id, language, source and text are taken alike, as often as the one of
-    them that is taken most. Nulls, empty texts and empty tables as in mixture(); columns
+    Rows alike in doc_id, language, source and text are taken together as often as mixture()
+    takes them: each the same number of times, and as many of them once more as are left, by
+    their place in the table. Nulls, empty texts and empty tables as in mixture(); columns
     keep their order and values, whatever their other names.
     """
-    names = fresh(docs, "own_lang", "own_source", "own_print", "of_id", "of_lang", "of_source", "of_print", "of_domain", "copies", "round")
-    own_lang, own_source, own_print, of_id, of_lang, of_source, of_print, of_domain, copies, turn = names
-    taken = _taken(docs, weights, total_percent, epochs, seed, domain).where("copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias(of_id), F.col("lang").alias(of_lang), F.col("source").alias(of_source), F.col("print").alias(of_print)).agg(F.max("copies").alias(copies), F.first("domain").alias(of_domain))
+    names = fresh(docs, "own_lang", "own_source", "own_print", "of_id", "of_lang", "of_source", "of_print", "of_domain", "each", "more", "at", "part", "before", "round")
+    own_lang, own_source, own_print, of_id, of_lang, of_source, of_print, of_domain, each, more, at, part, before, turn = names
+    alike = [of_id, of_lang, of_source, of_print]
+    taken = _taken(docs, weights, total_percent, epochs, seed, domain)
+    groups = taken.groupBy(F.col("doc_id").alias(of_id), F.col("lang").alias(of_lang), F.col("source").alias(of_source), F.col("print").alias(of_print))
+    groups = groups.agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("n_rows"), F.first("domain").alias(of_domain)).where("total > 0")
+    groups = written(groups.select(*alike, of_domain, F.expr("total div n_rows").alias(each), F.expr("total % n_rows").alias(more)), "groups")
     rows = docs.withColumns({own_lang: F.coalesce(column_or(docs, "lang", "string"), F.lit("")), own_source: F.coalesce(column_or(docs, "source", "string"), F.lit("")), own_print: F.xxhash64(text_of())})
     same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(own_print) == F.col(of_print)) & (F.col(own_lang) == F.col(of_lang)) & (F.col(own_source) == F.col(of_source))
-    rows = rows.join(taken, same).withColumn(turn, F.explode(F.sequence(F.lit(0), F.col(copies).cast("int") - 1)))
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("domain", "epoch")]
-    return rows.select(*kept, F.col(of_domain).alias("domain"), F.col(turn).alias("epoch"))
+    result = lambda found, copies: found.withColumn(turn, F.explode(F.sequence(F.lit(0), copies.cast("int") - 1))).select(*kept, F.col(of_domain).alias("domain"), F.col(turn).alias("epoch"))
+    alike_taken = result(rows.join(groups.where(F.col(more) == 0), same), F.col(each))
+    uneven = groups.where(F.col(more) > 0)
+    if uneven.isEmpty():
+        return alike_taken
+    # rows of one group are numbered task by task, so that a group of any size is never in one place
+    found = rows.join(uneven, same).withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33))
+    found = written(found, "uneven")
+    parts = found.groupBy(*alike, part).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(*alike).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*alike, part]
+    theirs = fresh(found, *(f"{c}_p" for c in keys))
+    parts = parts.select(*(F.col(c).alias(p) for c, p in zip(keys, theirs, strict=True)), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias(before))
+    there = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(p)) for c, p in zip(keys, theirs, strict=True)))
+    nth = F.col(before) + F.row_number().over(Window.partitionBy(*alike, part).orderBy(at))
+    numbered = found.join(parts, there).withColumn(each, F.col(each) + (nth <= F.col(more)).cast("bigint"))
+    return alike_taken.unionAll(result(numbered.where(F.col(each) > 0), F.col(each)))
 
 
 def op3_hierarchical_mixing(spark, sf_dir: str) -> DataFrame:

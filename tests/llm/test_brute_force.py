@@ -354,6 +354,24 @@ def test_prefixes_do_not_depend_on_buckets(spark, monkeypatch):
     assert taken.count() == sum(r[-2] for r in whole)
 
 
+def test_repeated_rows_are_taken_as_often_as_asked(spark):
+    ship_package(spark)
+    for percent, taken in ((60, 60), (5, 5), (250, 250), (100, 100)):
+        rows = [(doc_id, "a b c d", "en", "src1", 7) for doc_id in [1] * 100]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
+        assert mixing.mixture(docs, total_percent=percent).agg(F.sum("copies")).first()[0] == taken
+        got = mixing.mix_documents(docs, total_percent=percent).collect()
+        assert len(got) == taken and max(r.epoch for r in got) == (taken - 1) // 100
+    # repeated rows, rows without ids and rows of their own, in two leaves
+    rows = [(None, "x y", "en", "src1")] * 30 + [(2, "p q r", "en", "src1")] * 31 + [(k, f"own{k} text", "en", "src2") for k in range(40)] + [(3, None, None, None)] * 7
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(7)
+    key = ["doc_id", "lang", "source"]
+    for percent in (35, 60, 140):
+        want = mixing.mixture(docs, total_percent=percent).groupBy(*key).agg(F.sum("copies").alias("n")).where("n > 0")
+        got = mixing.mix_documents(docs, total_percent=percent).groupBy("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_budgets_are_met_to_half_a_document_a_leaf(spark):
     ship_package(spark)
     docs = spark.read.parquet(f"{SF2}/documents.parquet")
