@@ -93,17 +93,29 @@ def see_through(state: DataFrame, points: DataFrame, touched: DataFrame, pose: P
 TESTS = ("in_view", "see_through", "protected")
 
 
-def step(state: DataFrame, points: DataFrame, pose: Pose, datum: float, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS, cleanup: bool = True, clip_classes: bool = False) -> DataFrame:
-    """The cells after one frame's returns, with what the test for seeing through them says (nulls for cells that are not occupied); state_of() and counters_of() read it. datum: of the state before. points: the frame's own."""
+def fuse(state: DataFrame, points: DataFrame, pose: Pose, datum: float, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS, clip_classes: bool = False) -> DataFrame:
+    """The cells after one frame's returns. datum: of the state before. points: the frame's own."""
     moved = followed(shifted(state, pose, s), datum, pose.datum)
-    fused = merge_frame(moved, aggregated(points, pose, s, clip_classes), th)
-    if not cleanup:
-        return fused.withColumns({n: F.lit(None).cast("boolean") for n in TESTS})
-    fused = written(fused, "fused")
+    return merge_frame(moved, aggregated(points, pose, s, clip_classes), th)
+
+
+def seen(fused: DataFrame, points: DataFrame, pose: Pose, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS) -> DataFrame:
+    """The fused cells with what the test for seeing through them says, nulls for cells that are not occupied; reads fused twice."""
     touched = fused.where(F.col("last_frame") == pose.frame).select(F.lit(pose.frame).alias("frame"), *CELL)
     return fused.join(see_through(fused, points, touched, pose, s, th).select(*CELL, *TESTS), CELL, "left")
 
 
+def step(state: DataFrame, points: DataFrame, pose: Pose, datum: float, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS, cleanup: bool = True, clip_classes: bool = False) -> DataFrame:
+    """One frame: a table in the scratch folder that state_of() and counters_of() read. Arguments as in fuse(). The table between fusing and testing is deleted."""
+    fused = fuse(state, points, pose, datum, s, th, clip_classes)
+    if not cleanup:
+        return written(fused.withColumns({n: F.lit(None).cast("boolean") for n in TESTS}), "live")
+    fused = written(fused, "fused")
+    after = written(seen(fused, points, pose, s, th), "live")
+    drop_written(fused)
+    return after
+
+
 def state_of(cells: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:
     """The state after a step: a miss at every cell that was seen through."""
     through = F.coalesce("see_through", F.lit(False))
@@ -125,7 +137,7 @@ def run(points: DataFrame, poses: Iterable[Pose], s: Schedule = C.FOVEATED, th:
     cells, datum, counters = None, None, None
     for pose in poses:
         state = empty(spark) if cells is None else state_of(cells, th)
-        after = written(step(state, points.where(F.col("frame") == pose.frame), pose, pose.datum if datum is None else datum, s, th, cleanup, clip_classes), "live")
+        after = step(state, points.where(F.col("frame") == pose.frame), pose, pose.datum if datum is None else datum, s, th, cleanup, clip_classes)
         one, datum = counters_of(after, pose.frame), pose.datum
         counters = [*(counters or ()), one.first()]
         if cells is not None:

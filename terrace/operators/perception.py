@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -176,26 +177,39 @@ def residual_motion_stream(points: DataFrame, relative: DataFrame, th: Threshold
     return _compared(closest(points), closest(ahead), on, threshold_m, min_range_m)
 
 
+#: Metres by which the ranges of neighbouring pixels of one instance differ at most.
+INSTANCE_GAP_M = 0.75
+
+
+def _united(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least one that it reaches over the edges (a, b): in each round all roots that an edge ties to a smaller one go under it."""
+    label = np.arange(n)
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low != high
+        if not apart.any():
+            return label
+        np.minimum.at(label, high[apart], low[apart])
+        while not np.array_equal(further := label[label], label):
+            label = further
+
+
 def _labelled(pixels: pd.DataFrame) -> pd.DataFrame:
-    """Components of one frame's moving pixels: neighbours in the image whose ranges differ by 0.75 m at most."""
-    width, at = THRESHOLDS.azimuths, {(v, u): k for k, (v, u) in enumerate(zip(pixels["v"], pixels["u"], strict=True))}
-    r, parent = pixels["r"].to_numpy(), list(range(len(pixels)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    for (v, u), k in at.items():
-        for other in ((v, (u + 1) % width), (v + 1, u)):
-            j = at.get(other)
-            if j is not None and abs(r[k] - r[j]) <= 0.75:
-                parent[root(k)] = root(j)
-    flat = pixels["v"].to_numpy() * width + pixels["u"].to_numpy()
-    roots = [root(k) for k in range(len(pixels))]
-    least = pd.Series(flat).groupby(roots).transform("min")
-    return pixels.assign(instance=least.astype("int64"))
+    """Components of one frame's moving pixels, each named by its first pixel. Runs along the image's rows are united where a pixel of one continues in the row below, or around the azimuth."""
+    width = THRESHOLDS.azimuths
+    pixels = pixels.sort_values(["v", "u"])
+    at, r = (pixels["v"] * width + pixels["u"]).to_numpy(np.int64), pixels["r"].to_numpy()
+    row = at // width
+    head = np.ones(len(at), bool)
+    head[1:] = (row[1:] != row[:-1]) | (np.diff(at) > 1) | ~(np.abs(np.diff(r)) <= INSTANCE_GAP_M)
+    run = np.cumsum(head) - 1
+    edges = []
+    for here, there in ((np.arange(len(at)), at + width), (np.flatnonzero(at % width == width - 1), at[at % width == width - 1] - width + 1)):
+        other = np.minimum(np.searchsorted(at, there), len(at) - 1)
+        met = (at[other] == there) & (np.abs(r[here] - r[other]) <= INSTANCE_GAP_M)
+        edges.append((run[here[met]], run[other[met]]))
+    first = _united(int(head.sum()), *map(np.concatenate, zip(*edges, strict=True)))
+    return pixels.assign(instance=at[head][first][run])
 
 
 def instances(image: DataFrame, least_pixels: int = 4) -> DataFrame:

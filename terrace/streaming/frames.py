@@ -49,12 +49,17 @@ class RunningMap:
             state = self._table("state", before[-1], live.STATE_SCHEMA)
             datum = self._table("pose", before[-1], "datum double").first().datum
         poses = points.select("frame", "ego_x", "ego_y", "ego_z").distinct().orderBy("frame").collect()  # a row for each frame of the trigger
+        cells = None
         for row in poses:
-            pose = live.Pose(row.frame, row.ego_x, row.ego_y, row.ego_z)
+            pose, last = live.Pose(row.frame, row.ego_x, row.ego_y, row.ego_z), cells
             cells = live.step(state, points.where(F.col("frame") == pose.frame), pose, pose.datum if datum is None else datum, self.schedule, self.th, self.cleanup)
             state, datum = live.state_of(cells, self.th), pose.datum
+            if last is not None:
+                drop_written(last)
         state.write.mode("overwrite").parquet(f"{self.root}/state/{batch:08d}")
         self.spark.createDataFrame([(datum if datum is not None else 0.0,)], "datum double").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/pose/{batch:08d}")
+        if cells is not None:
+            drop_written(cells)
         for old in before[:-1]:
             drop_written(self._table("state", old, live.STATE_SCHEMA))
             drop_written(self._table("pose", old, "datum double"))

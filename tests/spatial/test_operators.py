@@ -1,6 +1,9 @@
 import math
+import os
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,7 @@ from terrace import config as C
 from terrace.operators import fold, live, perception, planning, pyramid, query, reference, refine, scatter, stencil, tracks
 from terrace.operators.scatter import CELL
 from terrace.plans import inputs as I
+from terrace.scratch import scratch_root
 from terrace.sources import kitti, synthetic
 from terrace.sources.tables import sweep_points
 from terrace.streaming.frames import POINTS, RunningMap, read_frames, windowed
@@ -48,6 +52,7 @@ def test_stream_of_frames_ends_in_the_batch_state_and_goes_on_after_a_restart(sp
         running = RunningMap(spark, root)
         assert running.start(read_frames(spark, str(tmp_path / "in"))).awaitTermination(120)
     batch, counters = live.run(points, poses)
+    assert not [p for p in os.listdir(scratch_root(spark).removeprefix("file:")) if p.startswith("fused-")]
     assert scatter.map_digest(running.state().select(batch.columns)).first() == scatter.map_digest(batch).first()
     assert len(running._batches()) == 2 and counters.count() == 4
 
@@ -248,6 +253,29 @@ def test_closest_return_wins_its_pixel_and_empty_pixels_clear_nothing(spark):
     assert guarded[1].protected and not guarded[1].see_through
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_instances_against_a_flood_fill(seed):
+    rng, width = np.random.default_rng(seed), C.THRESHOLDS.azimuths
+    at = {(int(v), int(u) % width): float(r) for v, u, r in zip(rng.integers(0, 12, 400), rng.integers(-12, 13, 400), rng.choice([5.0, 5.75, 6.51, 9.0], 400))}
+    expected = {}
+    for start in sorted(at):
+        if start in expected:
+            continue
+        waiting = [start]
+        while waiting:
+            v, u = here = waiting.pop()
+            if here in expected:
+                continue
+            expected[here] = start[0] * width + start[1]
+            near = [(v + 1, u), (v - 1, u), (v, (u + 1) % width), (v, (u - 1) % width)]
+            waiting += [p for p in near if p in at and abs(at[p] - at[here]) <= 0.75]
+    keys = list(at)
+    rng.shuffle(keys)
+    pixels = pd.DataFrame([(v, u, at[v, u]) for v, u in keys], columns=["v", "u", "r"])
+    got = perception._labelled(pixels)
+    assert {(r.v, r.u): r.instance for r in got.itertuples()} == expected
+
+
 def test_instances_need_four_pixels_and_wrap_around(spark):
     pixels = [(0, 5, u, 10.0) for u in (510, 511, 0, 1)] + [(0, 30, u, 10.0) for u in (100, 101)] + [(0, 40, u, 8.0 if u < 204 else 9.0) for u in range(200, 208)]
     image = spark.createDataFrame(pixels, "frame int, v int, u int, r double").withColumns({"moving": F.lit(True), "x": F.col("r"), "y": F.lit(0.0), "z": F.lit(0.0)})
@@ -319,6 +347,25 @@ def test_frechet_against_dynamic_programming(spark):
     assert math.isclose(got, ca[-1, -1])
 
 
+def test_frechet_of_long_paths_and_of_none(spark):
+    rng = np.random.default_rng(5)
+    a, b = (np.cumsum(rng.integers(-1, 2, (n, 2)), axis=0) for n in (2000, 1700))
+    begun = time.perf_counter()
+    squared = planning.coupling(a.astype(float), b.astype(float))
+    assert time.perf_counter() - begun < 1
+    d = ((a[:, None] - b[None]) ** 2).sum(axis=2).astype(float)
+    row = np.maximum.accumulate(d[0])
+    for i in range(1, len(a)):
+        before, left, row = row, np.inf, np.empty(len(b))
+        for j in range(len(b)):
+            left = row[j] = max(d[i, j], min(left, before[j], before[j - 1] if j else np.inf))
+    assert squared == row[-1]
+    one = [{"i": 3, "j": 4}]
+    rows = [(one, [{"i": 0, "j": 0}]), (one, []), (None, one), (one, one)]
+    got = spark.createDataFrame(rows, "a array<struct<i:int,j:int>>, b array<struct<i:int,j:int>>").select(planning.frechet(F.col("a"), F.col("b"), 0.5).alias("f")).collect()
+    assert [r.f for r in got] == [2.5, None, None, 0.0]
+
+
 def test_tracks_survive_a_gap_and_then_expire(spark):
     det = [("s", f, 0, 0.1 * f, 0.0, 5) for f in (0, 1, 2)] + [("s", f, 0, 0.1 * f, 0.0, 5) for f in (9,)] + [("s", 30, 0, 90.0, 0.0, 5)]
     rows = tracks.track(spark.createDataFrame(det, "seq string, frame int, det int, x double, y double, class_id int")).collect()
