@@ -152,20 +152,43 @@ def cover(boxes: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:
     return at.withColumn("col", F.explode(F.sequence("a", "b"))).withColumn("row", F.explode(F.sequence("c", "d"))).select("box_id", "ring", "level", "row", "col")
 
 
+#: What tells boxes apart.
+BOUNDS = ["ring", "ix_lo", "iy_lo", "ix_hi", "iy_hi"]
+
+
+def _each_once(boxes: DataFrame) -> DataFrame:
+    """The different boxes, whose bounds are their box_id."""
+    return boxes.select(*BOUNDS).distinct().withColumn("box_id", F.struct(*BOUNDS))
+
+
+def _for_all(boxes: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found for different boxes, for every box_id. Merged, since a table of boxes is estimated by its files and may be far larger than that."""
+    asked = boxes.select(F.col("box_id").alias("asked"), F.struct(*BOUNDS).alias("box_id"))
+    sums = [F.sum(c).alias(c) for c in ("n", "visited") if c in found.columns]
+    masks = [F.bit_or("or_mask").alias("or_mask"), F.bit_and("and_mask").alias("and_mask")]
+    return asked.hint("merge").join(found, "box_id").groupBy(F.col("asked").alias("box_id")).agg(sums[0], *masks, *sums[1:])
+
+
 def box_descent(cells: DataFrame, boxes: DataFrame, s: Schedule = C.FOVEATED) -> DataFrame:
-    """box_id, n, or_mask, and_mask over the observed cells within each box, and visited: the nodes that were read for it. Boxes without an observed cell have no row."""
+    """box_id, n, or_mask, and_mask over the observed cells within each box, and visited: the nodes that were read for it. Boxes without an observed cell have no row.
+
+    Nodes of boxes are many times the boxes, which no estimate knows: they meet the tree in a
+    merge join, never as a broadcast. Equal boxes are covered once.
+    """
     tree = as_nodes(cells, s).unionByName(nodes(cells, s))
-    hit = cover(boxes, s).join(tree, ["ring", "level", "row", "col"])
-    return hit.groupBy("box_id").agg(F.sum("cells").alias("n"), F.bit_or("or_mask").alias("or_mask"), F.bit_and("and_mask").alias("and_mask"), F.count(F.lit(1)).alias("visited"))
+    hit = cover(_each_once(boxes), s).hint("merge").join(tree, ["ring", "level", "row", "col"])
+    found = hit.groupBy("box_id").agg(F.sum("cells").alias("n"), F.bit_or("or_mask").alias("or_mask"), F.bit_and("and_mask").alias("and_mask"), F.count(F.lit(1)).alias("visited"))
+    return _for_all(boxes, found)
 
 
 def box_query(cells: DataFrame, boxes: DataFrame) -> DataFrame:
     """box_id, n, or_mask, and_mask over the observed cells within each box (ring, ix_lo, iy_lo, ix_hi, iy_hi inclusive).
 
     Boxes and cells meet by tiles of 32 cells, so that the range join is an equi-join; a box
-    names every tile that it touches.
+    names every tile that it touches, and equal boxes do so once.
     """
     tile = lambda c: F.floor(F.col(c) / 32).cast("bigint")
-    keyed = boxes.withColumn("tx", F.explode(F.sequence(tile("ix_lo"), tile("ix_hi")))).withColumn("ty", F.explode(F.sequence(tile("iy_lo"), tile("iy_hi"))))
-    hit = cells.withColumns({"tx": tile("ix"), "ty": tile("iy")}).join(keyed, ["ring", "tx", "ty"]).where(F.col("ix").between(F.col("ix_lo"), F.col("ix_hi")) & F.col("iy").between(F.col("iy_lo"), F.col("iy_hi")))
-    return hit.groupBy("box_id").agg(F.count(F.lit(1)).alias("n"), F.bit_or("trav").alias("or_mask"), F.bit_and("trav").alias("and_mask"))
+    keyed = _each_once(boxes).withColumn("tx", F.explode(F.sequence(tile("ix_lo"), tile("ix_hi")))).withColumn("ty", F.explode(F.sequence(tile("iy_lo"), tile("iy_hi"))))
+    hit = cells.withColumns({"tx": tile("ix"), "ty": tile("iy")}).join(keyed.hint("merge"), ["ring", "tx", "ty"]).where(F.col("ix").between(F.col("ix_lo"), F.col("ix_hi")) & F.col("iy").between(F.col("iy_lo"), F.col("iy_hi")))
+    found = hit.groupBy("box_id").agg(F.count(F.lit(1)).alias("n"), F.bit_or("trav").alias("or_mask"), F.bit_and("trav").alias("and_mask"))
+    return _for_all(boxes, found)

@@ -450,6 +450,18 @@ def test_box_descent_reads_about_as_many_nodes_as_the_border_has_cells(spark):
     assert own[6][3] <= 8 * 300 and own[6][3] < own[6][0] and covered[99][1] == 10 * 10  # clipped to the window
 
 
+def test_nodes_of_boxes_are_never_broadcast_and_equal_boxes_are_covered_once(spark, tmp_path):
+    spark.range(4000).selectExpr("id box_id", "1 ring", "id % 50 - 25 ix_lo", "id % 20 - 10 iy_lo", "id % 50 - 17 ix_hi", "id % 20 - 2 iy_hi").write.parquet(str(tmp_path / "boxes"))
+    boxes, cells = spark.read.parquet(str(tmp_path / "boxes")), plane(spark, lambda x, y: 0).withColumn("trav", F.lit(3))
+    descent, plain = pyramid.box_descent(cells, boxes), pyramid.box_query(cells, boxes)
+    for found in (descent, plain):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    seen = lambda at: sum(-20 <= x < 20 for x in range(at, at + 9))
+    want = {k: n for k in range(4000) if (n := seen(k % 50 - 25) * seen(k % 20 - 10))}
+    assert {r.box_id: r.n for r in descent.collect()} == want == {r.box_id: r.n for r in plain.collect()}
+    assert pyramid.cover(pyramid._each_once(boxes)).select("box_id").distinct().count() == 100
+
+
 def test_tiles_do_not_show_at_their_edges(spark):
     """A kerb and a pothole that cross tile borders, as far from them and across them."""
     kerb = {(r.ix, r.iy) for r in stencil.curbs(plane(spark, lambda x, y: 12 if y >= 0 else 0)).collect()}
