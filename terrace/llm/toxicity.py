@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Many weak voters mark a text: words of a lexicon, and word beginnings mined from labelled
-training rows and, once more, from a bounded sample of training rows with the labels that the
+training rows and, once more, from all training rows, those without a label with the one that the
 first voters give them. A generative label model of two classes explains the votes: voters
 hang together in a tree, each firing by the class and by whether its parent in the tree
 fires, so that voters that repeat each other count once. Tree and rates are estimated by EM
@@ -20,15 +20,14 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import remainder_of_id, table, text_of, written
+from .common import drop_written, remainder_of_id, table, text_of, written
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-#: Labelled training rows that voters, label model and classifier learn from, at most.
-LABELLED_ROWS = 12_000
 #: Insults that vote as whole words.
 LEXICON = (
     "idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "scum", "trash", "pathetic", "worthless",
@@ -37,8 +36,6 @@ LEXICON = (
 )
 #: Mined voters: letters of a word's beginning, votes for this many words, rows with label 1 that show it, deviations above chance.
 PREFIX_LETTERS, PREFIX_COUNT, PREFIX_ROWS, PREFIX_DEVIATIONS, PREFIXES = (3, 4, 5, 6, 7), 2, 2, 3.0, 12
-#: Rows of the training fold, labelled or not, that voters are mined from the second time, at most.
-MINED_ROWS = 12_000
 #: Rounds of EM over all training rows, and what all unlabelled rows weigh against the labelled ones.
 PASSES, UNLABELLED_WEIGHT = 3, 0.2
 #: Log odds that a row's given label adds to its posterior.
@@ -106,27 +103,36 @@ def counted(docs: DataFrame, voters: Voters, keep: str) -> DataFrame:
 # --- voters mined from labelled rows ----------------------------------------------
 
 
-def _beginnings(batches):
-    total: Counter = Counter()
+def _shown(batches):
+    automaton = Voters(LEXICON, ()).automaton()
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            own = Counter(w[:k] for w, n in Counter(_WORD.findall((text or "").lower())).items() for k in PREFIX_LETTERS if len(w) >= k for _ in range(min(n, PREFIX_COUNT)))
-            total.update((x, toxic) for x, n in own.items() if n >= PREFIX_COUNT)
-    keys = [(x, t, n) for (x, t), n in total.items()]
-    prefix, toxic, n = zip(*keys, strict=True) if keys else ((), (), ())
-    yield pa.RecordBatch.from_arrays([pa.array(prefix, pa.string()), pa.array(toxic, pa.int32()), pa.array(n, pa.int64())], ["prefix", "toxic", "n"])
+        for part in ta.slices(batch):
+            insults, shown = [], []
+            for text in part.column("text").to_pylist():
+                text = (text or "").lower()
+                insults.append(bytes(occurrences(text, automaton, len(LEXICON))))
+                own = Counter(w[:k] for w, n in Counter(_WORD.findall(text)).items() for k in PREFIX_LETTERS if len(w) >= k for _ in range(min(n, PREFIX_COUNT)))
+                shown.append([x for x, n in own.items() if n >= PREFIX_COUNT])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(insults, pa.binary()), pa.array(shown, pa.list_(pa.string()))], ["doc_id", "insults", "shown"])
+
+
+def beginnings(docs: DataFrame) -> DataFrame:
+    """doc_id, insults (a byte for each word of the lexicon) and shown, the word beginnings that may vote, of whole texts: under half their bytes, so these move in their stead."""
+    return docs.select("doc_id", "text").mapInArrow(_shown, "doc_id bigint, insults binary, shown array<string>")
 
 
 def mine(labelled: DataFrame) -> Voters:
-    """The lexicon, and the word beginnings that mark label 1 in the labelled rows; of beginnings of one another the one that marks more surely."""
-    size = {row.toxic: row["count"] for row in labelled.groupBy("toxic").count().collect()}
-    ones, zeros = size.get(1, 0), size.get(0, 0)
+    """The lexicon, and the word beginnings that mark label 1 in the labelled rows (shown, toxic), which are read once; of beginnings of one another the one that marks more surely."""
+    each = labelled.select("toxic", F.explode(F.array_append("shown", F.lit(""))).alias("prefix"))  # the empty one counts the rows
+    counts = written(each.groupBy("prefix").agg(F.sum("toxic").cast("bigint").alias("a"), F.sum(1 - F.col("toxic")).cast("bigint").alias("b")), "beginnings")
+    size = counts.where("prefix = ''").first()
+    ones, zeros = (size.a, size.b) if size else (0, 0)
     if not ones or not zeros:
+        drop_written(counts)
         return Voters(LEXICON, ())
     a, b, n = F.col("a"), F.col("b"), float(ones + zeros)
-    counts = labelled.select("text", "toxic").mapInArrow(_beginnings, "prefix string, toxic int, n bigint").groupBy("prefix").agg(F.sum(F.col("n") * F.col("toxic")).alias("a"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("b"))
     deviations = (a / ones - b / zeros) / F.sqrt((a + b + 1) / n * (1 / ones + 1 / zeros))
-    best = counts.where((a >= PREFIX_ROWS) & (a / ones > 3 * b / zeros)).withColumn("z", F.round(deviations, 6)).where(F.col("z") > PREFIX_DEVIATIONS)
+    best = counts.where((F.col("prefix") != "") & (a >= PREFIX_ROWS) & (a / ones > 3 * b / zeros)).withColumn("z", F.round(deviations, 6)).where(F.col("z") > PREFIX_DEVIATIONS)
     chosen: list[str] = []
     for row in best.orderBy(F.desc("z"), F.length("prefix"), "prefix").limit(20 * PREFIXES).collect():
         nested = any(row.prefix.startswith(x) or x.startswith(row.prefix) for x in chosen)
@@ -134,6 +140,7 @@ def mine(labelled: DataFrame) -> Voters:
             chosen.append(row.prefix)
         if len(chosen) == PREFIXES:
             break
+    drop_written(counts)
     return Voters(LEXICON, tuple(chosen))
 
 
@@ -331,46 +338,65 @@ def _scored(model: Linear, n: int):
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row's whole text.
 
     Labels with null ids or values, or other values than 0 and 1, are not used; several labels
-    of an id count as their largest. Without labels of both kinds in the training fold only the
+    of an id count as their largest. All others are learnt from, and all rows of the training
+    fold. Without labels of both kinds in the training fold only the
     lexicon votes. Null and empty texts score what a text without voters scores. Null doc_ids
     count as remainder 0. Repeated rows each get a row; an empty table gives none. Columns
     other than doc_id and text are not read.
     """
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder_of_id(FOLDS) != HELD_OUT))
-    chosen = written(usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows), "chosen")
+    given = written(usable.groupBy("doc_id").agg(F.max("toxic").alias("gold")), "given")
+    gold = F.coalesce("gold", F.lit(-1)).alias("gold")  # labels grow with the texts: merged, at no size broadcast
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).withColumn("held_out", remainder_of_id(FOLDS) == HELD_OUT)
-    labelled = written(source.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")), "labelled")
-    voters = mine(labelled)
+    training = written(beginnings(source.where(~F.col("held_out"))).join(given.hint("merge"), "doc_id", "left").select("insults", "shown", gold), "shown")
+    voters = mine(training.where("gold >= 0").withColumnRenamed("gold", "toxic"))
     if voters.prefixes:
-        voters = mine(relabelled(source.where(~F.col("held_out")), labelled, voters))
+        voters = mine(relabelled(training, voters))
+    drop_written(training)
     n = len(voters.least)
-    rows = counted(source, voters, "doc_id bigint, held_out boolean").join(F.broadcast(chosen), "doc_id", "left")
-    rows = written(rows.select("doc_id", "held_out", "counts", "n_words", F.coalesce("toxic", F.lit(-1)).alias("gold")), "votes")
+    rows = counted(source, voters, "doc_id bigint, held_out boolean").join(given.hint("merge"), "doc_id", "left")
+    rows = written(rows.select("doc_id", "held_out", "counts", "n_words", gold), "votes")
+    drop_written(given)
     learnt = rows.where(~F.col("held_out")).select("counts", "n_words", "gold")
     model = fit_linear(learnt, fit_label_model(learnt, voters.least), voters.least)
     found = rows.select("doc_id", "held_out", "counts", "n_words").mapInArrow(_scored(model, n), "doc_id bigint, held_out boolean, score double")
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def relabelled(training: DataFrame, labelled: DataFrame, voters: Voters) -> DataFrame:
-    """text, toxic: the labelled rows, and a sample of the other training rows with the likelier label by a model of the first voters; MINED_ROWS in all at most."""
-    gold = written(counted(labelled, voters, "doc_id bigint, toxic int").select("counts", "n_words", F.col("toxic").alias("gold")), "gold")
-    model, least = fit_label_model(gold, voters.least), voters.least
-    known = labelled.select(F.col("doc_id").alias("known"))
-    some = training.join(F.broadcast(known), F.col("doc_id") == F.col("known"), "left_anti").select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    some = written(some.orderBy("h").limit(max(0, MINED_ROWS - gold.count())), "some")
+def _votes_of(batch, voters: Voters) -> np.ndarray:
+    """Votes of rows (insults, shown)."""
+    lists, n = batch.column("shown"), len(voters.words)
+    votes = np.zeros((batch.num_rows, len(voters.least)), bool)
+    votes[:, :n] = np.frombuffer(b"".join(batch.column("insults").to_pylist()), np.uint8).reshape(batch.num_rows, n)
+    which = pc.fill_null(pc.index_in(lists.flatten(), pa.array(voters.prefixes, pa.string())), -1).to_numpy()
+    row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+    votes[row[which >= 0], n + which[which >= 0]] = True
+    return votes
+
+
+def relabelled(training: DataFrame, voters: Voters) -> DataFrame:
+    """shown, toxic of all training rows (insults, shown, gold): rows without a label (gold -1) with the likelier one by a model of the voters, which learns from the labelled ones."""
+    least = voters.least
+
+    def vote(batches):
+        for batch in batches:
+            counts = _votes_of(batch, voters) * least.astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in counts], pa.binary()), batch.column("gold")], ["counts", "gold"])
+
+    known = written(training.where("gold >= 0").mapInArrow(vote, "counts binary, gold int"), "gold")
+    model = fit_label_model(known, least)
+    drop_written(known)
 
     def label(batches):
-        for batch in counts_in(batches):
-            p = model.posterior((counts_of(batch, len(least)) >= least).astype(float))
-            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array((p > 0.5).astype(np.int32))], ["text", "toxic"])
+        for batch in batches:
+            given, p = batch.column("gold").to_numpy(), model.posterior(_votes_of(batch, voters).astype(float))
+            yield pa.RecordBatch.from_arrays([batch.column("shown"), pa.array(np.where(given < 0, p > 0.5, given).astype(np.int32))], ["shown", "toxic"])
 
-    counts_in = _counts(voters, ["text"])
-    return labelled.select("text", "toxic").unionAll(some.select("text").mapInArrow(label, "text string, toxic int"))
+    return training.mapInArrow(label, "shown array<string>, toxic int")
 
 
 def op8_weak_supervision(spark, sf_dir: str) -> DataFrame:

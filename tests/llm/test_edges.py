@@ -82,6 +82,23 @@ def test_benchmark_without_items(spark):
     assert decontaminate.decontaminate(docs, benchmark(spark).where("false")).count() == len(ROWS)
 
 
+def test_voters_come_from_all_training_rows(spark):
+    """Beginnings that only few of 18,000 labelled training rows show, or only rows without a label, are learnt."""
+    from pyspark.sql import Window
+
+    ids = spark.range(24_000).withColumnRenamed("id", "doc_id").withColumn("rank", F.row_number().over(Window.orderBy((common.remainder_of_id(4) == 2).cast("int"), F.xxhash64("doc_id"))))
+    toxic, late = F.col("doc_id") % 10 == 0, F.col("rank") > 12_000
+    insult = F.when(late, "zorblax zorblax idiot idiot").otherwise("pathetic pathetic idiot idiot mudwump mudwump")
+    docs = ids.select("doc_id", F.when(toxic, insult).otherwise("a fine day by the sea").alias("text"), toxic.cast("int").alias("toxic"))
+    unlabelled = spark.range(30_000, 31_000).selectExpr("id doc_id", "'pathetic pathetic idiot idiot mudwump mudwump quibnar quibnar' text")
+    asked = spark.createDataFrame([(40_000, "zorblax zorblax zorblax"), (40_001, "quibnar quibnar quibnar"), (40_002, "pebble pebble pebble")], "doc_id bigint, text string")
+    got = toxicity.toxicity_scores(docs.select("doc_id", "text").unionAll(unlabelled).unionAll(asked), docs.select("doc_id", "toxic"))
+    assert got.count() == 24_000 + 1000 + 3
+    scores = {r.doc_id: r.score for r in got.where("doc_id >= 40000").collect()}
+    assert scores[40_000] >= 0.3 and scores[40_001] > 2 * scores[40_002]
+    assert got.where("doc_id < 24000 AND doc_id % 10 <> 0 AND predicted = 1").count() == 0
+
+
 def test_toxicity_without_any_labels(spark):
     got = toxicity.toxicity_scores(documents(spark, [(1, "you pathetic idiot, worthless trash", "en", "s", 1), (2, "a fine day by the sea", "en", "s", 1)]), labels(spark).where("false")).collect()
     score = {r.doc_id: r.score for r in got}
