@@ -21,7 +21,7 @@ from terrace.functions import measure as M
 from terrace.operators import perception
 from terrace.operators.fold import MEASURED, STATE, merge_frame, rebase
 from terrace.operators.scatter import CELL, binned, measured, scatter
-from terrace.scratch import drop_written, written
+from terrace.scratch import drop_folder, drop_written, scratch_path, written
 
 #: Whole steps in which the height band follows the vehicle.
 DATUM_STEP_M = 1.0
@@ -83,6 +83,18 @@ def aggregated(points: DataFrame, pose: Pose, s: Schedule = C.FOVEATED, clip_cla
     return scatter(high, ["frame", *CELL])
 
 
+def aggregated_steps(points: DataFrame, poses: list[Pose], s: Schedule = C.FOVEATED, clip_classes: bool = False) -> DataFrame:
+    """The aggregates of aggregated() for every pose in one pass over the returns: a folder for each step (the pose's place in the list). They depend on no state, and a frame has no more of them than its windows have cells."""
+    spark = points.sparkSession
+    rows = [(n, p.frame, float(p.x), float(p.y), p.datum) for n, p in enumerate(poses)]
+    at = points.join(F.broadcast(spark.createDataFrame(rows, "step int, frame int, __x double, __y double, __datum double")), "frame")
+    at = binned(at, s, "xw", "yw", ego=(F.col("__x"), F.col("__y"))).withColumn("cls", guarded(F.col("cls"), clip_classes))
+    found = scatter(measured(at).withColumn("z_cm", M.height_cm(F.col("zw"), F.col("__datum"))), ["step", "frame", *CELL])
+    path = scratch_path(spark, "steps")
+    found.write.partitionBy("step").parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 def see_through(state: DataFrame, points: DataFrame, touched: DataFrame, pose: Pose, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS) -> DataFrame:
     """The test of perception.seen_through() on the map's occupied cells, against the frame's own range image."""
     there = perception.occupied_in_frame(state.withColumn("frame", F.lit(pose.frame)), F.lit(float(pose.x)), F.lit(float(pose.y)), s)
@@ -93,10 +105,10 @@ def see_through(state: DataFrame, points: DataFrame, touched: DataFrame, pose: P
 TESTS = ("in_view", "see_through", "protected")
 
 
-def fuse(state: DataFrame, points: DataFrame, pose: Pose, datum: float, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS, clip_classes: bool = False) -> DataFrame:
-    """The cells after one frame's returns. datum: of the state before. points: the frame's own."""
+def fuse(state: DataFrame, points: DataFrame, pose: Pose, datum: float, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS, clip_classes: bool = False, aggregate: DataFrame | None = None) -> DataFrame:
+    """The cells after one frame's returns. datum: of the state before. points: the frame's own. aggregate: theirs, where it is there already."""
     moved = followed(shifted(state, pose, s), datum, pose.datum)
-    return merge_frame(moved, aggregated(points, pose, s, clip_classes), th)
+    return merge_frame(moved, aggregated(points, pose, s, clip_classes) if aggregate is None else aggregate, th)
 
 
 def seen(fused: DataFrame, points: DataFrame, pose: Pose, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS) -> DataFrame:
@@ -105,9 +117,9 @@ def seen(fused: DataFrame, points: DataFrame, pose: Pose, s: Schedule = C.FOVEAT
     return fused.join(see_through(fused, points, touched, pose, s, th).select(*CELL, *TESTS), CELL, "left")
 
 
-def step(state: DataFrame, points: DataFrame, pose: Pose, datum: float, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS, cleanup: bool = True, clip_classes: bool = False) -> DataFrame:
+def step(state: DataFrame, points: DataFrame, pose: Pose, datum: float, s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS, cleanup: bool = True, clip_classes: bool = False, aggregate: DataFrame | None = None) -> DataFrame:
     """One frame: a table in the scratch folder that state_of() and counters_of() read. Arguments as in fuse(). The table between fusing and testing is deleted."""
-    fused = fuse(state, points, pose, datum, s, th, clip_classes)
+    fused = fuse(state, points, pose, datum, s, th, clip_classes, aggregate)
     if not cleanup:
         return written(fused.withColumns({n: F.lit(None).cast("boolean") for n in TESTS}), "live")
     fused = written(fused, "fused")
@@ -132,17 +144,22 @@ def counters_of(cells: DataFrame, frame: int) -> DataFrame:
 
 
 def run(points: DataFrame, poses: Iterable[Pose], s: Schedule = C.FOVEATED, th: Thresholds = THRESHOLDS, cleanup: bool = True, clip_classes: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The map after all frames in order, and one row of counters a frame. Frames without returns move the window and the band all the same."""
-    spark = points.sparkSession
+    """The map after all frames in order, and one row of counters a frame. Frames without returns move the window and the band all the same.
+
+    The returns are reduced to cells in one pass for all frames; only the test for seeing through cells reads a frame's returns again.
+    """
+    spark, poses = points.sparkSession, list(poses)
     cells, datum, counters = None, None, None
-    for pose in poses:
+    steps = aggregated_steps(points, poses, s, clip_classes)
+    for n, pose in enumerate(poses):
         state = empty(spark) if cells is None else state_of(cells, th)
-        after = step(state, points.where(F.col("frame") == pose.frame), pose, pose.datum if datum is None else datum, s, th, cleanup, clip_classes)
+        after = step(state, points.where(F.col("frame") == pose.frame), pose, pose.datum if datum is None else datum, s, th, cleanup, clip_classes, steps.where(F.col("step") == n))
         one, datum = counters_of(after, pose.frame), pose.datum
         counters = [*(counters or ()), one.first()]
         if cells is not None:
             drop_written(cells)
         cells = after
+    drop_folder(steps)
     rows = spark.createDataFrame([tuple(c) for c in counters or ()], COUNTERS)
     return (empty(spark) if cells is None else state_of(cells, th)), rows
 

@@ -33,7 +33,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Deletes a table made by written(), once nothing reads it any more."""
+    _drop(df, 1)
+
+
+def drop_folder(df: DataFrame) -> None:
+    """The same for a table of folders by one column."""
+    _drop(df, 2)
+
+
+def _drop(df: DataFrame, levels: int) -> None:
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        for _ in range(levels):
+            folder = folder.getParent()
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

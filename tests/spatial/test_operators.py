@@ -69,6 +69,26 @@ def scene(spark, frames, car_until):
     return at.withColumns({"xw": F.col("x"), "yw": F.col("y"), "zw": F.col("z") + C.THRESHOLDS.sensor_height_m, "intensity": F.lit(0.5), "raw_label": F.lit(0)})
 
 
+def test_a_run_without_cleanup_reads_the_returns_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+    points = scene(spark, 3, 2)
+    rows = points.count()
+
+    def through(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    poses = [live.Pose(k, 0.5 * k, 0.0, 0.7 * k) for k in range(3)]
+    counted = points.mapInArrow(through, points.schema)
+    found, counters = live.run(counted, poses, cleanup=False)
+    assert reads.value == rows and counters.count() == 3
+    for n, pose in enumerate(poses):
+        steps = live.aggregated_steps(points, poses).where(F.col("step") == n).drop("step")
+        assert scatter.map_digest(steps).first() == scatter.map_digest(live.aggregated(points.where(F.col("frame") == pose.frame), pose).select(steps.columns)).first()
+    assert found.count() > 0
+
+
 def test_a_car_that_left_is_cleared_and_the_wall_is_not(spark):
     points, poses = scene(spark, 8, 2), [live.Pose(f, 0.0, 0.0) for f in range(8)]
     cleaned, counters = live.run(points, poses)
