@@ -12,7 +12,7 @@ what links is joined, and keys within one class leave. The first rounds pick the
 least share of rare shingles, since what others were copied from has none of its own; later
 ones pick by a hash. The first round takes a few keys of each set, so that groups of near
 copies are one class before their keys are laid out. Pairs of different classes that are left
-then meet. Wherever sets meet they carry the parities of their shingles in 256 cells: each cell
+then meet, at the first of the keys they share and hardly ever at a further one. Wherever sets meet they carry the parities of their shingles in 256 cells: each cell
 that differs stands for a shingle that only one of both has, so pairs with more of these than
 links allow are not made. This never loses a link; of sets of some thousand shingles it tells
 fewer apart, which are then verified.
@@ -41,6 +41,8 @@ SIZE_A_BUCKET = 16
 CELL_BYTES, CELL_BITS, CELL_ROWS = 16, 26, 1
 #: Keys of a set in the first round; rounds in which keys meet one set, and those of them that pick by rare shingles; sets that meet it in one task.
 FEW_KEYS, STAR_ROUNDS, RARE_ROUNDS, UNIT_SETS = 4, 3, 2, 2048
+#: Least keys of a set by which the last round tells at which of their common keys two sets are paired.
+LEAST_KEYS = 16
 #: Numbers of 64 cells in which a set's shingles are counted modulo two.
 PARITIES = [f"odd{n}" for n in range(4)]
 #: What a set's keys carry.
@@ -311,9 +313,12 @@ def _stars(keys: DataFrame, n: int) -> DataFrame:
     return keys.join(keys.groupBy("key").agg(picked), "key").select(*one, F.col("node").alias("v"), *(F.col(c).alias(f"v_{c}") for c in MET))
 
 
-def _pairs(keys: DataFrame) -> DataFrame:
-    side = lambda x: keys.select("key", F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in MET))
-    return side("u").join(side("v"), "key").where("u < v")
+def _pairs(keys: DataFrame, may: Column | bool = True) -> DataFrame:
+    """u, v (with size, root and parities) of the sets that share a key and may link. Of the keys that two sets share, those above one that is among the least of both make no pair: the first of them does."""
+    least = keys.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("least"))
+    keys = keys.join(least, "node").withColumn("before", F.filter("least", lambda x: x < F.col("key")))
+    side = lambda x: keys.select("key", F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in [*MET, "before"]))
+    return side("u").join(side("v"), "key").where("u < v").where(F.lit(may)).where(~F.arrays_overlap("u_before", "v_before"))
 
 
 def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -353,8 +358,8 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
             used += [keys]
         if n and keys.isEmpty():
             break
-        met = _stars(keys, n) if n <= STAR_ROUNDS else _pairs(keys)
-        met = met.where((F.col("u_root") != F.col("v_root")) & _may_link(percent))
+        may = (F.col("u_root") != F.col("v_root")) & _may_link(percent)
+        met = _stars(keys, n).where(may) if n <= STAR_ROUNDS else _pairs(keys, may)
         pairs = written(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
         links_now = _links(pairs, _texts_of(own, nodes, pairs, bits), width, percent)
         links = links_now if links is None else links.unionAll(links_now)

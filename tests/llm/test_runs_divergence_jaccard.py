@@ -252,6 +252,20 @@ def test_parities_part_sets_of_half_their_shingles(spark):
     assert met.where(jaccard._may_link(85)).count() == 0
 
 
+def test_sets_that_share_many_keys_are_paired_about_once(spark):
+    """A family of 40 sets with most of 60 keys in common, and sets of 300 keys that have one or none in common, anywhere among their own."""
+    rnd = np.random.default_rng(10)
+    family = rnd.integers(-(2**63), 2**63, 60)
+    sets = [set(rnd.choice(family, 50, replace=False).tolist()) for _ in range(40)]
+    loose = rnd.integers(-(2**63), 2**63, 40)
+    sets += [{int(loose[k // 2]), *rnd.integers(-(2**63), 2**63, 299).tolist()} for k in range(80)]
+    rows = [(n, 100, n, 0, 0, 0, 0, k) for n, s in enumerate(sets) for k in s]
+    keys = spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in ["node", *jaccard.MET, "key"]))
+    want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] & sets[b]}
+    got = [(r.u, r.v) for r in jaccard._pairs(keys).select("u", "v").collect()]
+    assert set(got) == want and len(got) <= 2 * len(want)
+
+
 def test_jaccard_of_awkward_rows_and_a_large_group(spark):
     """Copies without an id, blank texts, and 300 near copies of one text that few of each other link to, but all to the text."""
     rnd = random.Random(3)
