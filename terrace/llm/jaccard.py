@@ -12,7 +12,7 @@ what links is joined, and keys within one class leave. The first rounds pick the
 least share of rare shingles, since what others were copied from has none of its own; later
 ones pick by a hash. The first round takes a few keys of each set, so that groups of near
 copies are one class before their keys are laid out. Pairs of different classes that are left
-then meet, at the first of the keys they share and hardly ever at a further one. Wherever sets meet they carry the parities of their shingles in 256 cells: each cell
+then meet, at the first of the keys they share and at few further ones. Wherever sets meet they carry the parities of their shingles in 256 cells: each cell
 that differs stands for a shingle that only one of both has, so pairs with more of these than
 links allow are not made. This never loses a link; of sets of some thousand shingles it tells
 fewer apart, which are then verified.
